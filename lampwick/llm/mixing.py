@@ -31,7 +31,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, total:
     before = every.orderBy("room", "skey").rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumns({"_full": F.coalesce(F.sum("cap").over(before), F.lit(0.0)), "_used": F.coalesce(F.sum("weight").over(before), F.lit(0.0)), "_all": F.sum("source_size").over(every), "_weights": F.sum("weight").over(every)})
     level = (total * F.col("_all") - F.col("_full")) / (F.col("_weights") - F.col("_used"))
-    df = df.withColumn("_level", F.min(F.when(level <= F.col("room"), level)).over(every))
+    first = F.min(F.when(level <= F.col("room"), F.struct("room", "skey", level.alias("level")))).over(every)
+    return df.withColumn("_level", first["level"]).withColumn("target", F.least(F.col("cap"), F.coalesce(F.col("_level") * F.col("weight"), F.col("cap")))).select("skey", "source_size", "target")
     return df.withColumn("target", F.least(F.col("cap"), F.coalesce(F.col("_level") * F.col("weight"), F.col("cap")))).select("skey", "source_size", "target")
 
 
