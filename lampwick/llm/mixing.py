@@ -33,7 +33,6 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, total:
     level = (total * F.col("_all") - F.col("_full")) / (F.col("_weights") - F.col("_used"))
     first = F.min(F.when(level <= F.col("room"), F.struct("room", "skey", level.alias("level")))).over(every)
     return df.withColumn("_level", first["level"]).withColumn("target", F.least(F.col("cap"), F.coalesce(F.col("_level") * F.col("weight"), F.col("cap")))).select("skey", "source_size", "target")
-    return df.withColumn("target", F.least(F.col("cap"), F.coalesce(F.col("_level") * F.col("weight"), F.col("cap")))).select("skey", "source_size", "target")
 
 
 def with_copies(docs: DataFrame, seed: int = 0, weights: Sequence[float] = WEIGHTS, total: float = TOTAL, most: float = MOST) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, mixing, packing, simhash
+from . import compression, cross_polytope, mixing, packing, simhash, suffix_tree
 from .common import read
 
 
@@ -13,6 +13,10 @@ def op5_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.compression_bands(read(spark, sf_dir, "documents"))
 
 
+def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_held_out(read(spark, sf_dir, "documents"))
+
+
 def op7_systematic_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.with_copies(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -22,6 +26,10 @@ def op8_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents")).select("doc_id", "n_tokens", "bucket", "batch", "padding", "n_slots")
 
 
+def op9_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_components(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -60,5 +68,5 @@ SELECT doc_id, size, source_size, target,
 FROM ranked JOIN rated USING (skey)
 """
 
-QUERIES = {f.__name__: f for f in (op5_compression_bands, op7_systematic_sampling, op8_length_buckets, op10_simhash_balls)}
+QUERIES = {f.__name__: f for f in (op5_compression_bands, op6_suffix_tree, op7_systematic_sampling, op8_length_buckets, op9_cross_polytope, op10_simhash_balls)}
 ORACLE_SQL = {"op7_systematic_sampling": OP7_SQL}
