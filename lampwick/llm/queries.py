@@ -5,8 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, cross_polytope, mixing, packing, simhash, suffix_tree
+from . import compression, cross_polytope, license_scan, mixing, packing, simhash, suffix_tree, tool_calls
 from .common import read
+from .license_sql import OP1_SQL
+from .tool_sql import OP2_SQL
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(read(spark, sf_dir, "documents"), license_scan.known_digests(spark))
+
+
+def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = tool_calls.events_of(read(spark, sf_dir, "conversations"))
+    return tool_calls.link_tool_calls(events, spark.createDataFrame(tool_calls.TOOLS, "tool string, arg string, type string, required boolean"))
 
 
 def op5_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,5 +79,5 @@ SELECT doc_id, size, source_size, target,
 FROM ranked JOIN rated USING (skey)
 """
 
-QUERIES = {f.__name__: f for f in (op5_compression_bands, op6_suffix_tree, op7_systematic_sampling, op8_length_buckets, op9_cross_polytope, op10_simhash_balls)}
-ORACLE_SQL = {"op7_systematic_sampling": OP7_SQL}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_tool_calls, op5_compression_bands, op6_suffix_tree, op7_systematic_sampling, op8_length_buckets, op9_cross_polytope, op10_simhash_balls)}
+ORACLE_SQL = {"op1_license_scan": OP1_SQL, "op2_tool_calls": OP2_SQL, "op7_systematic_sampling": OP7_SQL}
