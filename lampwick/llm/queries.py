@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, cross_polytope, license_scan, mixing, packing, rule_ensemble, simhash, suffix_tree, tool_calls
+from . import compression, cross_polytope, license_scan, mixing, packing, pii_crf, rule_ensemble, simhash, suffix_tree, tool_calls
 from .common import crc_mod, read
 from .license_sql import OP1_SQL
 from .tool_sql import OP2_SQL
@@ -24,6 +24,10 @@ def op3_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.held_out_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), crc_mod("doc_id", 5) == 0)
 
 
+def op4_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_crf.find_pii(read(spark, sf_dir, "documents"))
+
+
 def op5_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.compression_bands(read(spark, sf_dir, "documents"))
 
@@ -83,5 +87,5 @@ SELECT doc_id, size, source_size, target,
 FROM ranked JOIN rated USING (skey)
 """
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_tool_calls, op3_rule_ensemble, op5_compression_bands, op6_suffix_tree, op7_systematic_sampling, op8_length_buckets, op9_cross_polytope, op10_simhash_balls)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_tool_calls, op3_rule_ensemble, op4_pii_crf, op5_compression_bands, op6_suffix_tree, op7_systematic_sampling, op8_length_buckets, op9_cross_polytope, op10_simhash_balls)}
 ORACLE_SQL = {"op1_license_scan": OP1_SQL, "op2_tool_calls": OP2_SQL, "op7_systematic_sampling": OP7_SQL}
