@@ -42,12 +42,14 @@ def fold(events: pd.DataFrame, state: tuple | None) -> tuple:
     return status, "\x1f".join(names), created, updated, completed, error
 
 
-def stream_task_state(events: DataFrame, life_ms: int = 7 * 86_400_000) -> DataFrame:
+def stream_task_state(events: DataFrame, days: int = 7) -> DataFrame:
     """The state of each task after each batch that touches it; a state goes when its task was quiet for its life.
 
-    events: task_id, event, step_name, error_message, ts, seq. Events that come
-    late are folded when they come.
+    events: task_id, event, step_name, error_message, ts, seq. The life runs in
+    event time, and so does the watermark: events that are later than it are
+    dropped, others are folded when they come.
     """
+    life_ms = days * 86_400_000
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -55,10 +57,11 @@ def stream_task_state(events: DataFrame, life_ms: int = 7 * 86_400_000) -> DataF
             return
         new = fold(pd.concat(list(frames)), state.get if state.exists else None)
         state.update(new)
-        state.setTimeoutDuration(life_ms)
+        state.setTimeoutTimestamp(int(pd.Timestamp(new[3]).timestamp() * 1000) + life_ms)
         yield pd.DataFrame([(*key, *new)], columns=["task_id", "status", "steps", "created_at", "updated_at", "completed_at", "error_message"])
 
-    return events.groupBy("task_id").applyInPandasWithState(run, f"task_id string, {STATE}", STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = events.withWatermark("ts", f"{days} days")
+    return timed.groupBy("task_id").applyInPandasWithState(run, f"task_id string, {STATE}", STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_task_results(writes: DataFrame, path: str, checkpoint: str):
