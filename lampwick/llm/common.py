@@ -12,7 +12,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def materialise_at(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """The same, with the table's path."""
+    """materialise(), with the path of the table, for those who discard it later."""
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)

@@ -16,23 +16,23 @@ TOTAL, MOST = 1.5, 2.0
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, total: float = TOTAL, most: float = MOST) -> DataFrame:
-    """From (skey, source_size), one row per source: the same with ``target``, in words.
+    """From (_lw_key, source_size), one row per source: the same with ``target``, in words.
 
-    Sources in order of skey (code points; a null source has the last key) weigh
+    Sources in order of _lw_key (code points; a null source has the last key) weigh
     as the weights repeat. Together they get ``total`` times all words, none over
     ``most`` times its own. That is a water level: with sources in order of
     room per weight, the first k are full and the rest get the level times
     their weight. The table has one row per source, not per document.
     """
     every = Window.partitionBy(F.lit(0))
-    place = (F.row_number().over(every.orderBy("skey")) - 1) % len(weights)
+    place = (F.row_number().over(every.orderBy("_lw_key")) - 1) % len(weights)
     df = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), place + 1))
     df = df.withColumns({"cap": most * F.col("source_size"), "room": most * F.col("source_size") / F.col("weight")})
-    before = every.orderBy("room", "skey").rowsBetween(Window.unboundedPreceding, -1)
+    before = every.orderBy("room", "_lw_key").rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumns({"_full": F.coalesce(F.sum("cap").over(before), F.lit(0.0)), "_used": F.coalesce(F.sum("weight").over(before), F.lit(0.0)), "_all": F.sum("source_size").over(every), "_weights": F.sum("weight").over(every)})
     level = (total * F.col("_all") - F.col("_full")) / (F.col("_weights") - F.col("_used"))
-    first = F.min(F.when(level <= F.col("room"), F.struct("room", "skey", level.alias("level")))).over(every)
-    return df.withColumn("_level", first["level"]).withColumn("target", F.least(F.col("cap"), F.coalesce(F.col("_level") * F.col("weight"), F.col("cap")))).select("skey", "source_size", "target")
+    first = F.min(F.when(level <= F.col("room"), F.struct("room", "_lw_key", level.alias("level")))).over(every)
+    return df.withColumn("_level", first["level"]).withColumn("target", F.least(F.col("cap"), F.coalesce(F.col("_level") * F.col("weight"), F.col("cap")))).select("_lw_key", "source_size", "target")
 
 
 def with_copies(docs: DataFrame, seed: int = 0, weights: Sequence[float] = WEIGHTS, total: float = TOTAL, most: float = MOST) -> DataFrame:
@@ -46,20 +46,20 @@ def with_copies(docs: DataFrame, seed: int = 0, weights: Sequence[float] = WEIGH
     Null texts have size 0; a null source is a source; repeated rows are
     separate documents; columns of these names in the input are replaced.
     """
-    names = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
-    docs = docs.select(*names).withColumns({"size": n_words(), "skey": F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), F.col("source")))})
-    facts = materialise(docs.groupBy("skey", F.length(F.bin("size")).alias("_class"), md5_int(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_hash")).agg(F.count("*").alias("n"), F.sum("size").alias("words")), "facts")
+    names = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "copies")]
+    docs = docs.select(*names).withColumns({"size": n_words(), "_lw_key": F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), F.col("source")))})
+    facts = materialise(docs.groupBy("_lw_key", F.length(F.bin("size")).alias("_lw_class"), md5_int(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_lw_hash")).agg(F.count("*").alias("n"), F.sum("size").alias("words")), "facts")
     rows = facts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    counts = facts.groupBy("skey", "_class", (F.col("_hash") % n_sub_bins(rows)).cast("int").alias("_sub")).agg(F.sum("n").alias("n"))
-    targets = source_targets(facts.groupBy("skey").agg(F.sum("words").alias("source_size")), weights, total, most)
-    offset = (md5_int("skey", F.lit(seed)) % 1024 * 2 + 1) / 2048
-    sources = targets.withColumns({"_rate": F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0), "_offset": offset})
-    offsets = bin_offsets(counts, "skey").join(sources, "skey")
-    ranked = with_rank(binned(docs, "skey", "size", "doc_id", rows), "skey", "size", "doc_id", offsets, F.xxhash64("text"))
-    step = lambda n: F.floor(F.col("_offset") + F.col("_rate") * n)
-    return ranked.withColumn("copies", step(F.col("rank")) - step(F.col("rank") - 1)).select(*names, "size", "source_size", "target", "copies")
+    counts = facts.groupBy("_lw_key", "_lw_class", (F.col("_lw_hash") % n_sub_bins(rows)).cast("int").alias("_lw_sub")).agg(F.sum("n").alias("n"))
+    targets = source_targets(facts.groupBy("_lw_key").agg(F.sum("words").alias("source_size")), weights, total, most)
+    offset = (md5_int("_lw_key", F.lit(seed)) % 1024 * 2 + 1) / 2048
+    sources = targets.withColumns({"_lw_rate": F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0), "_lw_offset": offset})
+    offsets = bin_offsets(counts, "_lw_key").join(sources, "_lw_key")
+    ranked = with_rank(binned(docs, "_lw_key", "size", "doc_id", rows), "_lw_key", "size", "doc_id", offsets, F.xxhash64("text"))
+    step = lambda n: F.floor(F.col("_lw_offset") + F.col("_lw_rate") * n)
+    return ranked.withColumn("copies", step(F.col("_lw_rank")) - step(F.col("_lw_rank") - 1)).select(*names, "size", "source_size", "target", "copies")
 
 
 def mix(docs: DataFrame, seed: int = 0, **how) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns it came with."""
-    return with_copies(docs, seed, **how).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    return with_copies(docs, seed, **how).withColumn("_lw_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)

@@ -65,19 +65,19 @@ def packed(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> Dat
     no rows give no rows. Only the histogram reaches the driver: see grid().
     """
     added = ("n_tokens", "bucket", "batch", "padding", "n_slots")
-    names = [c for c in docs.columns if c not in added]
+    names = [c for c in docs.columns if c.lower() not in added]
     docs = docs.select(*names).withColumn("n_tokens", n_words())
-    facts = materialise(docs.groupBy(grid(F.col("n_tokens")).alias("length"), md5_int(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_hash"), F.length(F.bin("n_tokens")).alias("_class")).agg(F.count("*").alias("n")), "lengths")
+    facts = materialise(docs.groupBy(grid(F.col("n_tokens")).alias("length"), md5_int(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_lw_hash"), F.length(F.bin("n_tokens")).alias("_lw_class")).agg(F.count("*").alias("n")), "lengths")
     bins = facts.groupBy("length").agg(F.sum("n").alias("n")).orderBy("length").toPandas()
     bounds = best_bounds(bins["length"].to_numpy(), bins["n"].to_numpy(), buckets) or [0]
     rows = int(bins["n"].sum())
     ends = F.array(*map(F.lit, bounds))
     bucket = lambda c: F.element_at(F.filter(ends, lambda b: b >= c), 1).cast("long")
-    counts = facts.groupBy(bucket(F.col("length")).alias("bucket"), "_class", (F.col("_hash") % n_sub_bins(rows)).cast("int").alias("_sub")).agg(F.sum("n").alias("n"))
+    counts = facts.groupBy(bucket(F.col("length")).alias("bucket"), "_lw_class", (F.col("_lw_hash") % n_sub_bins(rows)).cast("int").alias("_lw_sub")).agg(F.sum("n").alias("n"))
     df = binned(docs.withColumn("bucket", bucket(F.col("n_tokens"))), "bucket", "n_tokens", "doc_id", rows)
     ranked = with_rank(df, "bucket", "n_tokens", "doc_id", bin_offsets(counts, "bucket"), F.xxhash64("text"))
     slots = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.lit(1), F.col("bucket")))).cast("long")
-    batch = F.concat_ws("-", F.col("bucket").cast("string"), F.floor((F.col("rank") - 1) / slots).cast("string"))
+    batch = F.concat_ws("-", F.col("bucket").cast("string"), F.floor((F.col("_lw_rank") - 1) / slots).cast("string"))
     return ranked.withColumns({"n_slots": slots, "batch": batch, "padding": F.col("bucket") - F.col("n_tokens")}).select(*names, *added)
 
 

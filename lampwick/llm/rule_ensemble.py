@@ -129,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Ensembl
 
 def with_score(docs: DataFrame, model: Ensemble) -> DataFrame:
     """Adds ``score`` and ``predicted`` (1 from THRESHOLD on), replacing columns of these names. Null texts count as empty."""
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
+    names = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
     scored = with_statistics(docs.select(*names)).withColumn("score", model.score())
     return scored.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0)).select(*names, "score", "predicted")
 
