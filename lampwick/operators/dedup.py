@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import file_name
@@ -91,18 +92,27 @@ def greedy_cover(sets: list[set]) -> list[bool]:
     return kept
 
 
-def coverage_min_set_dedup(pages: DataFrame) -> DataFrame:
-    """Keeps, in each island, the pages of a greedy cover of its ids. Without any id in a video's type all pages go."""
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def _covers(islands: pd.Series) -> pd.Series:
+    """greedy_cover() of each island's id lists, over Arrow batches of islands."""
+    return islands.map(lambda pages: greedy_cover([set(ids) if ids is not None else set() for ids in pages]))
+
 
-    def cover(island: pd.DataFrame) -> pd.DataFrame:
-        island = island.sort_values(["frame_index", "pos"], kind="stable")
-        kept = greedy_cover([set(x) if x is not None else set() for x in island["unique_ids"]])
-        return island.assign(kept=kept)[[*PART, "image_path", "pos", "kept", "any_id"]]
+def coverage_min_set_dedup(pages: DataFrame) -> DataFrame:
+    """Keeps, in each island, the pages of a greedy cover of its ids. Without any id in a video's type all pages go.
 
+    An island is one row with its pages in order, so that a batch of many islands
+    goes to Python at once; those of one page need no cover and stay in the JVM.
+    """
     has = F.max(F.size("unique_ids") > 0).over(Window.partitionBy(*PART))
     split = coverage_islands(pages).withColumn("any_id", F.coalesce(has, F.lit(False)))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in split.select(*PART, "image_path", "pos").schema)
-    rows = split.groupBy(*PART, "island").applyInPandas(cover, f"{schema}, kept boolean, any_id boolean")
+    page = F.struct("frame_index", "pos", "image_path", F.coalesce("unique_ids", F.array().cast("array<string>")).alias("ids"))
+    islands = split.groupBy(*PART, "island").agg(F.array_sort(F.collect_list(page)).alias("pages"), F.first("any_id").alias("any_id"))
+    lone = F.size("pages") == 1
+    single = islands.where(lone).withColumn("kept", F.array(F.size(F.col("pages")[0]["ids"]) > 0))
+    several = islands.where(~lone).withColumn("kept", _covers(F.transform("pages", lambda p: p["ids"])))
+    rows = single.unionByName(several).select(*PART, "any_id", F.explode(F.arrays_zip(F.col("pages").alias("p"), F.col("kept").alias("k"))).alias("r"))
+    rows = rows.select(*PART, "any_id", "r.p.image_path", "r.p.pos", F.col("r.k").alias("kept"))
     return _out(rows, F.col("kept"), F.when(~F.col("any_id"), UNCOVERED).when(F.col("kept"), COVERING).otherwise(COVERED))
 
 

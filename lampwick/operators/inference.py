@@ -30,11 +30,13 @@ def echo_client() -> Client:
 
 
 def infer_rows(requests: DataFrame, factory: Callable[[], Client] = echo_client, partitions: int | None = CONCURRENCY, image: str = "image_url", ocr: str = "ocr_text") -> DataFrame:
-    """Adds content, tokens_in, tokens_out and infer_error. A client is made once per partition; a failed call gives a row with its error.
+    """Adds content, tokens_in, tokens_out and infer_error, replacing columns of these names. A client is made once per partition; a failed call gives a row with its error.
 
     ``partitions`` bounds how many calls run at once. Equal requests are each
     sent; cached_inference_join() and dropDuplicates come before, where wanted.
     """
+    added = ("content", "tokens_in", "tokens_out", "infer_error")
+    requests = requests.drop(*added)
     cols = requests.columns
     df = requests.repartition(partitions) if partitions else requests
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in requests.schema)}, content string, tokens_in bigint, tokens_out bigint, infer_error string"
@@ -142,7 +144,7 @@ def self_correct(failed: DataFrame, factory: Callable[[], Client] = echo_client,
     open_ = failed.withColumns({"_original": F.col("content"), "_prompt": F.col("prompt")})
     done = None
     for k in range(1, attempts + 1):
-        ask = open_.withColumns({"prompt": prompts.improved_prompt(F.col("_prompt"), F.col("errors")), "attempts": F.lit(k)}).drop("content", *(c for c in ("tokens_in", "tokens_out", "infer_error") if c in open_.columns))
+        ask = open_.withColumns({"prompt": prompts.improved_prompt(F.col("_prompt"), F.col("errors")), "attempts": F.lit(k)})
         got = infer_rows(ask, factory, partitions).withColumn("_prompt", F.col("prompt")).persist()
         fine = F.col("content").isNotNull() & (F.col("content") != "")
         if revalidate:

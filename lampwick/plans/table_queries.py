@@ -12,6 +12,7 @@ from ..sources import messages, objects
 from ..sources import tables as src
 from ..sources import config
 from ..streaming import jobs
+from ..workdir import materialise
 
 QUERIES, SQL = {}, {}
 
@@ -661,6 +662,7 @@ def page_pipeline(t):
     found = classify.classify_pages(fx.pages(t), rules_)
     found = found.withColumn("unique_ids", ids.page_ids(F.col("ocr_text"), "RegStrategy", [r"([A-Z][a-z]+)\b"]))
     rows = found.select("video_key", "page_type", "image_path", "pos", "frame_index", F.transform("unique_ids", lambda x: F.substring(x, 1, 12)).alias("unique_ids"))
+    rows = materialise(rows, "pages")  # each strategy reads them; texts are read and classified once
     done = dedup.dedup_dispatch(rows, rules_.where("page_type <> 'unknown'"), (40, dedup.DEFAULT_WINDOW))
     return done.where("action = 'kept'").orderBy("video_key", "image_path")
 
