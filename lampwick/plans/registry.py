@@ -8,9 +8,9 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from ..fixtures import Tables
-from . import stream_queries, table_queries, text_queries
+from . import more_queries, stream_queries, table_queries, text_queries
 
-MODULES = (text_queries, table_queries, stream_queries)
+MODULES = (text_queries, table_queries, more_queries, stream_queries)
 
 
 def _over_tables(f: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
