@@ -117,7 +117,6 @@ def coverage_min_set_dedup(pages: DataFrame) -> DataFrame:
 
 
 STRATEGIES: dict[str, Callable[..., DataFrame]] = {
-    "General_dedup": lambda pages, window: global_id_dedup(pages),
     "Global_dedup": lambda pages, window: global_id_dedup(pages),
     "SlidingWindow_dedup": sliding_window_dedup,
     "CoverageMinSet_dedup": lambda pages, window: coverage_min_set_dedup(pages),
@@ -132,13 +131,13 @@ def dedup_dispatch(pages: DataFrame, rules: DataFrame, windows: tuple[int, ...]
     """Each page type by the strategy of its rule; types without a rule go.
 
     rules: page_type, dedup_strategy, dedup_rule, window_size (text, used where
-    it is a number). The strategy name comes first, then the rule, then
-    General_dedup; unknown names mean the global one. ``windows`` lists the
+    it is a number). The strategy name comes first, then the rule; any other name
+    (General_dedup too) and none mean the global one. ``windows`` lists the
     sizes that rules may name: each gives one branch of the plan.
     """
-    name = F.coalesce(F.nullif(F.trim("dedup_strategy"), F.lit("")), F.nullif(F.trim("dedup_rule"), F.lit("")), F.lit("General_dedup"))
+    name = F.coalesce(F.nullif(F.trim("dedup_strategy"), F.lit("")), F.nullif(F.trim("dedup_rule"), F.lit("")))
     size = F.col("window_size").try_cast("int")
-    known = rules.select("page_type", F.when(name.isin(*STRATEGIES), name).otherwise("General_dedup").alias("_how"), F.when(size > 0, size).otherwise(DEFAULT_WINDOW).alias("_window"))
+    known = rules.select("page_type", F.when(name.isin(*STRATEGIES), name).otherwise("Global_dedup").alias("_how"), F.when(size > 0, size).otherwise(DEFAULT_WINDOW).alias("_window"))
     df = pages.join(F.broadcast(known), "page_type", "left")
     out = df.where("_how IS NULL").withColumns({"action": F.lit("removed"), "reason": F.lit("no rule")}).select(*OUT)
     for how, run in STRATEGIES.items():
