@@ -72,7 +72,8 @@ def packed(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> Dat
     bounds = best_bounds(bins["length"].to_numpy(), bins["n"].to_numpy(), buckets) or [0]
     rows = int(bins["n"].sum())
     ends = F.array(*map(F.lit, bounds))
-    bucket = lambda c: F.element_at(F.filter(ends, lambda b: b >= c), 1).cast("long")
+    # never null, so that no join asks for it again below the word count, once per bound
+    bucket = lambda c: F.coalesce(F.get(F.filter(ends, lambda b: b >= c), F.lit(0)).cast("long"), F.lit(-1).cast("long"))
     counts = facts.groupBy(bucket(F.col("length")).alias("bucket"), "_lw_class", (F.col("_lw_hash") % n_sub_bins(rows)).cast("int").alias("_lw_sub")).agg(F.sum("n").alias("n"))
     df = binned(docs.withColumn("bucket", bucket(F.col("n_tokens"))), "bucket", "n_tokens", "doc_id", rows)
     ranked = with_rank(df, "bucket", "n_tokens", "doc_id", bin_offsets(counts, "bucket"), F.xxhash64("text"))
