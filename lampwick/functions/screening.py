@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -49,6 +50,16 @@ FILTERED = "[输入已过滤]"
 SCREENED_FIELDS = ("ocrData", "input", "userInput", "question")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _may_hold(pattern: str) -> Callable[[Column], Column]:
+    """A cheap test that a text with personal data by this pattern passes: an at sign, or a digit."""
+    return (lambda t: t.contains("@")) if "@" in pattern else (lambda t: t.rlike("[0-9]"))
+
+
 def any_of(tests: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
@@ -60,12 +71,12 @@ def _said(text: Column, test: Column) -> Column:
 
 def has_words(text: Column, words: Sequence[str]) -> Column:
     """Whether the lower-cased text holds one of the words, anywhere ("execute" holds "cut")."""
-    low = F.lower(text)
-    return _said(text, any_of([low.contains(w) for w in words]))
+    return _said(text, let(F.lower(text), lambda low: any_of([low.contains(w) for w in words])))
 
 
 def contains_pii(text: Column) -> Column:
-    return _said(text, any_of([text.rlike(p) for p in PII_PATTERNS]))
+    found = lambda t: any_of([_may_hold(p)(t) & t.rlike(p) for p in PII_PATTERNS])
+    return _said(text, let(text, found))
 
 
 def contains_sensitive(text: Column) -> Column:
@@ -73,12 +84,14 @@ def contains_sensitive(text: Column) -> Column:
 
 
 def remove_pii(text: Column) -> Column:
-    return reduce(lambda t, p: F.regexp_replace(t, p, "[PII_REMOVED]"), PII_PATTERNS, text)
+    step = lambda t, p: let(t, lambda x: F.when(_may_hold(p)(x), F.regexp_replace(x, p, "[PII_REMOVED]")).otherwise(x))
+    return reduce(step, PII_PATTERNS, text)
 
 
 def redact_sensitive(text: Column) -> Column:
     """``word: value`` or ``word=value`` becomes ``word:[REDACTED]``, word by word in list order."""
-    return reduce(lambda t, w: F.regexp_replace(t, rf"(?i){w}[:=]\s*\S+", f"{w}:[REDACTED]"), SENSITIVE_WORDS, text)
+    gone = lambda t, w: F.regexp_replace(t, rf"(?i){w}[:=]\s*\S+", f"{w}:[REDACTED]")
+    return reduce(lambda t, w: let(t, lambda x: F.when(F.lower(x).contains(w), gone(x, w)).otherwise(x)), SENSITIVE_WORDS, text)
 
 
 def escape_special(text: Column) -> Column:
@@ -91,8 +104,9 @@ def filter_content(text: Column) -> Column:
 
 
 def matched_injection(text: Column) -> Column:
-    """The first pattern found, null if none is."""
-    return F.coalesce(*(F.when(_said(text, text.rlike(f"(?i){p}")), F.lit(p)) for p in INJECTION_PATTERNS))
+    """The first pattern found, null if none is. A pattern is only tried where the word that it begins with is there."""
+    begins = {p: re.sub(r"\\(.)", r"\1", p.split(".*")[0]).lower() for p in INJECTION_PATTERNS}
+    return let(F.lower(text), lambda low: F.coalesce(*(F.when(low.contains(begins[p]) & text.rlike(f"(?i){p}"), F.lit(p)) for p in INJECTION_PATTERNS)))
 
 
 def sanitize_injection(text: Column) -> Column:
@@ -119,7 +133,7 @@ def validate_input(text: Column, least: int = 1, most: int = 10_000, strict: boo
         .when(F.coalesce(special_ratio(filtered), F.lit(1.0)) > 0.5, "BAD_FORMAT")
     )
     validated = escape_special(filtered) if strict else filtered
-    return F.struct(issue.isNull().alias("valid"), issue.alias("issue"), F.when(issue.isNull(), validated).alias("validated"))
+    return let(issue, lambda i: F.struct(i.isNull().alias("valid"), i.alias("issue"), F.when(i.isNull(), validated).alias("validated")))
 
 
 def sanitize_context(context: Column) -> Column:
