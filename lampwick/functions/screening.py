@@ -147,10 +147,10 @@ def sanitize_context(context: Column) -> Column:
 
 
 def toxicity(text: Column) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    hits = reduce(lambda a, b: a + b, (low.contains(w).cast("int") for w in TOXIC_WORDS))
-    share = F.least(F.lit(1.0), hits / len(TOXIC_WORDS))
-    return F.when(hits > 1, F.least(F.lit(1.0), share * 1.5)).otherwise(share)
+    """A tenth for each toxic word that is there, half more from two on, 1 at most."""
+    hits = let(F.lower(F.coalesce(text, F.lit(""))), lambda low: reduce(lambda a, b: a + b, (low.contains(w).cast("int") for w in TOXIC_WORDS)))
+    share = lambda n: F.least(F.lit(1.0), n / len(TOXIC_WORDS))
+    return let(hits, lambda n: F.when(n > 1, F.least(F.lit(1.0), share(n) * 1.5)).otherwise(share(n)))
 
 
 def safety_columns(text: Column) -> dict[str, Column]:

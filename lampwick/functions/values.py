@@ -134,6 +134,10 @@ def tag_key(tags: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.map_entries(tags)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
 
 
-def cosine(a: Column, b: Column) -> Column:
-    d = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.try_divide(d(a, b), F.sqrt(d(a, a)) * F.sqrt(d(b, b)))
+def dot(a: Column, b: Column) -> Column:
+    """The inner product in double precision."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def norm(a: Column) -> Column:
+    return F.sqrt(dot(a, a))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import chars, jaccard
-from ..functions.values import cosine
+from ..functions.values import dot, norm
 
 #: Example tables of at most so many rows are sent to every task; larger ones are cut into blocks of rows that meet the queries by a join.
 SMALL = 20_000
@@ -45,7 +45,9 @@ def similarity_top_k(queries: DataFrame, examples: DataFrame, k: int = 5, thresh
 
 def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, small: int = SMALL) -> DataFrame:
     """The same by cosine. queries: query_id, query_vector; vectors: example_pos, vector. A query isn't its own answer."""
-    pairs = scored_pairs(queries.select("query_id", "query_vector"), vectors.select("example_pos", "vector"), cosine(F.col("query_vector"), F.col("vector")), small)
+    q = queries.select("query_id", "query_vector", norm(F.col("query_vector")).alias("_qn"))
+    v = vectors.select("example_pos", "vector", norm(F.col("vector")).alias("_vn"))
+    pairs = scored_pairs(q, v, F.try_divide(dot(F.col("query_vector"), F.col("vector")), F.col("_qn") * F.col("_vn")), small)
     pairs = pairs.where((F.col("query_id") != F.col("example_pos")) & F.col("score").isNotNull())
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "example_pos")
     return pairs.select("query_id", "example_pos", "score").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
