@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import chars, jaccard
 from ..functions.values import dot, norm
+from ..workdir import materialise
 
 #: Example tables of at most so many rows are sent to every task; larger ones are cut into blocks of rows that meet the queries by a join.
 SMALL = 20_000
@@ -53,7 +54,7 @@ def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, small: int
     return pairs.select("query_id", "example_pos", "score").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def mmr(relevance: np.ndarray, alike, k: int, weight: float) -> list[int]:
+def mmr_rows(relevance: np.ndarray, alike_row, k: int, weight: float) -> list[int]:
     """Places of a maximal-marginal-relevance choice: the most relevant, then what is relevant and unlike those chosen."""
     weight = min(1.0, max(0.0, weight))
     chosen: list[int] = []
@@ -63,27 +64,71 @@ def mmr(relevance: np.ndarray, alike, k: int, weight: float) -> list[int]:
         gain[chosen] = -np.inf
         best = int(gain.argmax())
         chosen.append(best)
-        nearest = np.maximum(nearest, [alike(best, j) for j in range(len(relevance))])
+        nearest = np.maximum(nearest, alike_row(best))
     return chosen
 
 
-def mmr_top_k(queries: DataFrame, examples: DataFrame, k: int = 5, weight: float = 0.5, candidates: int = 50, small: int = SMALL) -> DataFrame:
-    """query_id, example_pos, score, rank by maximal marginal relevance among the ``candidates`` most relevant examples."""
-    near = similarity_top_k(queries, examples, candidates, 0.0, small).withColumnRenamed("rank", "_r")
-    near = near.join(examples.select("example_pos", "input"), "example_pos")
-
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_r", kind="stable").reset_index(drop=True)
-        sets = [set(x or "") for x in group["input"]]
-
-        def alike(i: int, j: int) -> float:
-            return len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] and sets[j] else 0.0
-
-        rows = mmr(group["score"].to_numpy(), alike, k, weight)
-        return group.loc[rows, ["query_id", "example_pos", "score"]].assign(rank=np.arange(1, len(rows) + 1, dtype=np.int32))
-
-    kind = near.schema["query_id"].dataType.simpleString(), near.schema["example_pos"].dataType.simpleString()
-    return near.groupBy("query_id").applyInPandas(pick, f"query_id {kind[0]}, example_pos {kind[1]}, score double, rank int")
+def mmr(relevance: np.ndarray, alike, k: int, weight: float) -> list[int]:
+    """mmr_rows() with the likeness of two places."""
+    return mmr_rows(relevance, lambda i: [alike(i, j) for j in range(len(relevance))], k, weight)
+
+
+def _mmr_small(q: DataFrame, e: DataFrame, k: int, weight: float) -> DataFrame:
+    """mmr_top_k() where all examples fit in a task: each character has the places of its examples, so a likeness to all is one count."""
+    rows = sorted(e.collect(), key=lambda r: r["example_pos"])
+    places: dict[str, list[int]] = {}
+    for i, r in enumerate(rows):
+        for c in r["_e"]:
+            places.setdefault(c, []).append(i)
+    sizes = np.array([len(r["_e"]) for r in rows], dtype=np.int64)
+    sent = q.sparkSession.sparkContext.broadcast(([r["example_pos"] for r in rows], [r["_e"] for r in rows], sizes, {c: np.array(x, dtype=np.int32) for c, x in places.items()}))
+
+    def run(batches):
+        pos, sets, sizes, places = sent.value
+
+        def alike(letters) -> np.ndarray:
+            hit = [places[c] for c in letters if c in places]
+            both = np.bincount(np.concatenate(hit), minlength=len(pos)) if hit else np.zeros(len(pos), dtype=np.int64)
+            return both / np.maximum(len(letters) + sizes - both, 1)
+
+        for batch in batches:
+            out = []
+            for key, letters in zip(batch["query_id"], batch["_q"]):
+                score = alike(letters)
+                out += [(key, pos[i], score[i], r) for r, i in enumerate(mmr_rows(score, lambda i: alike(sets[i]), k, weight), 1)]
+            yield pd.DataFrame(out, columns=["query_id", "example_pos", "score", "rank"])
+
+    kind = q.schema["query_id"].dataType.simpleString(), e.schema["example_pos"].dataType.simpleString()
+    return q.mapInPandas(run, f"query_id {kind[0]}, example_pos {kind[1]}, score double, rank int")
+
+
+def mmr_top_k(queries: DataFrame, examples: DataFrame, k: int = 5, weight: float = 0.5, small: int = SMALL) -> DataFrame:
+    """query_id, example_pos, score, rank by maximal marginal relevance among all examples, earlier ones first among equals.
+
+    Up to ``small`` examples are sent to every task. Beyond, there is one round
+    for each rank: every query meets every example that it hasn't chosen, and the
+    best is taken by partial aggregation. Only the choices, at most k for each
+    query, are kept from round to round.
+    """
+    weight = min(1.0, max(0.0, weight))
+    q = queries.where(F.col("query") != "").select("query_id", chars(F.col("query")).alias("_q"))
+    e = examples.select("example_pos", chars(F.col("input")).alias("_e"))
+    if examples.limit(small + 1).count() <= small:
+        return _mmr_small(q, e, k, weight)
+    one = f"struct<example_pos:{e.schema['example_pos'].dataType.simpleString()},score:double,_e:array<string>>"
+    asked = q.withColumn("_chosen", F.array().cast(f"array<{one}>"))
+    for at in range(k):
+        pairs = scored_pairs(asked, e, jaccard(F.col("_q"), F.col("_e")), small)
+        pairs = pairs.where(~F.exists("_chosen", lambda c: c["example_pos"] == F.col("example_pos")))
+        nearest = F.array_max(F.transform("_chosen", lambda c: jaccard(c["_e"], F.col("_e"))))
+        gain = weight * F.col("score") - (1 - weight) * nearest if at else F.col("score")
+        order = F.struct(gain.alias("gain"), (-F.col("example_pos")).alias("early"))
+        best = pairs.groupBy("query_id").agg(F.max_by(F.struct("example_pos", "score", "_e"), order).alias("_new"))
+        more = asked.join(best.hint("merge"), "query_id", "left")
+        asked = more.select("query_id", "_q", F.when(F.col("_new").isNull(), F.col("_chosen")).otherwise(F.array_append("_chosen", F.col("_new").cast(one))).alias("_chosen"))
+        asked = materialise(asked, "chosen")
+    rows = asked.select("query_id", F.posexplode("_chosen").alias("at", "c"))
+    return rows.select("query_id", "c.example_pos", "c.score", (F.col("at") + 1).alias("rank"))
 
 
 SELECTORS = {"similarity": similarity_top_k, "diversity": mmr_top_k}

@@ -141,6 +141,32 @@ def test_mmr(spark):
     assert sorted((r["rank"], r.example_pos) for r in rows) == [(1, 0), (2, 2)]
 
 
+def test_mmr_looks_at_every_example(spark):
+    import random
+
+    rng = random.Random(4)
+    texts = ["".join(rng.sample("abcdefghijklmnop", rng.randint(1, 9))) for _ in range(120)] + ["", None]
+    asks = [(i, "".join(rng.sample("abcdefghijklmnop", 8))) for i in range(12)]
+
+    def alike(a, b):
+        a, b = set(a or ""), set(b or "")
+        return len(a & b) / len(a | b) if a and b else 0.0
+
+    def plain(query, k):
+        chosen = []
+        while len(chosen) < k:
+            gain = {i: 0.5 * alike(query, x) - 0.5 * max((alike(x, texts[j]) for j in chosen), default=0.0) for i, x in enumerate(texts) if i not in chosen}
+            chosen.append(max(gain, key=lambda i: (gain[i], -i)))
+        return chosen
+
+    q = spark.createDataFrame([*asks, (99, "")], "query_id int, query string")
+    e = spark.createDataFrame(list(enumerate(texts)), "example_pos int, input string")
+    want = {(i, r, x) for i, text in asks for r, x in enumerate(plain(text, 5), 1)}
+    for small in (similarity.SMALL, 50):
+        assert {(r.query_id, r["rank"], r.example_pos) for r in similarity.mmr_top_k(q, e, 5, 0.5, small=small).collect()} == want
+    assert similarity.mmr_top_k(q, e.where("example_pos < 3")).where("query_id = 0").count() == 3
+
+
 def test_rollout(spark):
     c = spark.createDataFrame([("g", i, a, b, d) for i, (a, b, d) in enumerate([(0.9, 0.01, 100.0), (0.8, 0.02, 200.0), (0.95, 0.04, 50.0), (0.9, 0.01, 100.0)])], "g string, pos int, accuracy double, cost double, latency double")
     assert sorted(r.pos for r in rollout.pareto_front(c, ["g"]).collect()) == [0, 2, 3]
