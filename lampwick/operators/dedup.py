@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -50,21 +50,23 @@ def global_id_dedup(pages: DataFrame, middle: bool = True) -> DataFrame:
     return _out(df, F.col("_kept"), why)
 
 
-def sliding_window_dedup(pages: DataFrame, window: int = DEFAULT_WINDOW) -> DataFrame:
+def sliding_window_dedup(pages: DataFrame, window: int | Column = DEFAULT_WINDOW) -> DataFrame:
     """Drops a page if a kept page with its first id is at most ``window`` frames before it.
 
     Ids don't meet each other, so each is folded by itself over its frames in
     order: only the last kept frame matters. Frames without an index (-1) never
-    conflict. The fold holds the frames of one id of one video.
+    conflict. The fold holds the frames of one id of one video. ``window`` may be
+    a column; pages with different windows don't meet.
     """
-    window = window if window > 0 else DEFAULT_WINDOW
+    window = F.lit(window) if isinstance(window, int) else window
+    pages = pages.withColumn("_window", F.when(window > 0, window).otherwise(DEFAULT_WINDOW))
     row = F.struct("frame_index", "pos", "image_path")
-    groups = _first_id(pages).groupBy(*PART, "_id").agg(F.array_sort(F.collect_list(row)).alias("frames"))
+    groups = _first_id(pages).groupBy(*PART, "_id", "_window").agg(F.array_sort(F.collect_list(row)).alias("frames"))
     start = F.struct(F.lit(None).cast("int").alias("last"), F.array().cast("array<boolean>").alias("kept"))
 
     def step(acc, f):
         i = f["frame_index"].cast("int")
-        keep = acc["last"].isNull() | (i < 0) | (i - acc["last"] > window) | (i == acc["last"])
+        keep = acc["last"].isNull() | (i < 0) | (i - acc["last"] > F.col("_window")) | (i == acc["last"])
         return F.struct(F.when(keep & (i >= 0), i).otherwise(acc["last"]).alias("last"), F.array_append(acc["kept"], keep).alias("kept"))
 
     folded = groups.withColumn("_kept", F.aggregate("frames", start, step)["kept"])
@@ -123,17 +125,17 @@ STRATEGIES: dict[str, Callable[..., DataFrame]] = {
 }
 
 
-def register_dedup(name: str, strategy: Callable[[DataFrame, int], DataFrame]) -> None:
+def register_dedup(name: str, strategy: Callable[[DataFrame, int | Column], DataFrame]) -> None:
     STRATEGIES[name] = strategy
 
 
-def dedup_dispatch(pages: DataFrame, rules: DataFrame, windows: tuple[int, ...] = (DEFAULT_WINDOW,)) -> DataFrame:
+def dedup_dispatch(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """Each page type by the strategy of its rule; types without a rule go.
 
     rules: page_type, dedup_strategy, dedup_rule, window_size (text, used where
     it is a number). The strategy name comes first, then the rule; any other name
-    (General_dedup too) and none mean the global one. ``windows`` lists the
-    sizes that rules may name: each gives one branch of the plan.
+    (General_dedup too) and none mean the global one. Sliding windows of all sizes
+    go through one branch, which gets the size as a column.
     """
     name = F.coalesce(F.nullif(F.trim("dedup_strategy"), F.lit("")), F.nullif(F.trim("dedup_rule"), F.lit("")))
     size = F.col("window_size").try_cast("int")
@@ -142,9 +144,11 @@ def dedup_dispatch(pages: DataFrame, rules: DataFrame, windows: tuple[int, ...]
     out = df.where("_how IS NULL").withColumns({"action": F.lit("removed"), "reason": F.lit("no rule")}).select(*OUT)
     for how, run in STRATEGIES.items():
         mine = df.where(F.col("_how") == how)
-        for w in windows if how == "SlidingWindow_dedup" else (DEFAULT_WINDOW,):
-            part = mine.where(F.col("_window") == w) if how == "SlidingWindow_dedup" else mine
-            out = out.unionByName(run(part.select(*pages.columns), w))
+        if how == "SlidingWindow_dedup":
+            done = run(mine.select(*pages.columns, "_window"), F.col("_window"))
+        else:
+            done = run(mine.select(*pages.columns), DEFAULT_WINDOW)
+        out = out.unionByName(done)
     return out
 
 

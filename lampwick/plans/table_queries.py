@@ -624,7 +624,7 @@ def _dispatch_rules(t):
 
 @query()
 def dedup_dispatch(t):
-    return dedup.dedup_dispatch(fx.dedup_input(t), _dispatch_rules(t), (3, dedup.DEFAULT_WINDOW))
+    return dedup.dedup_dispatch(fx.dedup_input(t), _dispatch_rules(t))
 
 
 _SUMMARY = f"""{fx.DEDUP}, {_GLOBAL}, total AS (SELECT video_key, page_type, count(*) AS total FROM dedup_input GROUP BY ALL), done AS (SELECT video_key, page_type, count_if(action = 'kept') AS kept, count_if(action = 'removed') AS removed FROM global_out GROUP BY ALL),
@@ -663,7 +663,7 @@ def page_pipeline(t):
     found = found.withColumn("unique_ids", ids.page_ids(F.col("ocr_text"), "RegStrategy", [r"([A-Z][a-z]+)\b"]))
     rows = found.select("video_key", "page_type", "image_path", "pos", "frame_index", F.transform("unique_ids", lambda x: F.substring(x, 1, 12)).alias("unique_ids"))
     rows = materialise(rows, "pages")  # each strategy reads them; texts are read and classified once
-    done = dedup.dedup_dispatch(rows, rules_.where("page_type <> 'unknown'"), (40, dedup.DEFAULT_WINDOW))
+    done = dedup.dedup_dispatch(rows, rules_.where("page_type <> 'unknown'"))
     return done.where("action = 'kept'").orderBy("video_key", "image_path")
 
 

@@ -90,3 +90,14 @@ def test_dispatch(spark):
     for r in rows:
         parts[r["video"], r["type"]].append(r)
     assert cover == {(v, k, p) for (v, k), own in parts.items() for p in plain_cover(own)}
+
+
+def test_dispatch_takes_any_window_size(spark):
+    rows = [("v", kind, f"{kind}{i}", i, i, ["x"]) for kind in ("a", "b", "c") for i in range(0, 400, 5)]
+    pages = spark.createDataFrame(rows, "video_key string, page_type string, image_path string, pos long, frame_index int, unique_ids array<string>")
+    rules = spark.createDataFrame([("a", "SlidingWindow_dedup", None, "17"), ("b", "SlidingWindow_dedup", None, "42"), ("c", "SlidingWindow_dedup", None, "no")], "page_type string, dedup_strategy string, dedup_rule string, window_size string")
+    done = dedup.dedup_dispatch(pages, rules).collect()
+    assert len(done) == len(rows)
+    for kind, window in (("a", 17), ("b", 42), ("c", 100)):
+        own = [{"path": p, "pos": i, "frame": f, "ids": ids} for _, k, p, i, f, ids in rows if k == kind]
+        assert {r.image_path for r in done if r.page_type == kind and r.action == "kept"} == plain_sliding(own, window)
