@@ -12,11 +12,12 @@ from pyspark.sql import types as T
 from .common import pieces
 
 #: By least bytes of the text: ratio of compressed to whole bytes, least and most. Short texts carry the frame's own bytes.
-BANDS = ((0, 0.0, 99.0), (32, 0.35, 1.6), (64, 0.35, 1.45), (128, 0.33, 1.2), (256, 0.3, 1.05), (512, 0.28, 0.95), (1024, 0.25, 0.9), (4096, 0.22, 0.85), (16384, 0.2, 0.8))
+#: From 256 bytes the most lies between prose and base64, from 4 KB between prose and random words; below, prose and base64 overlap.
+BANDS = ((0, 0.0, 99.0), (32, 0.35, 1.6), (64, 0.35, 1.45), (128, 0.33, 1.2), (256, 0.3, 0.82), (512, 0.28, 0.77), (1024, 0.25, 0.7), (4096, 0.22, 0.57), (16384, 0.2, 0.55))
 #: The same for one whole chunk.
-CHUNK, CHUNK_LEAST, CHUNK_MOST = 4096, 0.2, 0.85
+CHUNK, CHUNK_LEAST, CHUNK_MOST = 4096, 0.2, 0.65
 #: A text is rejected when over this part of its chunks lies outside their band.
-BAD_CHUNKS = 0.34
+BAD_CHUNKS = 0.2
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 

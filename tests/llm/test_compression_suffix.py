@@ -1,3 +1,4 @@
+from base64 import b64encode
 from collections import Counter
 from math import log10
 
@@ -45,6 +46,22 @@ def test_verdicts(sample, spark):
     assert compression.judge(mixed)[6] is False
 
 
+def test_noise_is_rejected_and_prose_kept(sample):
+    rng = np.random.default_rng(6)
+    base64 = " ".join(b64encode(rng.bytes(int(n))).decode() for n in rng.integers(3, 10, 8000))
+    words = " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(n))) for n in rng.integers(3, 10, 8000))
+    for n in (300, 500, 520, 1000, 1030, 4000, 4200, 16000, 16500, 40000):
+        assert compression.judge(base64[:n])[-1] == "incompressible", n
+    for n in (4200, 16000, 16500, 40000):
+        assert compression.judge(words[:n])[-1] in ("incompressible", "chunks"), n
+    rows = sample.collect()
+    prose = max((r.text for r in rows), key=len)[:16384]
+    assert compression.judge(prose)[-1] is None and compression.judge(prose + "\n" + base64[:8192])[-1] is not None
+    clean = [r for r in rows if not compression.base_rules(r.text)[-1]]
+    assert len({r.lang for r in clean}) == 4
+    assert not [r.doc_id for r in clean if compression.judge(r.text)[-1] in ("incompressible", "chunks")]
+
+
 def test_chunks_cover_the_text():
     data = bytes(range(256)) * 70
     whole, bad = compression.compression(data)
