@@ -1,244 +1,383 @@
-"""Language-model scoring by a probabilistic suffix tree over bytes.
-
-A text is its words with A-Z lowered, a space between two, and a line feed at
-the end; white space inside is gone, so the symbols are the UTF-8 bytes. Five
-line feeds stand before each text as context. The tree holds contexts of up to
-DEPTH bytes: a longer one is retained where its next-symbol distribution
-diverges from that of its suffix, and a byte is scored in the longest suffix of
-what precedes it that was retained.
-
-Windows of DEPTH + 1 bytes fit a 64-bit integer, so numpy counts and scores
-whole blocks of text by their distinct windows. Counts are summed by Spark.
-What is kept of them is bounded at any size of the corpus: a context has at
-least CONTEXT_SHARE of all windows and a next symbol at least SYMBOL_SHARE, so
-there are at most 1 / SYMBOL_SHARE entries for each length.
+"""Language-model scoring by a probabilistic suffix tree over words.
+
+Tokens are words with A-Z lowered, and one end after each text. The root of the
+tree gives each token (c + 1) / (N + V + 1). A context, the last one to DEPTH
+words, is retained where it predicts what follows it better than its suffix
+does: over its occurrences, the sum of the log ratio of both probabilities, each
+taken without the occurrence itself (so that chance repeats don't count), is at
+least DIVERGENCE. Its next-token distribution is smoothed by that of its suffix:
+tokens seen LEAST times or more have their counts, all others share the rest, in
+which PRIOR and the rarer ones go. A token is scored in the longest retained
+context before it; the suffix of a context is its longest retained one.
+
+Everything is counted over all training texts and lies in Spark tables keyed by
+64-bit hashes of words, contexts and windows (context and token), so the tree
+grows with the corpus. Logarithms telescope: a token's score is the sum of the
+values of its own key, of the retained contexts before it and of its windows
+that these remember, so scoring is one join of keys with the table of values.
+Two things of bounded size are sent to every task to keep rows out of that join,
+and change no result: the values of keys with at least HEAD_SHARE of all tokens,
+and a bit filter that tells most absent keys.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from math import log10
+from functools import reduce
+from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, materialise, pieces, words_of
+from .common import crc_mod, discard, materialise_at, words_of
 
-DEPTH = 5
-CONTEXT_SHARE, SYMBOL_SHARE = 1e-5, 1e-6
-#: A context stays if its count times the Kullback-Leibler divergence (nats) from its suffix is at least this.
-DIVERGENCE = 12.0
+DEPTH = 3
+#: A context remembers tokens that follow it so many times or more.
+LEAST = 2
 #: Weight of the suffix's distribution in a context's own.
 PRIOR = 4.0
-#: A word with at least this share of all tokens has its counts sent to every task: at most 1 / HEAD_SHARE words.
-HEAD_SHARE = 2.5e-6
-END = b"\n"
+#: Nats by which a context must predict better than its suffix.
+DIVERGENCE = 6.0
+#: A key with this share of all tokens or more is sent to every task: at most 1 / HEAD_SHARE of them for each kind.
+HEAD_SHARE = 1e-6
+#: The bit filter has at most 2 ** FILTER_BITS words of 64 bits.
+FILTER_BITS = 21
+#: Texts of so many bytes, or one text, are held by a task at a time.
+PART_BYTES = 8 << 20
+START, END = b"\n", b" "  # no word holds white space
+BACK = 0x5851F42D4C957F2D  # tells the key of a context's rest from the key of a word
+
+U = np.uint64
+
+
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of two, in this order."""
+    x = a * U(0x9E3779B97F4A7C15) + b
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
+
+
+class _Numbers(dict):
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+class Vocabulary:
+    """The words that a task has met: their numbers and hashes. It begins anew beyond ``most``, so it stays small."""
+
+    def __init__(self, most: int = 1_000_000):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers, self.hashes = _Numbers(), np.zeros(0, dtype=U)
+
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words' hashes by number; numbers of all tokens, DEPTH starts before each text; and each text's number of tokens."""
+        if len(self.numbers) > self.most:
+            self.clear()
+        get = self.numbers.__getitem__
+        pad = [get(START)] * DEPTH
+        end = get(END)
+        rows, sizes = [], []
+        for text in texts:
+            words = words_of(text)
+            rows.append(np.fromiter((*pad, *map(get, words), end), dtype=np.int32, count=DEPTH + len(words) + 1))
+            sizes.append(len(words) + 1)
+        new = list(islice(self.numbers, len(self.hashes), None))
+        fresh = np.fromiter((xxhash.xxh64_intdigest(w) for w in new), dtype=U, count=len(new))
+        self.hashes = np.concatenate([self.hashes, mixed(np.zeros(len(new), dtype=U), fresh)])
+        return self.hashes, np.concatenate(rows) if rows else np.zeros(0, dtype=np.int32), np.array(sizes, dtype=np.int64)
+
+
+class Filter:
+    """Bits of a set of keys: a key of the set always passes, few others do while there is room."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.shift, self.empty = bits, U(64 - (len(bits).bit_length() - 1)), not bits.any()
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        mask = (U(1) << (keys & U(63))) | (U(1) << ((keys >> U(6)) & U(63)))
+        return (self.bits[keys >> self.shift] & mask) == mask
+
+
+def filter_of(keys: DataFrame) -> Filter:
+    """Built by Spark; what reaches the driver has at most 2 ** FILTER_BITS rows at any number of keys."""
+    bits = min(FILTER_BITS, max(6, keys.count().bit_length()))
+    one, key = F.lit(1).cast("long"), F.col("key")
+    bit = lambda by: F.call_function("shiftleft", one, F.shiftright(key, by).bitwiseAND(F.lit(63)).cast("int"))
+    slots = keys.groupBy(F.shiftrightunsigned(key, 64 - bits).alias("slot")).agg(F.bit_or(bit(0).bitwiseOR(bit(6))).alias("word")).toPandas()
+    out = np.zeros(1 << bits, dtype=np.int64)
+    out[slots["slot"].to_numpy()] = slots["word"].to_numpy()
+    return Filter(out.view(U))
+
+
+def parts(batches, text: int):
+    """Slices of Arrow batches of up to PART_BYTES of text each, or one row."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        at, held = 0, 0
+        for i, n in enumerate(size.tolist()):
+            if held and held + n > PART_BYTES:
+                yield batch.slice(at, i - at)
+                at, held = i, 0
+            held += n
+        if at < batch.num_rows:
+            yield batch.slice(at)
+
+
+class Places:
+    """The tokens of some texts, each with those before it; no context reaches further back than one start."""
+
+    def __init__(self, hashes: np.ndarray, numbers: np.ndarray, sizes: np.ndarray):
+        first = np.cumsum(sizes + DEPTH) - sizes
+        self.owner = np.repeat(np.arange(len(sizes)), sizes)
+        self.place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.at = self.place + np.repeat(first, sizes)
+        self.numbers = numbers[self.at]
+        self.hash = hashes[numbers]
+        self.token = self.hash[self.at]
+
+    def context(self, which: np.ndarray, length: int) -> np.ndarray:
+        """Keys of the last ``length`` words before some tokens."""
+        at = self.at[which]
+        out = self.hash[at - 1]
+        for back in range(2, length + 1):
+            out = mixed(out, self.hash[at - back])
+        return out
+
+    def window(self, which: np.ndarray, context: np.ndarray | None) -> np.ndarray:
+        """Keys of context and token; of the token alone without a context."""
+        token = self.token[which]
+        return token if context is None else mixed(~context, token)
+
+    def open(self, length: int, repeated: Filter | None) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens whose window with ``length`` words may repeat, and the keys of all tokens' windows one word shorter.
+
+        A window repeats only where both windows in it do that are one word shorter.
+        """
+        if length == 1:
+            return np.arange(len(self.token)), self.token
+        every = np.nonzero(self.place >= length - 2)[0]
+        low = np.zeros(len(self.token), dtype=U)
+        low[every] = self.window(every, self.context(every, length - 1))
+        held = np.zeros(len(self.token), dtype=bool)
+        held[every] = repeated(low[every])
+        return np.nonzero((self.place >= length - 1) & held & np.roll(held, 1))[0], low
+
+
+COUNTED = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
+NAMED = pa.schema([("key", pa.int64()), ("context", pa.int64()), ("low", pa.int64()), ("top", pa.int64())])
+
+
+def _longs(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+def _counter(length: int, sent):
+    """Counts of windows of ``length`` words and a token that may repeat (kind 1); with one word, of tokens and starts too (kind 0)."""
 
+    def run(batches):
+        vocabulary, repeated = Vocabulary(), sent.value
+        for part in parts(batches, 0):
+            hashes, numbers, sizes = vocabulary.read(part.column(0).to_pylist())
+            places = Places(hashes, numbers, sizes)
+            alive, _ = places.open(length, repeated)
+            kinds = [(1, places.window(alive, places.context(alive, length)))]
+            if length == 1:
+                kinds.append((0, np.concatenate([places.token, np.full(len(sizes), hashes[0], dtype=U)])))
+            for kind, keys in kinds:
+                distinct, n = np.unique(keys, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, dtype=np.int32)), _longs(distinct), pa.array(n)], schema=COUNTED)
 
-def symbols(words: list[bytes]) -> bytes:
-    return b" ".join(words) + END
+    return run
 
 
-def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """One window (DEPTH context bytes and the symbol, in a uint64) per symbol, and where each text starts among them."""
-    pad = END * DEPTH
-    data = np.frombuffer(pad + pad.join(texts), dtype=np.uint8)
-    lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    own = np.ones(len(data), dtype=bool)
-    for i in range(DEPTH):
-        own[starts + np.arange(len(texts)) * DEPTH + i] = False
-    window = np.zeros(len(data), dtype=np.uint64)
-    for i in range(DEPTH + 1):
-        window[i:] |= data[: len(data) - i].astype(np.uint64) << np.uint64(8 * i)
-    return window[own], starts
+def _namer(length: int, sent):
+    """Of the windows that repeat, the context, and the windows in it that are one word shorter: its later part and its earlier one."""
 
+    def run(batches):
+        vocabulary, (shorter, repeated) = Vocabulary(), sent.value
+        for part in parts(batches, 0):
+            places = Places(*vocabulary.read(part.column(0).to_pylist()))
+            alive, low = places.open(length, shorter)
+            context = places.context(alive, length)
+            key, first = np.unique(places.window(alive, context), return_index=True)
+            held = repeated(key)
+            key, first = key[held], first[held]
+            top = context[first] if length == 1 else low[alive[first] - 1]
+            yield pa.RecordBatch.from_arrays([_longs(key), _longs(context[first]), _longs(low[alive[first]]), _longs(top)], schema=NAMED)
 
-def tally(window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    codes, distinct = pd.factorize(window)
-    return distinct, np.bincount(codes, minlength=len(distinct))
+    return run
 
 
-@dataclass
-class Tree:
-    """Retained contexts by length: sorted keys, totals; and their entries: sorted keys of context and symbol, counts."""
+class Model:
+    """The tree as a table: key, kind (0 token, 1 window, 2 rest of a context), n, value (log10); with N and V.
 
-    base: np.ndarray
-    contexts: list[tuple[np.ndarray, np.ndarray]]
-    entries: list[tuple[np.ndarray, np.ndarray]]
+    The value of a token is log10(c + 1); of a window its gain over the share of
+    its context's rest that it would have had; of a context its rest.
+    """
 
-    @staticmethod
-    def at(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
-        if not len(keys):
-            return np.zeros(len(asked))
-        i = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-        return np.where(keys[i] == asked, values[i], 0.0)
-
-    def probability(self, window: np.ndarray, depth: int | None = None) -> np.ndarray:
-        """Of the last byte of each window in its longest retained context of up to ``depth`` bytes."""
-        p = self.base[(window & np.uint64(255)).astype(np.int64)]
-        alive = np.arange(len(window))
-        for length in range(1, (len(self.contexts) if depth is None else depth) + 1):
-            w = window[alive] & np.uint64((1 << 8 * (length + 1)) - 1)
-            total = self.at(*self.contexts[length - 1], w >> np.uint64(8))
-            held = total > 0
-            alive, w, total = alive[held], w[held], total[held]
-            if not len(alive):
+    def __init__(self, docs: DataFrame, train: Column, depth: int = DEPTH):
+        self.spark = docs.sparkSession
+        self.texts = docs.where(train).select("text")
+        repeated, shorter, totals, parts_of = None, None, None, []
+        for length in range(1, depth + 1):
+            counts, counts_at = self._counts(length, repeated)
+            if length == 1:
+                start = mixed(np.zeros(1, dtype=U), np.array([xxhash.xxh64_intdigest(START)], dtype=U)).view(np.int64)[0]
+                totals = counts.where("kind = 0").select(F.col("key").alias("top"), F.col("n").alias("total"))
+                tokens = counts.where((F.col("kind") == 0) & (F.col("key") != F.lit(int(start))))
+                self.n, self.v = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long"), F.count("*")).first()
+                parts_of.append(tokens.select("key", F.lit(0).alias("kind"), "n", F.log10(F.col("n") + 1.0).alias("value")))
+                shorter = tokens.select(F.col("key").alias("low"), F.log((F.col("n") + 1.0) / (self.n + self.v + 1.0)).alias("lp"))
+            own = counts.where("kind = 1").select("key", "n")
+            windows, windows_at, repeated = self._windows(length, own, repeated, totals, shorter)
+            contexts, _ = materialise_at(self._retained(windows), "contexts")
+            p, n = F.exp("lp"), F.col("n")
+            grown = windows.join(contexts.select("context", "whole", "rest").hint("merge"), "context", "left")
+            grown = grown.select("key", "n", F.coalesce(F.log((n + F.col("rest") * p) / (F.col("whole") + PRIOR)), F.col("lp")).alias("lp"), F.log10(1.0 + n / (F.col("rest") * p)).alias("value"))
+            grown, _ = materialise_at(grown, "windows")
+            discard(self.spark, windows_at)
+            parts_of.append(grown.where("value IS NOT NULL").select("key", F.lit(1).alias("kind"), "n", "value"))
+            parts_of.append(contexts.select(F.col("context").bitwiseXOR(F.lit(BACK)).alias("key"), F.lit(2).alias("kind"), F.col("whole").alias("n"), F.log10(F.col("rest") / (F.col("whole") + PRIOR)).alias("value")))
+            if repeated.empty:
                 break
-            kept = self.kept[length - 1]
-            own = self.at(*self.entries[length - 1], w)
-            left = total - self.at(*kept, w >> np.uint64(8)) + PRIOR
-            p[alive] = (own + left * p[alive]) / (total + PRIOR)
-        return p
+            totals = own.select(F.col("key").alias("top"), F.col("n").alias("total"))
+            shorter = grown.select(F.col("key").alias("low"), "lp")
+        self.values = reduce(DataFrame.unionByName, parts_of)
+
+    def _counts(self, length: int, repeated: Filter | None) -> tuple[DataFrame, str]:
+        """Tokens, and windows met LEAST times. Tasks have summed their own, so rows go to their key as they are."""
+        counted = self.texts.mapInArrow(_counter(length, self.spark.sparkContext.broadcast(repeated)), "kind int, key long, n long")
+        summed = counted.repartition("key").groupBy("key", "kind").agg(F.sum("n").alias("n"))
+        return materialise_at(summed.where((F.col("kind") == 0) | (F.col("n") >= LEAST)), "counts")
+
+    def _windows(self, length: int, own: DataFrame, shorter: Filter | None, totals: DataFrame, low: DataFrame) -> tuple[DataFrame, str, Filter]:
+        """key, context, n, total (of the context), lp (log probability in the longest retained suffix) of the windows that repeat."""
+        repeated = filter_of(own)
+        sent = self.spark.sparkContext.broadcast((shorter, repeated))
+        named = self.texts.mapInArrow(_namer(length, sent), "key long, context long, low long, top long")
+        named = named.repartition("key").groupBy("key").agg(*(F.min(c).alias(c) for c in ("context", "low", "top")))
+        df = named.join(own.hint("merge"), "key").join(totals.hint("merge"), "top").join(low.hint("merge"), "low")
+        return *materialise_at(df.select("key", "context", "n", "total", "lp"), "named"), repeated
 
-    def __post_init__(self):
-        self.kept = []
-        for (contexts, _), (keys, counts) in zip(self.contexts, self.entries):
-            owner = np.searchsorted(contexts, keys >> np.uint64(8))
-            self.kept.append((contexts, np.bincount(owner, counts, len(contexts)) if len(contexts) else np.zeros(0)))
+    @staticmethod
+    def _retained(windows: DataFrame) -> DataFrame:
+        n, lp, whole = F.col("n"), F.col("lp"), F.col("whole")
+        one = n * (F.log(n - 1.0 + PRIOR * F.exp(lp)) - lp)
+        sums = windows.groupBy("context").agg(F.max("total").alias("whole"), F.sum("n").alias("seen"), F.sum(one).alias("part"))
+        alone = whole - F.col("seen")
+        # a token seen once has no count left without itself, so its ratio is PRIOR to what is left of the context
+        gain = F.col("part") + alone * F.log(F.lit(PRIOR)) - whole * F.log(whole - 1.0 + PRIOR)
+        return sums.withColumns({"rest": alone + PRIOR, "gain": gain}).where(F.col("gain") >= DIVERGENCE)
+
+    def send(self) -> None:
+        """What scoring tasks get: the filter, and the head's keys, values and which of them are tokens."""
+        values = self.values
+        head = values.where(F.col("n") >= max(1.0, HEAD_SHARE * self.n)).select("key", "value").toPandas()
+        keys = head["key"].to_numpy().view(U) if len(head) else np.zeros(0, dtype=U)
+        order = np.argsort(keys)
+        self.sent = self.spark.sparkContext.broadcast((filter_of(values), keys[order], head["value"].to_numpy(dtype=np.float64)[order]))
+        self.tail = values.where(F.col("n") < max(1.0, HEAD_SHARE * self.n)).select("key", "kind", "value")
 
 
-def grow(entries: pd.DataFrame, totals: pd.DataFrame) -> Tree:
-    """The tree from entries (length, key, n: context and symbol) and totals (length, key, n: context).
+def _sums(owner: np.ndarray, values: np.ndarray | None, n: int) -> np.ndarray:
+    return np.bincount(owner, values, n)
 
-    Lengths are tried in order, and a context is tried only where its suffix was
-    retained, so the retained ones are closed under suffixes.
-    """
-    pick = lambda df, length: (df["key"].to_numpy()[df["length"].to_numpy() == length].astype(np.uint64), df["n"].to_numpy()[df["length"].to_numpy() == length].astype(np.float64))
-    base = np.ones(256)
-    keys, counts = pick(entries, 0)
-    base[keys.astype(np.int64)] += counts
-    tree = Tree(base / base.sum(), [], [])
-    for length in range(1, DEPTH + 1):
-        contexts, total = pick(totals, length)
-        order = np.argsort(contexts)
-        contexts, total = contexts[order], total[order]
-        if length > 1:
-            suffix = contexts & np.uint64((1 << 8 * (length - 1)) - 1)
-            known = Tree.at(tree.contexts[-1][0], tree.contexts[-1][1], suffix) > 0
-            contexts, total = contexts[known], total[known]
-        keys, counts = pick(entries, length)
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
-        of = Tree.at(contexts, np.arange(1, len(contexts) + 1, dtype=np.float64), keys >> np.uint64(8)).astype(np.int64) - 1
-        keys, counts, of = keys[of >= 0], counts[of >= 0], of[of >= 0]
-        share = counts / total[of] if len(of) else counts
-        shorter = tree.probability(keys, length - 1)
-        gain = np.bincount(of, counts * np.log(np.maximum(share, 1e-300) / shorter), len(contexts)) if len(contexts) else np.zeros(0)
-        stay = gain >= DIVERGENCE
-        keep = stay[of] if len(of) else np.zeros(0, dtype=bool)
-        tree = Tree(tree.base, [*tree.contexts, (contexts[stay], total[stay])], [*tree.entries, (keys[keep], counts[keep])])
-    return tree
-
-
-def _count(batches):
-    """(kind, word, window, n_all, n_train): kind 0 for words, the empty one being the end; kind 1 for windows of training texts."""
-    schema = pa.schema([("kind", pa.int32()), ("word", pa.binary()), ("win", pa.int64()), ("n_all", pa.int64()), ("n_train", pa.int64())])
-    for part in pieces(batches, 1024):
-        counts: dict[bytes, list[int]] = {}
-        texts = []
-        for text, train in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-            words = words_of(text)
-            step = 1 if train else 0
-            for w in (*words, b""):
-                c = counts.get(w)
-                if c is None:
-                    counts[w] = [1, step]
-                else:
-                    c[0] += 1
-                    c[1] += step
-            if train:
-                texts.append(symbols(words))
-        n = len(counts)
-        both = np.array(list(counts.values()), dtype=np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, dtype=np.int32)), pa.array(list(counts), pa.binary()), pa.array(np.zeros(n, dtype=np.int64)), pa.array(both[:, 0]), pa.array(both[:, 1])], schema=schema)
-        if texts:
-            distinct, times = tally(windows(texts)[0])
-            n = len(distinct)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, dtype=np.int32)), pa.array([b""] * n, pa.binary()), pa.array(distinct.view(np.int64)), pa.array(times), pa.array(times)], schema=schema)
 
+def _scorer(sent, depth: int):
+    """Rows of (doc_id, text, train) to what the head says of them, and the keys that may be in the tail."""
 
-class Model:
-    """What training leaves: the summed counts in a table, N, V, the head words and the tree."""
-
-    def __init__(self, docs: DataFrame, train):
-        spark = docs.sparkSession
-        schema = "kind int, word binary, win long, n_all long, n_train long"
-        counted = docs.select("text", train.alias("train")).mapInArrow(_count, schema)
-        counts = materialise(counted.groupBy("kind", "word", "win").agg(F.sum("n_all").alias("n_all"), F.sum("n_train").alias("n_train")), "counts")
-        self.words = counts.where("kind = 0").select("word", "n_all", "n_train")
-        self.n_all, self.n, self.v = self.words.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long") for c in ("n_all", "n_train")), F.count_if(F.col("n_train") > 0)).first()
-        head = self.words.where(F.col("n_all") >= max(1.0, HEAD_SHARE * self.n_all)).select("word", "n_train").toPandas()
-        self.head = dict(zip(map(bytes, head["word"]), head["n_train"].tolist()))
-        grams = counts.where("kind = 1")
-        mask = lambda c, n: F.col(c).bitwiseAND(F.lit((1 << 8 * n) - 1))
-        total = grams.agg(F.coalesce(F.sum("n_train"), F.lit(0))).first()[0]
-        lengths = F.explode(F.array(*(F.struct(F.lit(i).alias("length"), mask("win", i + 1).alias("key")) for i in range(DEPTH + 1))))
-        summed = grams.select(lengths.alias("e"), "n_train").groupBy("e.length", "e.key").agg(F.sum("n_train").alias("n"))
-        summed = materialise(summed, "grams")
-        entries = summed.where(F.col("n") >= SYMBOL_SHARE * total).toPandas()
-        contexts = summed.groupBy("length", F.shiftright("key", 8).alias("key")).agg(F.sum("n").alias("n")).where((F.col("n") >= CONTEXT_SHARE * total) & (F.col("length") > 0))
-        self.tree = spark.sparkContext.broadcast(grow(entries, contexts.toPandas()))
-        self.sent = spark.sparkContext.broadcast(self.head)
-
-
-def score(docs: DataFrame, train) -> DataFrame:
+    def run(batches):
+        passes, keys, values = sent.value
+        vocabulary = Vocabulary()
+
+        def ask(asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Which keys the head holds, and their values."""
+            if not len(keys):
+                return np.zeros(len(asked), dtype=bool), np.zeros(len(asked))
+            i = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+            return keys[i] == asked, values[i]
+
+        for part in parts(batches, 1):
+            rows = part.num_rows
+            hashes, numbers, sizes = vocabulary.read(part.column(1).to_pylist())
+            places = Places(hashes, numbers, sizes)
+            there = passes(hashes)
+            held, value = ask(hashes)
+            own = places.numbers
+            known = _sums(places.owner[held[own]], None, rows)
+            base = _sums(places.owner, np.where(held, value, 0.0)[own], rows)
+            more = np.zeros(rows)
+            rest = (there & ~held)[own]
+            left = [(places.owner[rest], places.token[rest])]
+            for length in range(1, depth + 1):
+                alive = np.nonzero(places.place >= length - 1)[0]
+                context = places.context(alive, length)
+                back = context ^ U(BACK)
+                seen = passes(back)
+                alive, context, back = alive[seen], context[seen], back[seen]
+                window = places.window(alive, context)
+                fine = passes(window)
+                owner = np.concatenate([places.owner[alive], places.owner[alive[fine]]])
+                asked = np.concatenate([back, window[fine]])
+                held_too, value_too = ask(asked)
+                more += _sums(owner[held_too], value_too[held_too], rows)
+                left.append((owner[~held_too], asked[~held_too]))
+            owner, key = (np.concatenate(x) for x in zip(*left))
+            order = np.lexsort((key, owner))
+            owner, key = owner[order], key[order]
+            new = np.ones(len(key), dtype=bool)
+            new[1:] = (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])
+            first = np.nonzero(new)[0]
+            times = np.diff(np.append(first, len(key)))
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(owner[first], minlength=rows))]).astype(np.int32)
+            tail = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([_longs(key[first]), pa.array(times.astype(np.int64))], ["key", "n"]))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sizes), pa.array(known.astype(np.int64)), pa.array(base), pa.array(more), tail], names=["doc_id", "train", "n_tokens", "head_known", "head_base", "head_more", "tail"])
+
+    return run
+
+
+def score(docs: DataFrame, train: Column, depth: int = DEPTH) -> DataFrame:
     """One row per document: doc_id, train, n_tokens, n_known, train_tokens, base_score, score.
 
-    ``train`` is a boolean Column that says which rows the counts come from.
-    ``score`` is the log10 probability of the text's symbols in the tree;
-    base_score is that of its tokens in a smoothed table of single words, whose
-    counts are joined: words with a share of HEAD_SHARE or more are sent to every
-    task, the others by a shuffle, in which no word can be hot. Null texts count
-    as empty ones: one token, the end. Repeated rows are scored and counted each;
-    other columns are ignored; without training rows the tree is uniform.
+    ``train`` is a boolean Column that says which rows are learnt from; null is
+    no. ``score`` is the log10 probability of the text's tokens in the tree (an
+    unknown one has the root's 1 / (N + V + 1)); base_score is that of the root
+    alone. Null texts count as empty ones: one token, the end. Repeated rows are
+    scored and counted each; other columns are ignored; without training rows
+    every token has probability 1. Memory follows the longest single text.
     """
-    model = Model(docs, train)
-    n, v, head, tree = model.n, model.v, model.sent, model.tree
-    least = float(np.log10(n + 1 * (v + 1)))
-    id_field = docs.schema["doc_id"]
-    tail_type = T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())]))
-    schema = T.StructType([id_field, T.StructField("train", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("head_known", T.LongType()), T.StructField("head_score", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("tail", tail_type)])
-    arrow_tail = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-
-    def run(batches):
-        known_counts, grown = head.value, tree.value
-        for part in pieces(batches, 512):
-            rows, texts = [], []
-            for text in part.column(1).to_pylist():
-                words = words_of(text)
-                texts.append(symbols(words))
-                known, base, tail = 0, 0.0, {}
-                for w in (*words, b""):
-                    c = known_counts.get(w)
-                    if c is None:
-                        tail[w] = tail.get(w, 0) + 1
-                    else:
-                        known += c > 0
-                        base += log10(c + 1)
-                rows.append((len(words) + 1, known, base, [{"word": w, "n": k} for w, k in tail.items()]))
-            window, starts = windows(texts)
-            codes, distinct = pd.factorize(window)
-            sums = np.add.reduceat(np.log10(grown.probability(distinct))[codes], starts)
-            cols = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(sums), pa.array(cols[3], arrow_tail)], names=schema.fieldNames())
-
-    scored = docs.select("doc_id", "text", train.alias("train")).mapInArrow(run, schema)
-    scored = materialise(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.explode("tail").alias("t")).select("row", F.col("t.word").alias("word"), F.col("t.n").alias("n"))
-    counts = model.words.where(F.col("n_all") < max(1.0, HEAD_SHARE * model.n_all)).select("word", "n_train")
-    joined = rare.hint("merge").join(counts, "word")
-    sums = joined.groupBy("row").agg(F.sum(F.when(F.col("n_train") > 0, F.col("n")).otherwise(0)).alias("known"), F.sum(F.col("n") * F.log10(F.col("n_train") + 1)).alias("logs"))
+    train = F.coalesce(train, F.lit(False))
+    model = Model(docs, train, depth)
+    model.send()
+    least = float(np.log10(model.n + model.v + 1.0))
+    item = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType())])
+    fields = [("train", T.BooleanType()), ("n_tokens", T.LongType()), ("head_known", T.LongType()), ("head_base", T.DoubleType()), ("head_more", T.DoubleType()), ("tail", T.ArrayType(item))]
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(n, t) for n, t in fields)])
+    scored = docs.select("doc_id", "text", train.alias("train")).mapInArrow(_scorer(model.sent, depth), schema)
+    scored, _ = materialise_at(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    rare = scored.select("row", F.explode("tail").alias("t")).select("row", F.col("t.key").alias("key"), F.col("t.n").alias("times"))
+    found = rare.hint("merge").join(model.tail, "key")
+    token = F.col("kind") == 0
+    total = lambda c, what: F.sum(F.when(c, what).otherwise(0))
+    sums = found.groupBy("row").agg(total(token, F.col("times")).alias("known"), total(token, F.col("times") * F.col("value")).alias("base"), total(~token, F.col("times") * F.col("value")).alias("more"))
     whole = scored.drop("tail").join(sums.hint("merge"), "row", "left")
-    base = F.col("head_score") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(least)
-    return whole.select("doc_id", "train", "n_tokens", (F.col("head_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    base = F.col("head_base") + F.coalesce("base", F.lit(0.0)) - F.col("n_tokens") * F.lit(least)
+    return whole.select(
+        "doc_id", "train", "n_tokens", (F.col("head_known") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"),
+        base.alias("base_score"), (base + F.col("head_more") + F.coalesce("more", F.lit(0.0))).alias("score"),
+    )
 
 
 def score_held_out(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
-    """score(), learning from the rows whose crc32(doc_id as text) mod folds is not ``held``."""
+    """score(), learning from the rows whose crc32(doc_id as text) mod folds is not ``held``; held_out says which are."""
     out = score(docs, crc_mod("doc_id", folds) != held)
-    return out.withColumn("held_out", ~F.col("train")).drop("train")
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -5,6 +5,7 @@ from math import log10
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from lampwick.llm import compression, suffix_tree
 from lampwick.llm.common import crc_mod
@@ -97,33 +98,84 @@ def test_base_score(spark, sample, monkeypatch):
             assert r.base_score == pytest.approx(want[r.doc_id][3])
 
 
-def test_tree_is_a_distribution_and_learns():
-    texts = [suffix_tree.symbols(b"the cat and the dog".split() * 30), suffix_tree.symbols(b"a bird".split() * 40)]
-    window, _ = suffix_tree.windows(texts)
-    assert len(window) == sum(map(len, texts))
-    import pandas as pd
-
-    distinct, counts = suffix_tree.tally(window)
-    grams = [(length, int(k) & (1 << 8 * (length + 1)) - 1, n) for k, n in zip(distinct, counts) for length in range(6)]
-    entries = pd.DataFrame(grams, columns=["length", "key", "n"]).groupby(["length", "key"], as_index=False)["n"].sum()
-    entries["key"] = entries["key"].astype("int64")
-    totals = entries[entries.length > 0].assign(key=lambda d: d.key.astype("int64") // 256).groupby(["length", "key"], as_index=False)["n"].sum()
-    tree = suffix_tree.grow(entries, totals)
-    assert len(tree.contexts[0][0]) and all(set((k & np.uint64((1 << 8 * i) - 1)).tolist()) <= set(tree.contexts[i - 1][0].tolist()) for i, (k, _) in enumerate(tree.contexts) if i)
-    for context in (b"e cat", b"zzzzz", b"\n\n\n\n\n", b" the "):
-        base = int.from_bytes(context, "big") << 8
-        p = tree.probability(np.array([base | s for s in range(256)], dtype=np.uint64))
-        assert p.sum() == pytest.approx(1.0)
-        assert p.min() > 0
-    good, bad = (np.log10(tree.probability(suffix_tree.windows([suffix_tree.symbols(t.split())])[0])).mean() for t in (b"the cat and a bird", b"tac eht qxv zjk"))
-    assert good > bad + 0.5
-
-
-def test_scores_of_held_out_texts(spark):
+def plain_tree(texts, depth):
+    """The tree in plain Python: the root's counts, and retained contexts (words, the oldest first) with their remembered counts, rest and total."""
+    tokens = [[*(t or "").encode().lower().split(), b""] for t in texts]
+    root = Counter(w for row in tokens for w in row)
+    follow = {}
+    for row in tokens:
+        padded = [None] * depth + row
+        for i in range(depth, len(padded)):
+            for length in range(1, depth + 1):
+                follow.setdefault(tuple(padded[i - length : i]), Counter())[padded[i]] += 1
+    kept = {}
+    for context in sorted(follow, key=len):
+        if len(context) > 1 and context[1] is None:  # no context reaches further back than one start
+            continue
+        seen, total = follow[context], sum(follow[context].values())
+        own = {w: n for w, n in seen.items() if n >= suffix_tree.LEAST}
+        gain = sum(n * (np.log((n - 1 + suffix_tree.PRIOR * p) / (total - 1 + suffix_tree.PRIOR)) - np.log(p)) for w, n in seen.items() for p in [plain_probability(root, kept, context[1:], w)])
+        if own and gain >= suffix_tree.DIVERGENCE:
+            kept[context] = (own, total - sum(own.values()) + suffix_tree.PRIOR, total)
+    return root, kept
+
+
+def plain_probability(root, kept, context, word):
+    while context and context not in kept:
+        context = context[1:]
+    if not context:
+        return (root[word] + 1) / (sum(root.values()) + len(root) + 1)
+    own, rest, total = kept[context]
+    return (own.get(word, 0) + rest * plain_probability(root, kept, context[1:], word)) / (total + suffix_tree.PRIOR)
+
+
+def plain_score(root, kept, text, depth):
+    row = [None] * depth + [*(text or "").encode().lower().split(), b""]
+    return sum(log10(plain_probability(root, kept, tuple(row[i - depth : i]), row[i])) for i in range(depth, len(row)))
+
+
+def test_tree_and_scores_against_plain_python(spark, sample, monkeypatch):
+    rng = np.random.default_rng(3)
+    song = "a b c d e f the bird sings on and on all night long".split()
+    made = [" ".join(song[: int(n)]) + " " + " ".join(rng.choice(["the", "of", "x", "y", "zoo"], int(n))) for n in rng.integers(1, 14, 60)] + ["red q r win", "blue q r lose", "a y r mid", "b x r mid"] * 15
+    rows = [*[(i, t, "a") for i, t in enumerate(made)], (900, None, None), (901, "", None), (902, made[5], None), *[(1000 + r.doc_id, r.text, "b") for r in sample.limit(60).collect()]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    train = F.col("doc_id") % 3 != 0
+    root, kept = plain_tree([t for i, t, _ in rows if i % 3], suffix_tree.DEPTH)
+    assert {len(c) for c in kept} == set(range(1, suffix_tree.DEPTH + 1))
+    for share, bits, part in ((suffix_tree.HEAD_SHARE, 21, 8 << 20), (0.01, 21, 2000), (2.0, 6, 1)):  # the head holds all, some or nothing
+        monkeypatch.setattr(suffix_tree, "HEAD_SHARE", share)
+        monkeypatch.setattr(suffix_tree, "FILTER_BITS", bits)
+        monkeypatch.setattr(suffix_tree, "PART_BYTES", part)
+        got = {r.doc_id: r for r in suffix_tree.score(docs, train).collect()}
+        assert len(got) == len(rows)
+        for i, text, _ in rows:
+            assert got[i].score == pytest.approx(plain_score(root, kept, text, suffix_tree.DEPTH)), i
+
+
+def test_every_state_is_a_distribution():
+    texts = ["the cat and the dog"] * 9 + ["a cat sat"] * 5 + ["the dog sat"]
+    root, kept = plain_tree(texts, 2)
+    assert kept
+    for context in [*kept, (), (b"zzz", b"cat")]:
+        assert sum(plain_probability(root, kept, context, w) for w in [*root, b"unknown"]) == pytest.approx(1.0)
+
+
+def test_held_out_texts_score_above_the_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = suffix_tree.score_held_out(docs).where("held_out").collect()
-    per_symbol = sum(r.score for r in rows) / sum(r.n_tokens for r in rows)
-    assert per_symbol > -6.0  # uniform bytes would give under -15 for a word of six letters
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_copies_score_apart(spark):
+    """A text that the training side holds twice is likelier than one of the same words that it doesn't hold."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choice(words, 60)) for _ in range(80)]
+    rows = [(i, t, True) for i, t in enumerate(texts)] + [(100, texts[0], True), (101, texts[0], False), (102, " ".join(reversed(texts[0].split())), False)]
+    got = {r.doc_id: r for r in suffix_tree.score(spark.createDataFrame(rows, "doc_id long, text string, own boolean"), F.col("own")).collect()}
+    assert got[101].base_score == pytest.approx(got[102].base_score)
+    assert got[101].score > got[102].score + 60
 
 
 def test_suffix_edges(edge_docs, no_docs, edge_rows):
