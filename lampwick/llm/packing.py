@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, md5_int, n_words
@@ -12,14 +12,33 @@ from .ranks import bin_offsets, binned, n_sub_bins, with_rank
 BUCKETS, BUDGET = 16, 16384
 
 
-def grid(length: Column) -> Column:
-    """The length up to 1,024; above, rounded up to its nine leading bits.
+def cheapest(earlier: np.ndarray, before: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each end j the least earlier[i] + (before[j + 1] - before[i]) * lengths[j] over i <= j, and the first i that has it.
 
-    So a histogram has 1,025 bins and 256 more for each doubling, at any number
-    of documents.
+    The first best i never falls as j rises, so the ends in the middle of ranges
+    split both ends and starts: all ranges of one depth are tried at once, with
+    about as many tries as there are lengths.
     """
-    unit = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.length(F.bin(length - 1)) - 9)).cast("long")
-    return F.when(length <= 1024, length).otherwise(F.ceil(length / unit) * unit).cast("long")
+    m = len(lengths)
+    least, start = np.empty(m), np.empty(m, dtype=np.int64)
+    low, high = np.array([0]), np.array([m - 1])  # ends
+    first, last = np.array([0]), np.array([m - 1])  # starts
+    while len(low):
+        middle = (low + high) // 2
+        n = np.minimum(middle, last) - first + 1
+        at = np.cumsum(n) - n
+        i = np.arange(n.sum()) + np.repeat(first - at, n)
+        j = np.repeat(middle, n)
+        cost = earlier[i] + (before[j + 1] - before[i]) * lengths[j]
+        best = np.minimum.reduceat(cost, at)
+        where = np.minimum.reduceat(np.where(cost == np.repeat(best, n), i, m), at)
+        least[middle], start[middle] = best, where
+        left, right = low < middle, middle < high
+        low, high, first, last = (
+            np.concatenate([low[left], middle[right] + 1]), np.concatenate([middle[left] - 1, high[right]]),
+            np.concatenate([first[left], where[right]]), np.concatenate([where[left], last[right]]),
+        )
+    return least, start
 
 
 def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
@@ -37,13 +56,7 @@ def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS)
     cost = before[1:] * lengths
     starts = [np.zeros(m, dtype=np.int64)]
     for _ in range(1, min(buckets, m)):
-        earlier = np.concatenate([[0.0], cost[:-1]])
-        new, start = np.empty(m), np.empty(m, dtype=np.int64)
-        for j in range(m):
-            own = earlier[: j + 1] + (before[j + 1] - before[: j + 1]) * lengths[j]
-            start[j] = own.argmin()
-            new[j] = own[start[j]]
-        cost = new
+        cost, start = cheapest(np.concatenate([[0.0], cost[:-1]]), before, lengths)
         starts.append(start)
     bounds, j = [], m - 1
     for start in reversed(starts):
@@ -62,12 +75,14 @@ def packed(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> Dat
     over the budget, it is a batch by itself and stays whole. Batches fill in
     the order of the bucket's ranks, so all but the last of a bucket are full.
     Repeated rows are separate documents; columns of these names are replaced;
-    no rows give no rows. Only the histogram reaches the driver: see grid().
+    no rows give no rows. Only the histogram reaches the driver: a row for each
+    length that occurs, so no more rows than the longest text has words, whatever
+    the number of documents.
     """
     added = ("n_tokens", "bucket", "batch", "padding", "n_slots")
     names = [c for c in docs.columns if c.lower() not in added]
     docs = docs.select(*names).withColumn("n_tokens", n_words())
-    facts = materialise(docs.groupBy(grid(F.col("n_tokens")).alias("length"), md5_int(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_lw_hash"), F.length(F.bin("n_tokens")).alias("_lw_class")).agg(F.count("*").alias("n")), "lengths")
+    facts = materialise(docs.groupBy(F.col("n_tokens").alias("length"), md5_int(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_lw_hash"), F.length(F.bin("n_tokens")).alias("_lw_class")).agg(F.count("*").alias("n")), "lengths")
     bins = facts.groupBy("length").agg(F.sum("n").alias("n")).orderBy("length").toPandas()
     bounds = best_bounds(bins["length"].to_numpy(), bins["n"].to_numpy(), buckets) or [0]
     rows = int(bins["n"].sum())

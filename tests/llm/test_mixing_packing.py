@@ -94,10 +94,31 @@ def test_bounds_are_the_best():
     assert packing.best_bounds(np.array([]), np.array([])) == []
 
 
-def test_grid_never_falls_below_a_length(spark):
-    df = spark.range(0, 40_000).select(F.col("id").alias("n"), packing.grid(F.col("id")).alias("g"))
-    assert df.where("g < n OR (n <= 1024 AND g <> n) OR g > n * 1.004 + 1").count() == 0
-    assert df.where("n > 1024").select("g").distinct().count() < 1500
+def test_many_lengths_against_every_start():
+    """The split of ranges against the plain recurrence, on histograms too wide to try all cuts."""
+    rng = np.random.default_rng(2)
+    for m, k in ((1, 3), (2, 5), (257, 16), (700, 9)):
+        lengths = np.sort(rng.choice(40_000, m, replace=False))
+        counts = rng.integers(1, 1000, m)
+        before = np.concatenate([[0], np.cumsum(counts)])
+        least = before[1:] * lengths
+        for _ in range(1, min(k, m)):
+            earlier = np.concatenate([[0], least[:-1]])
+            least = np.array([min(earlier[i] + (before[j + 1] - before[i]) * lengths[j] for i in range(j + 1)) for j in range(m)])
+        bounds = packing.best_bounds(lengths, counts, k)
+        assert len(bounds) <= k and padding_of(bounds, lengths.tolist(), counts.tolist()) == least[-1] - (lengths * counts).sum()
+
+
+def test_packing_of_a_table_is_the_best(spark):
+    """The whole operator against all cuts, with lengths far above a thousand words."""
+    rng = random.Random(4)
+    sizes = [rng.choice((0, 3, 40, 900, 1023, 1025, 1026, 1500, 2047, 2049, 5000, 5003)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, "w " * n) for i, n in enumerate(sizes)], "doc_id long, text string")
+    lengths = sorted(set(sizes))
+    rows = packing.packed(docs, buckets=4, budget=10_000).collect()
+    assert sum(r.padding for r in rows) == brute_bounds(lengths, [sizes.count(n) for n in lengths], 4)
+    for r in rows:
+        assert r.bucket == min(b for b in {x.bucket for x in rows} if b >= r.n_tokens) and r.n_slots == max(1, 10_000 // max(1, r.bucket))
 
 
 def test_batches_keep_the_budget(sample):
