@@ -7,14 +7,17 @@ in pii_labels.py and decoded by Viterbi over padded numpy batches.
 
 Only words near a telling one (with a digit, an at sign or a spelled dot) can be
 labelled: elsewhere the label is O by definition of the model, and so a chain
-falls into independent pieces there, and the pieces alone are decoded.
+falls into independent pieces there, and the pieces alone are decoded. That also
+bounds what it can find: personal data in words alone ("four one one one") is
+not looked for.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from functools import lru_cache
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -102,7 +105,6 @@ def shape(word: str, runs: bool) -> str:
     return re.sub(r"[0-9]+", (lambda m: f"9{min(len(m[0]), 20)}") if runs else "9", s)[:24]
 
 
-@lru_cache(maxsize=200_000)
 def own_features(word: str) -> tuple[str, ...]:
     low = word.lower()
     n = len(digits_of(word))
@@ -114,12 +116,15 @@ def own_features(word: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+STEPS = (-2, -1, 1, 2)
+
+
 def features(words: list[str]) -> list[list[str]]:
     own = [own_features(w) for w in words]
     out = []
     for i, f in enumerate(own):
         row = ["one", *f]
-        for step in (-2, -1, 1, 2):
+        for step in STEPS:
             j = i + step
             other = own[j] if 0 <= j < len(own) else ("edge",)
             row += [f"{step}:{x}" for x in other[:4]]
@@ -130,36 +135,86 @@ def features(words: list[str]) -> list[list[str]]:
 class Field:
     """Weights of features by label, and of transitions; a chain begins and ends next to O."""
 
+    #: Words of the padded chains that are decoded at once, and words whose weights a task remembers.
+    CELLS, KNOWN = 1 << 16, 50_000
+
     def __init__(self, index: dict[str, int], emit: np.ndarray, move: np.ndarray):
         self.index, self.emit, self.move = index, emit, move
+        self.known: dict[str, np.ndarray] = {}
+
+    def __getstate__(self):
+        return self.index, self.emit, self.move
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+    def _sum(self, names) -> np.ndarray:
+        found = [k for k in map(self.index.get, names) if k is not None]
+        return self.emit[found].sum(axis=0)
+
+    def weights(self, word: str) -> np.ndarray:
+        """What a word adds to the labels of itself and of its neighbours at -2, -1, 1 and 2 from it: a feature belongs to one word."""
+        held = self.known.get(word)
+        if held is None:
+            own = own_features(word)
+            held = np.array([self._sum(("one", *own)), *(self._sum(f"{step}:{x}" for x in own[:4]) for step in STEPS)])
+            if len(word) <= 64 and len(self.known) < self.KNOWN:
+                self.known[word] = held
+        return held
 
     def scores(self, words: list[str]) -> np.ndarray:
-        index, emit = self.index, self.emit
-        return np.array([emit[[k for k in map(index.get, row) if k is not None]].sum(axis=0) for row in features(words)])
+        return self._scores([words])
+
+    def _scores(self, chains: list[list[str]]) -> np.ndarray:
+        """The labels' scores of all words of the chains, one after the other."""
+        lengths = np.array(list(map(len, chains)))
+        number: dict[str, int] = {}
+        n = int(lengths.sum())
+        at = np.fromiter((number.setdefault(w, len(number)) for c in chains for w in c), dtype=np.int64, count=n)
+        own = np.array([self.weights(w) for w in number])
+        place = np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        after = np.repeat(lengths, lengths) - 1 - place
+        out = own[at, 0]
+        for k, step in enumerate(STEPS, 1):
+            inside = np.nonzero(place >= -step if step < 0 else after >= step)[0]
+            edge = self._sum([f"{step}:edge"])
+            out += edge
+            out[inside] += own[at[inside + step], k] - edge
+        return out
 
     def decode(self, chains: list[list[str]]) -> list[list[int]]:
-        """Viterbi for all chains at once, padded to the longest; padding repeats the last state."""
-        if not chains:
-            return []
-        longest = max(map(len, chains))
+        """Viterbi over batches of chains of like length, each padded to its longest, CELLS words in all or one chain."""
+        out: list[list[int]] = [[] for _ in chains]
+        order = sorted((i for i in range(len(chains)) if chains[i]), key=lambda i: len(chains[i]), reverse=True)
+        while order:
+            longest = len(chains[order[0]])
+            now, order = order[: max(1, self.CELLS // longest)], order[max(1, self.CELLS // longest) :]
+            for i, labels in zip(now, self._batch([chains[i] for i in now], longest)):
+                out[i] = labels
+        return out
+
+    def _batch(self, chains: list[list[str]], longest: int) -> list[list[int]]:
+        """Padding repeats the last state."""
         n, size = len(chains), len(LABELS)
-        score = np.zeros((n, longest, size))
-        for i, chain in enumerate(chains):
-            score[i, : len(chain)] = self.scores(chain)
         lengths = np.array(list(map(len, chains)))
-        best = self.move[0] + score[:, 0]
-        back = np.tile(np.arange(size), (longest, n, 1))
+        score = np.zeros((longest, n, size))
+        row = np.repeat(np.arange(n), lengths)
+        score[np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths), row] = self._scores(chains)
+        best = self.move[0] + score[0]
+        back = np.empty((longest, n, size), dtype=np.int8)
+        stay = np.arange(size, dtype=np.int8)
         for t in range(1, longest):
             ways = best[:, :, None] + self.move[None]
-            step = ways.argmax(axis=1)
-            live = lengths > t
-            back[t, live] = step[live]
-            best = np.where(live[:, None], ways.max(axis=1) + score[:, t], best)
+            live = (lengths > t)[:, None]
+            back[t] = np.where(live, ways.argmax(axis=1), stay)
+            best = np.where(live, ways.max(axis=1) + score[t], best)
         state = (best + self.move[:, 0]).argmax(axis=1)
-        out = np.zeros((n, longest), dtype=np.int64)
-        for t in range(longest - 1, -1, -1):
+        out = np.zeros((n, longest), dtype=np.int8)
+        rows = np.arange(n)
+        for t in range(longest - 1, 0, -1):
             out[:, t] = state
-            state = np.take_along_axis(back[t], state[:, None], axis=1)[:, 0]
+            state = back[t, rows, state]
+        out[:, 0] = state
         return [row[:k].tolist() for row, k in zip(out, lengths)]
 
 
@@ -234,47 +289,56 @@ def train(rows: tuple[str, ...] = LABELLED, copies: int = 2, epochs: int = 25, r
 
 
 def chains_of(text: str) -> list[list[tuple[str, int, int]]]:
-    """Pieces of lines in which a label is possible: up to NEAR words on each side of telling words; (word, start, end)."""
+    """Pieces of lines in which a label is possible: up to NEAR words on each side of telling words; (word, start, end).
+
+    Every word and every line end is looked at a bounded number of times, so this is linear in the text.
+    """
     out: list[list[tuple[str, int, int]]] = []
-    done = -1
     if not DIGIT.search(text):
         low = text.lower()
         if not any(sign in low for sign in SIGNS):
             return out
+    done = tried = line = 0  # ends of the last chain, of the last word tried, and of the line that this one is in
     for hint in HINT.finditer(text):
-        if hint.start() < done:
+        if hint.start() < tried:
             continue
-        a = words_before(text, max(done, 0), hint.end(), 1)[0][1]
+        # a hint begins a word or stands behind the last one tried, so no part of a word is read twice
+        a = hint.start()
+        while a > tried and text[a - 1] not in SPACE:
+            a -= 1
         m = WORD.match(text, a)
+        tried = m.end()
         if not TELLING.fullmatch(m[0]):
             continue
-        line = text.rfind("\n", 0, m.start()) + 1
-        end = text.find("\n", m.end())
-        end = len(text) if end < 0 else end
-        before = words_before(text, max(line, done), m.start(), NEAR)
-        chain, last = [*before, (m[0], m.start(), m.end())], 0
-        pos = m.end()
+        if a >= line:
+            line = text.find("\n", tried)
+            line = len(text) if line < 0 else line
+        chain, last = [*words_before(text, done, a), (m[0], a, tried)], 0
         while last < NEAR:
-            w = WORD.search(text, pos, end)
+            w = WORD.search(text, tried, line)
             if not w:
                 break
             chain.append((w[0], w.start(), w.end()))
             last = 0 if TELLING.fullmatch(w[0]) else last + 1
-            pos = w.end()
-        done = pos
+            tried = w.end()
+        done = tried
         out.append(chain)
     return out
 
 
-def words_before(text: str, low: int, end: int, count: int) -> list[tuple[str, int, int]]:
+SPACE = " \t\n\x0b\x0c\r"
+
+
+def words_before(text: str, low: int, end: int) -> list[tuple[str, int, int]]:
+    """Up to NEAR words of the line before ``end``, none of them before ``low``."""
     found: list[tuple[str, int, int]] = []
     pos = end
-    while len(found) < count and pos > low:
+    while len(found) < NEAR and pos > low:
         b = pos
-        while b > low and text[b - 1] in " \t\n\x0b\x0c\r":
+        while b > low and text[b - 1] in SPACE and text[b - 1] != "\n":
             b -= 1
         a = b
-        while a > low and text[a - 1] not in " \t\n\x0b\x0c\r":
+        while a > low and text[a - 1] not in SPACE:
             a -= 1
         if a == b:
             break
@@ -283,14 +347,15 @@ def words_before(text: str, low: int, end: int, count: int) -> list[tuple[str, i
     return found[::-1]
 
 
-UNSPELL = [(re.compile(p, re.I), r) for p, r in ((r"\s*[\[(]\s*at\s*[\])]\s*|\s+at\s+", "@"), (r"\s*[\[(]\s*(?:dot|\.)\s*[\])]\s*|\s+(?:dot|punkt|punto|point)\s+|\s+\.\s+", "."))]
+BLANKS = re.compile(r"[ \t\r\x0b\x0c]+")
+UNSPELL = [(re.compile(p, re.I), r) for p, r in ((r" ?[\[(] ?at ?[\])] ?| at ", "@"), (r" ?[\[(] ?(?:dot|\.) ?[\])] ?| (?:dot|punkt|punto|point) | \. ", "."))]
 EDGE = " \t\r\x0b\x0c.,;:!?\"'“”«»<>{}|*#$%&"
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
 
 def sound(kind: str, text: str) -> bool:
     """Whether what the field has labelled can be that kind once spelled plainly."""
-    plain = text
+    plain = BLANKS.sub(" ", text)  # so that no pattern meets a run of blanks
     for pattern, to in UNSPELL:
         plain = pattern.sub(to, plain)
     if kind == "email":
@@ -304,40 +369,53 @@ def sound(kind: str, text: str) -> bool:
 
 def added_spans(texts: list[str], field: Field) -> list[list[Span]]:
     """For each text the sound spans that the field labels."""
+    out: list[list[Span]] = []
     chains, owner = [], []
     for i, text in enumerate(texts):
         for chain in chains_of(text):
             chains.append(chain)
             owner.append(i)
-    out: list[list[Span]] = [[] for _ in texts]
-    for at in range(0, len(chains), 2048):
-        part = chains[at : at + 2048]
-        for k, (chain, labels) in enumerate(zip(part, field.decode([[w for w, _, _ in c] for c in part]))):
-            text, i = texts[owner[at + k]], 0
-            while i < len(labels):
-                if not labels[i]:
-                    i += 1
-                    continue
-                kind, j = (labels[i] - 1) // 2, i + 1
-                while j < len(labels) and labels[j] == 2 + 2 * kind:
-                    j += 1
-                a, b = chain[i][1], chain[j - 1][2]
-                while a < b and text[a] in EDGE:
-                    a += 1
-                while b > a and text[b - 1] in EDGE:
-                    b -= 1
-                if b > a and sound(KINDS[kind], text[a:b]):
-                    out[owner[at + k]].append((a, kind, b))
-                i = j
+        out.append([])
+    for chain, labels, i in zip(chains, field.decode([[w for w, _, _ in c] for c in chains]), owner):
+        out[i] += labelled_spans(texts[i], chain, labels)
     return out
 
 
+def labelled_spans(text: str, chain: list[tuple[str, int, int]], labels: list[int]) -> list[Span]:
+    found, i = [], 0
+    while i < len(labels):
+        if not labels[i]:
+            i += 1
+            continue
+        kind, j = (labels[i] - 1) // 2, i + 1
+        while j < len(labels) and labels[j] == 2 + 2 * kind:
+            j += 1
+        a, b = chain[i][1], chain[j - 1][2]
+        while a < b and text[a] in EDGE:
+            a += 1
+        while b > a and text[b - 1] in EDGE:
+            b -= 1
+        if b > a and sound(KINDS[kind], text[a:b]):
+            found.append((a, kind, b))
+        i = j
+    return found
+
+
+def apart(more: list[Span], base: list[Span]) -> list[Span]:
+    """Those of ``more`` that meet none of ``base``; both by start."""
+    if not more or not base:
+        return more
+    starts = [a for a, _, _ in base]
+    reach = list(accumulate((b for _, _, b in base), max))
+    return [s for s in more if not (k := bisect_left(starts, s[2])) or reach[k - 1] <= s[0]]
+
+
 def spans_of(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span]]]:
     """Base spans, and the field's that meet none of them, for each text."""
     out = []
     for text, more in zip(texts, added_spans(texts, field)):
         base = base_spans(text)
-        out.append((base, [s for s in more if all(s[2] <= a or b <= s[0] for a, _, b in base)] if more else []))
+        out.append((base, apart(more, base)))
     return out
 
 
@@ -359,7 +437,8 @@ def find_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """One row per document: doc_id, n_<kind> and base_sha256 of the base spans, spans (all), n_added.
 
     Offsets are code points. Null texts count as empty. Every row is searched by
-    itself, so repeated rows give repeated rows; other columns are ignored.
+    itself, so repeated rows give repeated rows; other columns are ignored; no
+    rows give no rows. Time and memory are linear in the length of a text.
     """
     field = field or train()
     counts = [T.StructField(f"n_{k}", T.LongType()) for k in KINDS]

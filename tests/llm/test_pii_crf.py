@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -48,6 +49,67 @@ def test_long_runs_are_linear():
         P.base_spans(t)
 
 
+def test_long_texts_take_linear_time(field):
+    n = 100_000
+    for word in ("dot", "dot ", "1 ", "(at)", "((", "a@", "x 1\n", "word word word word word word 7 ", "[.] ", "1" + " " * 5000):
+        text = word * (n // len(word))
+        short, long = [], []
+        for _ in range(2):
+            for k, times in ((4, long), (1, short)):
+                start = time.process_time()
+                P.spans_of([text * k], field)
+                times.append(time.process_time() - start)
+        assert min(long) < 8 * min(short) + 0.2, word
+
+
+def test_batches_of_chains_are_bounded(field, monkeypatch):
+    """One long line among many short ones: no batch holds more than CELLS words, or one chain, and labels are as if decoded alone."""
+    rng = np.random.default_rng(5)
+    words = "1 call (212) 555-0147 dot at 10[.]0[.]1[.]2 now x card 4111.1111.1111.1111".split()
+    chains = [rng.choice(words, int(n)).tolist() for n in [700, *rng.integers(1, 9, 300), 90]] + [[]]
+    alone = [field.decode([c])[0] for c in chains]
+    seen, whole = [], P.Field._batch
+    monkeypatch.setattr(P.Field, "CELLS", 256)
+    monkeypatch.setattr(P.Field, "_batch", lambda self, part, longest: (seen.append((len(part), longest)), whole(self, part, longest))[1])
+    assert field.decode(chains) == alone
+    assert all(n == 1 or n * longest <= 256 for n, longest in seen) and len(seen) > 3
+    assert all(np.allclose(field.scores(c), [field._sum(row) for row in P.features(c)]) for c in chains[:20])
+
+
+def test_added_spans_meet_no_base_span():
+    rng = random.Random(1)
+    for _ in range(200):
+        spans = lambda n: sorted((a, rng.randrange(4), a + rng.randrange(1, 9)) for a in (rng.randrange(60) for _ in range(n)))
+        base, more = spans(rng.randrange(5)), spans(5)
+        assert P.apart(more, base) == [s for s in more if all(s[2] <= a or b <= s[0] for a, _, b in base)]
+
+
+def test_recall_and_precision_on_other_writings(field):
+    """Sentences that the table doesn't hold: what the patterns miss is found, and numbers of other kinds are left alone."""
+    rng = random.Random(11)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    name = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3))
+    byte = lambda: str(rng.randrange(1, 255))
+    frames = ("you can {} if needed", "we saw {} there again", "please note {} for later", "{} is in the list", "it says {} on page two")
+    cues = {"email": ("write to ", "mail ", "email: "), "phone": ("call ", "phone ", "tel. "), "ip": ("host ", "server ", "from ip ")}
+    makers = {
+        "email": [lambda: f"{name()} dot {name()} at {name()} dot com", lambda: f"{name()} [at] {name()} [dot] org", lambda: f"{name()}{digits(2)}(at){name()}(dot)net"],
+        "phone": [lambda: f"({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{digits(4)}", lambda: f"{rng.randrange(200, 999)}-{rng.randrange(200, 999)}-{digits(4)}"],
+        "ip": [lambda: "[.]".join(byte() for _ in range(4)), lambda: " . ".join(byte() for _ in range(4))],
+    }
+    asked = found = 0
+    for kind, ways in makers.items():
+        for way in ways:
+            for _ in range(20):
+                text = rng.choice(frames).format(rng.choice(cues[kind]) + way())
+                asked += 1
+                found += any(P.KINDS[k] == kind for _, k, _ in P.spans_of([text], field)[0][1])
+    assert found >= 0.85 * asked, (found, asked)
+    plain = [lambda: f"in {rng.randrange(1900, 2030)} and {rng.randrange(1900, 2030)}", lambda: f"version {rng.randrange(9)}.{rng.randrange(9)}", lambda: f"order {digits(5)} of {digits(2)} parts", lambda: f"at {rng.randrange(24)}:{rng.randrange(10, 60)} we met", lambda: f"the {name()} at the dot of noon", lambda: f"{digits(2)} of {digits(2)} came"]
+    wrong = sum(bool(P.spans_of([rng.choice(frames).format(rng.choice(plain)())], field)[0][1]) for _ in range(200))
+    assert wrong <= 4, wrong
+
+
 def test_viterbi_is_the_best_of_all_ways(field):
     rng = np.random.default_rng(3)
     small = P.Field(field.index, field.emit, field.move)
