@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Whether a query's shuffle files are removed when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; only where that is unset and the session is one local process, a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -24,8 +28,19 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+def write(df: DataFrame, path: str) -> None:
+    """Writes a table of the job's own. The shuffle files behind it go with the end of the write, as nothing reads them again."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` and reads it back: lineage is cut and its size is known."""
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    write(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
