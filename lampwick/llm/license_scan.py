@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,17 +17,29 @@ SPELLINGS = {
     "capitalisations": "capitalizations", "catalogue": "catalog", "categorise": "categorize", "centre": "center",
     "emphasised": "emphasized", "favour": "favor", "favourite": "favorite", "fulfil": "fulfill",
     "fulfilment": "fulfillment", "https": "http", "initialise": "initialize", "judgement": "judgment",
-    "labelling": "labeling", "labour": "labor", "licence": "license", "licenced": "licensed", "licences": "licenses",
+    "labelling": "labeling", "labour": "labor", "licence": "license", "licenced": "licensed", "licencee": "licensee", "licencees": "licensees", "licences": "licenses",
+    "licencing": "licensing", "relicence": "relicense", "relicencing": "relicensing", "sublicence": "sublicense", "sublicenced": "sublicensed", "sublicences": "sublicenses", "sublicencing": "sublicensing", "unlicence": "unlicense",
     "maximise": "maximize", "modelled": "modeled", "modelling": "modeling", "offence": "offense",
     "optimise": "optimize", "organisation": "organization", "organise": "organize", "practise": "practice",
     "programme": "program", "realise": "realize", "recognise": "recognize", "signalling": "signaling",
-    "utilisation": "utilization", "whilst": "while", "wilful": "wilfull",
+    "utilisation": "utilization", "whilst": "while", "wilful": "willful",
 }
 PHRASES = {"copyright owner": "copyright holder", "non commercial": "noncommercial", "per cent": "percent", "sub license": "sublicense"}
 #: A line that only says who holds the rights.
-COPYRIGHT = r"^\s*(copyright\s*(\(c\)|©|[0-9]{4}|by )|\(c\)|©|all rights reserved)"
-
-#: Known texts: short notices, and whole licences that are short enough to stand here.
+COPYRIGHT = r"^\s*(copyright\s*(\(c\)|©|[0-9]{4}|by |\[yyyy\]|<year>)|\(c\)|©|all rights reserved)"
+#: The same with a name alone, as it is written: nothing but capitalised words.
+NAMED = r"^\s*Copyright( [A-Z][\w.&'-]*)+[.,]?\s*$"
+
+#: Whole licences, by file name.
+TEXTS = Path(__file__).parent / "licenses"
+#: Lines that often stand above a text of the file.
+TITLES = {
+    "0BSD": ("Zero-Clause BSD", "BSD Zero Clause License"), "BSD-2-Clause": ("BSD 2-Clause License",), "BSD-3-Clause": ("BSD 3-Clause License",), "ISC": ("ISC License",),
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"), "MIT-0": ("MIT No Attribution",), "Zlib": ("zlib License",),
+}
+#: What may be left out of a text: all that stands from these words on.
+APPENDIX = {"Apache-2.0": "APPENDIX: How to apply", "GPL-2.0": "How to Apply These Terms", "GPL-3.0": "How to Apply These Terms", "LGPL-2.1": "How to Apply These Terms"}
+#: One-line notices.
 NOTICES = {
     "MIT-notice": "Released under the MIT License.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
@@ -37,36 +50,6 @@ NOTICES = {
     "BSD-3-Clause-notice": "Released under the BSD 3-Clause License.",
     "MPL-2.0-notice": "Licensed under the Mozilla Public License, version 2.0.",
     "Unlicense-notice": "This is free and unencumbered software released into the public domain.",
-    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
-granted, provided that the above copyright notice and this permission notice appear in all copies.
-
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
-IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
-INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
-ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF
-THIS SOFTWARE.""",
-    "0BSD": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
-granted.
-
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
-IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
-INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
-ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF
-THIS SOFTWARE.""",
-    "MIT": """MIT License
-
-Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
-documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
-rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
-persons to whom the Software is furnished to do so, subject to the following conditions:
-
-The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
-Software.
-
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
-WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
-COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
-OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
 }
 
 
@@ -83,7 +66,7 @@ def canonical_line(line: Column) -> Column:
     """Lower case; a copyright line is empty; what is neither letter nor digit is one space; equal spellings are one."""
     low = F.lower(line)
     plain = F.trim(F.regexp_replace(low, r"[^\p{L}\p{Nd}]+", " "))
-    text = F.when(low.rlike(COPYRIGHT), "").otherwise(F.array_join(_spelled(F.split(plain, " ")), " "))
+    text = F.when(low.rlike(COPYRIGHT) | line.rlike(NAMED), "").otherwise(F.array_join(_spelled(F.split(plain, " ")), " "))
     return F.trim(_phrases(text))
 
 
@@ -98,9 +81,20 @@ def digest(lines: Column) -> Column:
     return F.when(F.size(lines) > 0, F.sha2(F.trim(_phrases(F.array_join(lines, " "))), 256))
 
 
+def catalogue() -> list[tuple[str, str]]:
+    """(license_id, text): the notices, and each whole licence as it stands, under its titles, and without its appendix."""
+    rows = list(NOTICES.items())
+    for path in sorted(TEXTS.glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        rows += [(path.stem, f"{title}{text}") for title in ("", *(f"{t}\n\n" for t in TITLES.get(path.stem, ())))]
+        if path.stem in APPENDIX:
+            rows.append((path.stem, text[: text.index(APPENDIX[path.stem])]))
+    return rows
+
+
 def known_digests(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
     """(license_id, known_digest), one row for each text: a fixed catalogue."""
-    rows = list((texts or NOTICES).items())
+    rows = list(texts.items()) if texts else catalogue()
     df = with_lines(spark.createDataFrame(rows, "license_id string, text string"))
     return df.select("license_id", digest(F.col("_lines")).alias("known_digest")).groupBy("known_digest").agg(F.min("license_id").alias("license_id"))
 
@@ -115,14 +109,14 @@ def license_scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     lines or of nothing, null too, has a null digest and no licence; repeated
     rows are scanned each; other columns are ignored.
     """
-    catalogue = F.broadcast(known)
+    sent = F.broadcast(known)
     ready = with_lines(docs.select("doc_id", "text"))
     units = F.array_distinct(F.transform("_lines", lambda x: F.sha2(x, 256)))
     each = ready.select("doc_id", digest(F.col("_lines")).alias("digest"), F.posexplode_outer(units).alias("at", "unit"))
-    hits = each.join(catalogue, F.col("unit") == F.col("known_digest"), "left").where(F.coalesce(F.col("at"), F.lit(0)).eqNullSafe(0) | F.col("license_id").isNotNull())
+    hits = each.join(sent, F.col("unit") == F.col("known_digest"), "left").where(F.coalesce(F.col("at"), F.lit(0)).eqNullSafe(0) | F.col("license_id").isNotNull())
     hits = materialise(hits.select("doc_id", "digest", F.coalesce("at", F.lit(0)).alias("at"), F.col("license_id").alias("notice")), "hits")
     own = F.struct("doc_id", "digest").alias("own")  # equal ids and digests have equal lines, so they may share their notices
     notices = hits.where("notice IS NOT NULL").groupBy(own).agg(F.array_join(F.array_sort(F.collect_set("notice")), ",").alias("notices"))
     rows = hits.where("at = 0").select("doc_id", "digest", own).join(notices.hint("merge"), "own", "left")
-    found = rows.join(catalogue, F.col("digest") == F.col("known_digest"), "left")
+    found = rows.join(sent, F.col("digest") == F.col("known_digest"), "left")
     return found.select("doc_id", "digest", "license_id", F.coalesce("notices", F.lit("")).alias("notices"))

@@ -1,6 +1,6 @@
 """The SQL of op1."""
 
-from .license_scan import COPYRIGHT, NOTICES, PHRASES, SPELLINGS
+from .license_scan import COPYRIGHT, NAMED, PHRASES, SPELLINGS, catalogue
 
 
 def _text(s: str) -> str:
@@ -16,13 +16,13 @@ def _phrases(expr: str) -> str:
 
 _MAP = "MAP {" + ", ".join(f"{_text(a)}: {_text(b)}" for a, b in SPELLINGS.items()) + "}"
 _PLAIN = r"trim(regexp_replace(lower(x), '[^\p{L}\p{Nd}]+', ' ', 'g'))"
-_LINE = _phrases(f"CASE WHEN regexp_matches(lower(x), {_text(COPYRIGHT)}) THEN '' ELSE array_to_string(list_transform(string_split({_PLAIN}, ' '), lambda w: coalesce(spelling[w], w)), ' ') END")
+_LINE = _phrases(f"CASE WHEN regexp_matches(lower(x), {_text(COPYRIGHT)}) OR regexp_matches(x, {_text(NAMED)}) THEN '' ELSE array_to_string(list_transform(string_split({_PLAIN}, ' '), lambda w: coalesce(spelling[w], w)), ' ') END")
 
 OP1_SQL = rf"""
 WITH texts AS (
     SELECT doc_id, NULL AS license_id, coalesce(text, '') AS text FROM documents
     UNION ALL
-    SELECT NULL, * FROM (VALUES {", ".join(f"({_text(k)}, {_text(v)})" for k, v in NOTICES.items())})
+    SELECT NULL, * FROM (VALUES {", ".join(f"({_text(k)}, {_text(v)})" for k, v in catalogue())})
 ),
 lined AS (
     SELECT doc_id, license_id, list_filter(list_transform(regexp_split_to_array(text, '\r\n|\r|\n'), lambda x: {_LINE}), lambda y: y <> '') AS lines

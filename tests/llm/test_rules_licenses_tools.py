@@ -65,8 +65,25 @@ def test_rule_edges(spark, edge_docs, no_docs, edge_rows):
     assert sorted(scored.columns) == sorted(edge_docs.columns) and scored.where("score IS NULL").count() == 0
 
 
+def test_whole_licences(spark):
+    """Every licence of the catalogue, written otherwise, is known as an entire text; a word more or less is not it."""
+    stems = {p.stem: p.read_text(encoding="utf-8") for p in L.TEXTS.glob("*.txt")}
+    assert len(stems) >= 17
+    rows = []
+    for stem, text in stems.items():
+        for written in (text, text.upper(), "Copyright (c) 1999-2020 A. Nother\nCopyright Jane Doe\nAll rights reserved.\n\n" + text.replace("\n", "\r\n"), text.replace("license", "licence").replace(" ", "  "), text.replace(",", " ,").replace('"', "''")):
+            rows.append((len(rows), written, stem))
+        rows += [(len(rows), text + " more", None), (len(rows) + 1, text.replace(" software ", " thing ", 1).replace(" the ", " a ", 1), None)]
+    rows.append((len(rows), stems["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2021 Some Firm"), "Apache-2.0"))
+    rows.append((len(rows), stems["Apache-2.0"].split("APPENDIX")[0], "Apache-2.0"))
+    rows += [(len(rows) + k, f"{t}\n\nCopyright 2020 x\n{stems['MIT']}", "MIT") for k, t in enumerate(L.TITLES["MIT"])]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in L.license_scan(docs, L.known_digests(spark)).collect()}
+    assert got == {i: want for i, _, want in rows}
+
+
 def test_canonical_texts(spark):
-    mit = L.NOTICES["MIT"]
+    mit = "MIT License\n\n" + (L.TEXTS / "MIT.txt").read_text()
     rows = [
         (1, mit), (2, mit.upper().replace("software", "  software\n")), (3, "Copyright (c) 2020 Someone\n© 2019 x\nAll rights reserved.\n" + mit.replace("\n", " ")),
         (4, mit + " And more."), (5, "Released under the MIT Licence"), (6, "Copyright 2020 x"), (7, None), (8, ""), (9, "some text\n\nLicensed under CC-BY-NC 4.0!\r\nmore"), (9, "some text\n\nLicensed under CC-BY-NC 4.0!\r\nmore"), (None, "ISC"),
