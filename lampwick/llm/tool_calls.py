@@ -7,9 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, materialise_at, n_words, text_of
+from .common import materialise, n_words, text_of
 
 KEY = ["conv_id", "call_id"]
+#: A catalogue of up to so many arguments is sent to every task, a larger one is joined by the tool's name.
+CATALOGUE = 10_000
 #: What schema_of_variant says of a value, by the type that a schema asks for.
 TYPES = {"string": "^STRING$", "integer": "^BIGINT$", "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "boolean": "^BOOLEAN$", "array": "^ARRAY", "object": "^OBJECT"}
 
@@ -46,24 +48,25 @@ def call_order(calls: DataFrame) -> DataFrame:
 
     ``last`` is the place of the call's last event that a dependent call waits
     for. Each round doubles the way that a row looks up its ancestors, so a chain
-    of n calls takes log2(n) rounds; rows that are at their root drop out.
+    of n calls takes log2(n) rounds. A row that is at its root is closed: it is
+    looked up by others, but not written again. What is still open after as many
+    rounds as the longest conversation can need is on a cycle or below one.
     """
-    spark = calls.sparkSession
     up = calls.select("conv_id", F.col("call_id").alias("parent"), F.col("last").alias("above")).hint("merge")
-    linked = calls.join(up, ["conv_id", "parent"], "left").select(*KEY, "pos", F.when(F.col("above").isNotNull(), F.col("parent")).alias("ptr"), "above", F.when(F.col("above").isNotNull(), 1).otherwise(0).alias("hops"))
-    state, at = materialise_at(linked, "calls")
-    rounds = math.ceil(math.log2(state.count() + 1)) + 1
-    while state.where("ptr IS NOT NULL").limit(1).count():
-        if rounds < 0:
+    linked = calls.join(up, ["conv_id", "parent"], "left").select(*KEY, "pos", F.when(F.col("above").isNotNull(), F.col("parent")).alias("ptr"), "above", F.when(F.col("above").isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("long").alias("hops"))
+    first = materialise(linked, "calls")
+    closed, opened = first.where("ptr IS NULL"), first.where("ptr IS NOT NULL")
+    longest = calls.groupBy("conv_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    for _ in range(math.ceil(math.log2(longest + 1)) + 1):
+        if not opened.limit(1).count():
             break
-        rounds -= 1
-        p = state.select("conv_id", F.col("call_id").alias("ptr"), F.col("ptr").alias("next"), F.col("above").alias("more"), F.col("hops").alias("steps")).hint("merge")
-        jumped = state.join(p, ["conv_id", "ptr"], "left").select(*KEY, "pos", F.col("next").alias("ptr"), F.greatest("above", "more").alias("above"), (F.col("hops") + F.coalesce("steps", F.lit(0))).alias("hops"))
-        new, new_at = materialise_at(jumped, "calls")
-        discard(spark, at)
-        state, at = new, new_at
-    free = F.col("ptr").isNull()
-    return state.select(*KEY, F.when(free, F.greatest("pos", F.coalesce("above", "pos"))).alias("order_pos"), F.when(free, F.col("hops")).alias("hops"))
+        every = closed.unionByName(opened)
+        p = every.select("conv_id", F.col("call_id").alias("ptr"), F.col("ptr").alias("next"), F.col("above").alias("more"), F.col("hops").alias("steps")).hint("merge")
+        jumped = opened.join(p, ["conv_id", "ptr"], "left").select(*KEY, "pos", F.col("next").alias("ptr"), F.greatest("above", "more").alias("above"), (F.col("hops") + F.coalesce("steps", F.lit(0))).alias("hops"))
+        new = materialise(jumped, "calls")
+        closed, opened = closed.unionByName(new.where("ptr IS NULL")), new.where("ptr IS NOT NULL")
+    ends = closed.select(*KEY, F.greatest("pos", F.coalesce("above", "pos")).alias("order_pos"), "hops")
+    return ends.unionByName(opened.select(*KEY, F.col("pos").alias("order_pos"), F.lit(None).cast("long").alias("hops")))
 
 
 def link_tool_calls(events: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -94,8 +97,13 @@ def link_tool_calls(events: DataFrame, schemas: DataFrame) -> DataFrame:
     known = calls.select("conv_id", F.col("call_id").alias("parent"), F.lit(True).alias("parent_there")).hint("merge")
     facts = facts.join(known, ["conv_id", "parent"], "left").select(*KEY, "first_pos", "result_pos", "order_pos", "hops", (F.col("parent").isNotNull() & F.col("parent_there").isNull()).alias("missing_parent"))
 
+    # rows without an id match nothing, so they stay out of the join, where they would all go to one task
+    blank = [F.lit(None).cast(facts.schema[c].dataType).alias(c) for c in facts.columns if c not in KEY]
+    nameless = e.where(F.col("conv_id").isNull() | F.col("call_id").isNull()).select("*", *blank)
+    df = named.join(facts.hint("merge"), KEY, "left").select(*nameless.columns).unionByName(nameless)
     specs = schemas.groupBy("tool").agg(F.array_sort(F.collect_list(F.struct("arg", "type", "required"))).alias("spec"))
-    df = e.join(facts.hint("merge"), KEY, "left").join(specs, F.col("name") == F.col("tool"), "left")
+    few = schemas.limit(CATALOGUE + 1).count() <= CATALOGUE
+    df = df.join(F.broadcast(specs) if few else specs.hint("merge"), F.col("name") == F.col("tool"), "left")
     df = df.withColumn("value", parsed(F.col("arguments"))).withColumn("map", F.try_variant_get("value", "$", "map<string,variant>"))
     call, result, here = F.col("kind") == "call", F.col("kind") == "result", F.col("first_pos").isNotNull()
     errors = F.when(call & F.col("map").isNotNull() & F.col("spec").isNotNull(), argument_errors(F.col("map"), F.col("spec")))
@@ -120,7 +128,7 @@ def link_tool_calls(events: DataFrame, schemas: DataFrame) -> DataFrame:
     as_result = F.to_json(F.struct("content", F.col("call_id").alias("id"), F.lit("tool_result").alias("type")))
     return df.select(
         "conv_id", "pos", "kind", "call_id", status.alias("status"), F.array_join("errors", ",").alias("errors"), F.coalesce("missing_parent", F.lit(False)).alias("missing_parent"),
-        F.coalesce(order_pos, F.col("pos")).alias("order_pos"), F.coalesce(depth, F.lit(0)).cast("int").alias("depth"), F.when(call, as_call).when(result, as_result).alias("json"),
+        F.coalesce(order_pos, F.col("pos")).alias("order_pos"), F.coalesce(depth, F.lit(0)).cast("long").alias("depth"), F.when(call, as_call).when(result, as_result).alias("json"),
     )
 
 
@@ -142,12 +150,14 @@ def events_of(conversations: DataFrame) -> DataFrame:
     """A log of tool events that follows from a table of turns, with the faults that such logs have.
 
     An assistant's turn calls one of five tools, one of them not in TOOLS, with
-    arguments taken from its text; the user's turn after it is the result. Some
+    its whole text as an argument; the user's turn after it is the result. Some
     calls need the result of the call before, some logs hold results before
-    calls, some arguments are cut, of a wrong type, missing or not listed.
+    calls, some arguments lack their first brace, are of a wrong type, missing or
+    not listed.
     """
     n, pick, turn = n_words(), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(5)), F.col("turn")
-    h = F.concat(F.lit('"'), F.substring(F.md5(text_of()), 1, 8), F.lit('"'))
+    listed = F.to_json(F.array(text_of()))
+    h = F.substr(listed, F.lit(2), F.length(listed) - 2)  # the text as a JSON string
     word = lambda s: F.lit(s)
     limit = F.when(n % 7 == 0, F.concat(word('"'), n.cast("string"), word('"'))).otherwise(n.cast("string"))
     flag = F.when(n % 2 == 0, "true").otherwise("false")
@@ -158,7 +168,7 @@ def events_of(conversations: DataFrame) -> DataFrame:
         .when(pick == 3, F.concat(word('{ "when" : {"hour": '), (n % 24).cast("string"), word(', "day": '), (n % 7).cast("string"), word('}, "ratio": '), n.cast("string"), word(".50}")))
         .otherwise(F.concat(word('{"q":'), h, word("}")))
     )
-    body = F.when(n % 11 == 0, F.substring(body, 2, 1000)).otherwise(body)
+    body = F.when(n % 11 == 0, F.substr(body, F.lit(2))).otherwise(body)
     tool = F.element_at(F.array(*map(F.lit, ("lookup", "count", "translate", "schedule", "unlisted"))), (pick + 1).cast("int"))
     swap = F.when(F.col("conv_id") % 4 == 1, turn + F.when(turn % 2 == 0, 1).otherwise(-1)).otherwise(turn)
     call = F.col("role") == "assistant"
@@ -168,5 +178,5 @@ def events_of(conversations: DataFrame) -> DataFrame:
         F.concat(F.lit("c"), F.when(call, turn).otherwise(turn - 1).cast("string")).alias("call_id"),
         F.when(call, tool).alias("name"), F.when(call, body).alias("arguments"),
         F.when(call & (turn >= 2) & (F.pmod(F.col("conv_id") + turn, F.lit(3)) != 0), F.concat(F.lit("c"), (turn - 2).cast("string"))).alias("parent_id"),
-        F.when(result, F.substring(F.md5(text_of()), 1, 8)).alias("content"),
+        F.when(result, text_of()).alias("content"),
     )

@@ -4,7 +4,7 @@ OP2_SQL = r"""
 WITH RECURSIVE log AS (
     SELECT conv_id, turn, role,
            len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n,
-           '"' || substr(md5(coalesce(text, '')), 1, 8) || '"' AS h,
+           to_json(coalesce(text, ''))::VARCHAR AS h,
            (conv_id + turn) % 5 AS pick,
            CASE WHEN conv_id % 4 = 1 THEN turn + (CASE WHEN turn % 2 = 0 THEN 1 ELSE -1 END) ELSE turn END AS pos
     FROM conversations WHERE role = 'assistant' OR (role = 'user' AND turn > 0)
@@ -46,12 +46,12 @@ checked AS (
 )
 SELECT conv_id, pos, 'call' AS kind, call_id,
        CASE WHEN pick = 4 THEN 'unknown_tool' WHEN n % 11 = 0 THEN 'bad_json' WHEN wrong <> '' THEN 'invalid' WHEN result_pos IS NULL THEN 'unanswered' ELSE 'ok' END AS status,
-       CASE WHEN n % 11 = 0 THEN '' ELSE wrong END AS errors, missing_parent, order_pos, (hops * 2)::INT AS depth,
+       CASE WHEN n % 11 = 0 THEN '' ELSE wrong END AS errors, missing_parent, order_pos, (hops * 2)::BIGINT AS depth,
        '{' || (CASE WHEN n % 11 = 0 THEN '' ELSE '"arguments":' || canonical || ',' END) || '"id":"' || call_id || '","name":"' || name || '","type":"tool_call"}' AS json
 FROM checked
 UNION ALL
 SELECT r.conv_id, r.pos, 'result', r.call_id, CASE WHEN c.turn IS NULL THEN 'orphan' ELSE 'ok' END, '',
-       coalesce(c.missing_parent, false), greatest(r.pos, coalesce(c.order_pos, r.pos)), (coalesce(c.hops * 2 + 1, 0))::INT,
+       coalesce(c.missing_parent, false), greatest(r.pos, coalesce(c.order_pos, r.pos)), (coalesce(c.hops * 2 + 1, 0))::BIGINT,
        '{"content":' || r.h || ',"id":"' || r.call_id || '","type":"tool_result"}'
 FROM results r LEFT JOIN checked c USING (conv_id, turn)
 """
