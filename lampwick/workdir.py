@@ -44,3 +44,8 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     path = new_path(df.sparkSession, tag)
     write(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def looked_up(table: DataFrame, most: int = 10_000) -> DataFrame:
+    """``table`` with the hint for a join that looks rows up in it: sent to every task if it has at most ``most`` rows, else merged."""
+    return table.hint("broadcast" if table.limit(most + 1).count() <= most else "merge")
