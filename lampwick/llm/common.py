@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..workdir import materialise, new_path
+from ..workdir import materialise, new_path, write
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,7 +15,7 @@ def materialise_at(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """materialise(), with the path of the table, for those who discard it later."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    write(df, path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

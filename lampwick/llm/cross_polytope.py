@@ -1,20 +1,35 @@
-"""Approximate nearest neighbours by cross-polytope hashing."""
+"""Approximate nearest neighbours by cross-polytope hashing.
+
+How many tables are used, how many hashes are joined for a bucket and how many
+buckets a query looks into is fitted to the vectors: for a bounded sample of
+queries the exact neighbours are found by one pass over all rows, and the
+cheapest setting is taken that would collect FIT_RECALL of them. On clustered
+vectors this prunes nearly all rows; on vectors without any structure no hash
+can, and it comes near to a full search.
+"""
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import materialise, pieces
 
-TABLES, PROBES, SEED = 8, 10, 7
+SEED = 7
+#: Settings that are tried: tables, joined hashes, and the most buckets that a query looks into in a table.
+TABLES, PARTS, MOST_PROBES = (1, 2, 4, 8, 12), (1, 2), 1024
+#: Queries of the sample, and the part of their neighbours that the setting must collect.
+SAMPLE, FIT_RECALL = 128, 0.97
+#: What looking into a bucket costs, in vectors compared.
+LOOK = 8.0
 #: Vectors and queries that one cell of a search holds at most, about.
 CELL = 2048
 FOUND = T.StructType([T.StructField("query", T.LongType()), T.StructField("near", T.LongType()), T.StructField("score", T.DoubleType())])
@@ -46,55 +61,123 @@ def rotated(x: np.ndarray, table: int, part: int) -> np.ndarray:
 def probes(x: np.ndarray, table: int, parts: int, count: int) -> np.ndarray:
     """For each unit row the ``count`` likeliest buckets, the nearest first.
 
-    A part hashes to the nearest signed axis; the next ones are the axes with the
-    next largest magnitudes. With several parts, the buckets with the largest
-    sums of magnitudes come first.
+    A part hashes to the nearest signed axis; the next ones are the signed axes
+    with the next largest components. With several parts, the buckets with the
+    largest sums of components come first.
     """
     keys, sums = np.zeros((len(x), 1), dtype=np.int64), np.zeros((len(x), 1))
     for part in range(parts):
         y = rotated(x, table, part)
         width = y.shape[1]
-        top = np.argsort(-np.abs(y), axis=1, kind="stable")[:, : min(count, width)]
-        value = np.take_along_axis(y, top, axis=1)
-        code = 2 * top + (value < 0)
+        signed = np.stack([y, -y], axis=2).reshape(len(y), 2 * width)  # the code of a signed axis is its place here
+        code = np.argsort(-signed, axis=1, kind="stable")[:, : min(count, 2 * width)]
+        value = np.take_along_axis(signed, code, axis=1)
         keys = (keys[:, :, None] * (2 * width) + code[:, None, :]).reshape(len(x), -1)
-        sums = (sums[:, :, None] + np.abs(value)[:, None, :]).reshape(len(x), -1)
+        sums = (sums[:, :, None] + value[:, None, :]).reshape(len(x), -1)
         best = np.argsort(-sums, axis=1, kind="stable")[:, :count]
         keys, sums = np.take_along_axis(keys, best, axis=1), np.take_along_axis(sums, best, axis=1)
     return keys
 
 
-def _sender(tables: int, parts: int, count: int):
-    """Rows (gid, vector) to one row per table and probe. Vectors of different lengths never share a bucket."""
+@dataclass(frozen=True)
+class Setting:
+    tables: int
+    parts: int
+    probes: int
+
+
+def fitted(queries: np.ndarray, near: np.ndarray, rows: int) -> Setting:
+    """The cheapest setting that collects FIT_RECALL of the pairs of unit vectors (queries[i], near[i]) in a table of so many rows."""
+    width = 1 << max(1, (queries.shape[1] - 1).bit_length())
+    best = None
+    for parts in PARTS:
+        buckets = (2 * width) ** parts
+        most = min(buckets, MOST_PROBES)
+        need = np.full(len(queries), np.inf)
+        for table in range(max(TABLES)):
+            asked, own = probes(queries, table, parts, most), probes(near, table, parts, 1)
+            hit = asked == own
+            need = np.minimum(need, np.where(hit.any(axis=1), hit.argmax(axis=1) + 1, np.inf))
+            if table + 1 in TABLES:
+                count = np.sort(need)[min(len(need) - 1, math.ceil(FIT_RECALL * len(need)) - 1)]
+                cost = (table + 1) * count * (rows / buckets + LOOK)
+                if count <= most and (best is None or cost < best[0]):
+                    best = cost, Setting(table + 1, parts, int(count))
+    return best[1] if best else Setting(1, 1, 2 * width)  # all buckets
+
+
+def _dense(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows of equal length of a list column, as (places, matrix)."""
+    lengths = np.diff(column.offsets.to_numpy())
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    starts = np.cumsum(lengths) - lengths
+    return [(rows, flat[starts[rows][:, None] + np.arange(length)]) for length in np.unique(lengths) for rows in [np.nonzero(lengths == length)[0]]]
+
+
+def _sampled(gids: np.ndarray, vectors: list[np.ndarray], k: int):
+    """The k nearest in each batch of every sampled query."""
+
+    def run(batches):
+        schema = pa.schema([("query", pa.int64()), ("near", pa.int64()), ("score", pa.float64()), ("embedding", pa.list_(pa.float64()))])
+        for part in pieces(batches, 4096):
+            ids, out = part.column(0).to_numpy(zero_copy_only=False), []
+            for rows, x in _dense(part.column(1)):
+                unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+                for gid, v in zip(gids, vectors):
+                    if len(v) == x.shape[1]:
+                        score = np.where(ids[rows] == gid, -np.inf, unit @ (v / np.linalg.norm(v)))
+                        out += [(gid, ids[rows[i]], score[i], x[i]) for i in np.argsort(-score, kind="stable")[:k] if score[i] > -np.inf]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+
+    return run
+
+
+def fit(distinct: DataFrame, k: int) -> Setting:
+    """From (gid, asks, embedding): see fitted(). What reaches the driver are SAMPLE queries with k neighbours each."""
+    sample = distinct.where("asks").orderBy(F.xxhash64("gid"), "gid").limit(SAMPLE).select("gid", "embedding").collect()
+    gids, vectors = np.array([r.gid for r in sample], dtype=np.int64), [np.array(r.embedding, dtype=np.float64) for r in sample]
+    near = distinct.select("gid", "embedding").mapInArrow(_sampled(gids, vectors, k), "query long, near long, score double, embedding array<double>")
+    top = Window.partitionBy("query").orderBy(F.desc("score"), "near")
+    rows = near.withColumn("n", F.row_number().over(top)).where(F.col("n") <= k).select("query", "embedding").collect()
+    of = dict(zip(gids.tolist(), vectors))
+    usual = max((len(v) for v in vectors), default=0, key=[len(v) for v in vectors].count)
+    pairs = [(of[r["query"]], np.array(r.embedding)) for r in rows if len(r.embedding) == usual]
+    if not pairs:
+        return Setting(1, 1, 2)
+    a, b = (np.stack(x) for x in zip(*pairs))
+    return fitted(a / np.linalg.norm(a, axis=1, keepdims=True), b / np.linalg.norm(b, axis=1, keepdims=True), distinct.count())
+
+
+def _sender(how: Setting, count: int, single: bool):
+    """Rows (gid, vector) to one row per table and probe. Vectors of different lengths never share a bucket.
+
+    Vectors travel in the precision that they came in.
+    """
 
     def run(batches):
+        schema = pa.schema([("gid", pa.int64()), ("table", pa.int32()), ("bucket", pa.int64()), ("vector", pa.binary())])
         for part in pieces(batches, 1024):
             gids = part.column(0).to_numpy(zero_copy_only=False)
-            column = part.column(1)
-            lengths = np.diff(column.offsets.to_numpy())
-            flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(lengths) else lengths
-            for length in np.unique(lengths):
-                rows = np.nonzero(lengths == length)[0]
-                x = flat[starts[rows][:, None] + np.arange(length)]
+            for rows, x in _dense(part.column(1)):
                 unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-                raw = [r.tobytes() for r in x]
-                for table in range(tables):
-                    keys = probes(unit, table, parts, count) * 65536 + int(length)
-                    wide = keys.shape[1]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(gids[rows], wide)), pa.array(np.full(len(rows) * wide, table, dtype=np.int32)), pa.array(keys.reshape(-1)), pa.array([r for r in raw for _ in range(wide)], pa.binary())], schema=pa.schema([("gid", pa.int64()), ("table", pa.int32()), ("bucket", pa.int64()), ("vector", pa.binary())]))
+                raw = pa.array([r.tobytes() for r in (x.astype(np.float32) if single else x)], pa.binary())
+                for table in range(how.tables):
+                    keys = probes(unit, table, how.parts, count) * 65536 + x.shape[1]
+                    place = np.repeat(np.arange(len(rows)), keys.shape[1])
+                    yield pa.RecordBatch.from_arrays([pa.array(gids[rows][place]), pa.array(np.full(len(place), table, dtype=np.int32)), pa.array(keys.reshape(-1)), raw.take(pa.array(place))], schema=schema)
 
     return run
 
 
-def _search(k: int):
+def _search(k: int, single: bool):
     """Within a cell, the k vectors of largest cosine for each query, smaller gid first among equals."""
 
     def run(cell: pd.DataFrame) -> pd.DataFrame:
         asked = cell["asks"].to_numpy()
         if asked.all() or not asked.any():
             return pd.DataFrame({"query": pd.Series([], dtype="int64"), "near": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
-        x = np.frombuffer(b"".join(cell["vector"]), dtype=np.float64).reshape(len(cell), -1)
+        x = np.frombuffer(b"".join(cell["vector"]), dtype=np.float32 if single else np.float64).reshape(len(cell), -1).astype(np.float64)
         gid, norm = cell["gid"].to_numpy(), np.sqrt((x * x).sum(axis=1))
         order = np.argsort(gid[~asked], kind="stable")
         base, ids, base_norm = x[~asked][order], gid[~asked][order], norm[~asked][order]
@@ -108,71 +191,76 @@ def _search(k: int):
     return run
 
 
-def _cells(base: DataFrame, asks: DataFrame, k: int) -> DataFrame:
+def _cells(base: DataFrame, asks: DataFrame, k: int, single: bool) -> DataFrame:
     """The search of every query of a bucket among all vectors of the bucket, in cells of CELL by CELL.
 
     A bucket that holds much is cut by a hash of the vectors and of the queries,
-    so nothing of it is left out and no cell grows with it. What is broadcast has
-    a row for each table and bucket, whose number the hash width bounds.
+    so nothing of it is left out and no cell grows with it. The cuts are joined by
+    table and bucket; a hot bucket is split by adaptive skew handling.
     """
     n = lambda df, c: df.groupBy("table", "bucket").agg(F.ceil(F.count("*") / CELL).cast("int").alias(c))
-    cuts = F.broadcast(n(base, "base_cuts").join(n(asks, "ask_cuts").hint("merge"), ["table", "bucket"]))
+    cuts = materialise(n(base, "base_cuts").join(n(asks, "ask_cuts").hint("merge"), ["table", "bucket"]), "cuts").hint("merge")
     cut = lambda c: F.pmod(F.xxhash64("gid"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     left = base.join(cuts, ["table", "bucket"]).withColumn("x", cut("base_cuts")).withColumn("y", every("ask_cuts")).withColumn("asks", F.lit(False))
     right = asks.join(cuts, ["table", "bucket"]).withColumn("y", cut("ask_cuts")).withColumn("x", every("base_cuts")).withColumn("asks", F.lit(True))
     cols = ["table", "bucket", "x", "y", "asks", "gid", "vector"]
-    return left.select(*cols).unionByName(right.select(*cols)).groupBy("table", "bucket", "x", "y").applyInPandas(_search(k), FOUND)
+    return left.select(*cols).unionByName(right.select(*cols)).groupBy("table", "bucket", "x", "y").applyInPandas(_search(k, single), FOUND)
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 5, tables: int = TABLES, n_probes: int = PROBES, parts: int = 1) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, setting: Setting | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of each query, by cosine in double precision.
 
     vectors: vec_id, embedding (array of numbers); is_query: a Column over
-    vec_id. Every row is indexed in ``tables`` tables and every query looks into
-    ``n_probes`` buckets of each; ``parts`` hashes are joined for a bucket, 1
-    giving (2 x width) buckets, enough for millions of vectors. Candidates are
-    ranked by their exact cosine; ties go to the smaller vec_id. A query that
-    has found fewer than k is searched among all rows, in cells.
+    vec_id. Every row is indexed; ``setting`` is fitted to the vectors unless
+    given. Candidates are ranked by their exact cosine; ties go to the smaller
+    vec_id. A query that has found fewer than k is searched among all rows, in
+    cells.
 
     Rows whose vector or id is null, or whose vector is empty, zero or holds a
     null or a non-finite component take no part; vectors are compared with those
-    of their own length. Of rows with equal vec_id the one with the smallest vector counts. Equal
+    of their own length. Rows that share a vec_id are rows of their own: each is
+    a candidate of the others, and each query row has its own answer. Equal
     vectors are indexed once, with their k + 1 smallest ids, which is all that
-    an answer can hold of them. Other columns are ignored.
+    an answer can hold of them. Other columns are ignored; no rows give no rows.
     """
     e = F.col("embedding")
     value = F.transform(e, lambda x: x.cast("double"))
     bad = F.exists(value, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     fine = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & e.isNotNull() & ~bad & F.exists(value, lambda x: x != 0))
-    rows = fine.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("asks", is_query)
-    rows = materialise(rows, "vectors")
-    groups = rows.groupBy("embedding").agg(F.min("vec_id").alias("gid"), F.bool_or("asks").alias("asks"))
-    firsts = rows.withColumn("n", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("n") <= k + 1)
-    firsts = firsts.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    single = isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType)
+    rows = materialise(fine.withColumns({"asks": F.coalesce(is_query, F.lit(False)), "row": F.monotonically_increasing_id()}), "vectors")
+    groups = rows.groupBy("embedding").agg(F.min("row").alias("gid"), F.bool_or("asks").alias("asks"))
+    firsts = rows.withColumn("n", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id", "row"))).where(F.col("n") <= k + 1)
+    firsts = firsts.groupBy("embedding").agg(F.array_sort(F.collect_list(F.struct("vec_id", "row"))).alias("ids"))
     distinct = materialise(groups.join(firsts.hint("merge"), "embedding").select("gid", "asks", "ids", "embedding"), "distinct")
-    queries = rows.where("asks").join(distinct.select("gid", "embedding").hint("merge"), "embedding").select(F.col("vec_id").alias("query_id"), "gid")
+    queries = rows.where("asks").join(distinct.select("gid", "embedding").hint("merge"), "embedding").select(F.col("vec_id").alias("query_id"), "row", "gid")
     queries = materialise(queries, "queries")
 
-    base = materialise(distinct.select("gid", "embedding").mapInArrow(_sender(tables, parts, 1), SENT), "base")
-    asks = materialise(distinct.where("asks").select("gid", "embedding").mapInArrow(_sender(tables, parts, n_probes), SENT), "asks")
-    found = materialise(_cells(base, asks, k + 1), "found")
+    how = setting or fit(distinct.select("gid", "asks", "embedding"), k)
+    send = lambda df, count: materialise(df.select("gid", "embedding").mapInArrow(_sender(how, count, single), SENT), "sent")
+    found = materialise(_cells(send(distinct, 1), send(distinct.where("asks"), how.probes), k + 1, single), "found")
     answers = _answers(found, distinct, queries, k)
     n_rows = rows.count()
-    short = queries.join(answers.groupBy("query_id").count().hint("merge"), "query_id", "left").where(F.coalesce("count", F.lit(0)) < min(k, n_rows - 1)).select("gid").distinct()
+    short = queries.join(answers.groupBy(F.col("query_row").alias("row")).count().hint("merge"), "row", "left").where(F.coalesce("count", F.lit(0)) < min(k, n_rows - 1)).select("gid").distinct()
     short = materialise(short, "short")
     if short.limit(1).count():
-        whole = lambda df: df.select("gid", F.lit(-1).alias("table"), (F.size("embedding").cast("long")).alias("bucket"), "embedding").mapInArrow(_raw, SENT)
-        rest = _cells(materialise(whole(distinct), "all"), materialise(whole(distinct.join(short.hint("merge"), "gid", "left_semi")), "short"), k + 1)
+        whole = lambda df: df.select("gid", F.lit(-1).alias("table"), (F.size("embedding").cast("long")).alias("bucket"), "embedding").mapInArrow(_raw(single), SENT)
+        rest = _cells(materialise(whole(distinct), "all"), materialise(whole(distinct.join(short.hint("merge"), "gid", "left_semi")), "short"), k + 1, single)
         found = materialise(found.unionByName(rest), "found")
         answers = _answers(found, distinct, queries, k)
-    return answers
+    return answers.drop("query_row")
 
 
-def _raw(batches):
-    for part in pieces(batches, 4096):
-        vectors = [np.asarray(v, dtype=np.float64).tobytes() for v in part.column(3).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(vectors, pa.binary())], names=["gid", "table", "bucket", "vector"])
+def _raw(single: bool):
+    kind = np.float32 if single else np.float64
+
+    def run(batches):
+        for part in pieces(batches, 4096):
+            vectors = [np.asarray(v, dtype=kind).tobytes() for v in part.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(vectors, pa.binary())], names=["gid", "table", "bucket", "vector"])
+
+    return run
 
 
 def _answers(found: DataFrame, distinct: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -180,10 +268,10 @@ def _answers(found: DataFrame, distinct: DataFrame, queries: DataFrame, k: int)
     by = Window.partitionBy("query")
     top = found.distinct().withColumn("n", F.row_number().over(by.orderBy(F.desc("score"), "near"))).where(F.col("n") <= k + 1)
     ids = distinct.select(F.col("gid").alias("near"), "ids").hint("merge")
-    wide = top.join(ids, "near").select("query", "score", F.explode("ids").alias("vec_id"))
-    best = wide.withColumn("n", F.row_number().over(by.orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1)
-    lists = best.groupBy("query").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id"))).alias("all")).hint("merge")
+    wide = top.join(ids, "near").select("query", "score", F.explode("ids").alias("id"))
+    best = wide.withColumn("n", F.row_number().over(by.orderBy(F.desc("score"), "id.vec_id", "id.row"))).where(F.col("n") <= k + 1)
+    lists = best.groupBy("query").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "id"))).alias("all")).hint("merge")
     mine = queries.join(lists, queries["gid"] == lists["query"])
-    others = F.slice(F.filter("all", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    others = F.slice(F.filter("all", lambda x: x["id"]["row"] != F.col("row")), 1, k)
     one = F.col("one")
-    return mine.select("query_id", F.posexplode(others).alias("pos", "one")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), one["vec_id"].alias("vec_id"), (-one["less"]).alias("score"))
+    return mine.select("query_id", "row", F.posexplode(others).alias("pos", "one")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), one["id"]["vec_id"].alias("vec_id"), (-one["less"]).alias("score"), F.col("row").alias("query_row"))

@@ -120,11 +120,27 @@ def fit(training: DataFrame, trees: int = TREES, depth: int = TREE_DEPTH, penalt
     return Ensemble(float(lasso.intercept), tuple((r, w) for r, w in weights if w))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Ensemble:
-    """Fits on the rows of docs whose doc_id has a label; see fit(). Of several labels of an id the largest counts."""
+def labelled(known: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
+    """Rows of known (doc_id and statistics) whose doc_id has a label. Of several labels of an id the largest counts."""
     one = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
-    known = with_statistics(docs.select("doc_id", "text")).drop("text")
-    return fit(known.join(one.hint("shuffle_hash"), "doc_id"))
+    return known.join(one.hint("shuffle_hash"), "doc_id")
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Ensemble:
+    """Fits on the rows of docs whose doc_id has a label; see fit()."""
+    return fit(labelled(with_statistics(docs.select("doc_id", "text")).drop("text"), labels, label))
+
+
+def kept_by_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that an ensemble fitted on the labelled ones of them accepts, with the columns they came with.
+
+    Statistics are computed once per row and written beside it; both the fit and
+    the choice read them. Null texts count as empty; repeated rows are judged
+    each; without any label every score is 0.5 and all rows stay.
+    """
+    known = materialise(with_statistics(docs), "judged")
+    model = fit(labelled(known.drop("text"), labels))
+    return known.where(model.score() >= THRESHOLD).select(*docs.columns)
 
 
 def with_score(docs: DataFrame, model: Ensemble) -> DataFrame:
@@ -142,7 +158,6 @@ def held_out_scores(docs: DataFrame, labels: DataFrame, held_out: Column) -> Dat
     every score is 0.5.
     """
     known = materialise(with_statistics(docs.select("doc_id", held_out.alias("held_out"), "text")).drop("text"), "statistics")
-    one = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("label"))
-    model = fit(known.where("NOT held_out").join(one.hint("shuffle_hash"), "doc_id"))
+    model = fit(labelled(known.where("NOT held_out"), labels))
     out = known.withColumn("score", model.score())
     return out.select("doc_id", "held_out", "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))

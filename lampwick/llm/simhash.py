@@ -16,6 +16,8 @@ not linked yet, so a large group of near copies is not multiplied out.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,6 +28,7 @@ from pyspark.sql.window import Window
 
 from .common import materialise, materialise_at, pieces, words_of
 from .components import components
+from .suffix_tree import Vocabulary, filter_of, mixed, parts
 
 BITS, BLOCK, RADIUS = 64, 16, 3
 SEED = 42
@@ -61,13 +64,51 @@ def with_fingerprints(docs: DataFrame, shingle: int = 3, carry: tuple[str, ...]
     return docs.select(*carry, "text").mapInArrow(run, schema)
 
 
+#: Words of 32 bits in a wide fingerprint (an even number), and words in a shingle that it is made of. Short shingles change
+#: less than those of the similarity asked for: at a Jaccard similarity of 0.8 for five words, one bit in ten differs.
+WIDE, FEATURE = 6, 2
+#: Pairs that differ in more of the 192 bits aren't compared: at 0.8 some 18 differ, 4 more or less.
+FAR = 36
+
+
+def wide_fingerprints(texts: list[str | None], vocabulary: Vocabulary) -> np.ndarray:
+    """For each text the SimHash of WIDE times 32 bits (a uint32 each) over its distinct FEATURE-word shingles; zeros without words."""
+    hashes, numbers, sizes = vocabulary.read(texts)
+    owner, token = np.repeat(np.arange(len(sizes)), sizes), hashes[numbers]
+    key = mixed(np.roll(token, 1), token)  # the text's first word comes with what ended the text before
+    first = np.cumsum(sizes) - sizes
+    key[first] = mixed(np.zeros(len(first), dtype=np.uint64), token[first])
+    order = np.lexsort((key, owner))
+    owner, key = owner[order], key[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])
+    owner, key = owner[new], key[new]
+    n = np.bincount(owner, minlength=len(sizes))
+    counts = np.zeros((len(sizes), 32 * WIDE), dtype=np.int32)
+    for at in range(0, len(key), 1 << 15):
+        part, own = key[at : at + (1 << 15)], owner[at : at + (1 << 15)]
+        words = np.stack([mixed(part, np.full(len(part), k, dtype=np.uint64)) for k in range(WIDE // 2)], axis=1)
+        bits = np.unpackbits(words.view(np.uint8).reshape(len(part), -1), axis=1)
+        starts = np.nonzero(np.diff(own, prepend=-1))[0]
+        counts[own[starts]] += np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+    out = np.packbits(2 * counts > n[:, None], axis=1).view(np.uint32)
+    out[sizes < 2] = 0
+    return out
+
+
 def _ball(col: Column, bits: range) -> list[Column]:
     return [col, *(col.bitwiseXOR(F.lit(_signed(1 << i))) for i in bits)]
 
 
+def spread(df: DataFrame, key: str, rows: int = 20_000) -> DataFrame:
+    """Dealt over enough tasks for what each row will be multiplied into."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, df.count() // rows + 1), key)
+
+
 def near_roots(nodes: DataFrame) -> DataFrame:
     """(fp, root) for each distinct ``fp`` that has another within RADIUS bits; root is the smallest of its component."""
     fp = F.col("fp")
+    nodes = spread(nodes, "fp")
     near = nodes.select(fp, F.explode(F.array(*_ball(fp, range(BITS)))).alias("word"))
     first = near.select("fp", F.min("fp").over(Window.partitionBy("word")).alias("low")).where("fp <> low")
     close = components(first.select(F.col("fp").alias("a"), F.col("low").alias("b")))
@@ -117,19 +158,130 @@ def near_components(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return fps.join(by_fp.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """Keeps one row of each component: one with the smallest doc_id.
+def word_sets(texts: list[str | None], shingle: int, vocabulary: Vocabulary) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles; of its whole words where they are fewer."""
+    hashes, numbers, sizes = vocabulary.read(texts)
+    out, at = [], 0
+    for size in sizes.tolist():
+        words = hashes[numbers[at : at + size - 1]]
+        at += size
+        n = min(shingle, len(words))
+        key = words[: len(words) - n + 1] if n else words
+        for k in range(1, n):
+            key = mixed(key, words[k : len(words) - n + 1 + k])
+        out.append(np.unique(key).view(np.int64))
+    return out
+
+
+def _contents(batches):
+    """(number, content, f0, f1, f2): a hash of the words, equal for copies, and the wide fingerprint."""
+    vocabulary = Vocabulary()
+    for part in parts(batches, 1):
+        texts = part.column(1).to_pylist()
+        prints = wide_fingerprints(texts, vocabulary)
+        hashes, numbers, sizes = vocabulary.read(texts)
+        data, ends = hashes[numbers].tobytes(), np.cumsum(sizes) * 8
+        content = [xxhash.xxh3_128_digest(data[b - 8 * n : b]) for b, n in zip(ends.tolist(), sizes.tolist())]
+        longs = prints.view(np.int64)
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(content, pa.binary()), *(pa.array(np.ascontiguousarray(longs[:, k])) for k in range(WIDE // 2))], names=["number", "content", "f0", "f1", "f2"])
+
+
+def _sets(shingle: int, sent):
+    def run(batches):
+        vocabulary, wanted = Vocabulary(), sent.value
+        for part in parts(batches, 1):
+            part = part.filter(pa.array(wanted(part.column(0).to_numpy().view(np.uint64))))
+            sets = word_sets(part.column(1).to_pylist(), shingle, vocabulary)
+            offsets = np.concatenate([[0], np.cumsum(list(map(len, sets)), dtype=np.int64)]).astype(np.int32)
+            flat = np.concatenate(sets) if sets else np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "shingles"])
+
+    return run
+
+
+def _merged(known: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, comp) for every id of ``known`` after links (a, b) between comps; comp is the smallest."""
+    over = components(links).select(F.col("node").alias("comp"), F.col("root").alias("top"))
+    joined = known.join(over.hint("merge"), "comp", "left")
+    return materialise(joined.select("id", F.coalesce("top", "comp").alias("comp")), "comps")
+
+
+def similar_roots(nodes: DataFrame, numbered: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(id, comp) for the nodes that met others; nodes: id, f0, f1, f2; numbered: number, text.
 
-    Rows with equal doc_id are told apart by a number given when they are first
-    read and written, so of repeated rows one stays. Columns are as they came.
+    Each node is sent to the ball of radius 1 around each 32-bit word of its
+    fingerprint, so nodes within 2 bits in a word meet. Of those that meet at a
+    ball's word, each is first compared with the smallest and the largest one;
+    then only pairs that this has not joined are, so a large group of near copies
+    is not multiplied out, and no pair that met is left out. Pairs far apart in
+    the whole fingerprint are dropped, and the others stay if the Jaccard
+    similarity of their shingles is at least ``similarity``.
     """
-    names = docs.columns
-    number, own = "_row_number_here", materialise_at
-    numbered, _ = own(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
-    fps = materialise(with_fingerprints(numbered, shingle, ("doc_id", number)), "fps")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("void"), F.col("doc_id"), F.col(number))).alias("first")
-    nodes = materialise(fps.groupBy("fp").agg(first), "nodes")
-    roots = near_roots(nodes.select("fp"))
-    placed = nodes.join(roots.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    keep = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col(f"first.{number}").alias(number))
+    half = F.lit((1 << 32) - 1)
+    words = []
+    for k in range(WIDE):
+        long = F.col(f"f{k // 2}")
+        word = (long.bitwiseAND(half) if k % 2 == 0 else F.shiftrightunsigned(long, 32)).bitwiseOR(F.lit(k << 32))
+        words += _ball(word, range(32))
+    word = Window.partitionBy("word").orderBy("id")
+    near = spread(nodes, "id").select("id", F.explode(F.array(*words)).alias("word"))
+    # running frames: a task never holds what meets at a word
+    met = near.select("id", "word", F.first("id").over(word).alias("low"), F.lead("id").over(word).alias("next"))
+    met = materialise(met.where("id <> low OR next IS NOT NULL"), "met")
+    ids = materialise(met.select("id").distinct(), "met_ids")
+    sent = numbered.sparkSession.sparkContext.broadcast(filter_of(ids.select(F.col("id").alias("key"))))
+    sets = numbered.select("number", "text").mapInArrow(_sets(shingle, sent), "id long, shingles array<long>")
+    sets = materialise(sets.join(ids.hint("merge"), "id", "left_semi").join(nodes.hint("merge"), "id"), "sets")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) of ids that are similar."""
+        side = lambda c, *more: sets.select(F.col("id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in more)).hint("merge")
+        prints = [f"f{k}" for k in range(WIDE // 2)]
+        apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{f}_a").bitwiseXOR(F.col(f"{f}_b"))) for f in prints))
+        close = pairs.distinct().join(side("a", *prints), "a").join(side("b", *prints), "b").where(apart <= FAR).select("a", "b")
+        both = close.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b")
+        same = F.size(F.array_intersect("shingles_a", "shingles_b"))
+        held = same >= F.lit(similarity) * (F.size("shingles_a") + F.size("shingles_b") - same)
+        return materialise(both.where(held).select("a", "b"), "alike")
+
+    comps = ids.select("id", F.col("id").alias("comp"))
+    ends = met.groupBy("word").agg(F.min("id").alias("low"), F.max("id").alias("high")).hint("merge")
+    stars = met.select("id", "word").join(ends, "word")
+    star = lambda c: stars.where(F.col("id") != F.col(c)).select(F.least("id", c).alias("a"), F.greatest("id", c).alias("b"))
+    comps = _merged(comps, alike(star("low").unionByName(star("high"))))
+    labelled = met.select("id", "word").join(comps.hint("merge"), "id")
+    mixed_words = labelled.groupBy("word").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("word")
+    apart = materialise(labelled.join(mixed_words.hint("merge"), "word", "left_semi"), "apart")
+    one, two = (apart.select("word", F.col("id").alias(c), F.col("comp").alias(f"comp_{c}")) for c in "ab")
+    pairs = one.hint("merge").join(two, "word").where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b"))).select("a", "b")
+    links = alike(pairs)
+    of = lambda c: comps.select(F.col("id").alias(c), F.col("comp").alias(f"comp_{c}")).hint("merge")
+    tops = links.join(of("a"), "a").join(of("b"), "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
+    return _merged(comps, tops)
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Keeps one row of each group of similar texts: one with the smallest doc_id, null last.
+
+    Texts with the same words are copies; others are linked where their sets of
+    ``shingle``-word shingles have a Jaccard similarity of ``similarity`` or more,
+    and groups are what links connect. Links are found by ball hashing of a wide
+    SimHash (similar_roots); it misses those whose fingerprints differ in over 2
+    bits in each of WIDE words. Null, empty and blank texts are copies of each
+    other. Rows with equal doc_id are told apart by a number given when they are
+    first read and written, so of repeated rows one stays. Columns are as they
+    came; a column named _row_number_here isn't kept. No rows give no rows.
+    """
+    number = "_row_number_here"
+    names = [c for c in docs.columns if c.lower() != number]
+    numbered, _ = materialise_at(docs.select(*names).withColumn(number, F.monotonically_increasing_id()), "numbered")
+    texts = numbered.select(F.col(number).alias("number"), "text")
+    prints = texts.mapInArrow(_contents, "number long, content binary, f0 long, f1 long, f2 long")
+    prints = prints.hint("merge").join(numbered.select(F.col(number).alias("number"), "doc_id"), "number")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "number")).alias("first")
+    nodes = prints.groupBy("content").agg(first, *(F.min(f"f{k}").alias(f"f{k}") for k in range(WIDE // 2)))
+    nodes = materialise(nodes.select("first", F.col("first.number").alias("id"), *(f"f{k}" for k in range(WIDE // 2))), "nodes")
+    roots = similar_roots(nodes.drop("first"), texts, shingle, similarity)
+    placed = nodes.join(roots.hint("merge"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    keep = placed.groupBy("comp").agg(F.min("first").alias("first")).select(F.col("first.number").alias(number))
     return numbered.join(keep.hint("shuffle_hash"), number, "left_semi").select(*names)

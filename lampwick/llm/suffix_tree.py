@@ -2,13 +2,14 @@
 
 Tokens are words with A-Z lowered, and one end after each text. The root of the
 tree gives each token (c + 1) / (N + V + 1). A context, the last one to DEPTH
-words, is retained where it predicts what follows it better than its suffix
-does: over its occurrences, the sum of the log ratio of both probabilities, each
-taken without the occurrence itself (so that chance repeats don't count), is at
-least DIVERGENCE. Its next-token distribution is smoothed by that of its suffix:
-tokens seen LEAST times or more have their counts, all others share the rest, in
-which PRIOR and the rarer ones go. A token is scored in the longest retained
-context before it; the suffix of a context is its longest retained one.
+words, remembers the tokens that follow it LEAST times or more and of which it
+tells at least REMEMBER nats: over their occurrences, the log ratio of their
+probability in the context to that in its suffix, each occurrence being judged
+by the others (so that chance repeats don't count). All others share the rest of
+its distribution, PRIOR among it, as its suffix gives them. A context is retained
+where this tells DIVERGENCE nats or more of all that follows it. A token is
+scored in the longest retained context before it; the suffix of a context is its
+longest retained one.
 
 Everything is counted over all training texts and lies in Spark tables keyed by
 64-bit hashes of words, contexts and windows (context and token), so the tree
@@ -35,15 +36,15 @@ from pyspark.sql import types as T
 
 from .common import crc_mod, discard, materialise_at, words_of
 
-DEPTH = 3
-#: A context remembers tokens that follow it so many times or more.
+DEPTH = 2
+#: Occurrences that a context can remember a token from; also the least of a context.
 LEAST = 2
 #: Weight of the suffix's distribution in a context's own.
 PRIOR = 4.0
-#: Nats by which a context must predict better than its suffix.
-DIVERGENCE = 6.0
+#: Nats that a remembered token, and a retained context, must tell.
+REMEMBER, DIVERGENCE = 4.0, 6.0
 #: A key with this share of all tokens or more is sent to every task: at most 1 / HEAD_SHARE of them for each kind.
-HEAD_SHARE = 1e-6
+HEAD_SHARE = 2.5e-7
 #: The bit filter has at most 2 ** FILTER_BITS words of 64 bits.
 FILTER_BITS = 21
 #: Texts of so many bytes, or one text, are held by a task at a time.
@@ -79,16 +80,16 @@ class Vocabulary:
         self.numbers, self.hashes = _Numbers(), np.zeros(0, dtype=U)
 
     def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Words' hashes by number; numbers of all tokens, DEPTH starts before each text; and each text's number of tokens."""
+        """Words' hashes by number, the start's being 0; numbers of all tokens; and each text's number of tokens."""
         if len(self.numbers) > self.most:
             self.clear()
         get = self.numbers.__getitem__
-        pad = [get(START)] * DEPTH
+        get(START)
         end = get(END)
         rows, sizes = [], []
         for text in texts:
             words = words_of(text)
-            rows.append(np.fromiter((*pad, *map(get, words), end), dtype=np.int32, count=DEPTH + len(words) + 1))
+            rows.append(np.fromiter((*map(get, words), end), dtype=np.int32, count=len(words) + 1))
             sizes.append(len(words) + 1)
         new = list(islice(self.numbers, len(self.hashes), None))
         fresh = np.fromiter((xxhash.xxh64_intdigest(w) for w in new), dtype=U, count=len(new))
@@ -112,9 +113,10 @@ def filter_of(keys: DataFrame) -> Filter:
     bits = min(FILTER_BITS, max(6, keys.count().bit_length()))
     one, key = F.lit(1).cast("long"), F.col("key")
     bit = lambda by: F.call_function("shiftleft", one, F.shiftright(key, by).bitwiseAND(F.lit(63)).cast("int"))
-    slots = keys.groupBy(F.shiftrightunsigned(key, 64 - bits).alias("slot")).agg(F.bit_or(bit(0).bitwiseOR(bit(6))).alias("word")).toPandas()
+    slots = keys.groupBy(F.shiftrightunsigned(key, 64 - bits).alias("slot")).agg(F.bit_or(bit(0).bitwiseOR(bit(6))).alias("word")).toArrow()
     out = np.zeros(1 << bits, dtype=np.int64)
-    out[slots["slot"].to_numpy()] = slots["word"].to_numpy()
+    for part in slots.to_batches():
+        out[part["slot"].to_numpy()] = part["word"].to_numpy()
     return Filter(out.view(U))
 
 
@@ -133,158 +135,162 @@ def parts(batches, text: int):
 
 
 class Places:
-    """The tokens of some texts, each with those before it; no context reaches further back than one start."""
+    """The tokens of some texts with the windows that end in them; none reaches further back than one start.
+
+    The key of a context of k words is that of the window that its last word ends, so it also names that window. The key of
+    a window is a hash of its context and of the window one word shorter that ends with it, which is the token itself at last.
+    """
 
     def __init__(self, hashes: np.ndarray, numbers: np.ndarray, sizes: np.ndarray):
-        first = np.cumsum(sizes + DEPTH) - sizes
         self.owner = np.repeat(np.arange(len(sizes)), sizes)
         self.place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self.at = self.place + np.repeat(first, sizes)
-        self.numbers = numbers[self.at]
-        self.hash = hashes[numbers]
-        self.token = self.hash[self.at]
-
-    def context(self, which: np.ndarray, length: int) -> np.ndarray:
-        """Keys of the last ``length`` words before some tokens."""
-        at = self.at[which]
-        out = self.hash[at - 1]
-        for back in range(2, length + 1):
-            out = mixed(out, self.hash[at - back])
-        return out
+        self.numbers, self.token, self.start = numbers, hashes[numbers], hashes[0]
 
-    def window(self, which: np.ndarray, context: np.ndarray | None) -> np.ndarray:
-        """Keys of context and token; of the token alone without a context."""
-        token = self.token[which]
-        return token if context is None else mixed(~context, token)
+    def levels(self, depth: int):
+        """For each length, the keys of the contexts of all tokens and of their windows, and the tokens that have so long a context."""
+        key = self.token
+        for length in range(1, depth + 1):
+            context = np.roll(key, 1)
+            if length == 1:
+                context[self.place == 0] = self.start
+            key = mixed(~context, key)
+            yield context, key, np.nonzero(self.place >= length - 1)[0]
 
-    def open(self, length: int, repeated: Filter | None) -> tuple[np.ndarray, np.ndarray]:
-        """The tokens whose window with ``length`` words may repeat, and the keys of all tokens' windows one word shorter.
+    def open(self, length: int, repeated: Filter | None) -> tuple[np.ndarray, ...]:
+        """Of windows with ``length`` words that may repeat: keys, contexts, and the windows one word shorter at the old end.
 
         A window repeats only where both windows in it do that are one word shorter.
         """
-        if length == 1:
-            return np.arange(len(self.token)), self.token
-        every = np.nonzero(self.place >= length - 2)[0]
-        low = np.zeros(len(self.token), dtype=U)
-        low[every] = self.window(every, self.context(every, length - 1))
-        held = np.zeros(len(self.token), dtype=bool)
-        held[every] = repeated(low[every])
-        return np.nonzero((self.place >= length - 1) & held & np.roll(held, 1))[0], low
+        low = self.token
+        for at, (context, key, which) in enumerate(self.levels(length), 1):
+            if at == length:
+                break
+            low = key
+        if length > 1:
+            which = which[repeated(context[which])]
+            which = which[repeated(low[which])]
+        return key[which], context[which], low[which]
 
 
 COUNTED = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
-NAMED = pa.schema([("key", pa.int64()), ("context", pa.int64()), ("low", pa.int64()), ("top", pa.int64())])
+NAMED = pa.schema([("context", pa.int64()), ("low", pa.int64()), ("n", pa.int64())])
 
 
 def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _counter(length: int, sent):
-    """Counts of windows of ``length`` words and a token that may repeat (kind 1); with one word, of tokens and starts too (kind 0)."""
+def _counter(batches):
+    """Counts of tokens and starts (kind 0), and of windows of one word and a token (kind 1)."""
+    vocabulary = Vocabulary()
+    for part in parts(batches, 0):
+        places = Places(*vocabulary.read(part.column(0).to_pylist()))
+        starts = np.full(int((places.place == 0).sum()), places.start, dtype=U)
+        for kind, keys in enumerate((np.concatenate([places.token, starts]), places.open(1, None)[0])):
+            distinct, n = np.unique(keys, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, dtype=np.int32)), _longs(distinct), pa.array(n)], schema=COUNTED)
+
+
+def _windows(length: int, sent):
+    """Windows of ``length`` words and a token that may repeat, with their counts; the context and the shorter window name one."""
 
     def run(batches):
         vocabulary, repeated = Vocabulary(), sent.value
         for part in parts(batches, 0):
-            hashes, numbers, sizes = vocabulary.read(part.column(0).to_pylist())
-            places = Places(hashes, numbers, sizes)
-            alive, _ = places.open(length, repeated)
-            kinds = [(1, places.window(alive, places.context(alive, length)))]
+            places = Places(*vocabulary.read(part.column(0).to_pylist()))
+            keys, context, low = places.open(length, repeated)
+            key, first, n = np.unique(keys, return_index=True, return_counts=True)
             if length == 1:
-                kinds.append((0, np.concatenate([places.token, np.full(len(sizes), hashes[0], dtype=U)])))
-            for kind, keys in kinds:
-                distinct, n = np.unique(keys, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, dtype=np.int32)), _longs(distinct), pa.array(n)], schema=COUNTED)
+                held = repeated(key)
+                key, first, n = key[held], first[held], n[held]
+            yield pa.RecordBatch.from_arrays([_longs(context[first]), _longs(low[first]), pa.array(n)], schema=NAMED)
 
     return run
 
 
-def _namer(length: int, sent):
-    """Of the windows that repeat, the context, and the windows in it that are one word shorter: its later part and its earlier one."""
-
-    def run(batches):
-        vocabulary, (shorter, repeated) = Vocabulary(), sent.value
-        for part in parts(batches, 0):
-            places = Places(*vocabulary.read(part.column(0).to_pylist()))
-            alive, low = places.open(length, shorter)
-            context = places.context(alive, length)
-            key, first = np.unique(places.window(alive, context), return_index=True)
-            held = repeated(key)
-            key, first = key[held], first[held]
-            top = context[first] if length == 1 else low[alive[first] - 1]
-            yield pa.RecordBatch.from_arrays([_longs(key), _longs(context[first]), _longs(low[alive[first]]), _longs(top)], schema=NAMED)
-
-    return run
+def _keyed(batches):
+    """Adds the key of each window, from its context and the window one word shorter."""
+    for batch in batches:
+        context, low = (batch.column(i).to_numpy(zero_copy_only=False).view(U) for i in range(2))
+        yield pa.RecordBatch.from_arrays([_longs(mixed(~context, low)), *batch.columns], names=["key", *batch.schema.names])
 
 
 class Model:
     """The tree as a table: key, kind (0 token, 1 window, 2 rest of a context), n, value (log10); with N and V.
 
     The value of a token is log10(c + 1); of a window its gain over the share of
-    its context's rest that it would have had; of a context its rest.
+    its context's rest that it would have had; of a context its rest. Tasks have
+    summed their own counts, so rows are sent to their key as they are.
     """
 
     def __init__(self, docs: DataFrame, train: Column, depth: int = DEPTH):
         self.spark = docs.sparkSession
         self.texts = docs.where(train).select("text")
-        repeated, shorter, totals, parts_of = None, None, None, []
+        counted = self.texts.mapInArrow(_counter, "kind int, key long, n long").repartition("key").groupBy("key", "kind").agg(F.sum("n").alias("n"))
+        first, _ = materialise_at(counted.where((F.col("kind") == 0) | (F.col("n") >= LEAST)), "counts")
+        counts = first.where("kind = 0").select("key", "n")
+        start = mixed(np.zeros(1, dtype=U), np.array([xxhash.xxh64_intdigest(START)], dtype=U)).view(np.int64)[0]
+        tokens = counts.where(F.col("key") != F.lit(int(start)))
+        self.n, self.v = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long"), F.count("*")).first()
+        values = [tokens.select("key", F.lit(0).alias("kind"), "n", F.log10(F.col("n") + 1.0).alias("value"))]
+        totals = counts.select(F.col("key").alias("context"), F.col("n").alias("total"))
+        lower = tokens.select(F.col("key").alias("low"), F.log((F.col("n") + 1.0) / (self.n + self.v + 1.0)).alias("lp"))
+        repeated = filter_of(first.where("kind = 1"))
         for length in range(1, depth + 1):
-            counts, counts_at = self._counts(length, repeated)
-            if length == 1:
-                start = mixed(np.zeros(1, dtype=U), np.array([xxhash.xxh64_intdigest(START)], dtype=U)).view(np.int64)[0]
-                totals = counts.where("kind = 0").select(F.col("key").alias("top"), F.col("n").alias("total"))
-                tokens = counts.where((F.col("kind") == 0) & (F.col("key") != F.lit(int(start))))
-                self.n, self.v = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long"), F.count("*")).first()
-                parts_of.append(tokens.select("key", F.lit(0).alias("kind"), "n", F.log10(F.col("n") + 1.0).alias("value")))
-                shorter = tokens.select(F.col("key").alias("low"), F.log((F.col("n") + 1.0) / (self.n + self.v + 1.0)).alias("lp"))
-            own = counts.where("kind = 1").select("key", "n")
-            windows, windows_at, repeated = self._windows(length, own, repeated, totals, shorter)
+            windows, windows_at = self._repeating(length, repeated, totals, lower)
             contexts, _ = materialise_at(self._retained(windows), "contexts")
             p, n = F.exp("lp"), F.col("n")
-            grown = windows.join(contexts.select("context", "whole", "rest").hint("merge"), "context", "left")
-            grown = grown.select("key", "n", F.coalesce(F.log((n + F.col("rest") * p) / (F.col("whole") + PRIOR)), F.col("lp")).alias("lp"), F.log10(1.0 + n / (F.col("rest") * p)).alias("value"))
+            grown = windows.join(contexts.hint("shuffle_hash"), "context", "left")
+            own = F.when(F.col("told"), n).otherwise(0)
+            grown = grown.select("key", "n", F.coalesce(F.log((own + F.col("rest") * p) / (F.col("whole") + PRIOR)), F.col("lp")).alias("lp"), F.when(F.col("told"), F.log10(1.0 + n / (F.col("rest") * p))).alias("value"))
+            if length == depth:
+                grown = grown.where("value IS NOT NULL")
             grown, _ = materialise_at(grown, "windows")
             discard(self.spark, windows_at)
-            parts_of.append(grown.where("value IS NOT NULL").select("key", F.lit(1).alias("kind"), "n", "value"))
-            parts_of.append(contexts.select(F.col("context").bitwiseXOR(F.lit(BACK)).alias("key"), F.lit(2).alias("kind"), F.col("whole").alias("n"), F.log10(F.col("rest") / (F.col("whole") + PRIOR)).alias("value")))
-            if repeated.empty:
-                break
-            totals = own.select(F.col("key").alias("top"), F.col("n").alias("total"))
-            shorter = grown.select(F.col("key").alias("low"), "lp")
-        self.values = reduce(DataFrame.unionByName, parts_of)
-
-    def _counts(self, length: int, repeated: Filter | None) -> tuple[DataFrame, str]:
-        """Tokens, and windows met LEAST times. Tasks have summed their own, so rows go to their key as they are."""
-        counted = self.texts.mapInArrow(_counter(length, self.spark.sparkContext.broadcast(repeated)), "kind int, key long, n long")
-        summed = counted.repartition("key").groupBy("key", "kind").agg(F.sum("n").alias("n"))
-        return materialise_at(summed.where((F.col("kind") == 0) | (F.col("n") >= LEAST)), "counts")
-
-    def _windows(self, length: int, own: DataFrame, shorter: Filter | None, totals: DataFrame, low: DataFrame) -> tuple[DataFrame, str, Filter]:
-        """key, context, n, total (of the context), lp (log probability in the longest retained suffix) of the windows that repeat."""
-        repeated = filter_of(own)
-        sent = self.spark.sparkContext.broadcast((shorter, repeated))
-        named = self.texts.mapInArrow(_namer(length, sent), "key long, context long, low long, top long")
-        named = named.repartition("key").groupBy("key").agg(*(F.min(c).alias(c) for c in ("context", "low", "top")))
-        df = named.join(own.hint("merge"), "key").join(totals.hint("merge"), "top").join(low.hint("merge"), "low")
-        return *materialise_at(df.select("key", "context", "n", "total", "lp"), "named"), repeated
+            values.append(grown.where("value IS NOT NULL").select("key", F.lit(1).alias("kind"), "n", "value"))
+            values.append(contexts.select(F.col("context").bitwiseXOR(F.lit(BACK)).alias("key"), F.lit(2).alias("kind"), F.col("whole").alias("n"), F.log10(F.col("rest") / (F.col("whole") + PRIOR)).alias("value")))
+            totals = grown.select(F.col("key").alias("context"), F.col("n").alias("total"))
+            lower = grown.select(F.col("key").alias("low"), "lp")
+            if length < depth:
+                repeated = filter_of(grown)
+                if repeated.empty:
+                    break
+        self.values = reduce(DataFrame.unionByName, values)
+
+    def _repeating(self, length: int, may: Filter, totals: DataFrame, lower: DataFrame) -> tuple[DataFrame, str]:
+        """key, context, n, total (of the context), lp (log probability in the longest retained suffix) of windows met LEAST times."""
+        sent = self.spark.sparkContext.broadcast(may)
+        named = self.texts.mapInArrow(_windows(length, sent), "context long, low long, n long").repartition("context", "low")
+        named = named.groupBy("context", "low").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+        named, named_at = materialise_at(named.mapInArrow(_keyed, "key long, context long, low long, n long"), "named")
+        sent.destroy()
+        df = named.join(totals.hint("shuffle_hash"), "context").join(lower.hint("shuffle_hash"), "low")
+        out = materialise_at(self._told(df.select("key", "context", "n", "total", "lp")), "placed")
+        discard(self.spark, named_at)
+        return out
+
+    @staticmethod
+    def _told(windows: DataFrame) -> DataFrame:
+        """Adds told, whether a context remembers the window, and gain, what it gains by that."""
+        n, lp = F.col("n"), F.col("lp")
+        gain = n * (F.log(n - 1.0 + PRIOR * F.exp(lp)) - F.log(F.col("total") - 1.0 + PRIOR) - lp)
+        return windows.withColumn("gain", gain).withColumn("told", F.col("gain") >= REMEMBER)
 
     @staticmethod
     def _retained(windows: DataFrame) -> DataFrame:
-        n, lp, whole = F.col("n"), F.col("lp"), F.col("whole")
-        one = n * (F.log(n - 1.0 + PRIOR * F.exp(lp)) - lp)
-        sums = windows.groupBy("context").agg(F.max("total").alias("whole"), F.sum("n").alias("seen"), F.sum(one).alias("part"))
-        alone = whole - F.col("seen")
-        # a token seen once has no count left without itself, so its ratio is PRIOR to what is left of the context
-        gain = F.col("part") + alone * F.log(F.lit(PRIOR)) - whole * F.log(whole - 1.0 + PRIOR)
-        return sums.withColumns({"rest": alone + PRIOR, "gain": gain}).where(F.col("gain") >= DIVERGENCE)
+        """context, whole, rest of the contexts that gain enough by what they remember, less what the others lose in the rest."""
+        told = windows.where("told").groupBy("context").agg(F.max("total").alias("whole"), F.sum("n").alias("seen"), F.sum("gain").alias("gain"))
+        alone, whole = F.col("whole") - F.col("seen"), F.col("whole")
+        loss = alone * F.log((alone - 1.0 + PRIOR) / (whole - 1.0 + PRIOR))
+        return told.where(F.col("gain") + loss >= DIVERGENCE).select("context", "whole", (alone + PRIOR).alias("rest"))
 
     def send(self) -> None:
-        """What scoring tasks get: the filter, and the head's keys, values and which of them are tokens."""
+        """What scoring tasks get: the filter of contexts and windows, and the head's keys and values."""
         values = self.values
-        head = values.where(F.col("n") >= max(1.0, HEAD_SHARE * self.n)).select("key", "value").toPandas()
-        keys = head["key"].to_numpy().view(U) if len(head) else np.zeros(0, dtype=U)
+        head = values.where(F.col("n") >= max(1.0, HEAD_SHARE * self.n)).select("key", "value").toArrow()
+        keys = head["key"].to_numpy().view(U)
         order = np.argsort(keys)
-        self.sent = self.spark.sparkContext.broadcast((filter_of(values), keys[order], head["value"].to_numpy(dtype=np.float64)[order]))
+        self.sent = self.spark.sparkContext.broadcast((filter_of(values.where("kind > 0")), keys[order], head["value"].to_numpy()[order]))
         self.tail = values.where(F.col("n") < max(1.0, HEAD_SHARE * self.n)).select("key", "kind", "value")
 
 
@@ -310,21 +316,18 @@ def _scorer(sent, depth: int):
             rows = part.num_rows
             hashes, numbers, sizes = vocabulary.read(part.column(1).to_pylist())
             places = Places(hashes, numbers, sizes)
-            there = passes(hashes)
             held, value = ask(hashes)
             own = places.numbers
             known = _sums(places.owner[held[own]], None, rows)
             base = _sums(places.owner, np.where(held, value, 0.0)[own], rows)
             more = np.zeros(rows)
-            rest = (there & ~held)[own]
+            rest = ~held[own]
             left = [(places.owner[rest], places.token[rest])]
-            for length in range(1, depth + 1):
-                alive = np.nonzero(places.place >= length - 1)[0]
-                context = places.context(alive, length)
-                back = context ^ U(BACK)
+            for context, window, alive in places.levels(depth):
+                back = context[alive] ^ U(BACK)
                 seen = passes(back)
-                alive, context, back = alive[seen], context[seen], back[seen]
-                window = places.window(alive, context)
+                alive, back = alive[seen], back[seen]
+                window = window[alive]
                 fine = passes(window)
                 owner = np.concatenate([places.owner[alive], places.owner[alive[fine]]])
                 asked = np.concatenate([back, window[fine]])

@@ -7,11 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..workdir import looked_up
 from .common import materialise, n_words, text_of
 
 KEY = ["conv_id", "call_id"]
-#: A catalogue of up to so many arguments is sent to every task, a larger one is joined by the tool's name.
-CATALOGUE = 10_000
 #: What schema_of_variant says of a value, by the type that a schema asks for.
 TYPES = {"string": "^STRING$", "integer": "^BIGINT$", "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "boolean": "^BOOLEAN$", "array": "^ARRAY", "object": "^OBJECT"}
 
@@ -102,8 +101,7 @@ def link_tool_calls(events: DataFrame, schemas: DataFrame) -> DataFrame:
     nameless = e.where(F.col("conv_id").isNull() | F.col("call_id").isNull()).select("*", *blank)
     df = named.join(facts.hint("merge"), KEY, "left").select(*nameless.columns).unionByName(nameless)
     specs = schemas.groupBy("tool").agg(F.array_sort(F.collect_list(F.struct("arg", "type", "required"))).alias("spec"))
-    few = schemas.limit(CATALOGUE + 1).count() <= CATALOGUE
-    df = df.join(F.broadcast(specs) if few else specs.hint("merge"), F.col("name") == F.col("tool"), "left")
+    df = df.join(looked_up(specs), F.col("name") == F.col("tool"), "left")
     df = df.withColumn("value", parsed(F.col("arguments"))).withColumn("map", F.try_variant_get("value", "$", "map<string,variant>"))
     call, result, here = F.col("kind") == "call", F.col("kind") == "result", F.col("first_pos").isNotNull()
     errors = F.when(call & F.col("map").isNotNull() & F.col("spec").isNotNull(), argument_errors(F.col("map"), F.col("spec")))

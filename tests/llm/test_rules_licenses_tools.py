@@ -1,3 +1,6 @@
+import math
+import re
+import unicodedata
 import json
 
 import pytest
@@ -52,6 +55,31 @@ def test_rules_are_conjunctions_and_compile(spark, docs, labels):
     assert rows[0].score == pytest.approx(1 / (1 + 2.718281828459045**-2.5)) and len(rows[0]) == 4
 
 
+def plain_statistics(text):
+    words = [w for w in re.split(r"[ \t-\r]+", text) if w]
+    lines = [x for x in text.split("\n") if x.strip(" ")]
+    part = lambda a, b: a / b if b else 0.0
+    count = lambda p: len(re.findall(p, text))
+    n, chars = len(words), len(text)
+    return {
+        "n_words": n, "word_length": part(chars, n), "distinct_words": part(len(set(words)), n), "repeated_next": part(sum(a == b for a, b in zip(words, words[1:])), n), "distinct_lines": part(len(set(lines)), len(lines)), "line_words": part(n, len(lines)),
+        "symbols": part(count(r"[#*$%&<>=_~^{}\[\]\\]"), n), "bars": part(count(r"\|"), n), "marks": part(count(r"[!?]"), n), "stops": part(count(r"[.,;:]"), n),
+        "capitals": part(sum(unicodedata.category(c) == "Lu" for c in text), chars), "digits": part(count(r"[0-9]"), chars), "letters": part(sum(unicodedata.category(c)[0] == "L" for c in text), chars),
+    }
+
+
+def test_scores_against_plain_python(spark, sample, edge_docs):
+    """Statistics, rules and weights evaluated by hand give the query's scores, of odd texts too."""
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = R.train(sample, labels)
+    assert model.weights and all(set(dict.fromkeys(n for n, _, _ in rule.parts)) <= set(R.NAMES) for rule, _ in model.weights)
+    for docs in (sample, edge_docs.select("doc_id", "text")):
+        for r in R.with_score(docs, model).collect():
+            have = plain_statistics(r.text or "")
+            total = model.intercept + sum(w for rule, w in model.weights if all((have[n] <= b) == low for n, low, b in rule.parts))
+            assert r.score == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-9), r.doc_id
+
+
 def test_rule_edges(spark, edge_docs, no_docs, edge_rows):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = R.held_out_scores(edge_docs, none, crc_mod("doc_id", 5) == 0).collect()

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from itertools import combinations
 
 import xxhash
@@ -81,6 +82,55 @@ def test_edges(edge_docs, no_docs, edge_rows):
     assert simhash.near_components(no_docs).collect() == []
 
 
+def plain_shingles(text, n=5):
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1)))
+
+
+def similar_pairs(texts, least=0.8):
+    """All pairs of places whose shingle sets have a Jaccard similarity of ``least`` or more, by shared shingles."""
+    sets = [plain_shingles(t) for t in texts]
+    holders = {}
+    for i, own in enumerate(sets):
+        for x in own:
+            holders.setdefault(x, []).append(i)
+    seen = Counter(p for held in holders.values() for p in combinations(held, 2))
+    return {(a, b) for (a, b), n in seen.items() if n >= least * (len(sets[a]) + len(sets[b]) - n)}
+
+
+def edited(rng, words, share):
+    return " ".join(rng.choice(words) + "x" if rng.random() < share else w for w in words)
+
+
+def test_similar_texts_against_all_pairs(spark):
+    """No link is made that isn't one, and nearly all there are."""
+    rng = random.Random(6)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
+    for share in (0.005, 0.01, 0.015, 0.02):
+        texts += [edited(rng, (texts[i] or "x").split(), share) for i in rng.sample(range(1000), 60) if len((texts[i] or "").split()) > 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pairs = similar_pairs(texts)
+    want = groups(range(len(texts)), pairs)
+    left = {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}
+    assert set(want.values()) <= left  # the smallest of each group stays
+    gone = len(texts) - len(set(want.values()))
+    found = len(texts) - len(left)
+    assert gone > 200 and found >= 0.95 * gone, (found, gone)
+    found_of_different = sum(b not in left for a, b in pairs if texts[a] != texts[b])
+    assert found_of_different >= 0.95 * sum(texts[a] != texts[b] for a, b in pairs)
+
+
+def test_a_large_group_of_near_copies(spark):
+    """Copies of one text, each with other edits: groups are those of all pairs, also where some are like few others only."""
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    texts = [edited(rng, words, rng.choice((0.005, 0.01, 0.02, 0.04))) for _ in range(400)]
+    want = groups(range(len(texts)), similar_pairs(texts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}
+    assert set(want.values()) <= left and len(left) <= len(set(want.values())) + 8
+
+
 def test_dropping_keeps_one_row_of_each_group(edge_docs, no_docs):
     kept = simhash.drop_near_duplicates(edge_docs)
     assert kept.columns == edge_docs.columns
@@ -93,3 +143,4 @@ def test_a_hot_group_makes_no_pairs(spark):
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("one text that is there very often").alias("text"))
     got = simhash.near_components(rows)
     assert got.groupBy("component_id").count().collect()[0]["count"] == 3000
+    assert [r.doc_id for r in simhash.drop_near_duplicates(rows).collect()] == [0]
