@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import materialise, materialise_at, pieces, words_of
+from .common import discard, materialise, materialise_at, pieces, words_of
 from .components import components
 from .suffix_tree import Vocabulary, filter_of, mixed, parts
 
@@ -227,11 +227,18 @@ def similar_roots(nodes: DataFrame, numbered: DataFrame, shingle: int, similarit
     near = spread(nodes, "id").select("id", F.explode(F.array(*words)).alias("word"))
     # running frames: a task never holds what meets at a word
     met = near.select("id", "word", F.first("id").over(word).alias("low"), F.lead("id").over(word).alias("next"))
-    met = materialise(met.where("id <> low OR next IS NOT NULL"), "met")
-    ids = materialise(met.select("id").distinct(), "met_ids")
+    spare = []
+
+    def kept(df: DataFrame, tag: str) -> DataFrame:
+        table, path = materialise_at(df, tag)
+        spare.append(path)
+        return table
+
+    met = kept(met.where("id <> low OR next IS NOT NULL"), "met")
+    ids = kept(met.select("id").distinct(), "met_ids")
     sent = numbered.sparkSession.sparkContext.broadcast(filter_of(ids.select(F.col("id").alias("key"))))
     sets = numbered.select("number", "text").mapInArrow(_sets(shingle, sent), "id long, shingles array<long>")
-    sets = materialise(sets.join(ids.hint("merge"), "id", "left_semi").join(nodes.hint("merge"), "id"), "sets")
+    sets = kept(sets.join(ids.hint("merge"), "id", "left_semi").join(nodes.hint("merge"), "id"), "sets")
 
     def alike(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) of ids that are similar."""
@@ -242,7 +249,7 @@ def similar_roots(nodes: DataFrame, numbered: DataFrame, shingle: int, similarit
         both = close.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b")
         same = F.size(F.array_intersect("shingles_a", "shingles_b"))
         held = same >= F.lit(similarity) * (F.size("shingles_a") + F.size("shingles_b") - same)
-        return materialise(both.where(held).select("a", "b"), "alike")
+        return kept(both.where(held).select("a", "b"), "alike")
 
     comps = ids.select("id", F.col("id").alias("comp"))
     ends = met.groupBy("word").agg(F.min("id").alias("low"), F.max("id").alias("high")).hint("merge")
@@ -251,13 +258,16 @@ def similar_roots(nodes: DataFrame, numbered: DataFrame, shingle: int, similarit
     comps = _merged(comps, alike(star("low").unionByName(star("high"))))
     labelled = met.select("id", "word").join(comps.hint("merge"), "id")
     mixed_words = labelled.groupBy("word").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("word")
-    apart = materialise(labelled.join(mixed_words.hint("merge"), "word", "left_semi"), "apart")
+    apart = kept(labelled.join(mixed_words.hint("merge"), "word", "left_semi"), "apart")
     one, two = (apart.select("word", F.col("id").alias(c), F.col("comp").alias(f"comp_{c}")) for c in "ab")
     pairs = one.hint("merge").join(two, "word").where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b"))).select("a", "b")
     links = alike(pairs)
     of = lambda c: comps.select(F.col("id").alias(c), F.col("comp").alias(f"comp_{c}")).hint("merge")
     tops = links.join(of("a"), "a").join(of("b"), "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
-    return _merged(comps, tops)
+    out = _merged(comps, tops)
+    for path in spare:
+        discard(nodes.sparkSession, path)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -48,7 +48,7 @@ HEAD_SHARE = 2.5e-7
 #: The bit filter has at most 2 ** FILTER_BITS words of 64 bits.
 FILTER_BITS = 21
 #: Texts of so many bytes, or one text, are held by a task at a time.
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 START, END = b"\n", b" "  # no word holds white space
 BACK = 0x5851F42D4C957F2D  # tells the key of a context's rest from the key of a word
 
@@ -72,7 +72,7 @@ class _Numbers(dict):
 class Vocabulary:
     """The words that a task has met: their numbers and hashes. It begins anew beyond ``most``, so it stays small."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 300_000):
         self.most = most
         self.clear()
 
