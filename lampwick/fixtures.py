@@ -117,7 +117,7 @@ def page_rules(t: Tables) -> DataFrame:
 
 def dedup_input(t: Tables) -> DataFrame:
     order = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    df = t.events.withColumn("frame_index", F.row_number().over(order)).where("event_id % 7 <> 0")
+    df = t.events.withColumn("frame_index", F.row_number().over(order))
     k = F.coalesce(F.get_json_object("props", "$.k"), F.lit(""))
     ids = F.when(F.col("event_id") % 11 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("k"), (k.try_cast("int") % 5).cast("string")), F.concat(F.lit("e"), (F.col("event_id") % 4).cast("string"))))
     return df.select(F.concat(F.lit("v"), F.col("user_id") % 40).alias("video_key"), F.col("event_type").alias("page_type"), F.concat(F.lit("f_"), F.lpad(F.col("event_id").cast("string"), 9, "0"), F.lit(".jpg")).alias("image_path"), F.col("event_id").alias("pos"), F.col("frame_index").cast("int").alias("frame_index"), ids.alias("unique_ids"))
@@ -126,7 +126,7 @@ def dedup_input(t: Tables) -> DataFrame:
 DEDUP = """dedup_input AS (
   SELECT 'v' || (user_id % 40) AS video_key, event_type AS page_type, 'f_' || lpad(event_id::VARCHAR, 9, '0') || '.jpg' AS image_path, event_id AS pos, frame_index::INT AS frame_index,
          CASE WHEN event_id % 11 = 0 THEN []::VARCHAR[] ELSE ['k' || ((props->>'k')::INT % 5), 'e' || (event_id % 4)] END AS unique_ids
-  FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS frame_index FROM events) WHERE event_id % 7 <> 0)"""
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS frame_index FROM events))"""
 
 
 def supplier_rates(t: Tables) -> DataFrame:
@@ -149,11 +149,11 @@ MEDIA = """media AS (
 
 
 def examples(t: Tables) -> DataFrame:
-    return t.benchmark.selectExpr("item_id AS example_pos", "text AS input", "substring(text, 1, 20) AS output", "CASE WHEN item_id % 2 = 0 THEN 'even' END AS label")
+    return t.benchmark.selectExpr("item_id AS example_pos", "text AS input", "text AS output", "CASE WHEN item_id % 2 = 0 THEN 'even' END AS label")
 
 
 def queries_of(t: Tables) -> DataFrame:
-    return t.conversations.where("role = 'user' AND turn = 0").selectExpr("conv_id AS query_id", "text AS query")
+    return t.conversations.where("role = 'user'").selectExpr("conv_id * 1000 + turn AS query_id", "text AS query")
 
 
 def reasoning_steps(t: Tables) -> DataFrame:

@@ -39,7 +39,7 @@ def classify_pages(pages: DataFrame, rules: DataFrame, text: str = "ocr_text", c
 
     none = F.struct(F.lit("unknown").alias("page_type"), F.array().cast("array<string>").alias("matched_keywords"), F.lit(0).alias("match_count"))
     found = F.filter(F.transform("_rules", matched), lambda m: m.isNotNull())
-    rows = pages.crossJoin(F.broadcast(table)).withColumn("_m", F.explode(F.when(F.size(found) > 0, found).otherwise(F.array(none))))
+    rows = pages.withColumn("_rules", table.scalar()).withColumn("_m", F.explode(F.when(F.size(found) > 0, found).otherwise(F.array(none))))
     return rows.select(*pages.columns, "_m.*")
 
 

@@ -8,23 +8,25 @@ unique_ids. Results have video_key, page_type, image_path, pos, action
 from __future__ import annotations
 
 from collections.abc import Callable
+from heapq import heapify, heappop, heapreplace
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import file_name
+from ..workdir import looked_up
 
 PART = ["video_key", "page_type"]
 OUT = [*PART, "image_path", "pos", "action", "reason"]
 DEFAULT_WINDOW = 100
 # The reasons.
 ONLY, MIDDLE, FIRST, REPEATED = "唯一页面", "中间页面(%d选1)", "首个页面(%d选1)", "重复ID，保留中间页面"
-UNCOVERED, COVERING, COVERED = "无目标ID需要覆盖", "覆盖新ID", "ID已被覆盖"
-NEAR, FAR = "窗口内重复", "窗口内唯一"
+UNCOVERED, COVERING, COVERED = "无目标ID需要覆盖", "覆盖率最小集合保留", "覆盖率最小集合移除"
+NEAR, FAR = "滑动窗口去重移除", "滑动窗口去重保留"
 
 
 def _first_id(df: DataFrame) -> DataFrame:
@@ -50,29 +52,34 @@ def global_id_dedup(pages: DataFrame, middle: bool = True) -> DataFrame:
     return _out(df, F.col("_kept"), why)
 
 
+def _near(batches):
+    """Adds whether a row is kept to rows that come in the order of their groups and frames; only the last kept frame is held."""
+    group, last = None, None
+    for batch in batches:
+        keep = []
+        for *key, window, frame in zip(*(batch.column(c).to_pylist() for c in (*PART, "_id", "_window", "frame_index"))):
+            if (key, window) != group:
+                group, last = (key, window), None
+            keep.append(frame is None or frame < 0 or last is None or frame - last > window or frame == last)
+            if keep[-1] and frame is not None and frame >= 0:
+                last = frame
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*PART, "image_path", "pos")), pa.array(keep, pa.bool_())], names=[*PART, "image_path", "pos", "_kept"])
+
+
 def sliding_window_dedup(pages: DataFrame, window: int | Column = DEFAULT_WINDOW) -> DataFrame:
     """Drops a page if a kept page with its first id is at most ``window`` frames before it.
 
-    Ids don't meet each other, so each is folded by itself over its frames in
-    order: only the last kept frame matters. Frames without an index (-1) never
-    conflict. The fold holds the frames of one id of one video. ``window`` may be
-    a column; pages with different windows don't meet.
+    Ids don't meet each other, and only the last kept frame of an id matters, so
+    rows are sorted by id and frame (which spills) and stream by in linear time;
+    no group is held. Frames without an index (-1) never conflict. ``window`` may
+    be a column; pages with different windows don't meet.
     """
     window = F.lit(window) if isinstance(window, int) else window
-    pages = pages.withColumn("_window", F.when(window > 0, window).otherwise(DEFAULT_WINDOW))
-    row = F.struct("frame_index", "pos", "image_path")
-    groups = _first_id(pages).groupBy(*PART, "_id", "_window").agg(F.array_sort(F.collect_list(row)).alias("frames"))
-    start = F.struct(F.lit(None).cast("int").alias("last"), F.array().cast("array<boolean>").alias("kept"))
-
-    def step(acc, f):
-        i = f["frame_index"].cast("int")
-        keep = acc["last"].isNull() | (i < 0) | (i - acc["last"] > F.col("_window")) | (i == acc["last"])
-        return F.struct(F.when(keep & (i >= 0), i).otherwise(acc["last"]).alias("last"), F.array_append(acc["kept"], keep).alias("kept"))
-
-    folded = groups.withColumn("_kept", F.aggregate("frames", start, step)["kept"])
-    rows = folded.select(*PART, F.explode(F.arrays_zip(F.col("frames").alias("f"), F.col("_kept").alias("k"))).alias("r"))
-    rows = rows.select(*PART, "r.f.image_path", "r.f.pos", F.col("r.k").alias("_kept"))
-    return _out(rows, F.col("_kept"), F.when(F.col("_kept"), FAR).otherwise(NEAR))
+    rows = _first_id(pages.withColumn("_window", F.when(window > 0, window).otherwise(DEFAULT_WINDOW)))
+    group = [*PART, "_id", "_window"]
+    rows = rows.select(*group, "frame_index", "pos", "image_path").repartition(*group).sortWithinPartitions(*group, "frame_index", "pos", "image_path")
+    schema = T.StructType([*(rows.schema[c] for c in (*PART, "image_path", "pos")), T.StructField("_kept", T.BooleanType())])
+    return _out(rows.mapInArrow(_near, schema), F.col("_kept"), F.when(F.col("_kept"), FAR).otherwise(NEAR))
 
 
 def coverage_islands(pages: DataFrame) -> DataFrame:
@@ -83,14 +90,23 @@ def coverage_islands(pages: DataFrame) -> DataFrame:
 
 
 def greedy_cover(sets: list[set]) -> list[bool]:
-    """Which sets a greedy cover takes: always one that adds most, the earliest of equals."""
+    """Which sets a greedy cover takes: always one that adds most, the earliest of equals.
+
+    What a set adds only falls, so it is counted again only when it comes up.
+    """
     left = set().union(*sets) if sets else set()
     kept = [False] * len(sets)
+    heap = [(-len(s), i) for i, s in enumerate(sets)]
+    heapify(heap)
     while left:
-        gains = np.array([len(s & left) for s in sets])
-        best = int(gains.argmax())
-        kept[best] = True
-        left -= sets[best]
+        _, i = heap[0]
+        own = sets[i] & left
+        if -len(own) > heap[0][0]:
+            heapreplace(heap, (-len(own), i))
+            continue
+        heappop(heap)
+        kept[i] = True
+        left -= own
     return kept
 
 
@@ -105,6 +121,8 @@ def coverage_min_set_dedup(pages: DataFrame) -> DataFrame:
 
     An island is one row with its pages in order, so that a batch of many islands
     goes to Python at once; those of one page need no cover and stay in the JVM.
+    A greedy choice looks at its whole island, so a task holds one: the ids of a
+    run of frames without a gap.
     """
     has = F.max(F.size("unique_ids") > 0).over(Window.partitionBy(*PART))
     split = coverage_islands(pages).withColumn("any_id", F.coalesce(has, F.lit(False)))
@@ -140,7 +158,7 @@ def dedup_dispatch(pages: DataFrame, rules: DataFrame) -> DataFrame:
     name = F.coalesce(F.nullif(F.trim("dedup_strategy"), F.lit("")), F.nullif(F.trim("dedup_rule"), F.lit("")))
     size = F.col("window_size").try_cast("int")
     known = rules.select("page_type", F.when(name.isin(*STRATEGIES), name).otherwise("Global_dedup").alias("_how"), F.when(size > 0, size).otherwise(DEFAULT_WINDOW).alias("_window"))
-    df = pages.join(F.broadcast(known), "page_type", "left")
+    df = pages.join(looked_up(known), "page_type", "left")
     out = df.where("_how IS NULL").withColumns({"action": F.lit("removed"), "reason": F.lit("no rule")}).select(*OUT)
     for how, run in STRATEGIES.items():
         mine = df.where(F.col("_how") == how)
@@ -156,7 +174,7 @@ def dedup_summary(pages: DataFrame, results: DataFrame) -> DataFrame:
     """total (all input pages), kept, removed and removal_rate by video and type."""
     total = pages.groupBy(*PART).agg(F.count("*").alias("total"))
     done = results.groupBy(*PART).agg(F.count_if(F.col("action") == "kept").alias("kept"), F.count_if(F.col("action") == "removed").alias("removed"))
-    df = total.join(done, PART, "left").select(*PART, "total", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("removed", F.lit(0)).alias("removed"))
+    df = total.join(done.hint("shuffle_hash"), PART, "left").select(*PART, "total", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("removed", F.lit(0)).alias("removed"))
     return df.withColumn("removal_rate", F.col("removed") / F.col("total") * 100.0)
 
 
@@ -176,4 +194,4 @@ def union_kept(*results: DataFrame) -> DataFrame:
 
 def kept_semi(pages: DataFrame, results: DataFrame) -> DataFrame:
     """Pages whose path is kept: repeated pages with a kept path all stay."""
-    return pages.join(results.where("action = 'kept'").select("video_key", "image_path").distinct(), ["video_key", "image_path"], "left_semi")
+    return pages.join(results.where("action = 'kept'").select("video_key", "image_path").distinct().hint("shuffle_hash"), ["video_key", "image_path"], "left_semi")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import ttl_seconds
+from ..workdir import looked_up
 
 
 def new_objects(listing: DataFrame, processed: DataFrame) -> DataFrame:
@@ -19,7 +20,7 @@ def page_text_join(images: DataFrame, texts: DataFrame) -> DataFrame:
 
 def page_rule_join(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """Pages with their type's rule; ``has_rule`` says whether there is one. Rules are configuration and unique by type."""
-    return pages.join(rules.withColumn("has_rule", F.lit(True)), "page_type", "left").withColumn("has_rule", F.coalesce("has_rule", F.lit(False)))
+    return pages.join(looked_up(rules.withColumn("has_rule", F.lit(True))), "page_type", "left").withColumn("has_rule", F.coalesce("has_rule", F.lit(False)))
 
 
 def supplier_rate_lookup(probes: DataFrame, rates: DataFrame) -> DataFrame:
@@ -41,13 +42,13 @@ def city_contains_lookup(df: DataFrame, cities: DataFrame, name: str = "province
     """Adds city: the longest known city name (then the first by name) that the last ``-`` part holds, else that part.
 
     The city list is a fixed dimension of some hundred names and goes along as
-    one sorted array, so no row is multiplied by it.
+    one sorted array, a scalar of the query, so no row is multiplied by it.
     """
     rank = F.struct((-F.length("name")).alias("n"), "name")
-    table = F.broadcast(cities.agg(F.transform(F.array_sort(F.collect_set(rank)), lambda c: c["name"]).alias("_cities")))
+    table = cities.agg(F.transform(F.array_sort(F.collect_set(rank)), lambda c: c["name"]).alias("_cities"))
     part = F.coalesce(F.element_at(F.split(F.col(name), "-"), -1), F.lit(""))
     hit = F.get(F.filter("_cities", lambda c: part.contains(c)), F.lit(0))
-    return df.crossJoin(table).withColumn("city", F.coalesce(hit, part)).drop("_cities")
+    return df.withColumn("_cities", table.scalar()).withColumn("city", F.coalesce(hit, part)).drop("_cities")
 
 
 def cache_key(biz: Column, prompt: Column, image: Column) -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.prompts import candidate_prompts
 from ..functions.values import canary_share
 from .metrics import evaluate_window, ratio
 
@@ -79,3 +83,24 @@ def pareto_front(candidates: DataFrame, by: list[str]) -> DataFrame:
         cond = cond & s
     front = a.join(b, cond, "left_anti")
     return candidates.join(front, [*by, *points], "left_semi")
+
+
+#: Ways to make better prompts, by name: each takes prompts (by..., prompt, failures: array<string>) and gives (by..., kind, prompt).
+OPTIMIZERS: dict[str, Callable[[DataFrame, list[str]], DataFrame]] = {}
+
+
+def register_optimizer(name: str, optimize: Callable[[DataFrame, list[str]], DataFrame]) -> None:
+    OPTIMIZERS[name] = optimize
+
+
+def optimize_prompts(prompts: DataFrame, by: list[str], names: list[str] | None = None) -> DataFrame:
+    """Candidates of the named optimisers, of all by default: by..., optimizer, kind, prompt. A name that isn't registered is an error."""
+    out = [OPTIMIZERS[n](prompts, by).select(*by, F.lit(n).alias("optimizer"), "kind", "prompt") for n in (names or sorted(OPTIMIZERS))]
+    return reduce(DataFrame.unionByName, out)
+
+
+def _templates(prompts: DataFrame, by: list[str]) -> DataFrame:
+    return prompts.select(*by, F.explode(candidate_prompts(F.col("prompt"), F.col("failures"))).alias("c")).select(*by, "c.kind", "c.prompt")
+
+
+register_optimizer("templates", _templates)

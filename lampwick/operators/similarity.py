@@ -12,23 +12,24 @@ from ..functions.text import chars, jaccard
 from ..functions.values import dot, norm
 from ..workdir import materialise
 
-#: Example tables of at most so many rows are sent to every task; larger ones are cut into blocks of rows that meet the queries by a join.
-SMALL = 20_000
-BLOCKS = 64
+#: Example tables of at most so many characters or numbers in all are sent to every task; larger ones are dealt into blocks of that size.
+SMALL = 1_000_000
 
 
-def scored_pairs(queries: DataFrame, examples: DataFrame, score: Column, small: int = SMALL) -> DataFrame:
+def scored_pairs(queries: DataFrame, examples: DataFrame, items: str, score: Column, small: int = SMALL) -> DataFrame:
     """Every query beside every example with ``score``: each query asks all examples, which is what a search is.
 
-    The example table is counted first. Up to ``small`` rows it is broadcast;
-    beyond, its rows are dealt into blocks and each query is sent once to each
-    block, so neither side is whole in any task.
+    What the arrays ``items`` of the examples hold is summed first. Up to
+    ``small`` they are one block, which is broadcast; beyond, there are as many
+    blocks as that goes into the sum, and each query is sent once to each, so
+    neither side is whole in any task and a block is no larger for more data.
     """
-    if examples.limit(small + 1).count() <= small:
-        return queries.crossJoin(F.broadcast(examples)).withColumn("score", score)
-    dealt = examples.withColumn("_block", F.pmod(F.xxhash64("example_pos"), F.lit(BLOCKS)).cast("int"))
-    asked = queries.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
-    return asked.hint("shuffle_hash").join(dealt, "_block").drop("_block").withColumn("score", score)
+    held = examples.agg(F.coalesce(F.sum(F.size(items)), F.lit(0))).first()[0]
+    blocks = max(1, -(-held // small))
+    dealt = examples.withColumn("_block", F.pmod(F.xxhash64("example_pos"), F.lit(blocks)).cast("int"))
+    asked = queries.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = F.broadcast(dealt) if blocks == 1 else dealt.hint("shuffle_hash")
+    return asked.join(dealt, "_block").drop("_block").withColumn("score", score)
 
 
 def similarity_top_k(queries: DataFrame, examples: DataFrame, k: int = 5, threshold: float = 0.0, small: int = SMALL) -> DataFrame:
@@ -39,7 +40,7 @@ def similarity_top_k(queries: DataFrame, examples: DataFrame, k: int = 5, thresh
     """
     q = queries.where(F.col("query") != "").select("query_id", chars(F.col("query")).alias("_q"))
     e = examples.select("example_pos", chars(F.col("input")).alias("_e"))
-    pairs = scored_pairs(q, e, jaccard(F.col("_q"), F.col("_e")), small).where(F.col("score") >= threshold)
+    pairs = scored_pairs(q, e, "_e", jaccard(F.col("_q"), F.col("_e")), small).where(F.col("score") >= threshold)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "example_pos")
     return pairs.select("query_id", "example_pos", "score").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
@@ -48,7 +49,7 @@ def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, small: int
     """The same by cosine. queries: query_id, query_vector; vectors: example_pos, vector. A query isn't its own answer."""
     q = queries.select("query_id", "query_vector", norm(F.col("query_vector")).alias("_qn"))
     v = vectors.select("example_pos", "vector", norm(F.col("vector")).alias("_vn"))
-    pairs = scored_pairs(q, v, F.try_divide(dot(F.col("query_vector"), F.col("vector")), F.col("_qn") * F.col("_vn")), small)
+    pairs = scored_pairs(q, v, "vector", F.try_divide(dot(F.col("query_vector"), F.col("vector")), F.col("_qn") * F.col("_vn")), small)
     pairs = pairs.where((F.col("query_id") != F.col("example_pos")) & F.col("score").isNotNull())
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "example_pos")
     return pairs.select("query_id", "example_pos", "score").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
@@ -105,7 +106,7 @@ def _mmr_small(q: DataFrame, e: DataFrame, k: int, weight: float) -> DataFrame:
 def mmr_top_k(queries: DataFrame, examples: DataFrame, k: int = 5, weight: float = 0.5, small: int = SMALL) -> DataFrame:
     """query_id, example_pos, score, rank by maximal marginal relevance among all examples, earlier ones first among equals.
 
-    Up to ``small`` examples are sent to every task. Beyond, there is one round
+    Up to ``small`` characters of examples are sent to every task. Beyond, there is one round
     for each rank: every query meets every example that it hasn't chosen, and the
     best is taken by partial aggregation. Only the choices, at most k for each
     query, are kept from round to round.
@@ -113,12 +114,12 @@ def mmr_top_k(queries: DataFrame, examples: DataFrame, k: int = 5, weight: float
     weight = min(1.0, max(0.0, weight))
     q = queries.where(F.col("query") != "").select("query_id", chars(F.col("query")).alias("_q"))
     e = examples.select("example_pos", chars(F.col("input")).alias("_e"))
-    if examples.limit(small + 1).count() <= small:
+    if e.agg(F.coalesce(F.sum(F.size("_e")), F.lit(0))).first()[0] <= small:
         return _mmr_small(q, e, k, weight)
     one = f"struct<example_pos:{e.schema['example_pos'].dataType.simpleString()},score:double,_e:array<string>>"
     asked = q.withColumn("_chosen", F.array().cast(f"array<{one}>"))
     for at in range(k):
-        pairs = scored_pairs(asked, e, jaccard(F.col("_q"), F.col("_e")), small)
+        pairs = scored_pairs(asked, e, "_e", jaccard(F.col("_q"), F.col("_e")), small)
         pairs = pairs.where(~F.exists("_chosen", lambda c: c["example_pos"] == F.col("example_pos")))
         nearest = F.array_max(F.transform("_chosen", lambda c: jaccard(c["_e"], F.col("_e"))))
         gain = weight * F.col("score") - (1 - weight) * nearest if at else F.col("score")

@@ -96,4 +96,4 @@ def task_list(tasks: DataFrame, status: str | None = None, task_type: str | None
         df = df.where(F.col(column) == wanted) if wanted else df
     total = df.agg(F.count("*").alias("total"))
     rows = df.orderBy(F.desc("created_at"), "task_id").offset((page - 1) * page_size).limit(page_size)
-    return rows.crossJoin(F.broadcast(total))
+    return rows.withColumn("total", total.scalar())

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import fixtures as fx
 from ..functions import prompts as P
 from ..functions import text as X
 from ..functions import values as V
-from ..operators import inference, joins
-from ..sources import messages, objects
+from ..operators import dedup, ids, inference, joins, rollout, similarity
+from ..sources import config, messages, objects
+from ..sources import tables as src
+from ..workdir import new_path
 from . import table_queries as tq
 
 QUERIES, SQL = {}, {}
@@ -87,10 +90,10 @@ def dedup_params_merge(t):
     return t.events.select("event_id", V.overlay(params, own).alias("m")).select("event_id", "m.window_size", "m.other")
 
 
-@query("""WITH a AS (SELECT doc_id, list_distinct(string_split(substr(text, 1, 100), '')) AS x, list_distinct(string_split(lang, '')) AS y FROM documents)
+@query("""WITH a AS (SELECT doc_id, list_distinct(string_split(text, '')) AS x, list_distinct(string_split(lang, '')) AS y FROM documents)
   SELECT doc_id, array_to_string(list_sort(list_intersect(x, y)), '') AS shared, len(list_distinct(list_concat(x, y))) AS n_all FROM a""")
 def char_intersect_union(t):
-    a, b = X.chars(F.substring("text", 1, 100)), X.chars(F.col("lang"))
+    a, b = X.chars(F.col("text")), X.chars(F.col("lang"))
     return t.documents.select("doc_id", F.array_join(F.array_sort(F.array_intersect(a, b)), "").alias("shared"), F.size(F.array_union(a, b)).alias("n_all"))
 
 
@@ -114,3 +117,106 @@ def filter_ocr_tokens(t):
 @query("SELECT source AS video_key, string_agg(source || '/frame_' || lpad(doc_id::VARCHAR, 9, '0') || '.jpg', ' ' ORDER BY doc_id) AS paths FROM documents GROUP BY source")
 def sort_paths(t):
     return fx.pages(t).groupBy("video_key").agg(F.array_join(F.array_sort(F.collect_list("image_path")), " ").alias("paths"))
+
+
+# -- registries -------------------------------------------------------------
+
+
+@query("""SELECT doc_id, name, CASE name WHEN 'long' THEN n_chars > 500 ELSE lang = 'en' END AS valid, CASE WHEN name = 'long' AND n_chars <= 500 THEN 'too short' WHEN name = 'english' AND lang <> 'en' THEN 'not english' END AS message
+  FROM documents, (VALUES ('long'), ('english')) v(name)""")
+def register_rule(t):
+    rules = inference.Rules()
+    rules.register("long", lambda: F.col("n_chars") > 500, "too short")
+    rules.register("odd", lambda: F.col("doc_id") % 2 == 1, "even")
+    rules.register("english", lambda: F.col("lang") == "en", "not english")
+    rules.unregister("odd")
+    return inference.run_rules(t.documents, rules).select("doc_id", F.explode("results").alias("r")).select("doc_id", "r.name", "r.valid", "r.message")
+
+
+@query(f"""WITH {fx.DEDUP}, r AS (SELECT *, row_number() OVER (PARTITION BY video_key, page_type ORDER BY pos) AS k FROM dedup_input WHERE page_type = 'click')
+  SELECT video_key, page_type, image_path, pos, CASE WHEN k = 1 THEN 'kept' ELSE 'removed' END AS action, CASE WHEN k = 1 THEN 'first' ELSE 'later' END AS reason FROM r
+  UNION ALL SELECT video_key, page_type, image_path, pos, 'removed', 'no rule' FROM dedup_input WHERE page_type <> 'click'""")
+def register_dedup(t):
+    """A strategy of the caller's own, reached by its name through the dispatch."""
+
+    def first_page(pages, window):
+        k = F.row_number().over(Window.partitionBy(*dedup.PART).orderBy("pos"))
+        return pages.withColumn("k", k).withColumns({"action": F.when(F.col("k") == 1, "kept").otherwise("removed"), "reason": F.when(F.col("k") == 1, "first").otherwise("later")}).select(*dedup.OUT)
+
+    dedup.register_dedup("FirstPage", first_page)
+    try:
+        return dedup.dedup_dispatch(fx.dedup_input(t), t.spark.createDataFrame([("click", "FirstPage", None, None)], "page_type string, dedup_strategy string, dedup_rule string, window_size string"))
+    finally:
+        del dedup.STRATEGIES["FirstPage"]
+
+
+@query("""SELECT doc_id, source || ',' || lang AS ids FROM documents""")
+def register_id_strategy(t):
+    ids.register_id_strategy("Parts", lambda text, patterns: F.split(text, patterns[0]))
+    try:
+        return t.documents.select("doc_id", F.array_join(ids.page_ids(F.concat(F.lit(" "), "source", F.lit(" / / "), "lang"), "Parts", ["/"]), ",").alias("ids"))
+    finally:
+        del ids.ID_STRATEGIES["Parts"]
+
+
+@query("""WITH e AS (SELECT item_id, row_number() OVER (ORDER BY length(text), item_id) AS rank FROM benchmark)
+  SELECT conv_id * 1000 + turn AS query_id, item_id AS example_pos, rank::INT AS rank FROM conversations, e WHERE role = 'user' AND text <> '' AND rank <= 2""")
+def register_selector(t):
+    """A selector of the caller's own: the shortest examples, whatever is asked."""
+
+    def shortest(queries, examples, k):
+        best = examples.orderBy(F.length("input"), "example_pos").limit(k)
+        rows = best.agg(F.array_sort(F.collect_list(F.struct(F.length("input").alias("n"), "example_pos"))).alias("best"))
+        asked = queries.where("query <> ''").withColumn("best", rows.scalar())
+        return asked.select("query_id", F.posexplode("best").alias("at", "e")).select("query_id", "e.example_pos", (F.col("at") + 1).alias("rank"))
+
+    similarity.register_selector("shortest", shortest)
+    try:
+        return similarity.SELECTORS["shortest"](fx.queries_of(t), fx.examples(t), 2)
+    finally:
+        del similarity.SELECTORS["shortest"]
+
+
+@query("""WITH p AS (SELECT o_custkey, 'ask ' || o_custkey AS prompt FROM orders GROUP BY o_custkey)
+  SELECT o_custkey, 'brief' AS optimizer, 'brief' AS kind, prompt || ' briefly' AS prompt FROM p
+  UNION ALL SELECT o_custkey, 'templates', 'explicit_instructions', prompt || chr(10) || chr(10) || '请确保：' || chr(10) || '1. 输出格式正确' || chr(10) || '2. 数值准确' || chr(10) || '3. 信息完整' FROM p
+  UNION ALL SELECT o_custkey, 'templates', 'simplified', prompt FROM p""")
+def register_optimizer(t):
+    prompts = t.orders.groupBy("o_custkey").agg(F.count("*")).select("o_custkey", F.concat(F.lit("ask "), "o_custkey").alias("prompt"), F.array().cast("array<string>").alias("failures"))
+    rollout.register_optimizer("brief", lambda df, by: df.select(*by, F.lit("brief").alias("kind"), F.concat("prompt", F.lit(" briefly")).alias("prompt")))
+    try:
+        return rollout.optimize_prompts(prompts, ["o_custkey"])
+    finally:
+        del rollout.OPTIMIZERS["brief"]
+
+
+@query("""WITH p AS (SELECT event_type || '_duration_ms' AS metric, 'timer' AS kind, round(value * 10)::BIGINT AS value, event_id, user_id FROM events UNION ALL SELECT event_type || '_total', 'counter', 1, event_id, user_id FROM events
+    UNION ALL SELECT 'depth', 'gauge', event_id, event_id, user_id FROM events)
+  SELECT metric, kind, CASE WHEN kind = 'gauge' THEN NULL WHEN event_id % 4 = 0 THEN 'fail' ELSE 'success' END AS status, count(*) AS n, sum(value)::BIGINT AS value FROM p GROUP BY ALL""")
+def metric_sink(t):
+    """Timers, counters and gauges appended to a table of points, and read again."""
+    e = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    path = new_path(t.spark, "points")
+    calls = src.rpc_points(e, F.col("event_type"), F.col("user_id").cast("string"), F.lit(None).cast("string"), F.round(F.col("value") * 10), F.when(F.col("event_id") % 4 == 0, 1).otherwise(0), F.col("ts"))
+    src.metric_sink(calls, path)
+    src.metric_sink(src.metric_points(e, src.GAUGE, "depth", F.col("event_id"), F.lit(None).cast("map<string,string>"), F.col("ts")), path)
+    points = t.spark.read.parquet(path)
+    return points.groupBy("metric", "kind", F.try_element_at("tags", F.lit("status")).alias("status")).agg(F.count("*").alias("n"), F.sum("value").alias("value"))
+
+
+@query("""SELECT 'n' || s_nationkey AS link_name, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1)::INT AS rule_pos, s_name AS page_type, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE '' END AS keywords,
+  CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey % 5 ELSE 1 END::INT AS min_matches, 0.8::DOUBLE AS threshold, false AS case_sensitive, CASE WHEN s_suppkey % 2 = 0 THEN 'Global_dedup' END AS dedup_rule, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey::VARCHAR END AS window_size FROM supplier""")
+def read_rules(t):
+    """Rule files, one for each nation, written from the suppliers with fields that are unknown or left out."""
+    even = F.col("s_suppkey") % 2 == 0
+    own = F.struct(
+        F.col("s_name").alias("page_type"), F.lit("x").alias("unknown_field"), F.struct(F.when(even, F.array("s_name")).alias("keywords"), F.when(F.col("s_suppkey") % 3 == 0, F.col("s_suppkey") % 5).alias("min_matches")).alias("classify"),
+        F.when(even, F.struct(F.lit("Global_dedup").alias("rule"), F.create_map(F.lit("window_size"), F.col("s_suppkey").cast("string")).alias("params"))).alias("dedup"),
+    )
+    rows = t.supplier.select("s_nationkey", F.struct("s_suppkey", F.to_json(own).alias("page")).alias("p"))
+    files = rows.groupBy("s_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["page"]), ",").alias("pages"))
+    text = F.concat(F.lit('{"link_name":"n'), "s_nationkey", F.lit('","pages":['), "pages", F.lit("]}"))
+    path = new_path(t.spark, "rules")
+    files.select("s_nationkey", text.alias("value")).write.partitionBy("s_nationkey").text(path)
+    found = config.read_rules(t.spark, path)
+    return found.select("link_name", "rule_pos", "page_type", F.array_join("keywords", ",").alias("keywords"), "min_matches", "threshold", "case_sensitive", "dedup_rule", "window_size")

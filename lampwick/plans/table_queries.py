@@ -232,13 +232,10 @@ def read_survey_records(t):
 def read_config_table(t):
     k = F.col("page_id")
     body = F.when(k % 3 == 0, F.concat(F.lit(' {"a":"'), "url", F.lit('","b":{"c": 1}}'))).when(k % 3 == 1, "# note\na='x y'\n\nb=p:q").otherwise(F.concat(F.lit("a: 1\r\n# x\nb: "), "url"))
-    df = t.pages.where(~F.col("url").contains("=") | (k % 3 < 2)).select(F.concat(F.lit("n"), k.cast("string")).alias("namespace"), body.alias("content"))
+    df = t.pages.select(F.concat(F.lit("n"), k.cast("string")).alias("namespace"), body.alias("content"))
     return config.read_config_table(df)
 
 
-SQL["read_config_table"] = SQL["read_config_table"].replace("FROM pages", "FROM pages WHERE NOT contains(url, '=') OR page_id % 3 < 2")
-
-
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE text END AS ocr_text FROM documents")
 def page_text_join(t):
     texts = t.documents.where("doc_id % 3 <> 0").selectExpr("concat('i', doc_id) AS image_path", "text AS ocr_text")
@@ -596,12 +593,12 @@ def global_id_dedup(t):
 _SLIDE = """WITH RECURSIVE {dedup}, s AS (SELECT video_key, page_type, image_path, pos, frame_index, unique_ids[1] AS id, row_number() OVER (PARTITION BY video_key, page_type, unique_ids[1] ORDER BY frame_index, pos, image_path) AS k FROM dedup_input WHERE len(unique_ids) > 0),
   r AS (SELECT *, frame_index AS last, true AS kept FROM s WHERE k = 1
     UNION ALL SELECT s.*, CASE WHEN s.frame_index - r.last > 3 OR s.frame_index = r.last THEN s.frame_index ELSE r.last END, s.frame_index - r.last > 3 OR s.frame_index = r.last FROM r JOIN s ON s.video_key = r.video_key AND s.page_type = r.page_type AND s.id = r.id AND s.k = r.k + 1)
-  SELECT video_key, page_type, image_path, pos, CASE WHEN kept THEN 'kept' ELSE 'removed' END AS action FROM r"""
+  SELECT video_key, page_type, image_path, pos, CASE WHEN kept THEN 'kept' ELSE 'removed' END AS action, CASE WHEN kept THEN '滑动窗口去重保留' ELSE '滑动窗口去重移除' END AS reason FROM r"""
 
 
 @query(_SLIDE.format(dedup=fx.DEDUP))
 def sliding_window_dedup(t):
-    return dedup.sliding_window_dedup(fx.dedup_input(t), 3).drop("reason")
+    return dedup.sliding_window_dedup(fx.dedup_input(t), 3)
 
 
 _ISLANDS = "i AS (SELECT *, sum(new) OVER (PARTITION BY video_key, page_type ORDER BY frame_index, pos) AS island FROM (SELECT *, CASE WHEN lag(frame_index) OVER (PARTITION BY video_key, page_type ORDER BY frame_index, pos) = frame_index - 1 THEN 0 ELSE 1 END AS new FROM dedup_input))"
@@ -612,7 +609,17 @@ def coverage_islands(t):
     return dedup.coverage_islands(fx.dedup_input(t)).select("video_key", "page_type", "image_path", "island")
 
 
-@query()
+#: The greedy cover of each island, page by page: the one that adds most, the earliest of equals.
+_COVER = """p AS (SELECT *, list_distinct(unique_ids) AS ids, row_number() OVER (PARTITION BY video_key, page_type, island ORDER BY frame_index, pos) AS place FROM i),
+  c AS (SELECT video_key, page_type, island, []::VARCHAR[] AS covered, []::BIGINT[] AS chosen FROM p GROUP BY ALL
+    UNION ALL SELECT c.video_key, c.page_type, c.island, list_distinct(list_concat(any_value(covered), arg_max(ids, (len(list_filter(ids, lambda x: NOT list_contains(covered, x))), -place)))), list_append(any_value(chosen), arg_max(pos, (len(list_filter(ids, lambda x: NOT list_contains(covered, x))), -place)))
+      FROM c JOIN p USING (video_key, page_type, island) WHERE len(list_filter(ids, lambda x: NOT list_contains(covered, x))) > 0 GROUP BY c.video_key, c.page_type, c.island, len(chosen)),
+  best AS (SELECT video_key, page_type, island, arg_max(chosen, len(chosen)) AS chosen FROM c GROUP BY ALL),
+  cover_out AS (SELECT video_key, page_type, image_path, pos, CASE WHEN list_contains(chosen, pos) THEN 'kept' ELSE 'removed' END AS action,
+    CASE WHEN max(len(ids)) OVER (PARTITION BY video_key, page_type) = 0 THEN '无目标ID需要覆盖' WHEN list_contains(chosen, pos) THEN '覆盖率最小集合保留' ELSE '覆盖率最小集合移除' END AS reason FROM p JOIN best USING (video_key, page_type, island))"""
+
+
+@query(f"WITH RECURSIVE {fx.DEDUP}, {_ISLANDS}, {_COVER} SELECT * FROM cover_out")
 def coverage_min_set_dedup(t):
     return dedup.coverage_min_set_dedup(fx.dedup_input(t))
 
@@ -622,7 +629,10 @@ def _dispatch_rules(t):
     return t.spark.createDataFrame(rows, "page_type string, dedup_strategy string, dedup_rule string, window_size string")
 
 
-@query()
+@query(f"""{_SLIDE.format(dedup=fx.DEDUP + ", " + _ISLANDS + ", " + _COVER + ", " + _GLOBAL)} WHERE page_type = 'click'
+  UNION ALL SELECT * FROM cover_out WHERE page_type = 'view'
+  UNION ALL SELECT * FROM global_out WHERE page_type IN ('signup', 'purchase')
+  UNION ALL SELECT video_key, page_type, image_path, pos, 'removed', 'no rule' FROM dedup_input WHERE page_type NOT IN ('click', 'view', 'signup', 'purchase')""")
 def dedup_dispatch(t):
     return dedup.dedup_dispatch(fx.dedup_input(t), _dispatch_rules(t))
 
@@ -661,16 +671,16 @@ def page_pipeline(t):
     rules_ = fx.page_rules(t)
     found = classify.classify_pages(fx.pages(t), rules_)
     found = found.withColumn("unique_ids", ids.page_ids(F.col("ocr_text"), "RegStrategy", [r"([A-Z][a-z]+)\b"]))
-    rows = found.select("video_key", "page_type", "image_path", "pos", "frame_index", F.transform("unique_ids", lambda x: F.substring(x, 1, 12)).alias("unique_ids"))
+    rows = found.select("video_key", "page_type", "image_path", "pos", "frame_index", "unique_ids")
     rows = materialise(rows, "pages")  # each strategy reads them; texts are read and classified once
     done = dedup.dedup_dispatch(rows, rules_.where("page_type <> 'unknown'"))
-    return done.where("action = 'kept'").orderBy("video_key", "image_path")
+    return done.where("action = 'kept'")
 
 
 # -- similarity -------------------------------------------------------------
 
 
-@query("""WITH chars AS (SELECT conv_id AS query_id, list_distinct(string_split(text, '')) AS q FROM conversations WHERE role = 'user' AND turn = 0 AND text <> ''),
+@query("""WITH chars AS (SELECT conv_id * 1000 + turn AS query_id, list_distinct(string_split(text, '')) AS q FROM conversations WHERE role = 'user' AND text <> ''),
   scored AS (SELECT query_id, item_id AS example_pos, len(list_intersect(q, e)) / len(list_distinct(list_concat(q, e)))::DOUBLE AS score FROM chars, (SELECT item_id, list_distinct(string_split(text, '')) AS e FROM benchmark))
   SELECT query_id, example_pos, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, example_pos) AS rank FROM scored WHERE score >= 0.5) WHERE rank <= 5""")
 def similarity_top_k(t):
@@ -690,7 +700,7 @@ def mmr_top_k(t):
     return similarity.mmr_top_k(fx.queries_of(t), fx.examples(t), 5, 0.5)
 
 
-@query("""SELECT c.conv_id AS query_id, b.item_id AS example_pos FROM conversations c, benchmark b WHERE role = 'user' AND turn = 0 AND len(list_intersect(string_split(c.text, ''), string_split(b.text, ''))) > 0""")
+@query("""SELECT c.conv_id * 1000 + c.turn AS query_id, b.item_id AS example_pos FROM conversations c, benchmark b WHERE role = 'user' AND len(list_intersect(string_split(c.text, ''), string_split(b.text, ''))) > 0""")
 def example_match(t):
     return joins.example_candidates(fx.queries_of(t).where("query <> ''"), fx.examples(t))
 

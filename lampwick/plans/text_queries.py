@@ -219,20 +219,20 @@ def infer_biz_type(t):
     return t.part.select("p_partkey", X.infer_biz_type(typed, F.when(k == 3, "GaoDe link").when(k == 4, "other")).alias("biz"))
 
 
-@query("""WITH a AS (SELECT doc_id, list_distinct(string_split(substr(text, 1, 200), '')) AS x, list_distinct(string_split(source || lang, '')) AS y FROM documents)
+@query("""WITH a AS (SELECT doc_id, list_distinct(string_split(text, '')) AS x, list_distinct(string_split(source || lang, '')) AS y FROM documents)
   SELECT doc_id, CASE WHEN len(x) > 0 AND len(y) > 0 THEN len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))::DOUBLE ELSE 0 END AS score, len(list_intersect(x, y)) AS shared, len(list_distinct(list_concat(x, y))) AS all_chars FROM a""")
 def jaccard_chars(t):
-    a, b = X.chars(F.substring("text", 1, 200)), X.chars(F.concat("source", "lang"))
+    a, b = X.chars(F.col("text")), X.chars(F.concat("source", "lang"))
     return t.documents.select("doc_id", X.jaccard(a, b).alias("score"), F.size(F.array_intersect(a, b)).alias("shared"), F.size(F.array_union(a, b)).alias("all_chars"))
 
 
-_OCR = "CASE doc_id % 3 WHEN 0 THEN '单号 A' || doc_id || ' 10:30 B7' WHEN 1 THEN 'none 9:15' ELSE 'C1 ' || substr(text, 1, 40) || ' Z' || doc_id END"
+_OCR = "CASE doc_id % 3 WHEN 0 THEN '单号 A' || doc_id || ' 10:30 B7 ' || text WHEN 1 THEN 'none 9:15 ' || text ELSE 'C1 ' || text || ' Z' || doc_id END"
 _PATTERN = r"([A-Z]\d+)"
 
 
 @query(f"SELECT doc_id, array_to_string(regexp_extract_all(regexp_replace({_OCR}, '\\b(?:[01]?\\d|2[0-3]):[0-5]\\d\\b', '', 'g'), '{_PATTERN}', 1), '-') AS id FROM documents")
 def reg_ids(t):
-    text = F.expr("CASE doc_id % 3 WHEN 0 THEN concat('单号 A', doc_id, ' 10:30 B7') WHEN 1 THEN 'none 9:15' ELSE concat('C1 ', substring(text, 1, 40), ' Z', doc_id) END")
+    text = F.expr("CASE doc_id % 3 WHEN 0 THEN concat('单号 A', doc_id, ' 10:30 B7 ', text) WHEN 1 THEN concat('none 9:15 ', text) ELSE concat('C1 ', text, ' Z', doc_id) END")
     return t.documents.select("doc_id", F.coalesce(F.get(ids.clean_ids(ids.reg_ids(text, [_PATTERN, " "])), F.lit(0)), F.lit("")).alias("id"))
 
 
@@ -317,13 +317,13 @@ def _sql_text(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-@query(f"""SELECT conv_id, '问题：' || text || chr(10) || chr(10) || '上下文信息：' || chr(10) || '- role: ' || role || chr(10) || chr(10) || '让我们一步步思考：' || chr(10)
+@query(f"""SELECT conv_id, turn, '问题：' || text || chr(10) || chr(10) || '上下文信息：' || chr(10) || '- role: ' || role || chr(10) || chr(10) || '让我们一步步思考：' || chr(10)
   || {_sql_text("".join(f"{i}. {s}\n" for i, s in enumerate(P.COT_STEPS, 1)) + chr(10) + P.COT_END)} AS cot,
-  '问题：' || text || chr(10) || chr(10) || {_sql_text(P.COT_SIMPLE_END)} AS simple FROM conversations WHERE turn = 0""")
+  '问题：' || text || chr(10) || chr(10) || {_sql_text(P.COT_SIMPLE_END)} AS simple FROM conversations""")
 def cot_prompt(t):
-    df = t.conversations.where("turn = 0")
+    df = t.conversations
     empty = F.create_map().cast("map<string,string>")
-    return df.select("conv_id", P.cot_prompt(F.col("text"), F.create_map(F.lit("role"), F.col("role"))).alias("cot"), P.cot_simple_prompt(F.col("text"), empty).alias("simple"))
+    return df.select("conv_id", "turn", P.cot_prompt(F.col("text"), F.create_map(F.lit("role"), F.col("role"))).alias("cot"), P.cot_simple_prompt(F.col("text"), empty).alias("simple"))
 
 
 @query(f"""WITH steps AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, role, text FROM conversations),
@@ -370,16 +370,16 @@ def semantic_check_prompt(t):
     return t.documents.select("doc_id", P.semantic_check_prompt(F.col("text")).alias("check_prompt"), P.append_ocr_text(F.col("source"), F.when(F.col("doc_id") % 2 == 1, F.col("text"))).alias("full_prompt"))
 
 
-_TOP = """chars AS (SELECT conv_id AS query_id, list_distinct(string_split(text, '')) AS q FROM conversations WHERE role = 'user' AND turn = 0 AND text <> ''),
+_TOP = """chars AS (SELECT conv_id * 1000 + turn AS query_id, list_distinct(string_split(text, '')) AS q FROM conversations WHERE role = 'user' AND text <> ''),
   scored AS (SELECT query_id, item_id AS example_pos, len(list_intersect(q, e)) / len(list_distinct(list_concat(q, e)))::DOUBLE AS score FROM chars, (SELECT item_id, list_distinct(string_split(text, '')) AS e FROM benchmark)),
   top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, example_pos) AS rank FROM scored)"""
 
 
-@query(f"""WITH {_TOP} SELECT query_id, 'base' || chr(10) || chr(10) || '参考案例：' || chr(10) || string_agg('案例' || rank || '：' || chr(10) || '输入：' || text || chr(10) || '输出：' || substr(text, 1, 20) || CASE WHEN item_id % 2 = 0 THEN chr(10) || '标签：even' ELSE '' END || chr(10) || chr(10), '' ORDER BY rank)
+@query(f"""WITH {_TOP} SELECT query_id, 'base' || chr(10) || chr(10) || '参考案例：' || chr(10) || string_agg('案例' || rank || '：' || chr(10) || '输入：' || text || chr(10) || '输出：' || text || CASE WHEN item_id % 2 = 0 THEN chr(10) || '标签：even' ELSE '' END || chr(10) || chr(10), '' ORDER BY rank)
   || '请参考以上案例，确保输出格式和内容质量。' AS prompt FROM top JOIN benchmark ON item_id = example_pos WHERE rank <= 3 GROUP BY query_id""")
 def fewshot_prompt(t):
     e = fx.examples(t)
-    top = similarity.similarity_top_k(fx.queries_of(t), e, 3).join(e, "example_pos")
+    top = similarity.similarity_top_k(fx.queries_of(t), e, 3).join(e.hint("shuffle_hash"), "example_pos")
     df = top.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "input", "output", "label"))).alias("e"))
     return df.select("query_id", P.fewshot_prompt(F.lit("base"), F.col("e")).alias("prompt"))
 
@@ -387,7 +387,7 @@ def fewshot_prompt(t):
 @query(f"""WITH {_TOP} SELECT query_id, '你是一位专业的数据分析专家。请仔细分析提供的信息，确保输出结果的准确性和完整性。' || chr(10) || chr(10) || '请根据提供的信息进行分析。' || string_agg(text, '|' ORDER BY rank) AS prompt FROM top JOIN benchmark ON item_id = example_pos WHERE rank <= 5 GROUP BY query_id""")
 def combined_prompt(t):
     e = fx.examples(t)
-    df = similarity.similarity_top_k(fx.queries_of(t), e, 5).join(e, "example_pos").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "input"))).alias("e"))
+    df = similarity.similarity_top_k(fx.queries_of(t), e, 5).join(e.hint("shuffle_hash"), "example_pos").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "input"))).alias("e"))
     system = next(x for b, s, x in P.DEFAULT_TEMPLATES if s == "system")
     context = V.prompt_context(F.create_map().cast("map<string,string>"), F.create_map().cast("map<string,string>"))
     shown = F.concat(F.lit(P.OTHER_STAGE), F.array_join(F.transform("e", lambda x: x["input"]), "|"))

@@ -71,7 +71,7 @@ def test_greedy_cover_covers_greedily(seed):
 def test_dispatch(spark):
     p = pages(spark, [(1, "X"), (2, "X"), (4, "X")])
     rules = lambda how, rule, w: spark.createDataFrame([("t", how, rule, w)], "page_type string, dedup_strategy string, dedup_rule string, window_size string")
-    kept = lambda r, w=(2, 100): {x.image_path for x in dedup.dedup_dispatch(p, r, w).where("action = 'kept'").collect()}
+    kept = lambda r: {x.image_path for x in dedup.dedup_dispatch(p, r).where("action = 'kept'").collect()}
     assert kept(rules("SlidingWindow_dedup", None, "2")) == {"f_1.jpg", "f_4.jpg"} and kept(rules("SlidingWindow_dedup", None, "many")) == {"f_1.jpg"}
     assert kept(rules(" ", "CoverageMinSet_dedup", None)) == {"f_1.jpg", "f_4.jpg"} and kept(rules("what", None, None)) == {"f_2.jpg"}
     other = spark.createDataFrame([("u", None, None, None)], "page_type string, dedup_strategy string, dedup_rule string, window_size string")

@@ -70,7 +70,7 @@ def test_page_pipeline(spark):
     rows = []
     for p in fx.pages(t).collect():
         found = re.findall(r"([A-Z][a-z]+)\b", re.sub(r"\b(?:[01]?\d|2[0-3]):[0-5]\d\b", "", p.ocr_text, flags=re.A), re.A)
-        ids = ["-".join(found)[:12]] if found else []
+        ids = ["-".join(found)] if found else []
         rows += [{"video": p.video_key, "type": c, "path": p.image_path, "pos": p.pos, "frame": p.frame_index, "ids": ids} for c in plain_classes(p.ocr_text, rules)]
     want = kept_by(rows, {r.page_type: r for r in rules if r.page_type != "unknown"})
     got = {(r.video_key, r.page_type, r.image_path) for r in tq.page_pipeline(t).collect()}
