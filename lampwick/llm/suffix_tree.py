@@ -49,6 +49,8 @@ HEAD_SHARE = 2.5e-7
 FILTER_BITS = 21
 #: Texts of so many bytes, or one text, are held by a task at a time.
 PART_BYTES = 4 << 20
+#: Parts of the rows whose keys are joined one after the other.
+PASSES = 4
 START, END = b"\n", b" "  # no word holds white space
 BACK = 0x5851F42D4C957F2D  # tells the key of a context's rest from the key of a word
 
@@ -367,11 +369,17 @@ def score(docs: DataFrame, train: Column, depth: int = DEPTH) -> DataFrame:
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(n, t) for n, t in fields)])
     scored = docs.select("doc_id", "text", train.alias("train")).mapInArrow(_scorer(model.sent, depth), schema)
     scored, _ = materialise_at(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.explode("tail").alias("t")).select("row", F.col("t.key").alias("key"), F.col("t.n").alias("times"))
-    found = rare.hint("merge").join(model.tail, "key")
+    tail, _ = materialise_at(model.tail, "tail")
     token = F.col("kind") == 0
     total = lambda c, what: F.sum(F.when(c, what).otherwise(0))
-    sums = found.groupBy("row").agg(total(token, F.col("times")).alias("known"), total(token, F.col("times") * F.col("value")).alias("base"), total(~token, F.col("times") * F.col("value")).alias("more"))
+
+    def summed(rows: DataFrame) -> DataFrame:
+        rare = rows.select("row", F.explode("tail").alias("t")).select("row", F.col("t.key").alias("key"), F.col("t.n").alias("times"))
+        found = rare.hint("merge").join(tail, "key").groupBy("row")
+        return found.agg(total(token, F.col("times")).alias("known"), total(token, F.col("times") * F.col("value")).alias("base"), total(~token, F.col("times") * F.col("value")).alias("more"))
+
+    # one part of the rows after the other, so that the disk holds the shuffle files of one part only
+    sums = reduce(DataFrame.unionByName, (materialise_at(summed(scored.where(F.col("row") % PASSES == k)), "sums")[0] for k in range(PASSES)))
     whole = scored.drop("tail").join(sums.hint("merge"), "row", "left")
     base = F.col("head_base") + F.coalesce("base", F.lit(0.0)) - F.col("n_tokens") * F.lit(least)
     return whole.select(

@@ -80,7 +80,7 @@ def test_clustered_vectors_are_pruned(spark):
         for i in range(len(asks)):
             seen[i] |= np.isin(buckets, asked[i])
     assert np.take_along_axis(seen, near, axis=1).mean() >= 0.9 and seen.mean() <= 0.05, (how, seen.mean())
-    rows = pd.DataFrame({"vec_id": np.arange(20_000), "embedding": list(x[:20_000])})
+    rows = pd.DataFrame({"vec_id": np.arange(20_000), "embedding": x[:20_000].tolist()})
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = X.nearest(df, F.col("vec_id") % 500 == 7).collect()
     want = {}
