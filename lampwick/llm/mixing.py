@@ -61,5 +61,10 @@ def with_copies(docs: DataFrame, seed: int = 0, weights: Sequence[float] = WEIGH
 
 
 def mix(docs: DataFrame, seed: int = 0, **how) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with the columns it came with."""
+    """The mix itself: each document as often as it is taken, with the columns it came with.
+
+    Null texts, a null source or id, ties and repeated rows are as in
+    with_copies(); a document without words is taken as its rank says. No rows
+    give no rows.
+    """
     return with_copies(docs, seed, **how).withColumn("_lw_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
