@@ -63,8 +63,15 @@ def probes(x: np.ndarray, table: int, parts: int, count: int) -> np.ndarray:
 
     A part hashes to the nearest signed axis; the next ones are the signed axes
     with the next largest components. With several parts, the buckets with the
-    largest sums of components come first.
+    largest sums of components come first. Rows go some at a time, as many as
+    keep small what is sorted.
     """
+    wide = 2 << max(1, (x.shape[1] - 1).bit_length())
+    step = max(1, (1 << 20) // (min(count, wide) * wide if parts > 1 else wide))
+    return np.concatenate([_probes(x[at : at + step], table, parts, count) for at in range(0, max(1, len(x)), step)])
+
+
+def _probes(x: np.ndarray, table: int, parts: int, count: int) -> np.ndarray:
     keys, sums = np.zeros((len(x), 1), dtype=np.int64), np.zeros((len(x), 1))
     for part in range(parts):
         y = rotated(x, table, part)
