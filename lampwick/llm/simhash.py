@@ -19,6 +19,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -69,6 +70,10 @@ def with_fingerprints(docs: DataFrame, shingle: int = 3, carry: tuple[str, ...]
 WIDE, FEATURE = 6, 2
 #: Pairs that differ in more of the 192 bits aren't compared: at 0.8 some 18 differ, 4 more or less.
 FAR = 36
+#: Nodes that each one is compared with at a word.
+ROUNDS = 4
+#: Shingles in a block of nodes, about.
+BLOCK_SHINGLES = 1_000_000
 
 
 def wide_fingerprints(texts: list[str | None], vocabulary: Vocabulary) -> np.ndarray:
@@ -186,11 +191,21 @@ def _contents(batches):
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(content, pa.binary()), *(pa.array(np.ascontiguousarray(longs[:, k])) for k in range(WIDE // 2))], names=["number", "content", "f0", "f1", "f2"])
 
 
+def _hash(numbers: pa.Array) -> np.ndarray:
+    n = numbers.to_numpy(zero_copy_only=False).view(np.uint64)
+    return mixed(np.zeros(len(n), dtype=np.uint64), n)
+
+
+def _hashed(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_hash(batch.column(0)).view(np.int64))], names=["key"])
+
+
 def _sets(shingle: int, sent):
     def run(batches):
         vocabulary, wanted = Vocabulary(), sent.value
         for part in parts(batches, 1):
-            part = part.filter(pa.array(wanted(part.column(0).to_numpy().view(np.uint64))))
+            part = part.filter(pa.array(wanted(_hash(part.column(0)))))
             sets = word_sets(part.column(1).to_pylist(), shingle, vocabulary)
             offsets = np.concatenate([[0], np.cumsum(list(map(len, sets)), dtype=np.int64)]).astype(np.int32)
             flat = np.concatenate(sets) if sets else np.zeros(0, dtype=np.int64)
@@ -199,6 +214,20 @@ def _sets(shingle: int, sent):
     return run
 
 
+def _comparer(similarity: float):
+    def run(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        of = dict(zip(sets["id"], sets["shingles"]))
+
+        def held(a: int, b: int) -> bool:
+            x, y = of[a], of[b]
+            same = len(np.intersect1d(x, y, assume_unique=True))
+            return same >= similarity * (len(x) + len(y) - same)
+
+        return pairs.loc[[held(a, b) for a, b in zip(pairs["a"], pairs["b"])], ["a", "b"]]
+
+    return run
+
+
 def _merged(known: DataFrame, links: DataFrame) -> DataFrame:
     """(id, comp) for every id of ``known`` after links (a, b) between comps; comp is the smallest."""
     over = components(links).select(F.col("node").alias("comp"), F.col("root").alias("top"))
@@ -211,11 +240,13 @@ def similar_roots(nodes: DataFrame, numbered: DataFrame, shingle: int, similarit
 
     Each node is sent to the ball of radius 1 around each 32-bit word of its
     fingerprint, so nodes within 2 bits in a word meet. Of those that meet at a
-    ball's word, each is first compared with the smallest and the largest one;
-    then only pairs that this has not joined are, so a large group of near copies
-    is not multiplied out, and no pair that met is left out. Pairs far apart in
-    the whole fingerprint are dropped, and the others stay if the Jaccard
-    similarity of their shingles is at least ``similarity``.
+    ball's word, each is compared with one in each round: the smallest, the
+    largest, then others by chance, unless it is joined with that one already.
+    So a large group of near copies is not multiplied out: a round has as many
+    pairs as nodes that met, and two of a group meet at many words, each with
+    others to compare with. Pairs far apart in the whole fingerprint are dropped,
+    and the others stay if the Jaccard similarity of their shingles is at least
+    ``similarity``.
     """
     half = F.lit((1 << 32) - 1)
     words = []
@@ -236,35 +267,35 @@ def similar_roots(nodes: DataFrame, numbered: DataFrame, shingle: int, similarit
 
     met = kept(met.where("id <> low OR next IS NOT NULL"), "met")
     ids = kept(met.select("id").distinct(), "met_ids")
-    sent = numbered.sparkSession.sparkContext.broadcast(filter_of(ids.select(F.col("id").alias("key"))))
+    sent = numbered.sparkSession.sparkContext.broadcast(filter_of(ids.mapInArrow(_hashed, "key long")))
     sets = numbered.select("number", "text").mapInArrow(_sets(shingle, sent), "id long, shingles array<long>")
     sets = kept(sets.join(ids.hint("merge"), "id", "left_semi").join(nodes.hint("merge"), "id"), "sets")
 
+    blocks = max(1, -(-sets.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0] // BLOCK_SHINGLES))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+
     def alike(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) of ids that are similar."""
-        side = lambda c, *more: sets.select(F.col("id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in more)).hint("merge")
+        """Pairs (a, b) of ids that are similar. They are compared by blocks of nodes, so that a set travels once for a pair of blocks, not for a pair."""
         prints = [f"f{k}" for k in range(WIDE // 2)]
+        side = lambda c: sets.select(F.col("id").alias(c), *(F.col(f).alias(f"{f}_{c}") for f in prints)).hint("merge")
         apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{f}_a").bitwiseXOR(F.col(f"{f}_b"))) for f in prints))
-        close = pairs.distinct().join(side("a", *prints), "a").join(side("b", *prints), "b").where(apart <= FAR).select("a", "b")
-        both = close.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b")
-        same = F.size(F.array_intersect("shingles_a", "shingles_b"))
-        held = same >= F.lit(similarity) * (F.size("shingles_a") + F.size("shingles_b") - same)
-        return kept(both.where(held).select("a", "b"), "alike")
+        close = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(apart <= FAR)
+        close = kept(close.select(block("a").alias("x"), block("b").alias("y"), "a", "b"), "close")
+        needed = close.select("x", "y", F.col("a").alias("id")).unionByName(close.select("x", "y", F.col("b").alias("id"))).distinct()
+        needed = kept(needed.hint("merge").join(sets.select("id", "shingles"), "id"), "needed")
+        return kept(close.groupBy("x", "y").cogroup(needed.groupBy("x", "y")).applyInPandas(_comparer(similarity), "a long, b long"), "alike")
 
     comps = ids.select("id", F.col("id").alias("comp"))
-    ends = met.groupBy("word").agg(F.min("id").alias("low"), F.max("id").alias("high")).hint("merge")
-    stars = met.select("id", "word").join(ends, "word")
-    star = lambda c: stars.where(F.col("id") != F.col(c)).select(F.least("id", c).alias("a"), F.greatest("id", c).alias("b"))
-    comps = _merged(comps, alike(star("low").unionByName(star("high"))))
-    labelled = met.select("id", "word").join(comps.hint("merge"), "id")
-    mixed_words = labelled.groupBy("word").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("word")
-    apart = kept(labelled.join(mixed_words.hint("merge"), "word", "left_semi"), "apart")
-    one, two = (apart.select("word", F.col("id").alias(c), F.col("comp").alias(f"comp_{c}")) for c in "ab")
-    pairs = one.hint("merge").join(two, "word").where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b"))).select("a", "b")
-    links = alike(pairs)
-    of = lambda c: comps.select(F.col("id").alias(c), F.col("comp").alias(f"comp_{c}")).hint("merge")
-    tops = links.join(of("a"), "a").join(of("b"), "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
-    out = _merged(comps, tops)
+    for k in range(ROUNDS):
+        labelled = met.select("id", "word").join(comps.hint("merge"), "id")
+        order = (F.col("id"), -F.col("id"))[k] if k < 2 else F.xxhash64("id", F.lit(k))
+        ends = labelled.groupBy("word").agg(F.min_by(F.struct("id", "comp"), order).alias("end")).hint("merge")
+        star = labelled.join(ends, "word").where("comp <> end.comp")
+        links = alike(star.select(F.least("id", "end.id").alias("a"), F.greatest("id", "end.id").alias("b")))
+        of = lambda c: comps.select(F.col("id").alias(c), F.col("comp").alias(f"comp_{c}")).hint("merge")  # noqa: E731, B023
+        tops = links.join(of("a"), "a").join(of("b"), "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
+        comps = _merged(comps, tops)
+    out = comps
     for path in spare:
         discard(nodes.sparkSession, path)
     return out
