@@ -29,7 +29,7 @@ TABLES, PARTS, MOST_PROBES = (1, 2, 4, 8, 12), (1, 2), 1024
 #: Queries of the sample, and the part of their neighbours that the setting must collect.
 SAMPLE, FIT_RECALL = 128, 0.97
 #: What looking into a bucket costs, in vectors compared.
-LOOK = 8.0
+LOOK = 32.0
 #: Vectors and queries that one cell of a search holds at most, about.
 CELL = 2048
 FOUND = T.StructType([T.StructField("query", T.LongType()), T.StructField("near", T.LongType()), T.StructField("score", T.DoubleType())])
