@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, cross_polytope, license_scan, mixing, packing, pii_crf, rule_ensemble, simhash, suffix_tree, tool_calls
+from . import compression, cross_polytope, license_scan, mixing, packing, pii_crf, resampling, rule_ensemble, simhash, suffix_dedup, suffix_tree, tool_calls
 from .common import crc_mod, read
 from .license_sql import OP1_SQL
 from .tool_sql import OP2_SQL
@@ -54,6 +54,15 @@ def op10_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(read(spark, sf_dir, "documents"), keep_first=False).drop("kept")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.importance_ranks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 _SIZES = r"""
     SELECT doc_id, text, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
            CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey
@@ -87,5 +96,5 @@ SELECT doc_id, size, source_size, target,
 FROM ranked JOIN rated USING (skey)
 """
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_tool_calls, op3_rule_ensemble, op4_pii_crf, op5_compression_bands, op6_suffix_tree, op7_systematic_sampling, op8_length_buckets, op9_cross_polytope, op10_simhash_balls)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_tool_calls, op3_rule_ensemble, op4_pii_crf, op5_compression_bands, op6_suffix_tree, op7_systematic_sampling, op8_length_buckets, op9_cross_polytope, op10_simhash_balls, op11_suffix_arrays, op13_importance_resampling)}
 ORACLE_SQL = {"op1_license_scan": OP1_SQL, "op2_tool_calls": OP2_SQL, "op7_systematic_sampling": OP7_SQL}
