@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, cross_polytope, license_scan, mixing, packing, pii_crf, resampling, rule_ensemble, simhash, suffix_dedup, suffix_tree, tool_calls
+from . import compression, cross_polytope, license_scan, mixing, packing, pii_crf, resampling, rule_ensemble, simhash, spelling, suffix_dedup, suffix_tree, tool_calls
 from .common import crc_mod, read
 from .license_sql import OP1_SQL
+from .text_sql import OP11_SQL, OP12_SQL, OP13_SQL
 from .tool_sql import OP2_SQL
 
 
@@ -58,6 +59,10 @@ def op11_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removed(read(spark, sf_dir, "documents"), keep_first=False).drop("kept")
 
 
+def op12_frequency_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.text_variants(read(spark, sf_dir, "documents"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = resampling.importance_ranks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_features", "weight", "score", "rank")
@@ -96,5 +101,5 @@ SELECT doc_id, size, source_size, target,
 FROM ranked JOIN rated USING (skey)
 """
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_tool_calls, op3_rule_ensemble, op4_pii_crf, op5_compression_bands, op6_suffix_tree, op7_systematic_sampling, op8_length_buckets, op9_cross_polytope, op10_simhash_balls, op11_suffix_arrays, op13_importance_resampling)}
-ORACLE_SQL = {"op1_license_scan": OP1_SQL, "op2_tool_calls": OP2_SQL, "op7_systematic_sampling": OP7_SQL}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_tool_calls, op3_rule_ensemble, op4_pii_crf, op5_compression_bands, op6_suffix_tree, op7_systematic_sampling, op8_length_buckets, op9_cross_polytope, op10_simhash_balls, op11_suffix_arrays, op12_frequency_trie, op13_importance_resampling)}
+ORACLE_SQL = {"op1_license_scan": OP1_SQL, "op2_tool_calls": OP2_SQL, "op7_systematic_sampling": OP7_SQL, "op11_suffix_arrays": OP11_SQL, "op12_frequency_trie": OP12_SQL, "op13_importance_resampling": OP13_SQL}
