@@ -25,7 +25,7 @@ RUN, LEAST, OCCURRENCES, TIMES = r"[A-Za-zÀ-ÿ]+", 7, 2, 10
 #: Coarse groups at the top of the trie: the first number with which no node has more than so many words.
 TOPS, NODE_WORDS = (2, 4, 8, 16), 50_000
 #: Fine groups; words searched at once; paths followed at once.
-LEVELS, BATCH, PATHS = 32, 8192, 1 << 18
+LEVELS, BATCH, PATHS = 32, 8192, 1 << 15
 
 _WEIGHT = np.random.default_rng(12).integers(1, 1 << 63, 4096, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
@@ -53,7 +53,7 @@ def _matrix(words: list[str], size: int) -> np.ndarray:
 def _counts(codes: np.ndarray, groups: int) -> np.ndarray:
     """How many letters of each group a word has; a letter's group is its code point modulo their number."""
     group = (codes % groups).astype(np.uint8)
-    return np.stack([(group == g).sum(axis=1) for g in range(groups)], axis=1).astype(np.int64)
+    return np.stack([(group == g).sum(axis=1) for g in range(groups)], axis=1).astype(np.int32)
 
 
 def _by_size(words: list[str]) -> Iterator[tuple[int, np.ndarray]]:
@@ -127,7 +127,7 @@ class Trie:
         leaf_path[at] = np.stack(paths, axis=1)
         self.first = [np.searchsorted(leaf_path[:, g], np.arange(len(self.edges[g]))) for g in range(LEVELS)]
         self.leaves = [np.diff(np.append(f, len(leaf_path))) for f in self.first]
-        self.vectors = np.zeros((len(leaf_path), LEVELS), dtype=np.int64)
+        self.vectors = np.zeros((len(leaf_path), LEVELS), dtype=np.int32)
         self.vectors[at] = counts
         self.leaf = at
         self.halves: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]] = {}
