@@ -68,9 +68,11 @@ def _node(counts: np.ndarray) -> np.ndarray:
 
 
 def steps(groups: int) -> list[tuple[int, int]]:
-    """(surplus, deficit) groups, -1 for none, by which a word of the same size or one letter more can differ."""
-    same = [(-1, -1)] + [(a, b) for a in range(groups) for b in range(groups) if a != b]
-    return same + [(a, -1) for a in range(groups)]
+    """(surplus, deficit) groups, -1 for none, by which a word of the same size or one letter more can differ.
+
+    Of a step between words of one size and its reverse only one is here: one of the two words asks.
+    """
+    return [(-1, -1)] + [(a, b) for a in range(groups) for b in range(a + 1, groups)] + [(a, -1) for a in range(groups)]
 
 
 def nodes_of(words: DataFrame, groups: int) -> DataFrame:
@@ -86,7 +88,7 @@ def nodes_of(words: DataFrame, groups: int) -> DataFrame:
 
 
 def dealt(words: DataFrame, groups: int) -> DataFrame:
-    """(node, asks, word, n): each word at its own top node, and again with ``asks`` at every node that its budget reaches."""
+    """(node, asks, word, n): each word at its own top node with ``asks`` 0, and again at the nodes that its budget reaches, with 1 at its own and 2 at others."""
 
     def run(batches):
         for part in pieces(batches, 1024):
@@ -94,17 +96,17 @@ def dealt(words: DataFrame, groups: int) -> DataFrame:
             for size, own in _by_size(words):
                 counts = _counts(_matrix([words[i] for i in own], size), groups)
                 home = _node(counts)
-                nodes, rows, asks = [home], [own], [np.zeros(len(own), dtype=bool)]
+                nodes, rows, asks = [home], [own], [np.zeros(len(own), dtype=np.int8)]
                 for more, less in steps(groups):
                     able = np.flatnonzero(counts[:, less] > 0) if less >= 0 else np.arange(len(own))
                     gain = _WEIGHT[[more]] * np.uint64(more >= 0) - _WEIGHT[[less]] * np.uint64(less >= 0)
                     nodes.append(home[able] + gain)
                     rows.append(own[able])
-                    asks.append(np.ones(len(able), dtype=bool))
+                    asks.append(np.full(len(able), 1 if more == less else 2, dtype=np.int8))
                 at = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes).view(np.int64)), pa.array(np.concatenate(asks)), part.column(0).take(at), part.column(1).take(at)], names=["node", "asks", "word", "n"])
 
-    return words.select("word", "n").mapInArrow(run, "node long, asks boolean, word string, n long")
+    return words.select("word", "n").mapInArrow(run, "node long, asks byte, word string, n long")
 
 
 class Trie:
@@ -209,47 +211,50 @@ def near_pairs(words: DataFrame, groups: int) -> DataFrame:
     """(word, near, near_n): both directions of every pair of words at one edit.
 
     A task gets the words of a top node first, builds their trie, and then
-    takes those that ask by and by. One size is asked by its own and the next
-    smaller one, so pairs of different sizes are found once and turned here.
+    takes those that ask by and by. Words of the node ask each other; what
+    asks from elsewhere, of the trie's size or one letter less, isn't asked, so its pairs are turned here.
     """
 
-    def found(trie: Trie, counts: list[int], asking: list[tuple[str, int]]):
-        for size, own in _by_size([w for w, _ in asking]):
+    def found(trie: Trie, counts: list[int], words: list[str], ns: list[int], elsewhere: bool):
+        for size, own in _by_size(words):
             if size not in (trie.size, trie.size - 1):
                 continue  # a node number that two vectors share
-            a, b = trie.near([asking[i][0] for i in own])
-            a = own[a]
-            rows = [(asking[i][0], trie.words[j], counts[j]) for i, j in zip(a.tolist(), b.tolist())]
-            if size < trie.size:
-                rows += [(trie.words[j], *asking[i]) for i, j in zip(a.tolist(), b.tolist())]
+            a, b = trie.near([words[i] for i in own])
+            a, b = own[a].tolist(), b.tolist()
+            rows = [(words[i], trie.words[j], counts[j]) for i, j in zip(a, b)]
+            if elsewhere:  # those asked here don't ask there
+                rows += [(trie.words[j], words[i], ns[i]) for i, j in zip(a, b)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["word", "near", "near_n"])
 
     def run(batches):
-        node, trie, held, asking = None, {}, [], []
+        state, tries, words, ns = None, [], [], []
 
-        def ask():
-            for t, counts in trie.values():
-                yield from found(t, counts, asking)
-            asking.clear()
+        def close():
+            """What has come for a node and role: the words of a trie, or some that ask."""
+            if words and not state[1]:
+                tries[:] = [(Trie([words[i] for i in own]), [ns[i] for i in own]) for _, own in _by_size(words)]
+            elif words:
+                for trie, counts in tries:
+                    yield from found(trie, counts, words, ns, state[1] == 2)
+            words.clear(), ns.clear()
 
         for batch in pieces(batches, BATCH):
-            for at, asks, word, n in zip(*(c.to_pylist() for c in batch.columns)):
-                if at != node:
-                    yield from ask()
-                    node, trie, held = at, {}, []
-                if not asks:
-                    held.append((word, n))
-                    continue
-                if held:
-                    for size, own in _by_size([w for w, _ in held]):
-                        trie[size] = Trie([held[i][0] for i in own]), [held[i][1] for i in own]
-                    held = []
-                if trie:
-                    asking.append((word, n))
-                if len(asking) == BATCH:
-                    yield from ask()
-        yield from ask()
+            node, asks = batch.column("node").to_numpy(), batch.column("asks").to_numpy()
+            cuts = [0, *(np.flatnonzero((node[1:] != node[:-1]) | (asks[1:] != asks[:-1])) + 1).tolist(), len(node)]
+            texts, counts = batch.column("word").to_pylist(), batch.column("n").to_pylist()
+            for a, b in zip(cuts, cuts[1:]):
+                own = int(node[a]), int(asks[a])
+                if own != state:
+                    yield from close()
+                    if state is None or own[0] != state[0]:
+                        tries = []
+                    state = own
+                words += texts[a:b]
+                ns += counts[a:b]
+                if own[1] and len(words) >= BATCH:
+                    yield from close()
+        yield from close()
 
     rows = dealt(words, groups).repartition("node").sortWithinPartitions("node", "asks")
     return rows.mapInArrow(run, "word string, near string, near_n long")
