@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import prompts
+from ..workdir import materialise
 
 CONCURRENCY = 50
 # What a checking model's answer holds when it objects.
@@ -137,15 +138,15 @@ def self_correct(failed: DataFrame, factory: Callable[[], Client] = echo_client,
 
     At most ``attempts`` passes over the rows that are still failing, each with
     the prompt improved by its errors. A row is corrected when its content has
-    changed or, with ``revalidate``, when the rules hold for it. The loop builds
-    one plan; what a pass has answered is cached, so that a model is asked once.
+    changed or, with ``revalidate``, when the rules hold for it. The answers of a
+    pass are written, so that a model is asked once whatever reads them.
     """
     base = [c for c in failed.columns]
     open_ = failed.withColumns({"_original": F.col("content"), "_prompt": F.col("prompt")})
     done = None
     for k in range(1, attempts + 1):
         ask = open_.withColumns({"prompt": prompts.improved_prompt(F.col("_prompt"), F.col("errors")), "attempts": F.lit(k)})
-        got = infer_rows(ask, factory, partitions).withColumn("_prompt", F.col("prompt")).persist()
+        got = materialise(infer_rows(ask, factory, partitions).withColumn("_prompt", F.col("prompt")), "answers")
         fine = F.col("content").isNotNull() & (F.col("content") != "")
         if revalidate:
             got = dual_check(got, revalidate, None)

@@ -60,7 +60,7 @@ def cached_inference_join(requests: DataFrame, cache: DataFrame, ttls: DataFrame
     """Adds cache_key, cached_content and hit: the newest answer of the key that is younger than the business's life."""
     newest = cache.groupBy("cache_key").agg(F.max_by("content", "ts").alias("cached_content"), F.max("ts").alias("_ts"))
     life = ttls.select("biz_type", ttl_seconds(F.col("ttl")).alias("_ttl"))
-    df = requests.withColumn("cache_key", cache_key(F.col("biz_type"), F.col("prompt"), F.col("image_url"))).join(life, "biz_type", "left").join(newest, "cache_key", "left")
+    df = requests.withColumn("cache_key", cache_key(F.col("biz_type"), F.col("prompt"), F.col("image_url"))).join(looked_up(life), "biz_type", "left").join(newest.hint("merge"), "cache_key", "left")
     hit = F.coalesce(now_ms - F.col("_ts") < F.coalesce("_ttl", ttl_seconds(F.lit(None).cast("string"))) * 1000, F.lit(False))
     return df.withColumns({"hit": hit, "cached_content": F.when(hit, F.col("cached_content"))}).drop("_ts", "_ttl")
 
@@ -82,14 +82,8 @@ def template_resolve(asked: DataFrame, templates: DataFrame, defaults: DataFrame
     latest = t.where("_v = 'latest'").select("biz_type", "stage", F.col("template").alias("_latest"))
     own = defaults.where("biz_type IS NOT NULL").select("biz_type", "stage", F.col("template").alias("_own"))
     any_ = defaults.where("biz_type IS NULL").select("stage", F.col("template").alias("_any"))
-    df = asked.withColumn("_v", F.coalesce("version", F.lit(""))).join(exact, ["biz_type", "stage", "_v"], "left").join(latest, ["biz_type", "stage"], "left").join(own, ["biz_type", "stage"], "left").join(any_, "stage", "left")
+    df = asked.withColumn("_v", F.coalesce("version", F.lit(""))).join(looked_up(exact), ["biz_type", "stage", "_v"], "left")
+    df = df.join(looked_up(latest), ["biz_type", "stage"], "left").join(looked_up(own), ["biz_type", "stage"], "left").join(looked_up(any_), "stage", "left")
     late = F.when(F.col("version").isNull(), F.col("_latest"))
     how = F.when(F.col("_exact").isNotNull(), "exact").when(late.isNotNull(), "latest").when(F.coalesce("_own", "_any").isNotNull(), "default").otherwise("none")
     return df.withColumns({"template": F.coalesce("_exact", late, "_own", "_any"), "resolved": how}).drop("_v", "_exact", "_latest", "_own", "_any")
-
-
-def example_candidates(queries: DataFrame, examples: DataFrame) -> DataFrame:
-    """Pairs with at least one character in common, by an equi join on characters: the scale path before an exact score."""
-    q = queries.select("query_id", F.explode(F.array_distinct(F.split("query", ""))).alias("c"))
-    e = examples.select("example_pos", F.explode(F.array_distinct(F.split("input", ""))).alias("c"))
-    return q.hint("shuffle_hash").join(e, "c").select("query_id", "example_pos").distinct()

@@ -6,8 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.values import tag_key
+from ..workdir import materialise
+from .ranges import beside, blocks_before, ranged, within
 
 # The two price lists, per thousand input and output tokens.
 MONITOR_PRICES = (0.005, 0.015)
@@ -55,15 +58,42 @@ def nearest_rank(value: str, p: float) -> Column:
     return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
 
 
+def counted_quantiles(counts: DataFrame, by: Sequence[str], wanted: dict[str, float]) -> DataFrame:
+    """by..., and for each name of ``wanted`` the value at rank ceil(p * n), at least 1, from (by..., value, n), a row for each value of a group.
+
+    Values are dealt out by ranges and counted up within them; a table of blocks
+    gives what stands before a range, so no task holds all values of a
+    group. Null values don't count; a group of nulls only has null quantiles.
+    """
+    rows = ranged(counts.where("value IS NOT NULL"), by, [F.col("value")])
+    run = F.sum("n").over(within(by).orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    order = blocks_before(by)
+    blocks = rows.groupBy("_range", *by).agg(F.sum("n").alias("_n"))
+    blocks = blocks.select("_range", *by, (F.sum("_n").over(order) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(*by)).alias("_all"))
+    placed = beside(rows.withColumn("_run", run), blocks, ["_range", *by]).withColumn("_to", F.col("_before") + F.col("_run"))
+    rank = lambda p: F.greatest(F.ceil(F.lit(p) * F.col("_all")), F.lit(1))
+    own = [F.max(F.when((F.col("_to") >= rank(p)) & (F.col("_to") - F.col("n") < rank(p)), F.col("value"))).alias(name) for name, p in wanted.items()]
+    found = placed.groupBy(*by).agg(*own) if by else placed.agg(*own)
+    nulls = counts.groupBy(*by).agg(F.max("value").alias("_v")).where("_v IS NULL").drop("_v") if by else None
+    return found if nulls is None else found.unionByName(nulls, allowMissingColumns=True)
+
+
 def latency_metrics(samples: DataFrame, by: Sequence[str] = (), value: str = "latency", exact: bool = True) -> DataFrame:
     """min, max, floored mean, p50, p95, p99, p999, n of non-null values.
 
-    Exact percentiles count every distinct value of a group; ``exact=False``
-    takes sketches of bounded size instead.
+    Exact percentiles come from the count of each value, see
+    counted_quantiles(); ``exact=False`` takes sketches of bounded size instead.
     """
-    v = F.col(value)
-    p = (lambda q: nearest_rank(value, q)) if exact else (lambda q: F.percentile_approx(v, q, 10_000))
-    return _grouped(samples, by, F.min(v).alias("min"), F.max(v).alias("max"), _floor_mean(F.sum(v), F.count(v)).alias("avg"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), p(0.999).alias("p999"), F.count(v).alias("n"))
+    v, wanted = F.col(value), {"p50": 0.5, "p95": 0.95, "p99": 0.99, "p999": 0.999}
+    aggs = [F.min(v).alias("min"), F.max(v).alias("max"), _floor_mean(F.sum(v), F.count(v)).alias("avg")]
+    if not exact:
+        return _grouped(samples, by, *aggs, *(F.percentile_approx(v, p, 10_000).alias(name) for name, p in wanted.items()), F.count(v).alias("n"))
+    counts = materialise(samples.groupBy(*by, v.alias("value")).agg(F.count("*").alias("n")), "values")
+    v, n = F.col("value"), F.when(F.col("value").isNotNull(), F.col("n"))
+    sums = _grouped(counts, by, F.min(v).alias("min"), F.max(v).alias("max"), _floor_mean(F.sum(v * n), F.sum(n)).alias("avg"), F.coalesce(F.sum(n), F.lit(0)).alias("n"))
+    found = counted_quantiles(counts, by, wanted)
+    rows = beside(sums, found, by) if by else sums.join(F.broadcast(found))  # one row beside one row
+    return rows.select(*by, "min", "max", "avg", *wanted, "n")
 
 
 def latency_eval_aggs(value: str = "latency") -> list[Column]:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -65,24 +67,49 @@ def candidate_top1(candidates: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(best.alias("b")).select(*by, "b.*")
 
 
-def pareto_front(candidates: DataFrame, by: list[str]) -> DataFrame:
+def _sweep(batches):
+    """Points (_key, accuracy, cost, latency) sorted by key, accuracy down, cost and latency up: those that none before of their key dominates.
+
+    Only a later point can be dominated, and of those before only the stairs count: costs up, latencies down.
+    """
+    key, costs, lates = None, [], []
+    for batch in batches:
+        keep = []
+        for own, cost, late in zip(*(batch.column(c).to_pylist() for c in ("_key", "cost", "latency"))):
+            if own != key:
+                key, costs, lates = own, [], []
+            at = bisect_right(costs, cost)
+            keep.append(not at or lates[at - 1] > late)
+            if keep[-1]:
+                end = at
+                while end < len(costs) and lates[end] >= late:
+                    end += 1
+                at -= bool(at and costs[at - 1] == cost)
+                costs[at:end], lates[at:end] = [cost], [late]
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def _swept(points: DataFrame) -> DataFrame:
+    rows = points.repartition("_key").sortWithinPartitions("_key", F.desc("accuracy"), "cost", "latency")
+    return rows.mapInArrow(_sweep, rows.schema)
+
+
+def pareto_front(candidates: DataFrame, by: list[str], block: int = 50_000) -> DataFrame:
     """Candidates that no other of their group dominates: none is as good everywhere and better somewhere.
 
-    In order of accuracy (down), cost and latency (up) a candidate is only
-    dominated by earlier ones, so equal points are folded first and the anti
-    join meets distinct points of one group.
+    Equal points are folded. Each group is dealt into blocks of about ``block``
+    points, whose fronts are swept by themselves; what is left of a group
+    is swept once more by a task that reads it sorted and holds only the stairs of
+    costs and latencies. Rows with a null or NaN in the group or a point give none.
     """
     points = ["accuracy", "cost", "latency"]
-    distinct = candidates.select(*by, *points).distinct()
-    a, b = distinct.alias("a"), distinct.alias("b")
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
-    better = (F.col("b.accuracy") >= F.col("a.accuracy")) & (F.col("b.cost") <= F.col("a.cost")) & (F.col("b.latency") <= F.col("a.latency"))
-    differs = (F.col("b.accuracy") > F.col("a.accuracy")) | (F.col("b.cost") < F.col("a.cost")) | (F.col("b.latency") < F.col("a.latency"))
-    cond = better & differs
-    for s in same:
-        cond = cond & s
-    front = a.join(b, cond, "left_anti")
-    return candidates.join(front, [*by, *points], "left_semi")
+    real = candidates.dropna(subset=[*by, *points])
+    distinct = real.select(F.struct(*by).alias("_g"), *(F.col(c).cast("double").alias(c) for c in points)).distinct()
+    sizes = distinct.groupBy("_g").agg(F.ceil(F.count("*") / block).alias("_blocks")).hint("merge")
+    dealt = distinct.join(sizes, "_g").select(F.struct("_g", F.pmod(F.xxhash64(*points), F.col("_blocks")).alias("block")).alias("_key"), *points)
+    front = _swept(_swept(dealt).select(F.col("_key._g").alias("_key"), *points))
+    right = front.select("_key", *(F.col(c).alias(f"_{c}") for c in points)).hint("merge")
+    return real.join(right, [F.struct(*by) == F.col("_key"), *(F.col(c).cast("double") == F.col(f"_{c}") for c in points)], "left_semi")
 
 
 #: Ways to make better prompts, by name: each takes prompts (by..., prompt, failures: array<string>) and gives (by..., kind, prompt).

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..streaming import jobs
+from ..streaming.versions import VersionedTable
 from ..workdir import new_path
 from . import table_queries as tq
 
@@ -37,7 +38,7 @@ def _streamed(t: fx.Tables) -> _Streamed:
     return _Streamed(t.spark, t.dir)
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+def drained(stream: DataFrame, mode: str = "append", **trigger: bool) -> DataFrame:
     """Everything that the stream gives until its input ends. Complete results are written anew by each batch."""
     spark = stream.sparkSession
     out, checkpoint = new_path(spark, "stream"), new_path(spark, "offsets")
@@ -46,7 +47,7 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
         path = out if mode == "complete" else f"{out}/batch={number}"
         batch.write.mode("overwrite").parquet(path)
 
-    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(*([out] if mode == "complete" else [f"{out}/batch=*"]))
 
 
@@ -67,7 +68,7 @@ def stream_dedup_tasks(t):
 @query(tq._FOLD)
 def stream_task_state(t):
     events = fx.task_events(_streamed(t)).withColumn("ts", F.col("ts").cast("timestamp"))
-    states = drained(jobs.stream_task_state(events), "update")
+    states = drained(jobs.stream_task_state(events), "update", once=True)  # state with a life asks for a next batch always, so there is no end to wait for
     last = states.groupBy("task_id").agg(F.max_by(F.struct("status", "steps", "created_at", "updated_at", "completed_at", "error_message"), "updated_at").alias("s")).select("task_id", "s.*")
     return last.withColumn("executed", F.replace("steps", F.lit("\x1f"), F.lit(","))).drop("steps")
 
@@ -79,8 +80,7 @@ def stream_task_results(t):
     writes = tq._writes(_streamed(t)).select(*_RESULT, "seq")
     run = jobs.stream_task_results(writes, path, checkpoint).start()
     run.awaitTermination()
-    last = run.lastProgress["batchId"] if run.lastProgress else 0
-    return spark.read.parquet(f"{path}/v{last}").select("task_id", "link_name", "task_type", "status", "llm_content", "updated_at")
+    return VersionedTable(spark, path, "task_id").read(writes.drop("seq").schema).select("task_id", "link_name", "task_type", "status", "llm_content", "updated_at")
 
 
 _RESULT = ["task_id", "task_type", "status", "created_at", "updated_at", "completed_at", "video_key", "link_name", "submit_date", "image_count", "llm_content", "ocr_text_count", "custom_data"]
@@ -101,7 +101,7 @@ def stream_cost_trend(t):
 @query(tq.SQL["alert_error_rate"])
 def stream_alert_error_rate(t):
     events = _streamed(t).events.withColumn("ts", F.col("ts").cast("timestamp"))
-    return drained(jobs.alert_error_rate(events, F.col("event_type") == "error", 0.003), "complete")
+    return jobs.error_windows(drained(jobs.error_panes(events, F.col("event_type") == "error"), "complete"), 0.003)
 
 
 @query(tq.SQL["read_task_messages"])

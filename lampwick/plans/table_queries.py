@@ -702,7 +702,7 @@ def mmr_top_k(t):
 
 @query("""SELECT c.conv_id * 1000 + c.turn AS query_id, b.item_id AS example_pos FROM conversations c, benchmark b WHERE role = 'user' AND len(list_intersect(string_split(c.text, ''), string_split(b.text, ''))) > 0""")
 def example_match(t):
-    return joins.example_candidates(fx.queries_of(t).where("query <> ''"), fx.examples(t))
+    return similarity.example_candidates(fx.queries_of(t).where("query <> ''"), fx.examples(t))
 
 
 # -- models -----------------------------------------------------------------

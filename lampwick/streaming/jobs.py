@@ -3,19 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import gcd
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
 from ..functions.text import is_media
-from ..operators.metrics import MONITOR_PRICES, cost, ratio
+from ..operators.metrics import MONITOR_PRICES, cost, counted_quantiles, ratio
 from ..operators.state import merge_results
+from .versions import VersionedTable
 
-STATE = "status string, steps string, created_at timestamp, updated_at timestamp, completed_at timestamp, error_message string"
+OUT_STATE = "status string, steps string, created_at timestamp, updated_at timestamp, completed_at timestamp, error_message string"
+#: Times are nanoseconds, so that no time zone comes into the state.
+STATE = "status string, steps string, created long, updated long, completed long, error string"
 STATUS_OF = {"START": "RUNNING", "COMPLETE": "COMPLETED", "FAIL": "FAILED", "CANCEL": "CANCELLED"}
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _seconds(span: str) -> int:
+    return int(pd.Timedelta(span).total_seconds())
 
 
 def stream_new_objects(spark: SparkSession, path: str, schema: str, fmt: str = "json") -> DataFrame:
@@ -29,51 +39,63 @@ def stream_dedup_tasks(events: DataFrame, at: str = "ts", keys: tuple[str, ...]
 
 
 def fold(events: pd.DataFrame, state: tuple | None) -> tuple:
-    """status, steps, created_at, updated_at, completed_at, error_message after more events, in order of (ts, seq)."""
+    """The fields of STATE after more events, in order of (ts, seq).
+
+    An event older than the last one of the state is late: its step counts and it
+    may be the first of the task, but it doesn't set status, error or time back.
+    """
     status, steps, created, updated, completed, error = state or ("PENDING", "", None, None, None, None)
     names = [s for s in steps.split("\x1f") if s]
     for e in events.sort_values(["ts", "seq"], kind="stable").to_dict("records"):
-        status = STATUS_OF.get(e["event"], status)
+        at, late = e["ts"].value, updated is not None and e["ts"].value < updated
         if e["event"] == "STEP" and e["step_name"] not in names:
             names.append(e["step_name"])
-        created, updated = created or e["ts"], e["ts"]
-        completed = e["ts"] if e["event"] == "COMPLETE" else completed
-        error = e["error_message"] if e["event"] == "FAIL" else error
+        created, updated = at if created is None else min(created, at), at if updated is None else max(updated, at)
+        if not late:
+            status = STATUS_OF.get(e["event"], status)
+            completed = at if e["event"] == "COMPLETE" else completed
+            error = e["error_message"] if e["event"] == "FAIL" else error
     return status, "\x1f".join(names), created, updated, completed, error
 
 
-def stream_task_state(events: DataFrame, days: int = 7) -> DataFrame:
-    """The state of each task after each batch that touches it; a state goes when its task was quiet for its life.
+class TaskState(StatefulProcessor):
+    """Folds the events of a task into a state that lives for ``life_ms`` after its last change."""
 
-    events: task_id, event, step_name, error_message, ts, seq. The life runs in
-    event time, and so does the watermark: events that are later than it are
-    dropped, others are folded when they come.
-    """
-    life_ms = days * 86_400_000
+    def __init__(self, life_ms: int):
+        self.life_ms = life_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("task", STATE, self.life_ms)
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        new = fold(pd.concat(list(frames)), state.get if state.exists else None)
-        state.update(new)
-        state.setTimeoutTimestamp(int(pd.Timestamp(new[3]).timestamp() * 1000) + life_ms)
-        yield pd.DataFrame([(*key, *new)], columns=["task_id", "status", "steps", "created_at", "updated_at", "completed_at", "error_message"])
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = fold(pd.concat(list(rows)), tuple(self.state.get()) if self.state.exists() else None)
+        self.state.update(new)
+        status, steps, *times, error = new
+        yield pd.DataFrame([(*key, status, steps, *map(pd.Timestamp, times), error)], columns=["task_id", *(c.split()[0] for c in OUT_STATE.split(", "))])
 
-    timed = events.withWatermark("ts", f"{days} days")
-    return timed.groupBy("task_id").applyInPandasWithState(run, f"task_id string, {STATE}", STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    def close(self) -> None:
+        pass
 
 
-def stream_task_results(writes: DataFrame, path: str, checkpoint: str):
-    """Result rows upserted batch by batch into a Parquet table kept as one folder per batch, the newest being the table.
+def stream_task_state(events: DataFrame, life: str = "7 days") -> DataFrame:
+    """The state of each task after each batch that touches it; a state goes when its task was quiet for its life.
 
-    A batch that is repeated after a failure writes the same folder again.
+    events: task_id, event, step_name, error_message, ts, seq. The life is the
+    state store's own and runs by the clock, as does that of a cache. Such
+    state needs the RocksDB store, which the session is set to. A run that is to
+    end takes the trigger ``once``: by the clock there is always a next batch. For late events see fold().
     """
+    events.sparkSession.conf.set(PROVIDER, ROCKS)
+    processor = TaskState(_seconds(life) * 1000)
+    return events.groupBy("task_id").transformWithStateInPandas(processor, f"task_id string, {OUT_STATE}", "Update", "ProcessingTime")
+
+
+def stream_task_results(writes: DataFrame, path: str, checkpoint: str, buckets: int = 64):
+    """Result rows upserted batch by batch into a VersionedTable: a batch writes the buckets of its keys, and is one commit."""
+    schema = writes.drop("seq").schema
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        stored = spark.read.parquet(f"{path}/v{number - 1}") if number else spark.createDataFrame([], batch.drop("seq").schema)
-        merge_results(stored, batch).write.mode("overwrite").parquet(f"{path}/v{number}")
+        VersionedTable(batch.sparkSession, path, "task_id", buckets).commit(number, batch, schema, merge_results)
 
     return writes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
@@ -86,27 +108,68 @@ def cost_trend(usage: DataFrame, hours: int = 24, at: str = "ts", late: str = "1
     return out.select(F.col("w.start").alias("window_start"), "requests", "cost")
 
 
-def rolling_eval(log: DataFrame, hours: int = 24, slide: str = "1 hour", at: str = "created_at", late: str = "1 hour") -> DataFrame:
-    """Counts and success rate of each biz and stage in sliding windows."""
+def pane(length: str, slide: str) -> str:
+    """The longest span that both a window's length and its slide are made of."""
+    return f"{gcd(_seconds(length), _seconds(slide))} seconds"
+
+
+def windows_of(panes: DataFrame, length: str, slide: str, by: tuple[str, ...], *sums: Column) -> DataFrame:
+    """Sliding windows from a table of panes (w: window, by...): a row for each pane, not for each event, goes to the windows that hold it."""
+    return panes.groupBy(F.window("w", length, slide).alias("w"), *by).agg(*sums)
+
+
+def eval_panes(log: DataFrame, hours: int = 24, slide: str = "1 hour", at: str = "created_at", late: str = "1 hour") -> DataFrame:
+    """w, biz_type, prompt_stage, total and success: the counts that windows are summed from."""
     df = log.withWatermark(at, late) if log.isStreaming else log
     ok = F.count_if(F.col("validation_status") == "SUCCESS")
-    out = df.groupBy(F.window(at, f"{hours} hours", slide).alias("w"), "biz_type", "prompt_stage").agg(F.count("*").alias("total"), ok.alias("success"))
+    return df.groupBy(F.window(at, pane(f"{hours} hours", slide)).alias("w"), "biz_type", "prompt_stage").agg(F.count("*").alias("total"), ok.alias("success"))
+
+
+def rolling_eval(log: DataFrame, hours: int = 24, slide: str = "1 hour", at: str = "created_at", late: str = "1 hour") -> DataFrame:
+    """Counts and success rate of each biz and stage in sliding windows, summed from panes. A stream of it appends."""
+    sums = (F.sum("total").alias("total"), F.sum("success").alias("success"))
+    out = windows_of(eval_panes(log, hours, slide, at, late), f"{hours} hours", slide, ("biz_type", "prompt_stage"), *sums)
     return out.select(F.col("w.start").alias("window_start"), "biz_type", "prompt_stage", "total", "success", ratio(F.col("success"), F.col("total")).alias("success_rate"))
 
 
-def alert_error_rate(events: DataFrame, failed: Column, limit: float = 0.1) -> DataFrame:
-    """at, errors, requests, errors_per_second, error_share, over: each window of 5 minutes, every 30 seconds."""
+ALERT, EVERY = "5 minutes", "30 seconds"
+
+
+def error_panes(events: DataFrame, failed: Column) -> DataFrame:
+    """w, errors and requests of every 30 seconds."""
     df = events.withWatermark("ts", "10 minutes") if events.isStreaming else events
-    out = df.groupBy(F.window("ts", "5 minutes", "30 seconds").alias("w")).agg(F.count_if(failed).alias("errors"), F.count("*").alias("requests"))
+    return df.groupBy(F.window("ts", EVERY).alias("w")).agg(F.count_if(failed).alias("errors"), F.count("*").alias("requests"))
+
+
+def error_windows(panes: DataFrame, limit: float = 0.1) -> DataFrame:
+    """at, errors, requests, errors_per_second, error_share, over: each window of 5 minutes, every 30 seconds, from error_panes()."""
+    out = windows_of(panes, ALERT, EVERY, (), F.sum("errors").alias("errors"), F.sum("requests").alias("requests"))
     out = out.select(F.col("w.end").alias("at"), "errors", "requests", (F.col("errors") / 300.0).alias("errors_per_second"), ratio(F.col("errors"), F.col("requests")).alias("error_share"))
     return out.withColumn("over", F.col("errors_per_second") > limit)
 
 
+def alert_error_rate(events: DataFrame, failed: Column, limit: float = 0.1) -> DataFrame:
+    """error_windows() of the events. A stream of it appends."""
+    return error_windows(error_panes(events, failed), limit)
+
+
 def alert_latency_p95(events: DataFrame, value: str, limit: float = 1000.0, exact: bool = True) -> DataFrame:
-    """at, p95, over for the same windows; streams take the sketch."""
+    """at, p95, over for the same windows; streams take the sketch.
+
+    Exact ones count each value in each pane and the panes' counts in each window.
+    A sketch holds a pane, and a window merges its panes' sketches.
+    """
     df = events.withWatermark("ts", "10 minutes") if events.isStreaming else events
-    p = F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})") if exact and not events.isStreaming else F.percentile_approx(value, 0.95, 10_000)
-    return df.groupBy(F.window("ts", "5 minutes", "30 seconds").alias("w")).agg(p.alias("p95")).select(F.col("w.end").alias("at"), "p95", (F.col("p95") > limit).alias("over"))
+    w = F.window("ts", EVERY).alias("w")
+    if exact and not events.isStreaming:
+        panes = df.groupBy(w, F.col(value).alias("value")).agg(F.count("*").alias("n"))
+        counts = windows_of(panes, ALERT, EVERY, ("value",), F.sum("n").alias("n")).select(F.col("w.end").alias("at"), "value", "n")
+        out = counted_quantiles(counts, ["at"], {"p95": 0.95})
+    else:
+        panes = df.groupBy(w).agg(F.kll_sketch_agg_double(F.col(value).cast("double")).alias("s"))
+        merged = windows_of(panes, ALERT, EVERY, (), F.kll_merge_agg_double("s").alias("s"))
+        out = merged.select(F.col("w.end").alias("at"), F.kll_sketch_get_quantile_double("s", F.lit(0.95)).alias("p95"))
+    return out.select("at", "p95", (F.col("p95") > limit).alias("over"))
 
 
 def held_for(windows: DataFrame, seconds: int = 300, by: tuple[str, ...] = ()) -> DataFrame:

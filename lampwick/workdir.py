@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -12,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: The temporary folder of a process that is driver and executor at once.
+_own: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; only where that is unset and the session is one local process, a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -19,8 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
+        folder = _own[0]
     return folder.rstrip("/")
 
 
@@ -49,3 +55,9 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 def looked_up(table: DataFrame, most: int = 10_000) -> DataFrame:
     """``table`` with the hint for a join that looks rows up in it: sent to every task if it has at most ``most`` rows, else merged."""
     return table.hint("broadcast" if table.limit(most + 1).count() <= most else "merge")
+
+
+def typed(frame: pd.DataFrame, **kinds: str) -> pd.DataFrame:
+    """The frame with columns of the Spark types named, so that an empty one has types too; what isn't a number goes as objects."""
+    numbers = {"bigint": "int64", "long": "int64", "int": "int64", "double": "float64"}
+    return frame.astype({c: numbers.get(kind, "object") for c, kind in kinds.items() if kind not in numbers or not frame[c].isna().any()})

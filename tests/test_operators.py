@@ -127,7 +127,7 @@ def test_similarity_paths_agree(spark):
     for small in (similarity.SMALL, 2):
         got = sorted((r.query_id, r.example_pos, r["rank"]) for r in similarity.similarity_top_k(q, e, 3, 0.1, small).collect())
         assert got == sorted(want)
-    assert sorted(joins.example_candidates(q.where("query <> ''"), e).toPandas().example_pos) == [0, 1, 3]
+    assert sorted(similarity.example_candidates(q.where("query <> ''"), e).toPandas().example_pos) == [0, 1, 3]
 
 
 def test_mmr(spark):
