@@ -35,6 +35,12 @@ def text_of(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def aside(docs: DataFrame, *taken: str) -> tuple[DataFrame, list[Column]]:
+    """docs with its columns whose names begin with one of ``taken`` under other names, and what to select to have all as they came."""
+    others = {c: f"_own_{i}" for i, c in enumerate(docs.columns) if c.lower().startswith(taken)}
+    return docs.withColumnsRenamed(others), [F.col(f"`{others.get(c, c)}`").alias(c) for c in docs.columns]
+
+
 def n_words(col: str | Column = "text") -> Column:
     return F.regexp_count(text_of(col), F.lit(WORD)).cast("long")
 

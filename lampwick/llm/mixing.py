@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, md5_int, n_words
+from .common import aside, materialise, md5_int, n_words
 from .ranks import bin_offsets, binned, n_sub_bins, with_rank
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -47,7 +47,8 @@ def with_copies(docs: DataFrame, seed: int = 0, weights: Sequence[float] = WEIGH
     separate documents; columns of these names in the input are replaced.
     """
     names = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "copies")]
-    docs = docs.select(*names).withColumns({"size": n_words(), "_lw_key": F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), F.col("source")))})
+    docs, own = aside(docs.select(*names), "_lw_")
+    docs = docs.withColumns({"size": n_words(), "_lw_key": F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), F.col("source")))})
     facts = materialise(docs.groupBy("_lw_key", F.length(F.bin("size")).alias("_lw_class"), md5_int(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_lw_hash")).agg(F.count("*").alias("n"), F.sum("size").alias("words")), "facts")
     rows = facts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     counts = facts.groupBy("_lw_key", "_lw_class", (F.col("_lw_hash") % n_sub_bins(rows)).cast("int").alias("_lw_sub")).agg(F.sum("n").alias("n"))
@@ -57,7 +58,7 @@ def with_copies(docs: DataFrame, seed: int = 0, weights: Sequence[float] = WEIGH
     offsets = bin_offsets(counts, "_lw_key").join(sources, "_lw_key")
     ranked = with_rank(binned(docs, "_lw_key", "size", "doc_id", rows), "_lw_key", "size", "doc_id", offsets, F.xxhash64("text"))
     step = lambda n: F.floor(F.col("_lw_offset") + F.col("_lw_rate") * n)
-    return ranked.withColumn("copies", step(F.col("_lw_rank")) - step(F.col("_lw_rank") - 1)).select(*names, "size", "source_size", "target", "copies")
+    return ranked.withColumn("copies", step(F.col("_lw_rank")) - step(F.col("_lw_rank") - 1)).select(*own, "size", "source_size", "target", "copies")
 
 
 def mix(docs: DataFrame, seed: int = 0, **how) -> DataFrame:
@@ -67,4 +68,5 @@ def mix(docs: DataFrame, seed: int = 0, **how) -> DataFrame:
     with_copies(); a document without words is taken as its rank says. No rows
     give no rows.
     """
-    return with_copies(docs, seed, **how).withColumn("_lw_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    docs, own = aside(docs, "size", "source_size", "target", "copies", "_lw_")
+    return with_copies(docs, seed, **how).withColumn("_lw_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*own)

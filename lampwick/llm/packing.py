@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, md5_int, n_words
+from .common import aside, materialise, md5_int, n_words
 from .ranks import bin_offsets, binned, n_sub_bins, with_rank
 
 BUCKETS, BUDGET = 16, 16384
@@ -81,7 +81,8 @@ def packed(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> Dat
     """
     added = ("n_tokens", "bucket", "batch", "padding", "n_slots")
     names = [c for c in docs.columns if c.lower() not in added]
-    docs = docs.select(*names).withColumn("n_tokens", n_words())
+    docs, own = aside(docs.select(*names), "_lw_")
+    docs = docs.withColumn("n_tokens", n_words())
     facts = materialise(docs.groupBy(F.col("n_tokens").alias("length"), md5_int(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_lw_hash"), F.length(F.bin("n_tokens")).alias("_lw_class")).agg(F.count("*").alias("n")), "lengths")
     bins = facts.groupBy("length").agg(F.sum("n").alias("n")).orderBy("length").toPandas()
     bounds = best_bounds(bins["length"].to_numpy(), bins["n"].to_numpy(), buckets) or [0]
@@ -94,7 +95,7 @@ def packed(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> Dat
     ranked = with_rank(df, "bucket", "n_tokens", "doc_id", bin_offsets(counts, "bucket"), F.xxhash64("text"))
     slots = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.lit(1), F.col("bucket")))).cast("long")
     batch = F.concat_ws("-", F.col("bucket").cast("string"), F.floor((F.col("_lw_rank") - 1) / slots).cast("string"))
-    return ranked.withColumns({"n_slots": slots, "batch": batch, "padding": F.col("bucket") - F.col("n_tokens")}).select(*names, *added)
+    return ranked.withColumns({"n_slots": slots, "batch": batch, "padding": F.col("bucket") - F.col("n_tokens")}).select(*own, *added)
 
 
 def batches(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:

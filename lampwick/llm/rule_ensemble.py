@@ -17,7 +17,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of
+from .common import aside, materialise, text_of
 
 TREES, TREE_DEPTH, PENALTY, SEED, THRESHOLD = 16, 3, 0.002, 11, 0.3
 
@@ -138,9 +138,10 @@ def kept_by_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     the choice read them. Null texts count as empty; repeated rows are judged
     each; without any label every score is 0.5 and all rows stay.
     """
+    docs, own = aside(docs, "_s_", "label")
     known = materialise(with_statistics(docs), "judged")
     model = fit(labelled(known.drop("text"), labels))
-    return known.where(model.score() >= THRESHOLD).select(*docs.columns)
+    return known.where(model.score() >= THRESHOLD).select(*own)
 
 
 def with_score(docs: DataFrame, model: Ensemble) -> DataFrame:

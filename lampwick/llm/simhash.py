@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import discard, materialise, materialise_at, pieces, words_of
+from .common import aside, discard, materialise, materialise_at, pieces, words_of
 from .components import components
 from .suffix_tree import Vocabulary, filter_of, mixed, parts
 
@@ -311,11 +311,11 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     bits in each of WIDE words. Null, empty and blank texts are copies of each
     other. Rows with equal doc_id are told apart by a number given when they are
     first read and written, so of repeated rows one stays. Columns are as they
-    came; a column named _row_number_here isn't kept. No rows give no rows.
+    came. No rows give no rows.
     """
     number = "_row_number_here"
-    names = [c for c in docs.columns if c.lower() != number]
-    numbered, _ = materialise_at(docs.select(*names).withColumn(number, F.monotonically_increasing_id()), "numbered")
+    docs, own = aside(docs, number)
+    numbered, _ = materialise_at(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
     texts = numbered.select(F.col(number).alias("number"), "text")
     prints = texts.mapInArrow(_contents, "number long, content binary, f0 long, f1 long, f2 long")
     prints = prints.hint("merge").join(numbered.select(F.col(number).alias("number"), "doc_id"), "number")
@@ -325,4 +325,4 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     roots = similar_roots(nodes.drop("first"), texts, shingle, similarity)
     placed = nodes.join(roots.hint("merge"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     keep = placed.groupBy("comp").agg(F.min("first").alias("first")).select(F.col("first.number").alias(number))
-    return numbered.join(keep.hint("shuffle_hash"), number, "left_semi").select(*names)
+    return numbered.join(keep.hint("shuffle_hash"), number, "left_semi").select(*own)
