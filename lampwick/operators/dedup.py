@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import file_name
 from ..workdir import looked_up, materialise, typed
-from .ranges import beside, blocks_before, ranged, within
+from .ranges import beside, blocks_before, dealt, over, ranged, within
 
 PART = ["video_key", "page_type"]
 OUT = [*PART, "image_path", "pos", "action", "reason"]
@@ -91,7 +91,7 @@ def _entries(frames: np.ndarray, window: int) -> np.ndarray:
 
 
 def _chain_frames(nodes: DataFrame) -> DataFrame:
-    """(_g, frame_index): frames that the windows keep, of groups that lie in several ranges.
+    """(_g, frame_index): frames that the windows keep, of groups that lie in any number of ranges.
 
     nodes: _g, _window, frame_index, _range; distinct frames. For each place
     where a block can be entered its task finds where the chain leaves it; the
@@ -101,7 +101,7 @@ def _chain_frames(nodes: DataFrame) -> DataFrame:
     """
     blocks = nodes.groupBy("_g", "_range").agg(F.min("frame_index").alias("low"), F.max("frame_index").alias("high"))
     lists: dict[int, list] = {}
-    for r in blocks.orderBy("_g", "_range").collect():  # a group of several ranges has the first or the last rows of each of its ranges: two rows for each range at most
+    for r in blocks.orderBy("_g", "_range").collect():  # a row for each range, and one more for each of the groups, which are large
         lists.setdefault(r["_g"], []).append((r["_range"], r["low"], r["high"]))
 
     def links(part: pd.DataFrame) -> pd.DataFrame:
@@ -147,28 +147,33 @@ def _chain_frames(nodes: DataFrame) -> DataFrame:
 def sliding_window_dedup(pages: DataFrame, window: int | Column = DEFAULT_WINDOW) -> DataFrame:
     """Drops a page if a kept page with its first id is at most ``window`` frames before it.
 
-    Ids don't meet each other, and only the last kept frame of an id matters.
-    The frames of all ids are dealt out by ranges: an id within one range
-    is sorted by frame and streams by, one frame held; an id over several
-    ranges, which may have any share of the rows, goes the way of
-    _chain_frames(). Frames without an index (-1) never conflict. ``window`` may
-    be a column; pages with different windows don't meet.
+    Ids don't meet each other, and only the last kept frame of an id matters. An
+    id is sorted by frame and streams by, one frame held; one over ranges.LARGE
+    rows is dealt out by ranges of frames and goes the way of _chain_frames(),
+    whatever its share of the rows. Frames without an index (-1) never conflict.
+    ``window`` may be a column; pages with different windows don't meet.
     """
     window = F.lit(window) if isinstance(window, int) else window
     rows = _first_id(pages.withColumn("_window", F.when(window > 0, window).otherwise(DEFAULT_WINDOW)))
     group = [*PART, "_id", "_window"]
-    rows = materialise(rows.select(*group, F.col("frame_index").cast("long").alias("frame_index"), "pos", "image_path"), "frames")
-    frames = ranged(rows.where("frame_index >= 0").select(*group, "frame_index").distinct(), group, [F.col("frame_index")]).drop("_row")
-    large = materialise(frames.groupBy(*group).agg((F.max("_range") > F.min("_range")).alias("_over")).where("_over").drop("_over").withColumn("_g", F.monotonically_increasing_id()), "large")
-    small = beside(rows, large, group, "left_anti", "broadcast")  # fewer rows than ranges
-    small = small.repartition(*group).sortWithinPartitions(*group, "frame_index", "pos", "image_path")
+    rows = rows.select(*group, F.col("frame_index").cast("long").alias("frame_index"), "pos", "image_path")
     schema = T.StructType([*(rows.schema[c] for c in (*PART, "image_path", "pos")), T.StructField("_kept", T.BooleanType())])
-    done = small.mapInArrow(_near, schema)
-    if large.limit(1).count():
-        kept = _chain_frames(materialise(beside(frames, large, group, "inner", "broadcast").select("_g", "_window", "frame_index", "_range"), "nodes")).withColumn("_in", F.lit(True))
-        hot = beside(rows, large, group, "inner", "broadcast").join(kept.hint("merge"), ["_g", "frame_index"], "left")
+
+    def streamed(df: DataFrame) -> DataFrame:
+        return df.repartition(*group).sortWithinPartitions(*group, "frame_index", "pos", "image_path").mapInArrow(_near, schema)
+
+    large = over(rows, group)
+    if not large.limit(1).count():
+        done = streamed(rows)
+    else:
+        rows, large = materialise(rows, "frames"), materialise(large.withColumn("_g", F.monotonically_increasing_id()), "large")
+        hint = "broadcast" if large.count() <= 10_000 else "merge"
+        hot = materialise(beside(rows, large, group, "inner", hint), "hot")
+        nodes = dealt(hot.where("frame_index >= 0").select("_g", "_window", "frame_index").distinct(), ["_g"], [F.col("frame_index")])
+        kept = _chain_frames(nodes).withColumn("_in", F.lit(True))
         free = F.col("frame_index").isNull() | (F.col("frame_index") < 0)
-        done = done.unionByName(hot.select(*PART, "image_path", "pos", (free | F.col("_in").isNotNull()).alias("_kept")))
+        chosen = hot.join(kept.hint("merge"), ["_g", "frame_index"], "left").select(*PART, "image_path", "pos", (free | F.col("_in").isNotNull()).alias("_kept"))
+        done = streamed(beside(rows, large, group, "left_anti", hint)).unionByName(chosen)
     return _out(done, F.col("_kept"), F.when(F.col("_kept"), FAR).otherwise(NEAR))
 
 

@@ -11,13 +11,29 @@ from pyspark.sql.window import Window
 from ..workdir import materialise
 
 
+#: Groups of more rows than this are dealt out by ranges.
+LARGE = 1_000_000
+
+
+def over(df: DataFrame, group: Sequence[str]) -> DataFrame:
+    """The groups of more than LARGE rows."""
+    return (df.groupBy(*group).count() if group else df.agg(F.count("*").alias("count"))).where(F.col("count") > LARGE).drop("count")
+
+
+def dealt(df: DataFrame, group: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+    """A written table with ``_range``, rising with (group, order). A group lies in as many successive ranges as it needs; no task sorts more than a range."""
+    by = [*map(F.col, group), *order]
+    return materialise(df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by).withColumn("_range", F.spark_partition_id()), "ranges")
+
+
 def ranged(df: DataFrame, group: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    """A written table with ``_range``, rising with (group, order), and ``_row``, the row's number from 1 within its block.
+    """The rows with ``_range`` and ``_row``, the row's number from 1 within its block.
 
-    A group lies in as many successive ranges as it needs; no task sorts more than a range.
+    Where any group is over LARGE the rows are dealt(); else all are one range, each
+    group one block, and nothing is written. The result of both is the same but for how blocks are cut.
     """
-    by = [*map(F.col, group), *order]
-    rows = materialise(df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by).withColumn("_range", F.spark_partition_id()), "ranges")
+    large = bool(over(df, group).limit(1).count())
+    rows = dealt(df, group, order) if large else df.withColumn("_range", F.lit(0))
     return rows.withColumn("_row", F.row_number().over(within(group).orderBy(*order)))
 
 

@@ -5,11 +5,17 @@ import random
 import numpy as np
 import pytest
 
-from lampwick.operators import dedup
+from lampwick.operators import dedup, metrics, ranges
 
 SCHEMA = "video_key string, page_type string, image_path string, pos long, frame_index int, unique_ids array<string>"
 
 
+@pytest.fixture(autouse=True, params=[50, 10**6], ids=["ranges", "one range"])
+def large(request, monkeypatch):
+    monkeypatch.setattr(ranges, "LARGE", request.param)
+    return request.param
+
+
 def pages_of(spark, rows):
     return spark.createDataFrame([(v, "t", f"/p/{i:06d}.png", i, f, ids) for i, (v, f, ids) in enumerate(rows)], SCHEMA)
 
@@ -103,7 +109,9 @@ def test_cover_of_a_large_island(spark, kind):
     assert [r.reason for r in found if r.video_key == "w"] == [dedup.UNCOVERED]
 
 
-def test_cover_of_a_hundred_thousand_pages(spark):
+def test_cover_of_a_hundred_thousand_pages(spark, large):
+    if large > 50:
+        pytest.skip("once is enough")
     rng = np.random.default_rng(5)
     n = 100_000
     ids = [[f"i{k}" for k in row] for row in rng.integers(0, 60_000, (n, 2))]
@@ -120,3 +128,14 @@ def test_global_dedup_of_one_id(spark, middle):
     assert len(found) == len(rows) - 1 and len(kept) == 7
     at = 1000 if middle else 0
     assert kept["v", at] == (dedup.MIDDLE if middle else dedup.FIRST) % 2001 and kept[None, 2041] == dedup.ONLY
+
+
+def test_quantiles_of_one_group(spark):
+    rng = random.Random(9)
+    values = [("a", rng.randrange(5000)) for _ in range(4000)] + [("b", rng.choice([1, 2, None])) for _ in range(50)] + [("c", None), (None, 7)]
+    found = {r.g: r for r in metrics.latency_metrics(spark.createDataFrame(values, "g string, latency long"), ["g"]).collect()}
+    for g in ("a", "b", None):
+        own = sorted(v for k, v in values if k == g and v is not None)
+        rank = lambda p: own[max(1, -(-int(p * 1000) * len(own) // 1000)) - 1]  # noqa: E731, B023
+        assert (found[g].p50, found[g].p95, found[g].p99, found[g].p999, found[g].n) == (rank(0.5), rank(0.95), rank(0.99), rank(0.999), len(own))
+    assert (found["c"].p50, found["c"].n) == (None, 0)
