@@ -72,8 +72,9 @@ WIDE, FEATURE = 6, 2
 FAR = 36
 #: Nodes that each one is compared with at a word.
 ROUNDS = 4
-#: Shingles in a block of nodes, about.
-BLOCK_SHINGLES = 1_000_000
+#: Words that a task remembers the hashes of, about; shingles in a block of nodes, about.
+WORDS_HELD = 100_000
+BLOCK_SHINGLES = 500_000
 
 
 def wide_fingerprints(texts: list[str | None], vocabulary: Vocabulary) -> np.ndarray:
@@ -180,7 +181,7 @@ def word_sets(texts: list[str | None], shingle: int, vocabulary: Vocabulary) ->
 
 def _contents(batches):
     """(number, content, f0, f1, f2): a hash of the words, equal for copies, and the wide fingerprint."""
-    vocabulary = Vocabulary()
+    vocabulary = Vocabulary(WORDS_HELD)
     for part in parts(batches, 1):
         texts = part.column(1).to_pylist()
         prints = wide_fingerprints(texts, vocabulary)
@@ -203,7 +204,7 @@ def _hashed(batches):
 
 def _sets(shingle: int, sent):
     def run(batches):
-        vocabulary, wanted = Vocabulary(), sent.value
+        vocabulary, wanted = Vocabulary(WORDS_HELD), sent.value
         for part in parts(batches, 1):
             part = part.filter(pa.array(wanted(_hash(part.column(0)))))
             sets = word_sets(part.column(1).to_pylist(), shingle, vocabulary)
