@@ -1,15 +1,17 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
 Tokens are words with A-Z lowered, and one end after each text. The root of the
-tree gives each token (c + 1) / (N + V + 1). A context, the last one to DEPTH
-words, remembers the tokens that follow it LEAST times or more and of which it
-tells at least REMEMBER nats: over their occurrences, the log ratio of their
+tree gives each token (c + 1) / (N + V + 1). A context, the last one or more words,
+remembers the tokens that follow it LEAST times or more and of which it tells
+at least REMEMBER nats: over their occurrences, the log ratio of their
 probability in the context to that in its suffix, each occurrence being judged
 by the others (so that chance repeats don't count). All others share the rest of
 its distribution, PRIOR among it, as its suffix gives them. A context is retained
 where this tells DIVERGENCE nats or more of all that follows it. A token is
-scored in the longest retained context before it; the suffix of a context is its
-longest retained one.
+scored in the longest retained context before it. The tree grows downwards: a
+context is asked for only where its suffix, which lacks the oldest word, is
+retained. No length is fixed: contexts become longer by a word while those of
+the last length told at least WORTH of all that was told.
 
 Everything is counted over all training texts and lies in Spark tables keyed by
 64-bit hashes of words, contexts and windows (context and token), so the tree
@@ -36,13 +38,14 @@ from pyspark.sql import types as T
 
 from .common import crc_mod, discard, materialise_at, words_of
 
-DEPTH = 2
 #: Occurrences that a context can remember a token from; also the least of a context.
 LEAST = 2
 #: Weight of the suffix's distribution in a context's own.
 PRIOR = 4.0
 #: Nats that a remembered token, and a retained context, must tell.
 REMEMBER, DIVERGENCE = 4.0, 6.0
+#: Contexts are made a word longer while those of the last length tell this share of all nats told by retained contexts.
+WORTH = 0.1
 #: A key with this share of all tokens or more is sent to every task: at most 1 / HEAD_SHARE of them for each kind.
 HEAD_SHARE = 2.5e-7
 #: The bit filter has at most 2 ** FILTER_BITS words of 64 bits.
@@ -122,6 +125,16 @@ def filter_of(keys: DataFrame) -> Filter:
     return Filter(out.view(U))
 
 
+def folded(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct key, in the order of keys, and how often it occurs."""
+    order = np.argsort(keys)
+    held = keys[order]
+    new = np.ones(len(held), dtype=bool)
+    new[1:] = held[1:] != held[:-1]
+    at = np.nonzero(new)[0]
+    return order[at], np.diff(np.append(at, len(held)))
+
+
 def parts(batches, text: int):
     """Slices of Arrow batches of up to PART_BYTES of text each, or one row."""
     for batch in batches:
@@ -158,10 +171,10 @@ class Places:
             key = mixed(~context, key)
             yield context, key, np.nonzero(self.place >= length - 1)[0]
 
-    def open(self, length: int, repeated: Filter | None) -> tuple[np.ndarray, ...]:
-        """Of windows with ``length`` words that may repeat: keys, contexts, and the windows one word shorter at the old end.
+    def open(self, length: int, asked: Filter | None = None, repeated: Filter | None = None) -> tuple[np.ndarray, ...]:
+        """Of windows with ``length`` words: keys, contexts, and the windows one word shorter at the old end.
 
-        A window repeats only where both windows in it do that are one word shorter.
+        Beyond one word, those whose context is asked for, and whose shorter window repeats, as the window itself can't repeat otherwise.
         """
         low = self.token
         for at, (context, key, which) in enumerate(self.levels(length), 1):
@@ -169,12 +182,11 @@ class Places:
                 break
             low = key
         if length > 1:
-            which = which[repeated(context[which])]
+            which = which[asked(context[which])]
             which = which[repeated(low[which])]
         return key[which], context[which], low[which]
 
 
-COUNTED = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
 NAMED = pa.schema([("context", pa.int64()), ("low", pa.int64()), ("n", pa.int64())])
 
 
@@ -183,29 +195,28 @@ def _longs(x: np.ndarray) -> pa.Array:
 
 
 def _counter(batches):
-    """Counts of tokens and starts (kind 0), and of windows of one word and a token (kind 1)."""
+    """Counts of tokens and starts (``low``, without a context), and of windows of one word (``context``) and a token."""
     vocabulary = Vocabulary()
     for part in parts(batches, 0):
         places = Places(*vocabulary.read(part.column(0).to_pylist()))
-        starts = np.full(int((places.place == 0).sum()), places.start, dtype=U)
-        for kind, keys in enumerate((np.concatenate([places.token, starts]), places.open(1, None)[0])):
-            distinct, n = np.unique(keys, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, dtype=np.int32)), _longs(distinct), pa.array(n)], schema=COUNTED)
+        tokens = np.concatenate([places.token, np.full(int((places.place == 0).sum()), places.start, dtype=U)])
+        at, n = folded(tokens)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), _longs(tokens[at]), pa.array(n)], schema=NAMED)
+        keys, context, low = places.open(1)
+        at, n = folded(keys)
+        yield pa.RecordBatch.from_arrays([_longs(context[at]), _longs(low[at]), pa.array(n)], schema=NAMED)
 
 
 def _windows(length: int, sent):
-    """Windows of ``length`` words and a token that may repeat, with their counts; the context and the shorter window name one."""
+    """Windows of ``length`` words and a token that may be told of, with their counts; the context and the shorter window name one."""
 
     def run(batches):
-        vocabulary, repeated = Vocabulary(), sent.value
+        vocabulary, filters = Vocabulary(), sent.value
         for part in parts(batches, 0):
             places = Places(*vocabulary.read(part.column(0).to_pylist()))
-            keys, context, low = places.open(length, repeated)
-            key, first, n = np.unique(keys, return_index=True, return_counts=True)
-            if length == 1:
-                held = repeated(key)
-                key, first, n = key[held], first[held], n[held]
-            yield pa.RecordBatch.from_arrays([_longs(context[first]), _longs(low[first]), pa.array(n)], schema=NAMED)
+            keys, context, low = places.open(length, *filters)
+            at, n = folded(keys)
+            yield pa.RecordBatch.from_arrays([_longs(context[at]), _longs(low[at]), pa.array(n)], schema=NAMED)
 
     return run
 
@@ -225,52 +236,63 @@ class Model:
     summed their own counts, so rows are sent to their key as they are.
     """
 
-    def __init__(self, docs: DataFrame, train: Column, depth: int = DEPTH):
+    def __init__(self, docs: DataFrame, train: Column, depth: int | None = None):
         self.spark = docs.sparkSession
         self.texts = docs.where(train).select("text")
-        counted = self.texts.mapInArrow(_counter, "kind int, key long, n long").repartition("key").groupBy("key", "kind").agg(F.sum("n").alias("n"))
-        first, _ = materialise_at(counted.where((F.col("kind") == 0) | (F.col("n") >= LEAST)), "counts")
-        counts = first.where("kind = 0").select("key", "n")
+        counted = self._summed(self.texts.mapInArrow(_counter, "context long, low long, n long"))
+        first, _ = materialise_at(counted.where(F.col("context").isNull() | (F.col("n") >= LEAST)), "counts")
+        counts = first.where("context IS NULL").select(F.col("low").alias("key"), "n")
         start = mixed(np.zeros(1, dtype=U), np.array([xxhash.xxh64_intdigest(START)], dtype=U)).view(np.int64)[0]
         tokens = counts.where(F.col("key") != F.lit(int(start)))
         self.n, self.v = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long"), F.count("*")).first()
         values = [tokens.select("key", F.lit(0).alias("kind"), "n", F.log10(F.col("n") + 1.0).alias("value"))]
         totals = counts.select(F.col("key").alias("context"), F.col("n").alias("total"))
         lower = tokens.select(F.col("key").alias("low"), F.log((F.col("n") + 1.0) / (self.n + self.v + 1.0)).alias("lp"))
-        repeated = filter_of(first.where("kind = 1"))
-        for length in range(1, depth + 1):
-            windows, windows_at = self._repeating(length, repeated, totals, lower)
-            contexts, _ = materialise_at(self._retained(windows), "contexts")
+        named, named_at = first.where("context IS NOT NULL"), None
+        self.depth, told, ends = 0, 0.0, False
+        while not ends:
+            self.depth += 1
+            placed, placed_at = self._placed(named, totals, lower)
+            contexts, _ = materialise_at(self._retained(placed), "contexts")
+            tells = contexts.agg(F.coalesce(F.sum("tells"), F.lit(0.0))).first()[0]
+            told += tells
+            ends = self.depth == depth or tells == 0 or (depth is None and tells < WORTH * told)
             p, n = F.exp("lp"), F.col("n")
-            grown = windows.join(contexts.hint("shuffle_hash"), "context", "left")
+            grown = placed.join(contexts.hint("shuffle_hash"), "context", "left")
             own = F.when(F.col("told"), n).otherwise(0)
-            grown = grown.select("key", "n", F.coalesce(F.log((own + F.col("rest") * p) / (F.col("whole") + PRIOR)), F.col("lp")).alias("lp"), F.when(F.col("told"), F.log10(1.0 + n / (F.col("rest") * p))).alias("value"))
-            if length == depth:
-                grown = grown.where("value IS NOT NULL")
-            grown, _ = materialise_at(grown, "windows")
-            discard(self.spark, windows_at)
+            grown = grown.select("key", "low", "n", F.coalesce(F.log((own + F.col("rest") * p) / (F.col("whole") + PRIOR)), F.col("lp")).alias("lp"), F.when(F.col("told"), F.log10(1.0 + n / (F.col("rest") * p))).alias("value"))
+            grown, _ = materialise_at(grown.where("value IS NOT NULL") if ends else grown, "windows")
+            for path in (placed_at, named_at):
+                if path:
+                    discard(self.spark, path)
             values.append(grown.where("value IS NOT NULL").select("key", F.lit(1).alias("kind"), "n", "value"))
             values.append(contexts.select(F.col("context").bitwiseXOR(F.lit(BACK)).alias("key"), F.lit(2).alias("kind"), F.col("whole").alias("n"), F.log10(F.col("rest") / (F.col("whole") + PRIOR)).alias("value")))
-            totals = grown.select(F.col("key").alias("context"), F.col("n").alias("total"))
-            lower = grown.select(F.col("key").alias("low"), "lp")
-            if length < depth:
-                repeated = filter_of(grown)
-                if repeated.empty:
-                    break
+            if not ends:
+                # a window of these words is the context of longer ones, and the shorter window at its end is that one's suffix
+                longer = grown.join(contexts.select(F.col("context").alias("low")).hint("shuffle_hash"), "low", "left_semi")
+                totals, _ = materialise_at(longer.select(F.col("key").alias("context"), F.col("n").alias("total")), "totals")
+                lower = grown.select(F.col("key").alias("low"), "lp")
+                named, named_at = self._repeating(self.depth + 1, filter_of(totals.select(F.col("context").alias("key"))), filter_of(grown))
         self.values = reduce(DataFrame.unionByName, values)
 
-    def _repeating(self, length: int, may: Filter, totals: DataFrame, lower: DataFrame) -> tuple[DataFrame, str]:
-        """key, context, n, total (of the context), lp (log probability in the longest retained suffix) of windows met LEAST times."""
+    @staticmethod
+    def _summed(named: DataFrame) -> DataFrame:
+        return named.repartition("context", "low").groupBy("context", "low").agg(F.sum("n").alias("n"))
+
+    def _repeating(self, length: int, *may: Filter) -> tuple[DataFrame, str]:
+        """context, low, n of windows of ``length`` words and a token met LEAST times, and the table's path. Filters let some others through."""
         sent = self.spark.sparkContext.broadcast(may)
-        named = self.texts.mapInArrow(_windows(length, sent), "context long, low long, n long").repartition("context", "low")
-        named = named.groupBy("context", "low").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
-        named, named_at = materialise_at(named.mapInArrow(_keyed, "key long, context long, low long, n long"), "named")
+        named = self._summed(self.texts.mapInArrow(_windows(length, sent), "context long, low long, n long"))
+        out = materialise_at(named.where(F.col("n") >= LEAST), "named")
         sent.destroy()
-        df = named.join(totals.hint("shuffle_hash"), "context").join(lower.hint("shuffle_hash"), "low")
-        out = materialise_at(self._told(df.select("key", "context", "n", "total", "lp")), "placed")
-        discard(self.spark, named_at)
         return out
 
+    def _placed(self, named: DataFrame, totals: DataFrame, lower: DataFrame) -> tuple[DataFrame, str]:
+        """key, context, low, n, total (of the context), lp (log probability in its suffix) of windows, and what they tell."""
+        keyed = named.select("context", "low", "n").mapInArrow(_keyed, "key long, context long, low long, n long")
+        df = keyed.join(totals.hint("shuffle_hash"), "context").join(lower.hint("shuffle_hash"), "low")
+        return materialise_at(self._told(df.select("key", "context", "low", "n", "total", "lp")), "placed")
+
     @staticmethod
     def _told(windows: DataFrame) -> DataFrame:
         """Adds told, whether a context remembers the window, and gain, what it gains by that."""
@@ -280,11 +302,11 @@ class Model:
 
     @staticmethod
     def _retained(windows: DataFrame) -> DataFrame:
-        """context, whole, rest of the contexts that gain enough by what they remember, less what the others lose in the rest."""
+        """context, whole, rest, tells of the contexts that gain enough by what they remember, less what the others lose in the rest."""
         told = windows.where("told").groupBy("context").agg(F.max("total").alias("whole"), F.sum("n").alias("seen"), F.sum("gain").alias("gain"))
         alone, whole = F.col("whole") - F.col("seen"), F.col("whole")
         loss = alone * F.log((alone - 1.0 + PRIOR) / (whole - 1.0 + PRIOR))
-        return told.where(F.col("gain") + loss >= DIVERGENCE).select("context", "whole", (alone + PRIOR).alias("rest"))
+        return told.withColumn("tells", F.col("gain") + loss).where(F.col("tells") >= DIVERGENCE).select("context", "whole", (alone + PRIOR).alias("rest"), "tells")
 
     def send(self) -> None:
         """What scoring tasks get: the filter of contexts and windows, and the head's keys and values."""
@@ -325,10 +347,14 @@ def _scorer(sent, depth: int):
             more = np.zeros(rows)
             rest = ~held[own]
             left = [(places.owner[rest], places.token[rest])]
+            grown = np.ones(len(own), dtype=bool)
             for context, window, alive in places.levels(depth):
+                alive = alive[grown[alive]]
                 back = context[alive] ^ U(BACK)
                 seen = passes(back)
                 alive, back = alive[seen], back[seen]
+                grown = np.zeros(len(own), dtype=bool)
+                grown[alive] = True
                 window = window[alive]
                 fine = passes(window)
                 owner = np.concatenate([places.owner[alive], places.owner[alive[fine]]])
@@ -337,7 +363,8 @@ def _scorer(sent, depth: int):
                 more += _sums(owner[held_too], value_too[held_too], rows)
                 left.append((owner[~held_too], asked[~held_too]))
             owner, key = (np.concatenate(x) for x in zip(*left))
-            order = np.lexsort((key, owner))
+            order = np.argsort(key)
+            order = order[np.argsort(owner[order].astype(np.uint16 if rows <= 1 << 16 else np.int64), kind="stable")]
             owner, key = owner[order], key[order]
             new = np.ones(len(key), dtype=bool)
             new[1:] = (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])
@@ -350,11 +377,12 @@ def _scorer(sent, depth: int):
     return run
 
 
-def score(docs: DataFrame, train: Column, depth: int = DEPTH) -> DataFrame:
+def score(docs: DataFrame, train: Column, depth: int | None = None) -> DataFrame:
     """One row per document: doc_id, train, n_tokens, n_known, train_tokens, base_score, score.
 
     ``train`` is a boolean Column that says which rows are learnt from; null is
-    no. ``score`` is the log10 probability of the text's tokens in the tree (an
+    no; ``depth`` stops the tree at contexts of so many words (None: by what they
+    tell, see WORTH). ``score`` is the log10 probability of the text's tokens in the tree (an
     unknown one has the root's 1 / (N + V + 1)); base_score is that of the root
     alone. Null texts count as empty ones: one token, the end. Repeated rows are
     scored and counted each; other columns are ignored; without training rows
@@ -367,7 +395,7 @@ def score(docs: DataFrame, train: Column, depth: int = DEPTH) -> DataFrame:
     item = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType())])
     fields = [("train", T.BooleanType()), ("n_tokens", T.LongType()), ("head_known", T.LongType()), ("head_base", T.DoubleType()), ("head_more", T.DoubleType()), ("tail", T.ArrayType(item))]
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(n, t) for n, t in fields)])
-    scored = docs.select("doc_id", "text", train.alias("train")).mapInArrow(_scorer(model.sent, depth), schema)
+    scored = docs.select("doc_id", "text", train.alias("train")).mapInArrow(_scorer(model.sent, model.depth), schema)
     scored, _ = materialise_at(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     tail, _ = materialise_at(model.tail, "tail")
     token = F.col("kind") == 0

@@ -119,31 +119,30 @@ def test_base_score(spark, sample, monkeypatch):
             assert r.base_score == pytest.approx(want[r.doc_id][3])
 
 
-def plain_tree(texts, depth):
+def plain_tree(texts, depth=None):
     """The tree in plain Python: the root's counts, and retained contexts (words, the oldest first) with their remembered counts, rest and total."""
-    tokens = [[*(t or "").encode().lower().split(), b""] for t in texts]
-    root = Counter(w for row in tokens for w in row)
-    follow = {}
-    for row in tokens:
-        padded = [None] * depth + row
-        for i in range(depth, len(padded)):
-            for length in range(1, depth + 1):
-                follow.setdefault(tuple(padded[i - length : i]), Counter())[padded[i]] += 1
-    kept = {}
-    for context in sorted(follow, key=len):
-        if len(context) > 1 and context[1] is None:  # no context reaches further back than one start
-            continue
-        seen, total = follow[context], sum(follow[context].values())
-        own, gain = {}, 0.0
-        for w, n in seen.items():
-            p = plain_probability(root, kept, context[1:], w)
-            told = n * np.log((n - 1 + suffix_tree.PRIOR * p) / (total - 1 + suffix_tree.PRIOR) / p)
-            if n >= suffix_tree.LEAST and told >= suffix_tree.REMEMBER:
-                own[w], gain = n, gain + told
-        alone = total - sum(own.values())
-        gain += alone * np.log((alone - 1 + suffix_tree.PRIOR) / (total - 1 + suffix_tree.PRIOR))
-        if own and gain >= suffix_tree.DIVERGENCE:
-            kept[context] = (own, alone + suffix_tree.PRIOR, total)
+    tokens = [[None, *(t or "").encode().lower().split(), b""] for t in texts]
+    root = Counter(w for row in tokens for w in row[1:])
+    kept, length, all_told, tells = {}, 0, 0.0, 1.0
+    while tells and length != depth and (depth or tells >= suffix_tree.WORTH * all_told):
+        length, tells, follow = length + 1, 0.0, {}
+        for row in tokens:
+            for i in range(length, len(row)):
+                follow.setdefault(tuple(row[i - length : i]), Counter())[row[i]] += 1
+        for context, seen in follow.items():
+            if length > 1 and context[1:] not in kept:
+                continue
+            total, own, gain = sum(seen.values()), {}, 0.0
+            for w, n in seen.items():
+                p = plain_probability(root, kept, context[1:], w)
+                told = n * np.log((n - 1 + suffix_tree.PRIOR * p) / (total - 1 + suffix_tree.PRIOR) / p)
+                if n >= suffix_tree.LEAST and told >= suffix_tree.REMEMBER:
+                    own[w], gain = n, gain + told
+            alone = total - sum(own.values())
+            gain += alone * np.log((alone - 1 + suffix_tree.PRIOR) / (total - 1 + suffix_tree.PRIOR))
+            if own and gain >= suffix_tree.DIVERGENCE:
+                kept[context], tells = (own, alone + suffix_tree.PRIOR, total), tells + gain
+        all_told += tells
     return root, kept
 
 
@@ -156,28 +155,34 @@ def plain_probability(root, kept, context, word):
     return (own.get(word, 0) + rest * plain_probability(root, kept, context[1:], word)) / (total + suffix_tree.PRIOR)
 
 
-def plain_score(root, kept, text, depth):
-    row = [None] * depth + [*(text or "").encode().lower().split(), b""]
-    return sum(log10(plain_probability(root, kept, tuple(row[i - depth : i]), row[i])) for i in range(depth, len(row)))
+def plain_score(root, kept, text):
+    row = [None, *(text or "").encode().lower().split(), b""]
+    deepest = max(map(len, kept), default=0)
+    return sum(log10(plain_probability(root, kept, tuple(row[max(0, i - deepest) : i]), row[i])) for i in range(1, len(row)))
 
 
 def test_tree_and_scores_against_plain_python(spark, sample, monkeypatch):
     rng = np.random.default_rng(3)
     song = "a b c d e f the bird sings on and on all night long".split()
-    made = [" ".join(song[: int(n)]) + " " + " ".join(rng.choice(["the", "of", "x", "y", "zoo"], int(n))) for n in rng.integers(1, 14, 60)] + ["red q r win", "blue q r lose", "a y r mid", "b x r mid"] * 15
+    made = [" ".join(song[: int(n)]) + " " + " ".join(rng.choice(["the", "of", "x", "y", "zoo"], int(n))) for n in rng.integers(1, 14, 60)] + ["red q r win", "blue q r lose", "a y r mid", "b x r mid"] * 15 + [f"{a} w x y {b}" for a, b in (("no", "way"), ("on", "top"), ("up", "hill"))] * 12
     rows = [*[(i, t, "a") for i, t in enumerate(made)], (900, None, None), (901, "", None), (902, made[5], None), *[(1000 + r.doc_id, r.text, "b") for r in sample.limit(60).collect()]]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     train = F.col("doc_id") % 3 != 0
-    root, kept = plain_tree([t for i, t, _ in rows if i % 3], suffix_tree.DEPTH)
-    assert {len(c) for c in kept} == {1, 2}
-    for share, bits, part in ((suffix_tree.HEAD_SHARE, 21, 8 << 20), (0.01, 21, 2000), (2.0, 6, 1)):  # the head holds all, some or nothing
+    texts = [t for i, t, _ in rows if i % 3]
+    cases = (None, suffix_tree.HEAD_SHARE, 21, 8 << 20, suffix_tree.WORTH), (None, 0.01, 21, 2000, 1e-9), (2, 2.0, 6, 1, suffix_tree.WORTH), (4, 0.01, 21, 2000, suffix_tree.WORTH)
+    lengths = []
+    for depth, share, bits, part, worth in cases:  # the head holds all, some or nothing; filters tell much or nothing
         monkeypatch.setattr(suffix_tree, "HEAD_SHARE", share)
         monkeypatch.setattr(suffix_tree, "FILTER_BITS", bits)
         monkeypatch.setattr(suffix_tree, "PART_BYTES", part)
-        got = {r.doc_id: r for r in suffix_tree.score(docs, train).collect()}
+        monkeypatch.setattr(suffix_tree, "WORTH", worth)
+        root, kept = plain_tree(texts, depth)
+        lengths.append(max(map(len, kept)))
+        got = {r.doc_id: r for r in suffix_tree.score(docs, train, depth).collect()}
         assert len(got) == len(rows)
         for i, text, _ in rows:
-            assert got[i].score == pytest.approx(plain_score(root, kept, text, suffix_tree.DEPTH)), i
+            assert got[i].score == pytest.approx(plain_score(root, kept, text)), (i, depth)
+    assert max(lengths) > 3, lengths
 
 
 def test_every_state_is_a_distribution():
