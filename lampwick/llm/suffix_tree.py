@@ -8,10 +8,10 @@ probability in the context to that in its suffix, each occurrence being judged
 by the others (so that chance repeats don't count). All others share the rest of
 its distribution, PRIOR among it, as its suffix gives them. A context is retained
 where this tells DIVERGENCE nats or more of all that follows it. A token is
-scored in the longest retained context before it. The tree grows downwards: a
-context is asked for only where its suffix, which lacks the oldest word, is
-retained. No length is fixed: contexts become longer by a word while those of
-the last length told at least WORTH of all that was told.
+scored in the longest retained context before it; the suffix of a context is its
+longest retained one. No length is fixed: beyond two words, contexts become
+longer by a word while those of the last length told over WORTH of all that was
+told.
 
 Everything is counted over all training texts and lies in Spark tables keyed by
 64-bit hashes of words, contexts and windows (context and token), so the tree
@@ -171,10 +171,10 @@ class Places:
             key = mixed(~context, key)
             yield context, key, np.nonzero(self.place >= length - 1)[0]
 
-    def open(self, length: int, asked: Filter | None = None, repeated: Filter | None = None) -> tuple[np.ndarray, ...]:
+    def open(self, length: int, repeated: Filter | None = None) -> tuple[np.ndarray, ...]:
         """Of windows with ``length`` words: keys, contexts, and the windows one word shorter at the old end.
 
-        Beyond one word, those whose context is asked for, and whose shorter window repeats, as the window itself can't repeat otherwise.
+        Beyond one word, those that may repeat: a window does so only where both windows in it do that are one word shorter.
         """
         low = self.token
         for at, (context, key, which) in enumerate(self.levels(length), 1):
@@ -182,7 +182,7 @@ class Places:
                 break
             low = key
         if length > 1:
-            which = which[asked(context[which])]
+            which = which[repeated(context[which])]
             which = which[repeated(low[which])]
         return key[which], context[which], low[which]
 
@@ -211,10 +211,10 @@ def _windows(length: int, sent):
     """Windows of ``length`` words and a token that may be told of, with their counts; the context and the shorter window name one."""
 
     def run(batches):
-        vocabulary, filters = Vocabulary(), sent.value
+        vocabulary, repeated = Vocabulary(), sent.value
         for part in parts(batches, 0):
             places = Places(*vocabulary.read(part.column(0).to_pylist()))
-            keys, context, low = places.open(length, *filters)
+            keys, context, low = places.open(length, repeated)
             at, n = folded(keys)
             yield pa.RecordBatch.from_arrays([_longs(context[at]), _longs(low[at]), pa.array(n)], schema=NAMED)
 
@@ -240,46 +240,46 @@ class Model:
         self.spark = docs.sparkSession
         self.texts = docs.where(train).select("text")
         counted = self._summed(self.texts.mapInArrow(_counter, "context long, low long, n long"))
-        first, _ = materialise_at(counted.where(F.col("context").isNull() | (F.col("n") >= LEAST)), "counts")
+        first, first_at = materialise_at(counted.where(F.col("context").isNull() | (F.col("n") >= LEAST)), "counts")
         counts = first.where("context IS NULL").select(F.col("low").alias("key"), "n")
         start = mixed(np.zeros(1, dtype=U), np.array([xxhash.xxh64_intdigest(START)], dtype=U)).view(np.int64)[0]
-        tokens = counts.where(F.col("key") != F.lit(int(start)))
+        tokens, _ = materialise_at(counts.where(F.col("key") != F.lit(int(start))), "tokens")
         self.n, self.v = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long"), F.count("*")).first()
         values = [tokens.select("key", F.lit(0).alias("kind"), "n", F.log10(F.col("n") + 1.0).alias("value"))]
         totals = counts.select(F.col("key").alias("context"), F.col("n").alias("total"))
         lower = tokens.select(F.col("key").alias("low"), F.log((F.col("n") + 1.0) / (self.n + self.v + 1.0)).alias("lp"))
-        named, named_at = first.where("context IS NOT NULL"), None
+        named, spare = first.where("context IS NOT NULL"), [first_at]  # tables that nothing reads once the next length is placed
         self.depth, told, ends = 0, 0.0, False
         while not ends:
             self.depth += 1
             placed, placed_at = self._placed(named, totals, lower)
+            for path in spare:
+                discard(self.spark, path)
             contexts, _ = materialise_at(self._retained(placed), "contexts")
             tells = contexts.agg(F.coalesce(F.sum("tells"), F.lit(0.0))).first()[0]
             told += tells
-            ends = self.depth == depth or tells == 0 or (depth is None and tells < WORTH * told)
+            ends = self.depth == depth or (depth is None and self.depth > 1 and tells <= WORTH * told)
             p, n = F.exp("lp"), F.col("n")
             grown = placed.join(contexts.hint("shuffle_hash"), "context", "left")
             own = F.when(F.col("told"), n).otherwise(0)
             grown = grown.select("key", "low", "n", F.coalesce(F.log((own + F.col("rest") * p) / (F.col("whole") + PRIOR)), F.col("lp")).alias("lp"), F.when(F.col("told"), F.log10(1.0 + n / (F.col("rest") * p))).alias("value"))
-            grown, _ = materialise_at(grown.where("value IS NOT NULL") if ends else grown, "windows")
-            for path in (placed_at, named_at):
-                if path:
-                    discard(self.spark, path)
-            values.append(grown.where("value IS NOT NULL").select("key", F.lit(1).alias("kind"), "n", "value"))
+            grown, grown_at = materialise_at(grown.where("value IS NOT NULL").select("key", "n", "value") if ends else grown, "windows")
+            discard(self.spark, placed_at)
+            remembered = grown if ends else materialise_at(grown.where("value IS NOT NULL").select("key", "n", "value"), "remembered")[0]
+            values.append(remembered.select("key", F.lit(1).alias("kind"), "n", "value"))
             values.append(contexts.select(F.col("context").bitwiseXOR(F.lit(BACK)).alias("key"), F.lit(2).alias("kind"), F.col("whole").alias("n"), F.log10(F.col("rest") / (F.col("whole") + PRIOR)).alias("value")))
             if not ends:
-                # a window of these words is the context of longer ones, and the shorter window at its end is that one's suffix
-                longer = grown.join(contexts.select(F.col("context").alias("low")).hint("shuffle_hash"), "low", "left_semi")
-                totals, _ = materialise_at(longer.select(F.col("key").alias("context"), F.col("n").alias("total")), "totals")
+                totals = grown.select(F.col("key").alias("context"), F.col("n").alias("total"))
                 lower = grown.select(F.col("key").alias("low"), "lp")
-                named, named_at = self._repeating(self.depth + 1, filter_of(totals.select(F.col("context").alias("key"))), filter_of(grown))
+                named, named_at = self._repeating(self.depth + 1, filter_of(grown))
+                spare = [grown_at, named_at]
         self.values = reduce(DataFrame.unionByName, values)
 
     @staticmethod
     def _summed(named: DataFrame) -> DataFrame:
         return named.repartition("context", "low").groupBy("context", "low").agg(F.sum("n").alias("n"))
 
-    def _repeating(self, length: int, *may: Filter) -> tuple[DataFrame, str]:
+    def _repeating(self, length: int, may: Filter) -> tuple[DataFrame, str]:
         """context, low, n of windows of ``length`` words and a token met LEAST times, and the table's path. Filters let some others through."""
         sent = self.spark.sparkContext.broadcast(may)
         named = self._summed(self.texts.mapInArrow(_windows(length, sent), "context long, low long, n long"))
@@ -288,7 +288,7 @@ class Model:
         return out
 
     def _placed(self, named: DataFrame, totals: DataFrame, lower: DataFrame) -> tuple[DataFrame, str]:
-        """key, context, low, n, total (of the context), lp (log probability in its suffix) of windows, and what they tell."""
+        """key, context, low, n, total (of the context), lp (log probability in the longest retained suffix) of windows, and what they tell."""
         keyed = named.select("context", "low", "n").mapInArrow(_keyed, "key long, context long, low long, n long")
         df = keyed.join(totals.hint("shuffle_hash"), "context").join(lower.hint("shuffle_hash"), "low")
         return materialise_at(self._told(df.select("key", "context", "low", "n", "total", "lp")), "placed")
@@ -347,14 +347,10 @@ def _scorer(sent, depth: int):
             more = np.zeros(rows)
             rest = ~held[own]
             left = [(places.owner[rest], places.token[rest])]
-            grown = np.ones(len(own), dtype=bool)
             for context, window, alive in places.levels(depth):
-                alive = alive[grown[alive]]
                 back = context[alive] ^ U(BACK)
                 seen = passes(back)
                 alive, back = alive[seen], back[seen]
-                grown = np.zeros(len(own), dtype=bool)
-                grown[alive] = True
                 window = window[alive]
                 fine = passes(window)
                 owner = np.concatenate([places.owner[alive], places.owner[alive[fine]]])

@@ -123,15 +123,13 @@ def plain_tree(texts, depth=None):
     """The tree in plain Python: the root's counts, and retained contexts (words, the oldest first) with their remembered counts, rest and total."""
     tokens = [[None, *(t or "").encode().lower().split(), b""] for t in texts]
     root = Counter(w for row in tokens for w in row[1:])
-    kept, length, all_told, tells = {}, 0, 0.0, 1.0
-    while tells and length != depth and (depth or tells >= suffix_tree.WORTH * all_told):
+    kept, length, all_told, tells = {}, 0, 0.0, 0.0
+    while length != depth and (depth or length < 2 or tells > suffix_tree.WORTH * all_told):
         length, tells, follow = length + 1, 0.0, {}
         for row in tokens:
             for i in range(length, len(row)):
                 follow.setdefault(tuple(row[i - length : i]), Counter())[row[i]] += 1
         for context, seen in follow.items():
-            if length > 1 and context[1:] not in kept:
-                continue
             total, own, gain = sum(seen.values()), {}, 0.0
             for w, n in seen.items():
                 p = plain_probability(root, kept, context[1:], w)
@@ -182,7 +180,7 @@ def test_tree_and_scores_against_plain_python(spark, sample, monkeypatch):
         assert len(got) == len(rows)
         for i, text, _ in rows:
             assert got[i].score == pytest.approx(plain_score(root, kept, text)), (i, depth)
-    assert set(lengths) == {2, 3}  # no context of four words tells enough in these texts
+    assert max(lengths) >= 3
 
 
 def test_every_state_is_a_distribution():
