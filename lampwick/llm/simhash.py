@@ -16,6 +16,7 @@ not linked yet, so a large group of near copies is not multiplied out.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -68,10 +69,13 @@ def with_fingerprints(docs: DataFrame, shingle: int = 3, carry: tuple[str, ...]
 #: Words of 32 bits in a wide fingerprint (an even number), and words in a shingle that it is made of. Short shingles change
 #: less than those of the similarity asked for: at a Jaccard similarity of 0.8 for five words, one bit in ten differs.
 WIDE, FEATURE = 6, 2
-#: Pairs that differ in more of the 192 bits aren't compared: at 0.8 some 18 differ, 4 more or less.
+PRINTS = tuple(f"f{k}" for k in range(WIDE // 2))
+#: Pairs that differ in more of the 192 bits aren't compared in a round: at 0.8 some 18 differ, 4 more or less.
 FAR = 36
-#: Nodes that each one is compared with at a word.
-ROUNDS = 4
+#: Rounds of links by SimHash, and with how many a node is compared in a round. What they leave is found exactly.
+ROUNDS, NEAREST = 2, 4
+#: Share of a text's shingles, beyond those that may be its own, that must be met elsewhere for it to be asked about further.
+MORE = 0.1
 #: Words that a task remembers the hashes of, about; shingles in a block of nodes, about.
 WORDS_HELD = 100_000
 BLOCK_SHINGLES = 500_000
@@ -180,16 +184,13 @@ def word_sets(texts: list[str | None], shingle: int, vocabulary: Vocabulary) ->
 
 
 def _contents(batches):
-    """(number, content, f0, f1, f2): a hash of the words, equal for copies, and the wide fingerprint."""
+    """(number, content, doc_id): a hash of the words, equal for copies, for each text."""
     vocabulary = Vocabulary(WORDS_HELD)
     for part in parts(batches, 1):
-        texts = part.column(1).to_pylist()
-        prints = wide_fingerprints(texts, vocabulary)
-        hashes, numbers, sizes = vocabulary.read(texts)
+        hashes, numbers, sizes = vocabulary.read(part.column(1).to_pylist())
         data, ends = hashes[numbers].tobytes(), np.cumsum(sizes) * 8
         content = [xxhash.xxh3_128_digest(data[b - 8 * n : b]) for b, n in zip(ends.tolist(), sizes.tolist())]
-        longs = prints.view(np.int64)
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(content, pa.binary()), *(pa.array(np.ascontiguousarray(longs[:, k])) for k in range(WIDE // 2))], names=["number", "content", "f0", "f1", "f2"])
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(content, pa.binary()), part.column(2)], names=["number", "content", "doc_id"])
 
 
 def _hash(numbers: pa.Array) -> np.ndarray:
@@ -202,15 +203,53 @@ def _hashed(batches):
         yield pa.RecordBatch.from_arrays([pa.array(_hash(batch.column(0)).view(np.int64))], names=["key"])
 
 
-def _sets(shingle: int, sent):
+def _own(n: int, similarity: float) -> int:
+    """How many of ``n`` shingles a text that is similar to this one can lack."""
+    return int((1 - similarity) * n + 1e-9)
+
+
+def _met(n: int, similarity: float) -> int:
+    """How many shingles a head must share, beyond those that may be the text's own."""
+    return min(n - _own(n, similarity), max(1, math.ceil(MORE * n)))
+
+
+def _heads(shingle: int, similarity: float, sent):
+    """(id, key, need): the lowest hashes of each set, and how many of them must be in the head of a similar one.
+
+    Of a head of _own + _met hashes, _met or more are common with a similar set,
+    the lowest common ones, and its head holds as many of these as its own _met
+    says; it has at least the similarity's share of this set's size.
+    """
+
     def run(batches):
         vocabulary, wanted = Vocabulary(WORDS_HELD), sent.value
         for part in parts(batches, 1):
             part = part.filter(pa.array(wanted(_hash(part.column(0)))))
             sets = word_sets(part.column(1).to_pylist(), shingle, vocabulary)
+            heads = [s[: _own(len(s), similarity) + _met(len(s), similarity)] for s in sets]
+            need = [_met(math.ceil(similarity * len(s) - 1e-9), similarity) for s in sets]
+            sizes = np.array([len(h) for h in heads], dtype=np.int64)
+            id, need = (np.repeat(np.asarray(x), sizes) for x in (part.column(0).to_numpy(zero_copy_only=False), np.array(need, dtype=np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(id), pa.array(np.concatenate(heads) if heads else np.zeros(0, dtype=np.int64)), pa.array(need)], names=["id", "key", "need"])
+
+    return run
+
+
+def _sets(shingle: int, sent):
+    """(id, f0, f1, f2, shingles): the wide fingerprint and the set of each text whose number passes."""
+
+    def run(batches):
+        vocabulary, wanted = Vocabulary(WORDS_HELD), sent.value
+        for part in parts(batches, 1):
+            part = part.filter(pa.array(wanted(_hash(part.column(0)))))
+            if not part.num_rows:
+                continue
+            texts = part.column(1).to_pylist()
+            sets, longs = word_sets(texts, shingle, vocabulary), wide_fingerprints(texts, vocabulary).view(np.int64)
             offsets = np.concatenate([[0], np.cumsum(list(map(len, sets)), dtype=np.int64)]).astype(np.int32)
             flat = np.concatenate(sets) if sets else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "shingles"])
+            prints = (pa.array(np.ascontiguousarray(longs[:, k])) for k in range(WIDE // 2))
+            yield pa.RecordBatch.from_arrays([part.column(0), *prints, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", *PRINTS, "shingles"])
 
     return run
 
@@ -237,69 +276,119 @@ def _merged(known: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def similar_roots(nodes: DataFrame, numbered: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(id, comp) for the nodes that met others; nodes: id, f0, f1, f2; numbered: number, text.
-
-    Each node is sent to the ball of radius 1 around each 32-bit word of its
-    fingerprint, so nodes within 2 bits in a word meet. Of those that meet at a
-    ball's word, each is compared with one in each round: the smallest, the
-    largest, then others by chance, unless it is joined with that one already.
-    So a large group of near copies is not multiplied out: a round has as many
-    pairs as nodes that met, and two of a group meet at many words, each with
-    others to compare with. Pairs far apart in the whole fingerprint are dropped,
-    and the others stay if the Jaccard similarity of their shingles is at least
-    ``similarity``.
+    """(id, comp) for the nodes that can have a similar one; nodes: id, of different texts; numbered: number, text. No link is missed.
+
+    A text can lack only so many shingles of one that is similar (_own). First
+    the lowest hashes of each set meet; texts of which too few are met elsewhere
+    have no similar one and go. Of those that stay, whole sets are counted, and
+    those with too many shingles of their own go too.
+
+    SimHash then joins most of what is similar: each node is sent to the ball of
+    radius 1 around each 32-bit word of its fingerprint, so nodes within 2 bits
+    in a word meet. Of those that meet at a word, each is compared with one in
+    each round: that with the smallest share of own shingles, then one by chance,
+    unless it is joined with that one already. A node keeps the NEAREST of these
+    by the whole fingerprints, so a large group of near copies is not multiplied
+    out: a round has as many pairs as nodes, times a constant.
+
+    The rest is exact. Ordered by how often they occur, the first _own + 1 shingles of
+    each set are its keys, and similar sets share a key. All that meet at a key and
+    are in different components yet are compared, but for pairs that sizes and
+    own shingles rule out.
     """
-    half = F.lit((1 << 32) - 1)
-    words = []
-    for k in range(WIDE):
-        long = F.col(f"f{k // 2}")
-        word = (long.bitwiseAND(half) if k % 2 == 0 else F.shiftrightunsigned(long, 32)).bitwiseOR(F.lit(k << 32))
-        words += _ball(word, range(32))
-    word = Window.partitionBy("word").orderBy("id")
-    near = spread(nodes, "id").select("id", F.explode(F.array(*words)).alias("word"))
-    # running frames: a task never holds what meets at a word
-    met = near.select("id", "word", F.first("id").over(word).alias("low"), F.lead("id").over(word).alias("next"))
     spare = []
+    broadcast = numbered.sparkSession.sparkContext.broadcast
 
     def kept(df: DataFrame, tag: str) -> DataFrame:
         table, path = materialise_at(df, tag)
         spare.append(path)
         return table
 
-    met = kept(met.where("id <> low OR next IS NOT NULL"), "met")
-    ids = kept(met.select("id").distinct(), "met_ids")
-    sent = numbered.sparkSession.sparkContext.broadcast(filter_of(ids.mapInArrow(_hashed, "key long")))
-    sets = numbered.select("number", "text").mapInArrow(_sets(shingle, sent), "id long, shingles array<long>")
-    sets = kept(sets.join(ids.hint("merge"), "id", "left_semi").join(nodes.hint("merge"), "id"), "sets")
+    def freed(n: int) -> None:
+        for path in spare[n:]:
+            discard(numbered.sparkSession, path)
+        del spare[n:]
+
+    def meeting(df: DataFrame, at: str) -> DataFrame:
+        """The rows whose ``at`` another id has too; running frames: a task never holds what meets."""
+        same = Window.partitionBy(at).orderBy("id")
+        df = df.withColumns({"_low": F.first("id").over(same), "_next": F.lead("id").over(same)})
+        return df.where("id <> _low OR _next IS NOT NULL").drop("_low", "_next")
+
+    texts = numbered.select("number", "text")
+    sent = broadcast(filter_of(nodes.select("id").mapInArrow(_hashed, "key long")))
+    heads = meeting(texts.mapInArrow(_heads(shingle, similarity, sent), "id long, key long, need int"), "key")
+    some = heads.groupBy("id").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("id")
+    some = kept(some.join(nodes.select("id").hint("merge"), "id", "left_semi"), "some")
+    sent.destroy()
+    sent = broadcast(filter_of(some.mapInArrow(_hashed, "key long")))
+    longs = ", ".join(f"{f} long" for f in PRINTS)
+    sets = texts.mapInArrow(_sets(shingle, sent), f"id long, {longs}, shingles array<long>").join(some.hint("merge"), "id", "left_semi")
+    sets = kept(sets, "sets")
+    sent.destroy()
+
+    n, shared = F.col("n"), F.col("shared")
+    own = F.floor((1 - similarity) * n + 1e-9)
+    rows = sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+    rows = rows.withColumn("held", F.count("*").over(Window.partitionBy("key"))).where("held > 1")
+    of_id = Window.partitionBy("id")
+    rows = rows.withColumns({"shared": F.count("*").over(of_id), "place": F.row_number().over(of_id.orderBy("held", "key"))})
+    keys = kept(rows.where((n - shared <= own) & (F.col("place") <= own + 1 - (n - shared))).select("id", "key", "n", "shared"), "keys")
+    facts = keys.groupBy("id").agg(F.max("n").alias("n"), F.max("shared").alias("shared"))
+    facts = kept(facts.hint("merge").join(sets.select("id", *PRINTS), "id"), "facts")
 
-    blocks = max(1, -(-sets.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0] // BLOCK_SHINGLES))
+    half = F.lit((1 << 32) - 1)
+    words = []
+    for k in range(WIDE):
+        long = F.col(f"f{k // 2}")
+        word = (long.bitwiseAND(half) if k % 2 == 0 else F.shiftrightunsigned(long, 32)).bitwiseOR(F.lit(k << 32))
+        words += _ball(word, range(32))
+    near = spread(facts, "id").select("id", (1 - shared / n).alias("alone"), F.explode(F.array(*words)).alias("word"))
+    met = kept(meeting(near, "word"), "met")
+    blocks = max(1, -(-facts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // BLOCK_SHINGLES))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
 
     def alike(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) of ids that are similar. They are compared by blocks of nodes, so that a set travels once for a pair of blocks, not for a pair."""
-        prints = [f"f{k}" for k in range(WIDE // 2)]
-        side = lambda c: sets.select(F.col("id").alias(c), *(F.col(f).alias(f"{f}_{c}") for f in prints)).hint("merge")
-        apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{f}_a").bitwiseXOR(F.col(f"{f}_b"))) for f in prints))
-        close = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(apart <= FAR)
-        close = kept(close.select(block("a").alias("x"), block("b").alias("y"), "a", "b"), "close")
+        close = kept(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().select(block("a").alias("x"), block("b").alias("y"), "a", "b"), "close")
         needed = close.select("x", "y", F.col("a").alias("id")).unionByName(close.select("x", "y", F.col("b").alias("id"))).distinct()
         needed = kept(needed.hint("merge").join(sets.select("id", "shingles"), "id"), "needed")
         return kept(close.groupBy("x", "y").cogroup(needed.groupBy("x", "y")).applyInPandas(_comparer(similarity), "a long, b long"), "alike")
 
-    comps = ids.select("id", F.col("id").alias("comp"))
+    def joined(comps: DataFrame, pairs: DataFrame) -> DataFrame:
+        at = len(spare)
+        of = lambda c: comps.select(F.col("id").alias(c), F.col("comp").alias(f"comp_{c}")).hint("merge")
+        out = _merged(comps, alike(pairs).join(of("a"), "a").join(of("b"), "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")))
+        freed(at)
+        return out
+
+    # A pair is possible only if what either shares with others is enough for the sizes of both.
+    most = F.floor(shared * ((1 + similarity) / similarity) - n + 1e-6)
+    possible = (F.col("n_a") <= F.col("most_b")) & (F.col("n_b") <= F.col("most_a"))
+    side = lambda c: facts.select(F.col("id").alias(c), n.alias(f"n_{c}"), most.alias(f"most_{c}"), *(F.col(f).alias(f"{f}_{c}") for f in PRINTS)).hint("merge")
+    apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{f}_a").bitwiseXOR(F.col(f"{f}_b"))) for f in PRINTS))
+    comps = facts.select("id", F.col("id").alias("comp"))
     for k in range(ROUNDS):
-        labelled = met.select("id", "word").join(comps.hint("merge"), "id")
-        order = (F.col("id"), -F.col("id"))[k] if k < 2 else F.xxhash64("id", F.lit(k))
+        labelled = met.join(comps.hint("merge"), "id")
+        order = F.xxhash64("id", F.lit(k)) if k else F.struct("alone", "id")
         ends = labelled.groupBy("word").agg(F.min_by(F.struct("id", "comp"), order).alias("end")).hint("merge")
-        star = labelled.join(ends, "word").where("comp <> end.comp")
-        links = alike(star.select(F.least("id", "end.id").alias("a"), F.greatest("id", "end.id").alias("b")))
-        of = lambda c: comps.select(F.col("id").alias(c), F.col("comp").alias(f"comp_{c}")).hint("merge")  # noqa: E731, B023
-        tops = links.join(of("a"), "a").join(of("b"), "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
-        comps = _merged(comps, tops)
-    out = comps
-    for path in spare:
-        discard(nodes.sparkSession, path)
-    return out
+        star = labelled.join(ends, "word").where("comp <> end.comp").select(F.col("id").alias("a"), F.col("end.id").alias("b")).distinct()
+        star = star.join(side("a"), "a").join(side("b"), "b").where(possible & (apart <= FAR)).select("a", "b", apart.alias("apart"))
+        nearest = F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))
+        comps = joined(comps, star.withColumn("place", nearest).where(F.col("place") <= NEAREST).select("a", "b"))
+
+    left = keys.join(comps.hint("merge"), "id").withColumn("most", most)
+    spans = left.groupBy("key", "comp").agg(F.count("*").alias("rows"), F.min("n").alias("low"), F.max("most").alias("high"))
+    spans = spans.groupBy("key").agg(F.max_by("comp", F.struct("rows", "comp")).alias("main"), F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("comps"))
+    left = left.join(spans.where("comps > 1").hint("merge"), "key").where("low <= most AND n <= high")
+    left = kept(left.select("key", "id", "comp", "n", "most", (F.col("comp") == F.col("main")).alias("main")), "left")
+    # The largest component at a key isn't joined with itself.
+    a, b = (left.select("key", F.col("id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("comp", "n", "most", "main"))) for c in "ab")
+    once = F.col("main_b") | (F.col("a") < F.col("b"))
+    rest = a.where("NOT main_a").hint("merge").join(b, (a["key"] == b["key"]) & (F.col("comp_a") != F.col("comp_b")) & once & possible).select("a", "b")
+    comps = joined(comps, rest)
+    freed(0)
+    return comps
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -307,23 +396,21 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
 
     Texts with the same words are copies; others are linked where their sets of
     ``shingle``-word shingles have a Jaccard similarity of ``similarity`` or more,
-    and groups are what links connect. Links are found by ball hashing of a wide
-    SimHash (similar_roots); it misses those whose fingerprints differ in over 2
-    bits in each of WIDE words. Null, empty and blank texts are copies of each
-    other. Rows with equal doc_id are told apart by a number given when they are
-    first read and written, so of repeated rows one stays. Columns are as they
-    came. No rows give no rows.
+    and groups are what links connect. Most links are found by ball hashing of a
+    wide SimHash, the others by an exact search (similar_roots). Null, empty and
+    blank texts are copies of each other. Rows with equal doc_id are told apart by
+    a number given when they are first read and written, so of repeated rows one
+    stays. Columns are as they came. No rows give no rows.
     """
     number = "_row_number_here"
     docs, own = aside(docs, number)
     numbered, _ = materialise_at(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
-    texts = numbered.select(F.col(number).alias("number"), "text")
-    prints = texts.mapInArrow(_contents, "number long, content binary, f0 long, f1 long, f2 long")
-    prints = prints.hint("merge").join(numbered.select(F.col(number).alias("number"), "doc_id"), "number")
+    texts = numbered.select(F.col(number).alias("number"), "text", "doc_id")
+    schema = T.StructType([T.StructField("number", T.LongType()), T.StructField("content", T.BinaryType()), docs.schema["doc_id"]])
     first = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "number")).alias("first")
-    nodes = prints.groupBy("content").agg(first, *(F.min(f"f{k}").alias(f"f{k}") for k in range(WIDE // 2)))
-    nodes = materialise(nodes.select("first", F.col("first.number").alias("id"), *(f"f{k}" for k in range(WIDE // 2))), "nodes")
-    roots = similar_roots(nodes.drop("first"), texts, shingle, similarity)
+    nodes = texts.mapInArrow(_contents, schema).groupBy("content").agg(first)
+    nodes = materialise(nodes.select("first", F.col("first.number").alias("id")), "nodes")
+    roots = similar_roots(nodes.select("id"), texts, shingle, similarity)
     placed = nodes.join(roots.hint("merge"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     keep = placed.groupBy("comp").agg(F.min("first").alias("first")).select(F.col("first.number").alias(number))
     return numbered.join(keep.hint("shuffle_hash"), number, "left_semi").select(*own)

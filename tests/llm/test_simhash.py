@@ -131,6 +131,25 @@ def test_a_large_group_of_near_copies(spark):
     assert set(want.values()) <= left and len(left) <= len(set(want.values())) + 8
 
 
+def test_no_similar_pair_is_left_out(spark):
+    """Pairs at the very threshold, whose fingerprints differ in every word, and a group in which many are like few others only."""
+    rng = random.Random(12)
+    texts = []
+    for n in (19, 24, 60, 150, 400) * 24:
+        words = [f"w{rng.randrange(9000)}" for _ in range(n)]
+        texts.append(" ".join(words))
+        for at in rng.sample(range(0, n // 5), round(n / 46)):
+            words[at * 5] += "x"
+        texts.append(" ".join(words[: n - rng.randrange(3)]))
+    words = [f"v{rng.randrange(5000)}" for _ in range(150)]
+    texts += [edited(rng, words, rng.choice((0.01, 0.02, 0.03, 0.04))) for _ in range(300)]
+    pairs = similar_pairs(texts)
+    want = groups(range(len(texts)), pairs)
+    assert len(set(want.values())) < len(texts) - 200
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()} == set(want.values())
+
+
 def test_dropping_keeps_one_row_of_each_group(edge_docs, no_docs):
     kept = simhash.drop_near_duplicates(edge_docs)
     assert kept.columns == edge_docs.columns
