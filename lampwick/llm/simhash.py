@@ -293,8 +293,8 @@ def similar_roots(nodes: DataFrame, numbered: DataFrame, shingle: int, similarit
 
     The rest is exact. Ordered by how often they occur, the first _own + 1 shingles of
     each set are its keys, and similar sets share a key. All that meet at a key and
-    are in different components yet are compared, but for pairs that sizes and
-    own shingles rule out.
+    are in different components yet are compared, but for pairs that their sizes
+    and the key's places in both sets rule out.
     """
     spare = []
     broadcast = numbered.sparkSession.sparkContext.broadcast
@@ -333,7 +333,7 @@ def similar_roots(nodes: DataFrame, numbered: DataFrame, shingle: int, similarit
     rows = rows.withColumn("held", F.count("*").over(Window.partitionBy("key"))).where("held > 1")
     of_id = Window.partitionBy("id")
     rows = rows.withColumns({"shared": F.count("*").over(of_id), "place": F.row_number().over(of_id.orderBy("held", "key"))})
-    keys = kept(rows.where((n - shared <= own) & (F.col("place") <= own + 1 - (n - shared))).select("id", "key", "n", "shared"), "keys")
+    keys = kept(rows.where((n - shared <= own) & (F.col("place") <= own + 1 - (n - shared))).select("id", "key", "n", "shared", "place"), "keys")
     facts = keys.groupBy("id").agg(F.max("n").alias("n"), F.max("shared").alias("shared"))
     facts = kept(facts.hint("merge").join(sets.select("id", *PRINTS), "id"), "facts")
 
@@ -343,7 +343,9 @@ def similar_roots(nodes: DataFrame, numbered: DataFrame, shingle: int, similarit
         long = F.col(f"f{k // 2}")
         word = (long.bitwiseAND(half) if k % 2 == 0 else F.shiftrightunsigned(long, 32)).bitwiseOR(F.lit(k << 32))
         words += _ball(word, range(32))
-    near = spread(facts, "id").select("id", (1 - shared / n).alias("alone"), F.explode(F.array(*words)).alias("word"))
+    # A pair is possible only if what either can have in common with others is enough for the sizes of both.
+    most = lambda common: F.floor(common * ((1 + similarity) / similarity) - n + 1e-6)
+    near = spread(facts, "id").select("id", "n", most(shared).alias("most"), (1 - shared / n).alias("alone"), F.explode(F.array(*words)).alias("word"))
     met = kept(meeting(near, "word"), "met")
     blocks = max(1, -(-facts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // BLOCK_SHINGLES))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
@@ -362,28 +364,27 @@ def similar_roots(nodes: DataFrame, numbered: DataFrame, shingle: int, similarit
         freed(at)
         return out
 
-    # A pair is possible only if what either shares with others is enough for the sizes of both.
-    most = F.floor(shared * ((1 + similarity) / similarity) - n + 1e-6)
-    possible = (F.col("n_a") <= F.col("most_b")) & (F.col("n_b") <= F.col("most_a"))
-    side = lambda c: facts.select(F.col("id").alias(c), n.alias(f"n_{c}"), most.alias(f"most_{c}"), *(F.col(f).alias(f"{f}_{c}") for f in PRINTS)).hint("merge")
+    side = lambda c: facts.select(F.col("id").alias(c), *(F.col(f).alias(f"{f}_{c}") for f in PRINTS)).hint("merge")
     apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{f}_a").bitwiseXOR(F.col(f"{f}_b"))) for f in PRINTS))
     comps = facts.select("id", F.col("id").alias("comp"))
     for k in range(ROUNDS):
         labelled = met.join(comps.hint("merge"), "id")
         order = F.xxhash64("id", F.lit(k)) if k else F.struct("alone", "id")
-        ends = labelled.groupBy("word").agg(F.min_by(F.struct("id", "comp"), order).alias("end")).hint("merge")
-        star = labelled.join(ends, "word").where("comp <> end.comp").select(F.col("id").alias("a"), F.col("end.id").alias("b")).distinct()
-        star = star.join(side("a"), "a").join(side("b"), "b").where(possible & (apart <= FAR)).select("a", "b", apart.alias("apart"))
+        ends = labelled.groupBy("word").agg(F.min_by(F.struct("id", "comp", "n", "most"), order).alias("end")).hint("merge")
+        star = labelled.join(ends, "word").where("comp <> end.comp AND n <= end.most AND end.n <= most").select(F.col("id").alias("a"), F.col("end.id").alias("b")).distinct()
+        star = star.join(side("a"), "a").join(side("b"), "b").where(apart <= FAR).select("a", "b", apart.alias("apart"))
         nearest = F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))
         comps = joined(comps, star.withColumn("place", nearest).where(F.col("place") <= NEAREST).select("a", "b"))
 
-    left = keys.join(comps.hint("merge"), "id").withColumn("most", most)
+    # The first key that two have in common has none in common before it, so only what comes from there on counts.
+    left = keys.join(comps.hint("merge"), "id").withColumn("most", most(shared - F.col("place") + 1)).where(F.col("most") >= similarity * n - 1e-6)
     spans = left.groupBy("key", "comp").agg(F.count("*").alias("rows"), F.min("n").alias("low"), F.max("most").alias("high"))
     spans = spans.groupBy("key").agg(F.max_by("comp", F.struct("rows", "comp")).alias("main"), F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("comps"))
     left = left.join(spans.where("comps > 1").hint("merge"), "key").where("low <= most AND n <= high")
     left = kept(left.select("key", "id", "comp", "n", "most", (F.col("comp") == F.col("main")).alias("main")), "left")
     # The largest component at a key isn't joined with itself.
     a, b = (left.select("key", F.col("id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("comp", "n", "most", "main"))) for c in "ab")
+    possible = (F.col("n_a") <= F.col("most_b")) & (F.col("n_b") <= F.col("most_a"))
     once = F.col("main_b") | (F.col("a") < F.col("b"))
     rest = a.where("NOT main_a").hint("merge").join(b, (a["key"] == b["key"]) & (F.col("comp_a") != F.col("comp_b")) & once & possible).select("a", "b")
     comps = joined(comps, rest)
