@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from ..functions import prompts
 from ..workdir import materialise
 
 CONCURRENCY = 50
+#: Rows whose prompts and answers a task holds at a time.
+ROWS_HELD = 256
 # What a checking model's answer holds when it objects.
 OBJECTIONS = ("error", "invalid", "矛盾", "不一致")
 
@@ -38,24 +41,28 @@ def infer_rows(requests: DataFrame, factory: Callable[[], Client] = echo_client,
     """
     added = ("content", "tokens_in", "tokens_out", "infer_error")
     requests = requests.drop(*added)
-    cols = requests.columns
     df = requests.repartition(partitions) if partitions else requests
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in requests.schema)}, content string, tokens_in bigint, tokens_out bigint, infer_error string"
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = factory()
-
-        def one(row) -> tuple:
-            try:
-                return (*client(row["prompt"], row.get(image), row.get(ocr)), None)
-            except Exception as e:  # a model's failure belongs to its row
-                return None, 0, 0, f"{type(e).__name__}: {e}"
-
-        for pdf in frames:
-            out = [one(r) for r in pdf.to_dict("records")]
-            yield pdf.assign(**{c: pd.Series([o[i] for o in out], index=pdf.index, dtype=k) for i, (c, k) in enumerate((("content", object), ("tokens_in", "int64"), ("tokens_out", "int64"), ("infer_error", object)))})[[*cols, "content", "tokens_in", "tokens_out", "infer_error"]]
-
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(lambda batches: _answers(batches, factory(), image, ocr), schema)
+
+
+def _answers(batches: Iterator[pa.RecordBatch], client: Client, image: str, ocr: str) -> Iterator[pa.RecordBatch]:
+    """Batches of up to ROWS_HELD rows with their answers. Only what the client takes becomes Python objects; other columns pass as they are."""
+
+    def one(*asked) -> tuple:
+        try:
+            return (*client(*asked), None)
+        except Exception as e:  # a model's failure belongs to its row
+            return None, 0, 0, f"{type(e).__name__}: {e}"
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_HELD):
+            part = batch.slice(at, ROWS_HELD)
+            asked = (part.column(c).to_pylist() if c in part.schema.names else [None] * part.num_rows for c in ("prompt", image, ocr))
+            out = [one(*row) for row in zip(*asked)]
+            kinds = (("content", pa.string()), ("tokens_in", pa.int64()), ("tokens_out", pa.int64()), ("infer_error", pa.string()))
+            got = [pa.array([o[i] for o in out], kind) for i, (_, kind) in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*part.columns, *got], names=[*part.schema.names, *(c for c, _ in kinds)])
 
 
 def ocr_rows(images: DataFrame, factory: Callable[[], Callable[[bytes], list[dict]]]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -237,3 +238,14 @@ def test_message_stream_from_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).first().task_id == "k"
     messages.emit(spark.createDataFrame([("k", "v")], "key string, value string"), str(tmp_path / "sent"), "json")
     assert spark.read.json(str(tmp_path / "sent")).count() == 1
+
+
+def test_inference_holds_few_rows_and_leaves_other_columns_alone(spark):
+    asked = []
+    batch = pa.RecordBatch.from_pydict({"prompt": [f"p{i}" for i in range(5000)]})
+    first = next(inference._answers(iter([batch]), lambda *a: asked.append(a) or ("x", 1, 1), "image_url", "ocr_text"))
+    assert first.num_rows == len(asked) <= 256
+    rows = [("a", 2**53 + 1), ("b", None), (None, 7)]
+    got = inference.infer_rows(spark.createDataFrame(rows, "prompt string, n long"), partitions=1).collect()
+    assert sorted(((r.prompt, r.n) for r in got), key=str) == sorted(rows, key=str)
+    assert {r.prompt: r.content for r in got} == {"a": "1:a", "b": "1:b", None: "0:"}
