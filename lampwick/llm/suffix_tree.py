@@ -13,18 +13,25 @@ longest retained one. No length is fixed: beyond two words, contexts become
 longer by a word while those of the last length told over WORTH of all that was
 told.
 
-Everything is counted over all training texts and lies in Spark tables keyed by
+Everything is counted over all training texts and lies in Spark tables of
 64-bit hashes of words, contexts and windows (context and token), so the tree
-grows with the corpus. Logarithms telescope: a token's score is the sum of the
-values of its own key, of the retained contexts before it and of its windows
-that these remember, so scoring is one join of keys with the table of values.
-Two things of bounded size are sent to every task to keep rows out of that join,
-and change no result: the values of keys with at least HEAD_SHARE of all tokens,
-and a bit filter that tells most absent keys.
+grows with the corpus. A row of these tables is a block: the entries of a task
+that belong to one range of keys (a bucket), as columns of bytes. Spark deals the
+blocks out by their buckets, and a task takes one bucket after the other. Words
+and contexts with HOT_SHARE of all tokens are no task's own: their entries are
+dealt out by windows, and what is known of them is sent to every task.
+
+Logarithms telescope: a token's score is the sum of the values of its own key, of
+the retained contexts before it and of its windows that these remember, so
+scoring asks for keys and adds up values. Two more things of bounded size are
+sent to every task to keep keys from being asked for, and change no result: the
+values of keys with at least HEAD_SHARE of all tokens, and a bit filter that
+tells most absent keys.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from functools import reduce
 from itertools import islice
 
@@ -32,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,8 +60,12 @@ HEAD_SHARE = 2.5e-7
 FILTER_BITS = 21
 #: Texts of so many bytes, or one text, are held by a task at a time.
 PART_BYTES = 4 << 20
-#: Parts of the rows whose keys are joined one after the other.
-PASSES = 4
+#: Words and contexts with this share of all tokens or more are sent to every task: at most 1 / HOT_SHARE for each length.
+HOT_SHARE = 1e-3
+#: A bucket is for about so many bytes of text; a task gathers so many windows before it writes their blocks.
+BUCKET_BYTES, FOLD = 4 << 20, 3 << 18
+#: Rows that Spark sends to Python at a time, here; texts and blocks are long.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "500"
 START, END = b"\n", b" "  # no word holds white space
 BACK = 0x5851F42D4C957F2D  # tells the key of a context's rest from the key of a word
 
@@ -125,16 +137,6 @@ def filter_of(keys: DataFrame) -> Filter:
     return Filter(out.view(U))
 
 
-def folded(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A place of each distinct key, in the order of keys, and how often it occurs."""
-    order = np.argsort(keys)
-    held = keys[order]
-    new = np.ones(len(held), dtype=bool)
-    new[1:] = held[1:] != held[:-1]
-    at = np.nonzero(new)[0]
-    return order[at], np.diff(np.append(at, len(held)))
-
-
 def parts(batches, text: int):
     """Slices of Arrow batches of up to PART_BYTES of text each, or one row."""
     for batch in batches:
@@ -149,6 +151,49 @@ def parts(batches, text: int):
             yield batch.slice(at)
 
 
+LOWER, SPACE = np.arange(256, dtype=np.uint8), np.zeros(256, dtype=bool)
+LOWER[ord("A") : ord("Z") + 1] += 32
+SPACE[list(b" \t\n\v\f\r")] = True
+#: Bytes of a word that are hashed eight at a time, for all words at once.
+SHORT = 64
+#: The hashes of a text's start and end.
+STARTS, ENDS = U(0x57A27D0C9B3F1E65), U(0xE9D64B1F30A8C577)
+
+
+def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens of the texts, and each text's number of tokens."""
+    texts = pc.fill_null(texts, "").cast(pa.large_binary())
+    rows = len(texts)
+    ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + rows + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    some = np.diff(ends) > 0
+    data = np.concatenate([LOWER[data], np.zeros(8, dtype=np.uint8)])
+    word = ~SPACE[data[:-8]]
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    for edge, at in ((first, ends[:-1][some]), (last, ends[1:][some] - 1)):
+        edge[at] = word[at]
+    at = np.nonzero(first)[0]
+    length = np.nonzero(last)[0] + 1 - at
+    eights = np.ndarray(len(data) - 7, dtype="<u8", buffer=data, strides=(1,))
+    masks = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=U)
+    hashes, which = np.zeros(len(at), dtype=U), np.arange(len(at))
+    for k in range(0, SHORT, 8):
+        which = which[length[which] > k]
+        if not len(which):
+            break
+        hashes[which] = mixed(hashes[which], eights[at[which] + k] & masks[np.minimum(length[which] - k, 8)])
+    for i in np.nonzero(length > SHORT)[0]:
+        rest = xxhash.xxh64_intdigest(data[at[i] + SHORT : at[i] + length[i]].tobytes())
+        hashes[i : i + 1] = mixed(hashes[i : i + 1], np.array([rest], dtype=U))
+    counts = np.diff(np.searchsorted(at, ends))
+    out = np.full(len(at) + rows, ENDS, dtype=U)
+    out[np.arange(len(at)) + np.repeat(np.arange(rows), counts)] = mixed(hashes, length.astype(U))
+    return out, counts + 1
+
+
 class Places:
     """The tokens of some texts with the windows that end in them; none reaches further back than one start.
 
@@ -156,10 +201,10 @@ class Places:
     a window is a hash of its context and of the window one word shorter that ends with it, which is the token itself at last.
     """
 
-    def __init__(self, hashes: np.ndarray, numbers: np.ndarray, sizes: np.ndarray):
+    def __init__(self, tokens: np.ndarray, sizes: np.ndarray):
         self.owner = np.repeat(np.arange(len(sizes)), sizes)
-        self.place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self.numbers, self.token, self.start = numbers, hashes[numbers], hashes[0]
+        self.place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.token = tokens
 
     def levels(self, depth: int):
         """For each length, the keys of the contexts of all tokens and of their windows, and the tokens that have so long a context."""
@@ -167,167 +212,462 @@ class Places:
         for length in range(1, depth + 1):
             context = np.roll(key, 1)
             if length == 1:
-                context[self.place == 0] = self.start
+                context[self.place == 0] = STARTS
             key = mixed(~context, key)
             yield context, key, np.nonzero(self.place >= length - 1)[0]
 
-    def open(self, length: int, repeated: Filter | None = None) -> tuple[np.ndarray, ...]:
+    def open(self, length: int, repeated: Filter) -> tuple[np.ndarray, ...]:
         """Of windows with ``length`` words: keys, contexts, and the windows one word shorter at the old end.
 
-        Beyond one word, those that may repeat: a window does so only where both windows in it do that are one word shorter.
+        Those that may repeat: a window does so only where both windows in it do that are one word shorter.
         """
         low = self.token
         for at, (context, key, which) in enumerate(self.levels(length), 1):
             if at == length:
                 break
             low = key
-        if length > 1:
-            which = which[repeated(context[which])]
-            which = which[repeated(low[which])]
+        which = which[repeated(context[which])]
+        which = which[repeated(low[which])]
         return key[which], context[which], low[which]
 
 
-NAMED = pa.schema([("context", pa.int64()), ("low", pa.int64()), ("n", pa.int64())])
+#: Kinds of blocks. TABLE: key, n, value (lp, the log probability). WINDOWS: key (the context), low, n, value (lp of low). HOT: size
+#: (the context), total and gain of what it may remember. TELLS: gain. TOKENS, VALUES: key, n, value (log10). ASKED: size (the part), key, low (the
+#: row in it, in 16 or 32 bits). DOCS: no block, but a document.
+TABLE, WINDOWS, HOT, TELLS, TOKENS, VALUES, ASKED, DOCS = range(8)
+BLOCK = "bucket int, kind int, size long, total double, gain double, key binary, low binary, n binary, value binary"
+SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("size", pa.int64()), ("total", pa.float64()), ("gain", pa.float64()), *((c, pa.binary()) for c in ("key", "low", "n", "value"))])
+DTYPES = U, U, np.int64, np.float64
+HIGH = U(0xFFFFFFFF00000000)
 
 
-def _longs(x: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(x).view(np.int64))
+def order_of(keys: np.ndarray) -> np.ndarray:
+    """np.argsort, by a sort of the keys' first bits with their places behind them, which is faster."""
+    bits = U(max(1, len(keys).bit_length()))
+    order = (np.sort((keys >> bits << bits) | np.arange(len(keys), dtype=U)) & ((U(1) << bits) - U(1))).astype(np.int64)
+    held = keys[order]
+    if (held[1:] < held[:-1]).any():
+        order = order[np.argsort(held, kind="stable")]
+    return order
+
+
+def _starts(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal entries begin."""
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return np.nonzero(new)[0]
+
+
+def _folded(key: np.ndarray, deal: np.ndarray, context: np.ndarray, low: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Distinct windows with the sums of n (None: 1 each), in the order of the first half of ``deal``."""
+    half = (deal & HIGH) | (key >> U(32))
+    order = order_of(half)
+    half, held = half[order], key[order]
+    mingled = (half[1:] == half[:-1]) & (held[1:] != held[:-1])
+    if mingled.any():  # windows that agree in both halves
+        at = np.nonzero(np.isin(half, half[1:][mingled]))[0]
+        order[at] = order[at][np.lexsort((held[at], half[at]))]
+    at = _starts(key[order])
+    sums = np.diff(np.append(at, len(order))) if n is None else np.add.reduceat(n[order], at) if len(at) else n
+    at = order[at]
+    return key[at], deal[at], context[at], low[at], sums
+
+
+def _row(kind: int, size: int, total: float | None, gain: float) -> list:
+    return [0, kind, size, total, gain, None, None, None, None]
+
+
+def _batch(rows: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), SCHEMA)], schema=SCHEMA)
+
+
+class Buckets:
+    """Ranges of keys, all as wide, by the first half of their bits."""
+
+    def __init__(self, n: int):
+        self.n = n
+
+    def of(self, deal: np.ndarray) -> np.ndarray:
+        return ((deal >> U(32)) * U(self.n) >> U(32)).astype(np.int64)
+
+    def blocks(self, kind: int, deal: np.ndarray, key, low=None, n=None, value=None, size: int | None = None, ordered: bool = False):
+        """A batch of blocks of these entries, dealt out by ``deal``."""
+        if not len(deal):
+            return
+        columns = [key, low, n, value]
+        if not ordered:
+            order = order_of(deal)
+            deal, columns = deal[order], [c if c is None else c[order] for c in columns]
+        own = self.of(deal)
+        at = _starts(own)
+        held = [memoryview(np.ascontiguousarray(c)).cast("B") if c is not None else None for c in columns]
+        rows = []
+        for a, z in zip(at.tolist(), [*at[1:].tolist(), len(own)]):
+            sums = float(n[a:z].sum()) if ordered and n is not None else None
+            rows.append([int(own[a]), kind, z - a if size is None else size, sums, None, *(None if h is None else bytes(h[a * c.itemsize : z * c.itemsize]) for h, c in zip(held, columns))])
+        yield _batch(rows)
+
+    def dealt(self, blocks: DataFrame, run, schema: str | T.StructType = BLOCK) -> DataFrame:
+        """``run`` over the blocks of each task's buckets, one bucket after the other."""
+        n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return blocks.repartitionById(n, F.col("bucket") % n).sortWithinPartitions("bucket").mapInArrow(run, schema)
+
+
+def _by_bucket(batches):
+    """Each bucket with its blocks by kind: size, key, low, n, value."""
+    now, held = None, defaultdict(list)
+    for batch in batches:
+        buckets, kinds, sizes = (batch.column(i).to_pylist() for i in range(3))
+        columns = [batch.column(i) for i in range(5, 9)]
+        for j, bucket in enumerate(buckets):
+            if bucket != now:
+                if now is not None:
+                    yield now, held
+                now, held = bucket, defaultdict(list)
+            blobs = [c[j].as_buffer() if c[j].is_valid else None for c in columns]
+            dtypes = (U, f"u{8 * blobs[1].size // blobs[0].size}", *DTYPES[2:]) if kinds[j] == ASKED else DTYPES
+            held[kinds[j]].append((sizes[j], *(None if x is None else np.frombuffer(x, dtype=t) for x, t in zip(blobs, dtypes))))
+    if now is not None:
+        yield now, held
+
 
+def _column(blocks: list[tuple], i: int) -> np.ndarray:
+    return np.concatenate([b[i] for b in blocks]) if blocks else np.zeros(0, dtype=DTYPES[i - 1])
 
-def _counter(batches):
-    """Counts of tokens and starts (``low``, without a context), and of windows of one word (``context``) and a token."""
-    vocabulary = Vocabulary()
-    for part in parts(batches, 0):
-        places = Places(*vocabulary.read(part.column(0).to_pylist()))
-        tokens = np.concatenate([places.token, np.full(int((places.place == 0).sum()), places.start, dtype=U)])
-        at, n = folded(tokens)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), _longs(tokens[at]), pa.array(n)], schema=NAMED)
-        keys, context, low = places.open(1)
-        at, n = folded(keys)
-        yield pa.RecordBatch.from_arrays([_longs(context[at]), _longs(low[at]), pa.array(n)], schema=NAMED)
 
+class Hot:
+    """Keys that many windows share, with their n and lp; sent to every task."""
 
-def _windows(length: int, sent):
-    """Windows of ``length`` words and a token that may be told of, with their counts; the context and the shorter window name one."""
+    def __init__(self, keys: np.ndarray, n: np.ndarray, lp: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.n, self.lp = keys[order], n[order], lp[order]
+        self.may = np.zeros(1 << 16, dtype=bool)
+        self.may[self.keys >> U(48)] = True
+
+    def among(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of hot ones in ``keys``, and in ``self.keys``."""
+        at = np.nonzero(self.may[keys >> U(48)])[0]
+        i = np.minimum(np.searchsorted(self.keys, keys[at]), max(0, len(self.keys) - 1))
+        same = self.keys[i] == keys[at] if len(at) else np.zeros(0, dtype=bool)
+        return at[same], i[same]
+
+    def deal(self, keys: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        """``keys``, but the window where a key is hot."""
+        at, _ = self.among(keys)
+        out = keys.copy()
+        out[at] = windows[at]
+        return out
+
+
+def _tokens(buckets: Buckets):
+    """TABLE: tokens with their counts; the start among them."""
 
     def run(batches):
-        vocabulary, repeated = Vocabulary(), sent.value
+        held, size, starts = [], 0, 0
+
+        def out():
+            key = np.concatenate(held)
+            held.clear()
+            key.sort()
+            at = _starts(key)
+            return buckets.blocks(TABLE, key[at], key[at], n=np.diff(np.append(at, len(key))), ordered=True)
+
         for part in parts(batches, 0):
-            places = Places(*vocabulary.read(part.column(0).to_pylist()))
-            keys, context, low = places.open(length, repeated)
-            at, n = folded(keys)
-            yield pa.RecordBatch.from_arrays([_longs(context[at]), _longs(low[at]), pa.array(n)], schema=NAMED)
+            tokens, sizes = tokens_of(part.column(0))
+            held.append(tokens)
+            size, starts = size + len(tokens), starts + len(sizes)
+            if size >= FOLD:
+                yield from out()
+                size = 0
+        if held:
+            yield from out()
+        if starts:
+            start = np.array([STARTS], dtype=U)
+            yield from buckets.blocks(TABLE, start, start, n=np.array([starts]))
 
     return run
 
 
-def _keyed(batches):
-    """Adds the key of each window, from its context and the window one word shorter."""
-    for batch in batches:
-        context, low = (batch.column(i).to_numpy(zero_copy_only=False).view(U) for i in range(2))
-        yield pa.RecordBatch.from_arrays([_longs(mixed(~context, low)), *batch.columns], names=["key", *batch.schema.names])
+def _counted(buckets: Buckets):
+    """TABLE: tokens and the start with their counts over all; TOKENS: the same with values, without the start."""
+
+    def run(batches):
+        for _, held in _by_bucket(batches):
+            key, n = _column(held[TABLE], 1), _column(held[TABLE], 3)
+            order = order_of(key)
+            key, n = key[order], n[order]
+            at = _starts(key)
+            key, n = key[at], np.add.reduceat(n, at)
+            yield from buckets.blocks(TABLE, key, key, n=n, ordered=True)
+            own = key != STARTS
+            yield from buckets.blocks(TOKENS, key[own], key[own], n=n[own], value=np.log10(n[own] + 1.0), ordered=True)
+
+    return run
+
+
+def _with_lp(tokens: float):
+    """Adds the log probability of tokens."""
+
+    def run(batches):
+        at = SCHEMA.get_field_index("value")
+        for batch in batches:
+            lp = [np.log((np.frombuffer(x, dtype=np.int64) + 1.0) / tokens).tobytes() for x in batch.column(at - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(lp, pa.binary())], schema=SCHEMA)
+
+    return run
+
+
+def _entries(least: float, kinds: tuple[int, ...]):
+    """key, n, value of entries met ``least`` times or more."""
+
+    def run(batches):
+        for batch in batches:
+            for kind, *blob in zip(batch.column(1).to_pylist(), *(batch.column(i).to_pylist() for i in (5, 7, 8))):
+                if kind in kinds:
+                    key, n, value = (np.frombuffer(x, dtype=t) for x, t in zip(blob, (np.int64, np.int64, np.float64)))
+                    own = n >= least
+                    if own.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(n[own]), pa.array(value[own])], names=["key", "n", "value"])
+
+    return run
+
+
+def _bits(bits: int):
+    """The words of the filter of the keys met LEAST times: key (slots), value (words)."""
+
+    def run(batches):
+        for bucket, held in _by_bucket(batches):
+            blocks = [b for kind in (TABLE, VALUES) for b in held[kind]]
+            key, n = _column(blocks, 1), _column(blocks, 3)
+            key = np.sort(key[n >= LEAST])
+            if not len(key):
+                continue
+            slot = key >> U(64 - bits)
+            at = _starts(slot)
+            word = np.bitwise_or.reduceat((U(1) << (key & U(63))) | (U(1) << ((key >> U(6)) & U(63))), at)
+            yield _batch([[bucket, TABLE, len(at), None, None, slot[at].tobytes(), word.tobytes(), None, None]])
+
+    return run
+
+
+def _filter(buckets: Buckets, blocks: DataFrame) -> Filter:
+    """filter_of() of the blocks' keys; what reaches the driver has at most 2 ** FILTER_BITS words, and one more for each bucket."""
+    count = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    bits = min(FILTER_BITS, max(6, int(count).bit_length()))
+    out = np.zeros(1 << bits, dtype=U)
+    keys = blocks.withColumns({"value": F.lit(None).cast("binary"), "low": F.lit(None).cast("binary")})
+    words, at = materialise_at(buckets.dealt(keys, _bits(bits)).select("key", "low"), "bits")
+    for batch in words.toArrow().to_batches():
+        for slot, word in zip(*(c.to_pylist() for c in batch.columns)):
+            out[np.frombuffer(slot, dtype=U)] |= np.frombuffer(word, dtype=U)
+    discard(blocks.sparkSession, at)
+    return Filter(out)
+
+
+def _windows(length: int, sent, buckets: Buckets):
+    """WINDOWS: those of ``length`` words and a token that may be told of, with their counts; dealt out by the shorter window (low)."""
+
+    def run(batches):
+        (repeated, hot), held, size = sent.value, [], 0
+
+        def out():
+            key, context, low = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            key, deal, context, low, n = _folded(key, hot.deal(low, key), context, low)
+            yield from buckets.blocks(WINDOWS, deal, context, low, n, ordered=True)
+
+        for part in parts(batches, 0):
+            held.append(Places(*tokens_of(part.column(0))).open(length, repeated))
+            size += len(held[-1][0])
+            if size >= FOLD:
+                yield from out()
+                size = 0
+        if held:
+            yield from out()
+
+    return run
+
+
+def _gain(n: np.ndarray, total: np.ndarray, lp: np.ndarray) -> np.ndarray:
+    """Nats that a window tells if its context remembers it."""
+    return n * (np.log(n - 1.0 + PRIOR * np.exp(lp)) - np.log(total - 1.0 + PRIOR) - lp)
+
+
+def _tells(whole: np.ndarray, seen: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """Nats that a context tells by what it remembers, less what the others lose in the rest."""
+    alone = whole - seen
+    return gain + alone * np.log((alone - 1.0 + PRIOR) / (whole - 1.0 + PRIOR))
+
+
+def _met(sent, buckets: Buckets):
+    """WINDOWS met LEAST times with lp of the shorter window, dealt out by context; HOT: what hot contexts may remember."""
+
+    def run(batches):
+        _, hot = sent.value
+        kept, size = [], 0
+        seen, gains = np.zeros(len(hot.keys)), np.zeros(len(hot.keys))
+
+        def out():
+            context, low, n, lp = (np.concatenate(x) for x in zip(*kept))
+            yield from buckets.blocks(WINDOWS, hot.deal(context, mixed(~context, low)), context, low, n, lp)
+
+        for _, held in _by_bucket(batches):
+            if not held[WINDOWS]:
+                continue
+            context, low, n = (_column(held[WINDOWS], i) for i in (1, 2, 3))
+            key = mixed(~context, low)
+            _, _, context, low, n = _folded(key, low, context, low, n)
+            own = n >= LEAST
+            context, low, n = context[own], low[own], n[own]
+            keys = np.concatenate([_column(held[TABLE], 1), hot.keys])
+            order = order_of(keys)
+            lp = np.concatenate([_column(held[TABLE], 4), hot.lp])[order][np.searchsorted(keys[order], low)]
+            at, i = hot.among(context)
+            gain = _gain(n[at], hot.n[i], lp[at])
+            told = gain >= REMEMBER
+            seen += np.bincount(i[told], n[at][told], len(seen))
+            gains += np.bincount(i[told], gain[told], len(seen))
+            kept.append((context, low, n, lp))
+            size += len(n)
+            if size >= FOLD:
+                yield from out()
+                kept, size = [], 0
+        if size:
+            yield from out()
+        if rows := [_row(HOT, int(hot.keys.view(np.int64)[i]), float(seen[i]), float(gains[i])) for i in np.nonzero(seen)[0]]:
+            yield _batch(rows)
+
+    return run
+
+
+def _grown(sent, buckets: Buckets):
+    """TABLE of windows met LEAST times; VALUES of what is remembered and of retained contexts; TELLS."""
+
+    def run(batches):
+        hot, hot_tells, hot_rest = sent.value
+        told_all, kept, size = 0.0, defaultdict(list), 0
+
+        def out():
+            for kind in list(kept):
+                key, n, value = (np.concatenate(x) for x in zip(*kept.pop(kind)))
+                yield from buckets.blocks(kind, key, key, n=n, value=value)
+
+        for bucket, held in _by_bucket(batches):
+            mine = np.nonzero((buckets.of(hot.keys) == bucket) & ~np.isnan(hot_rest))[0]
+            kept[VALUES].append((hot.keys[mine] ^ U(BACK), hot.n[mine], np.log10(hot_rest[mine] / (hot.n[mine] + PRIOR))))
+            told_all += float(hot_tells[mine].sum())
+            if held[WINDOWS]:
+                context, low, n, lp = (_column(held[WINDOWS], i) for i in (1, 2, 3, 4))
+                order = order_of(context)
+                context, low, n, lp = context[order], low[order], n[order], lp[order]
+                at = _starts(context)
+                keys = np.concatenate([_column(held[TABLE], 1), hot.keys])
+                order = order_of(keys)
+                total = np.concatenate([_column(held[TABLE], 3), hot.n])[order][np.searchsorted(keys[order], context[at])]
+                times = np.diff(np.append(at, len(context)))
+                whole = np.repeat(total, times)
+                gain = _gain(n, whole, lp)
+                told = gain >= REMEMBER
+                seen, gained = np.add.reduceat(np.where(told, n, 0), at), np.add.reduceat(np.where(told, gain, 0.0), at)
+                tells = np.where(seen > 0, _tells(total, seen, gained), -np.inf)
+                group = np.where(tells >= DIVERGENCE, total - seen + PRIOR, np.nan)
+                j, i = hot.among(context[at])  # here are only some of their windows
+                tells[j], group[j] = -np.inf, hot_rest[i]
+                own = tells >= DIVERGENCE
+                told_all += float(tells[own].sum())
+                kept[VALUES].append((context[at][own] ^ U(BACK), total[own], np.log10(group[own] / (total[own] + PRIOR))))
+                rest, p, key = np.repeat(group, times), np.exp(lp), mixed(~context, low)
+                fine = ~np.isnan(rest)
+                lp = np.where(fine, np.log((np.where(told, n, 0) + rest * p) / (whole + PRIOR)), lp)
+                told &= fine
+                kept[VALUES].append((key[told], n[told], np.log10(1.0 + n[told] / (rest[told] * p[told]))))
+                kept[TABLE].append((key, n, lp))
+                size += len(n)
+            if size >= FOLD:
+                yield from out()
+                size = 0
+        yield from out()
+        yield _batch([_row(TELLS, 0, None, told_all)])
+
+    return run
 
 
 class Model:
-    """The tree as a table: key, kind (0 token, 1 window, 2 rest of a context), n, value (log10); with N and V.
+    """The tree as tables of blocks: key, n, value (log10) of tokens (TOKENS), windows and contexts (VALUES); with N and V.
 
     The value of a token is log10(c + 1); of a window its gain over the share of
-    its context's rest that it would have had; of a context its rest. Tasks have
-    summed their own counts, so rows are sent to their key as they are.
+    its context's rest that it would have had; of a context its rest.
     """
 
     def __init__(self, docs: DataFrame, train: Column, depth: int | None = None):
         self.spark = docs.sparkSession
         self.texts = docs.where(train).select("text")
-        counted = self._summed(self.texts.mapInArrow(_counter, "context long, low long, n long"))
-        first, first_at = materialise_at(counted.where(F.col("context").isNull() | (F.col("n") >= LEAST)), "counts")
-        counts = first.where("context IS NULL").select(F.col("low").alias("key"), "n")
-        start = mixed(np.zeros(1, dtype=U), np.array([xxhash.xxh64_intdigest(START)], dtype=U)).view(np.int64)[0]
-        tokens, _ = materialise_at(counts.where(F.col("key") != F.lit(int(start))), "tokens")
-        self.n, self.v = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long"), F.count("*")).first()
-        values = [tokens.select("key", F.lit(0).alias("kind"), "n", F.log10(F.col("n") + 1.0).alias("value"))]
-        totals = counts.select(F.col("key").alias("context"), F.col("n").alias("total"))
-        lower = tokens.select(F.col("key").alias("low"), F.log((F.col("n") + 1.0) / (self.n + self.v + 1.0)).alias("lp"))
-        named, spare = first.where("context IS NOT NULL"), [first_at]  # tables that nothing reads once the next length is placed
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = buckets = Buckets(partitions * max(1, -(-size // (BUCKET_BYTES * partitions))))
+        counted, at = materialise_at(buckets.dealt(self.texts.mapInArrow(_tokens(buckets), BLOCK), _counted(buckets)), "tokens")
+        tokens = counted.where(F.col("kind") == TOKENS)
+        self.n, self.v = tokens.agg(F.coalesce(F.sum("total"), F.lit(0.0)).cast("long"), F.coalesce(F.sum("size"), F.lit(0)).cast("long")).first()
+        table = counted.where(F.col("kind") == TABLE).mapInArrow(_with_lp(self.n + self.v + 1.0), BLOCK)
+        values, read = [tokens], None  # the path of what nothing reads once the next length is done
         self.depth, told, ends = 0, 0.0, False
         while not ends:
             self.depth += 1
-            placed, placed_at = self._placed(named, totals, lower)
-            for path in spare:
-                discard(self.spark, path)
-            contexts, _ = materialise_at(self._retained(placed), "contexts")
-            tells = contexts.agg(F.coalesce(F.sum("tells"), F.lit(0.0))).first()[0]
+            out, out_at = self._longer(self.depth, table)
+            if read:
+                discard(self.spark, read)
+            tells = out.where(F.col("kind") == TELLS).agg(F.coalesce(F.sum("gain"), F.lit(0.0))).first()[0]
             told += tells
             ends = self.depth == depth or (depth is None and self.depth > 1 and tells <= WORTH * told)
-            p, n = F.exp("lp"), F.col("n")
-            grown = placed.join(contexts.hint("shuffle_hash"), "context", "left")
-            own = F.when(F.col("told"), n).otherwise(0)
-            grown = grown.select("key", "low", "n", F.coalesce(F.log((own + F.col("rest") * p) / (F.col("whole") + PRIOR)), F.col("lp")).alias("lp"), F.when(F.col("told"), F.log10(1.0 + n / (F.col("rest") * p))).alias("value"))
-            grown, grown_at = materialise_at(grown.where("value IS NOT NULL").select("key", "n", "value") if ends else grown, "windows")
-            discard(self.spark, placed_at)
-            remembered = grown if ends else materialise_at(grown.where("value IS NOT NULL").select("key", "n", "value"), "remembered")[0]
-            values.append(remembered.select("key", F.lit(1).alias("kind"), "n", "value"))
-            values.append(contexts.select(F.col("context").bitwiseXOR(F.lit(BACK)).alias("key"), F.lit(2).alias("kind"), F.col("whole").alias("n"), F.log10(F.col("rest") / (F.col("whole") + PRIOR)).alias("value")))
-            if not ends:
-                totals = grown.select(F.col("key").alias("context"), F.col("n").alias("total"))
-                lower = grown.select(F.col("key").alias("low"), "lp")
-                named, named_at = self._repeating(self.depth + 1, filter_of(grown))
-                spare = [grown_at, named_at]
+            values.append(materialise_at(out.where(F.col("kind") == VALUES), "values")[0])
+            table, read = out.where(F.col("kind") == TABLE), out_at
+        discard(self.spark, read)
         self.values = reduce(DataFrame.unionByName, values)
 
-    @staticmethod
-    def _summed(named: DataFrame) -> DataFrame:
-        return named.repartition("context", "low").groupBy("context", "low").agg(F.sum("n").alias("n"))
-
-    def _repeating(self, length: int, may: Filter) -> tuple[DataFrame, str]:
-        """context, low, n of windows of ``length`` words and a token met LEAST times, and the table's path. Filters let some others through."""
-        sent = self.spark.sparkContext.broadcast(may)
-        named = self._summed(self.texts.mapInArrow(_windows(length, sent), "context long, low long, n long"))
-        out = materialise_at(named.where(F.col("n") >= LEAST), "named")
+    def _longer(self, length: int, table: DataFrame) -> tuple[DataFrame, str]:
+        """_grown() of windows of ``length`` words, from the TABLE of those one word shorter; and its path."""
+        context, buckets, none = self.spark.sparkContext, self.buckets, F.lit(None).cast("binary")
+        most = table.mapInArrow(_entries(max(1.0, HOT_SHARE * self.n), (TABLE,)), "key long, n long, value double").toArrow()
+        hot = Hot(most["key"].to_numpy().view(U), most["n"].to_numpy(), most["value"].to_numpy())
+        sent = context.broadcast((_filter(buckets, table), hot))
+        windows = self.texts.mapInArrow(_windows(length, sent, buckets), BLOCK)
+        met, met_at = materialise_at(buckets.dealt(windows.unionByName(table.withColumn("n", none)), _met(sent, buckets)), "met")
+        sent.destroy()
+        seen, gains = np.zeros(len(hot.keys)), np.zeros(len(hot.keys))
+        for key, *sums in met.where(F.col("kind") == HOT).groupBy("size").agg(F.sum("total"), F.sum("gain")).collect():
+            at = np.searchsorted(hot.keys, np.int64(key).view(U))
+            seen[at], gains[at] = sums
+        tells = np.where(seen > 0, _tells(hot.n, seen, gains), -np.inf)
+        sent = context.broadcast((hot, tells, np.where(tells >= DIVERGENCE, hot.n - seen + PRIOR, np.nan)))
+        out = materialise_at(buckets.dealt(met.where(F.col("kind") == WINDOWS).unionByName(table.withColumn("value", none)), _grown(sent, buckets)), "grown")
         sent.destroy()
+        discard(self.spark, met_at)
         return out
 
-    def _placed(self, named: DataFrame, totals: DataFrame, lower: DataFrame) -> tuple[DataFrame, str]:
-        """key, context, low, n, total (of the context), lp (log probability in the longest retained suffix) of windows, and what they tell."""
-        keyed = named.select("context", "low", "n").mapInArrow(_keyed, "key long, context long, low long, n long")
-        df = keyed.join(totals.hint("shuffle_hash"), "context").join(lower.hint("shuffle_hash"), "low")
-        return materialise_at(self._told(df.select("key", "context", "low", "n", "total", "lp")), "placed")
-
-    @staticmethod
-    def _told(windows: DataFrame) -> DataFrame:
-        """Adds told, whether a context remembers the window, and gain, what it gains by that."""
-        n, lp = F.col("n"), F.col("lp")
-        gain = n * (F.log(n - 1.0 + PRIOR * F.exp(lp)) - F.log(F.col("total") - 1.0 + PRIOR) - lp)
-        return windows.withColumn("gain", gain).withColumn("told", F.col("gain") >= REMEMBER)
-
-    @staticmethod
-    def _retained(windows: DataFrame) -> DataFrame:
-        """context, whole, rest, tells of the contexts that gain enough by what they remember, less what the others lose in the rest."""
-        told = windows.where("told").groupBy("context").agg(F.max("total").alias("whole"), F.sum("n").alias("seen"), F.sum("gain").alias("gain"))
-        alone, whole = F.col("whole") - F.col("seen"), F.col("whole")
-        loss = alone * F.log((alone - 1.0 + PRIOR) / (whole - 1.0 + PRIOR))
-        return told.withColumn("tells", F.col("gain") + loss).where(F.col("tells") >= DIVERGENCE).select("context", "whole", (alone + PRIOR).alias("rest"), "tells")
-
     def send(self) -> None:
         """What scoring tasks get: the filter of contexts and windows, and the head's keys and values."""
-        values = self.values
-        head = values.where(F.col("n") >= max(1.0, HEAD_SHARE * self.n)).select("key", "value").toArrow()
+        entries = _entries(max(1.0, HEAD_SHARE * self.n), (TOKENS, VALUES))
+        head = self.values.mapInArrow(entries, "key long, n long, value double").select("key", "value").toArrow()
         keys = head["key"].to_numpy().view(U)
         order = np.argsort(keys)
-        self.sent = self.spark.sparkContext.broadcast((filter_of(values.where("kind > 0")), keys[order], head["value"].to_numpy()[order]))
-        self.tail = values.where(F.col("n") < max(1.0, HEAD_SHARE * self.n)).select("key", "kind", "value")
+        passes = _filter(self.buckets, self.values.where(F.col("kind") == VALUES))
+        self.sent = self.spark.sparkContext.broadcast((passes, keys[order], head["value"].to_numpy()[order]))
 
 
 def _sums(owner: np.ndarray, values: np.ndarray | None, n: int) -> np.ndarray:
-    return np.bincount(owner, values, n)
+    return np.bincount(owner, values, n).astype(np.int64 if values is None else np.float64)  # of nothing, numpy counts in integers
+
+
+DOC = {"train": "boolean", "n_tokens": "bigint", "head_known": "bigint", "head_base": "double", "head_more": "double", "row": "bigint"}
+ANSWER = {"part": "bigint", "rows": "binary", "known": "binary", "base": "binary", "more": "binary"}
 
 
-def _scorer(sent, depth: int):
-    """Rows of (doc_id, text, train) to what the head says of them, and the keys that may be in the tail."""
+def _scorer(sent, depth: int, buckets: Buckets):
+    """Rows of (doc_id, text, train) to what the head says of them, and the keys that may be in the tail, in blocks."""
 
     def run(batches):
         passes, keys, values = sent.value
-        vocabulary = Vocabulary()
+        count = 0
 
         def ask(asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             """Which keys the head holds, and their values."""
@@ -338,42 +678,108 @@ def _scorer(sent, depth: int):
 
         for part in parts(batches, 1):
             rows = part.num_rows
-            hashes, numbers, sizes = vocabulary.read(part.column(1).to_pylist())
-            places = Places(hashes, numbers, sizes)
-            held, value = ask(hashes)
-            own = places.numbers
-            known = _sums(places.owner[held[own]], None, rows)
-            base = _sums(places.owner, np.where(held, value, 0.0)[own], rows)
-            more = np.zeros(rows)
-            rest = ~held[own]
-            left = [(places.owner[rest], places.token[rest])]
+            tokens, sizes = tokens_of(part.column(1))
+            places = Places(tokens, sizes)
+            order = order_of(tokens)
+            owner, key = places.owner[order], tokens[order]
+            held, value = ask(key)
+            known, base = _sums(owner[held], None, rows), _sums(owner[held], value[held], rows)
+            rare, left = (owner[~held], key[~held]), []
             for context, window, alive in places.levels(depth):
                 back = context[alive] ^ U(BACK)
                 seen = passes(back)
                 alive, back = alive[seen], back[seen]
                 window = window[alive]
                 fine = passes(window)
-                owner = np.concatenate([places.owner[alive], places.owner[alive[fine]]])
-                asked = np.concatenate([back, window[fine]])
-                held_too, value_too = ask(asked)
-                more += _sums(owner[held_too], value_too[held_too], rows)
-                left.append((owner[~held_too], asked[~held_too]))
+                left += [(places.owner[alive], back), (places.owner[alive[fine]], window[fine])]
             owner, key = (np.concatenate(x) for x in zip(*left))
-            order = np.argsort(key)
-            order = order[np.argsort(owner[order].astype(np.uint16 if rows <= 1 << 16 else np.int64), kind="stable")]
+            order = order_of(key)
             owner, key = owner[order], key[order]
-            new = np.ones(len(key), dtype=bool)
-            new[1:] = (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])
-            first = np.nonzero(new)[0]
-            times = np.diff(np.append(first, len(key)))
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(owner[first], minlength=rows))]).astype(np.int32)
-            tail = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([_longs(key[first]), pa.array(times.astype(np.int64))], ["key", "n"]))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sizes), pa.array(known.astype(np.int64)), pa.array(base), pa.array(more), tail], names=["doc_id", "train", "n_tokens", "head_known", "head_base", "head_more", "tail"])
+            held, value = ask(key)
+            more = _sums(owner[held], value[held], rows)
+            owner, key = np.concatenate([rare[0], owner[~held]]).astype(np.uint16 if rows <= 1 << 16 else np.uint32), np.concatenate([rare[1], key[~held]])
+            name = (TaskContext.get().partitionId() << 40) + (count << 20)  # of the part; with a row's place added, of the row
+            if rows > 1 << 20:
+                raise ValueError("a batch has over a million rows")
+            count += 1
+            own = [part.column(0), part.column(2), pa.array(sizes), pa.array(known.astype(np.int64)), pa.array(base), pa.array(more), pa.array(name + np.arange(rows))]
+            names = ["doc_id", *DOC, *SCHEMA.names]
+            dealt = pa.array(((np.arange(rows) + count) % buckets.n).astype(np.int32)), pa.array(np.full(rows, DOCS, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([*own, *dealt, *(pa.nulls(rows, t) for t in SCHEMA.types[2:])], names=names)
+            for asked in buckets.blocks(ASKED, key, key, owner, size=name):
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(asked.num_rows, x.type) for x in own), *asked.columns], names=names)
 
     return run
 
 
+def _answers(batches):
+    """What the tail says of the rows of each part that ask a bucket's keys; and the documents, as they are."""
+    passed, names, empty = [], [], []
+
+    def blocks_only():
+        for batch in batches:
+            docs = pc.equal(batch.column("kind"), DOCS)
+            own = batch.select(["doc_id", *DOC])
+            names[:], empty[:] = [*own.schema.names, *ANSWER], [pa.nulls(1, t) for t in own.schema.types]
+            if (own := own.filter(docs)).num_rows:
+                passed.append(pa.RecordBatch.from_arrays([*own.columns, *(pa.nulls(own.num_rows, pa.int64() if t == "bigint" else pa.binary()) for t in ANSWER.values())], names=names))
+            yield batch.select(SCHEMA.names).filter(pc.invert(docs))
+
+    for _, held in _by_bucket(blocks_only()):
+        yield from passed
+        passed.clear()
+        blocks = held[TOKENS] + held[VALUES]
+        token = np.repeat([True, False], [sum(len(b[1]) for b in held[k]) for k in (TOKENS, VALUES)])
+        keys = _column(blocks, 1)
+        order = order_of(keys)
+        keys, values, token = keys[order], _column(blocks, 4)[order], token[order]
+        if not len(keys):
+            continue
+        for part, key, row, *_ in held[ASKED]:
+            i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            found = keys[i] == key
+            i, row = i[found], row[found].astype(np.int64)
+            known, base = np.bincount(row, token[i]), np.bincount(row, np.where(token[i], values[i], 0.0))
+            more = np.bincount(row, np.where(token[i], 0.0, values[i]))
+            own = np.unique(row)
+            if len(own):
+                said = own.astype(np.int32), known[own].astype(np.int32), base[own], more[own]
+                yield pa.RecordBatch.from_arrays([*empty, pa.array([part]), *(pa.array([x.tobytes()], pa.binary()) for x in said)], names=names)
+    yield from passed
+
+
+def _added(batches):
+    """The sums of each part's rows over all that was said of them; a part's blocks follow each other."""
+    now, rows = None, []
+
+    def out():
+        row, known, base, more = (np.concatenate([np.frombuffer(x, dtype=t) for x in c]) for c, t in zip(zip(*rows), (np.int32, np.int32, np.float64, np.float64)))
+        own = np.unique(row)
+        return pa.RecordBatch.from_arrays([pa.array(now + own.astype(np.int64)), pa.array(np.bincount(row, known)[own].astype(np.int64)), pa.array(np.bincount(row, base)[own]), pa.array(np.bincount(row, more)[own])], names=["row", "known", "base", "more"])
+
+    for batch in batches:
+        for part, *said in zip(*(c.to_pylist() for c in batch.columns)):
+            if part != now and rows:
+                yield out()
+                rows = []
+            now = part
+            rows.append(said)
+    if rows:
+        yield out()
+
+
 def score(docs: DataFrame, train: Column, depth: int | None = None) -> DataFrame:
+    """_scored(), with few rows in a batch."""
+    conf = docs.sparkSession.conf
+    before = conf.get(BATCH[0])
+    conf.set(*BATCH)
+    try:
+        return _scored(docs, train, depth)
+    finally:
+        conf.set(BATCH[0], before)
+
+
+def _scored(docs: DataFrame, train: Column, depth: int | None) -> DataFrame:
     """One row per document: doc_id, train, n_tokens, n_known, train_tokens, base_score, score.
 
     ``train`` is a boolean Column that says which rows are learnt from; null is
@@ -388,23 +794,15 @@ def score(docs: DataFrame, train: Column, depth: int | None = None) -> DataFrame
     model = Model(docs, train, depth)
     model.send()
     least = float(np.log10(model.n + model.v + 1.0))
-    item = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType())])
-    fields = [("train", T.BooleanType()), ("n_tokens", T.LongType()), ("head_known", T.LongType()), ("head_base", T.DoubleType()), ("head_more", T.DoubleType()), ("tail", T.ArrayType(item))]
-    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(n, t) for n, t in fields)])
-    scored = docs.select("doc_id", "text", train.alias("train")).mapInArrow(_scorer(model.sent, model.depth), schema)
-    scored, _ = materialise_at(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    tail, _ = materialise_at(model.tail, "tail")
-    token = F.col("kind") == 0
-    total = lambda c, what: F.sum(F.when(c, what).otherwise(0))
-
-    def summed(rows: DataFrame) -> DataFrame:
-        rare = rows.select("row", F.explode("tail").alias("t")).select("row", F.col("t.key").alias("key"), F.col("t.n").alias("times"))
-        found = rare.hint("merge").join(tail, "key").groupBy("row")
-        return found.agg(total(token, F.col("times")).alias("known"), total(token, F.col("times") * F.col("value")).alias("base"), total(~token, F.col("times") * F.col("value")).alias("more"))
-
-    # one part of the rows after the other, so that the disk holds the shuffle files of one part only
-    sums = reduce(DataFrame.unionByName, (materialise_at(summed(scored.where(F.col("row") % PASSES == k)), "sums")[0] for k in range(PASSES)))
-    whole = scored.drop("tail").join(sums.hint("merge"), "row", "left")
+    own = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *T.StructType.fromDDL(", ".join(f"{c} {t}" for c, t in DOC.items()))])
+    asked = docs.select("doc_id", "text", train.alias("train")).mapInArrow(_scorer(model.sent, model.depth, model.buckets), T.StructType([*own, *T.StructType.fromDDL(BLOCK)]))
+    known = asked.unionByName(model.values.withColumn("n", F.lit(None).cast("binary")), allowMissingColumns=True)
+    answer = T.StructType([*own, *T.StructType.fromDDL(", ".join(f"{c} {t}" for c, t in ANSWER.items()))])
+    out, _ = materialise_at(model.buckets.dealt(known, _answers, answer), "answers")
+    model.sent.destroy()
+    said = out.where("part IS NOT NULL").select(*ANSWER).repartition("part").sortWithinPartitions("part")
+    sums, _ = materialise_at(said.mapInArrow(_added, "row long, known long, base double, more double"), "sums")
+    whole = out.where("part IS NULL").drop(*ANSWER).join(sums.hint("merge"), "row", "left")
     base = F.col("head_base") + F.coalesce("base", F.lit(0.0)) - F.col("n_tokens") * F.lit(least)
     return whole.select(
         "doc_id", "train", "n_tokens", (F.col("head_known") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"),

@@ -3,6 +3,7 @@ from collections import Counter
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -216,3 +217,46 @@ def test_suffix_edges(edge_docs, no_docs, edge_rows):
     assert suffix_tree.score_held_out(no_docs).collect() == []
     untrained = suffix_tree.score(edge_docs, crc_mod("doc_id", 7) < 0).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 for r in untrained)
+
+
+def test_hot_words_buckets_and_folds_change_no_score(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = ["the", "of", "a", *(f"w{i}" for i in range(30))]
+    texts = [" ".join(rng.choice(words, int(n), p=[0.3, 0.1, 0.1, *[0.5 / 30] * 30])) for n in rng.integers(0, 40, 60)] + ["the w1 the w2 the w3 of"] * 4
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root, kept = plain_tree(texts, 3)
+    for hot, size, fold in ((2.0, 64, 10), (0.05, 200, 50)):  # nothing is hot, and a few words; many buckets and folds
+        for name, value in (("HOT_SHARE", hot), ("BUCKET_BYTES", size), ("FOLD", fold), ("PART_BYTES", 100), ("HEAD_SHARE", 0.02)):
+            monkeypatch.setattr(suffix_tree, name, value)
+        for r in suffix_tree.score(docs, F.lit(True), 3).collect():
+            assert r.score == pytest.approx(plain_score(root, kept, texts[r.doc_id])), (hot, r.doc_id)
+
+
+def test_what_is_counted_travels_in_blocks(spark, sample, monkeypatch):
+    """A table has rows for blocks and documents, not for each window: these took more disk and time than the check allows."""
+    rows, bare = [], suffix_tree.materialise_at
+
+    def counted(df, tag):
+        out = bare(df, tag)
+        rows.append((tag, out[0].count()))
+        return out
+
+    monkeypatch.setattr(suffix_tree, "materialise_at", counted)
+    n = suffix_tree.score_held_out(sample).count()
+    assert max(k for _, k in rows) <= n + 200, rows
+
+
+def test_windows_that_agree_in_both_halves_are_told_apart():
+    low = np.array([7 << 40] * 6, dtype=np.uint64)
+    key = np.array([1 << 32 | x for x in (5, 9, 5, 5, 9, 2)], dtype=np.uint64)
+    got = suffix_tree._folded(key, low, key + np.uint64(1), low, np.ones(6, dtype=np.int64))
+    assert dict(zip(got[0].tolist(), got[4].tolist())) == {1 << 32 | 5: 3, 1 << 32 | 9: 2, 1 << 32 | 2: 1}
+
+
+def test_tokens_are_words_with_an_end():
+    texts = ["", None, "A b  a\tB", " ".join("x" * n for n in (7, 8, 9, 64, 65, 66)) + " " + "X" * 65, "é É \x00 \x00\x00 a\xa0b\n", "   ", "12345678 123456789 12345678"]
+    tokens, sizes = suffix_tree.tokens_of(pa.array(["z", *texts])[1:])
+    words = [[*(t or "").encode().lower().split(), b""] for t in texts]
+    assert sizes.tolist() == [len(w) for w in words]
+    pairs = set(zip((w for row in words for w in row), tokens.tolist()))
+    assert len(pairs) == len({w for w, _ in pairs}) == len({t for _, t in pairs})
