@@ -23,7 +23,8 @@ dealt out by windows, and what is known of them is sent to every task.
 
 Logarithms telescope: a token's score is the sum of the values of its own key, of
 the retained contexts before it and of its windows that these remember, so
-scoring asks for keys and adds up values. Two more things of bounded size are
+scoring asks for keys and adds up values, for one part of the documents after the
+other, so that what is asked at once stays below a share of the text. Two more things of bounded size are
 sent to every task to keep keys from being asked for, and change no result: the
 values of keys with at least HEAD_SHARE of all tokens, and a bit filter that
 tells most absent keys.
@@ -32,6 +33,7 @@ tells most absent keys.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 from functools import reduce
 from itertools import islice
 
@@ -44,6 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..workdir import new_path, write
 from .common import crc_mod, discard, materialise_at, words_of
 
 #: Occurrences that a context can remember a token from; also the least of a context.
@@ -56,14 +59,18 @@ REMEMBER, DIVERGENCE = 4.0, 6.0
 WORTH = 0.1
 #: A key with this share of all tokens or more is sent to every task: at most 1 / HEAD_SHARE of them for each kind.
 HEAD_SHARE = 2.5e-7
-#: The bit filter has at most 2 ** FILTER_BITS words of 64 bits.
-FILTER_BITS = 21
+#: The bit filter of keys has at most 2 ** FILTER_BITS words of 64 bits, that of filter_of() 2 ** SET_BITS.
+FILTER_BITS, SET_BITS = 22, 21
 #: Texts of so many bytes, or one text, are held by a task at a time.
 PART_BYTES = 4 << 20
 #: Words and contexts with this share of all tokens or more are sent to every task: at most 1 / HOT_SHARE for each length.
 HOT_SHARE = 1e-3
 #: A bucket is for about so many bytes of text; a task gathers so many windows before it writes their blocks.
 BUCKET_BYTES, FOLD = 4 << 20, 3 << 18
+#: Documents are asked for in as many rounds as keep what is asked at once below this share of all text, and below so many bytes.
+ROUND_SHARE, ROUND_BYTES = 1.0, 64 << 20
+#: Bytes of a key that is asked for, with the row that asks; keys that a task gathers before it writes their blocks.
+ASK_BYTES, GATHER = 10, 1 << 20
 #: Rows that Spark sends to Python at a time, here; texts and blocks are long.
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "500"
 START, END = b"\n", b" "  # no word holds white space
@@ -124,10 +131,14 @@ class Filter:
         mask = (U(1) << (keys & U(63))) | (U(1) << ((keys >> U(6)) & U(63)))
         return (self.bits[keys >> self.shift] & mask) == mask
 
+    def share(self) -> float:
+        """Of the keys that aren't in the set, those that pass."""
+        return float(np.mean((np.bitwise_count(self.bits) / 64.0) ** 2))
+
 
 def filter_of(keys: DataFrame) -> Filter:
-    """Built by Spark; what reaches the driver has at most 2 ** FILTER_BITS rows at any number of keys."""
-    bits = min(FILTER_BITS, max(6, keys.count().bit_length()))
+    """Built by Spark; what reaches the driver has at most 2 ** SET_BITS rows at any number of keys."""
+    bits = min(SET_BITS, max(6, keys.count().bit_length()))
     one, key = F.lit(1).cast("long"), F.col("key")
     bit = lambda by: F.call_function("shiftleft", one, F.shiftright(key, by).bitwiseAND(F.lit(63)).cast("int"))
     slots = keys.groupBy(F.shiftrightunsigned(key, 64 - bits).alias("slot")).agg(F.bit_or(bit(0).bitwiseOR(bit(6))).alias("word")).toArrow()
@@ -202,7 +213,7 @@ class Places:
     """
 
     def __init__(self, tokens: np.ndarray, sizes: np.ndarray):
-        self.owner = np.repeat(np.arange(len(sizes)), sizes)
+        self.owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         self.place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         self.token = tokens
 
@@ -233,14 +244,20 @@ class Places:
 
 #: Kinds of blocks. TABLE: key, n, value (lp, the log probability). WINDOWS: key (the context), low, n, value (lp of low). HOT: size
 #: (the context), total and gain of what it may remember. TELLS: gain. TOKENS, VALUES: key, n, value (log10). ASKED: size (the part), key, low (the
-#: row in it, in 16 or 32 bits). DOCS: no block, but a document.
-TABLE, WINDOWS, HOT, TELLS, TOKENS, VALUES, ASKED, DOCS = range(8)
+#: row in it, in 16 or 32 bits). DOCS: no block, but a document. BITS: size (the first word's place), key (words of a filter). n has as few bytes
+#: as it needs.
+TABLE, WINDOWS, HOT, TELLS, TOKENS, VALUES, ASKED, DOCS, BITS = range(9)
 BLOCK = "bucket int, kind int, size long, total double, gain double, key binary, low binary, n binary, value binary"
 SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("size", pa.int64()), ("total", pa.float64()), ("gain", pa.float64()), *((c, pa.binary()) for c in ("key", "low", "n", "value"))])
 DTYPES = U, U, np.int64, np.float64
 HIGH = U(0xFFFFFFFF00000000)
 
 
+def _counts(blob, entries: int) -> np.ndarray:
+    """n of a block."""
+    return np.frombuffer(blob, dtype=f"u{len(blob) // entries}").astype(np.int64) if entries else np.zeros(0, dtype=np.int64)
+
+
 def order_of(keys: np.ndarray) -> np.ndarray:
     """np.argsort, by a sort of the keys' first bits with their places behind them, which is faster."""
     bits = U(max(1, len(keys).bit_length()))
@@ -295,16 +312,23 @@ class Buckets:
         if not len(deal):
             return
         columns = [key, low, n, value]
+        if n is not None and not ordered and n.max() < 1 << 16:
+            columns[2] = n.astype(np.uint16)
         if not ordered:
             order = order_of(deal)
             deal, columns = deal[order], [c if c is None else c[order] for c in columns]
         own = self.of(deal)
         at = _starts(own)
+        n = columns[2]
         held = [memoryview(np.ascontiguousarray(c)).cast("B") if c is not None else None for c in columns]
+        sums = np.add.reduceat(n, at).tolist() if ordered and n is not None else [None] * len(at)
+        most = np.maximum.reduceat(n, at).tolist() if n is not None else at.tolist()
         rows = []
-        for a, z in zip(at.tolist(), [*at[1:].tolist(), len(own)]):
-            sums = float(n[a:z].sum()) if ordered and n is not None else None
-            rows.append([int(own[a]), kind, z - a if size is None else size, sums, None, *(None if h is None else bytes(h[a * c.itemsize : z * c.itemsize]) for h, c in zip(held, columns))])
+        for a, z, total, top in zip(at.tolist(), [*at[1:].tolist(), len(own)], sums, most):
+            blobs = [None if h is None else bytes(h[a * c.itemsize : z * c.itemsize]) for h, c in zip(held, columns)]
+            if n is not None:
+                blobs[2] = n[a:z].astype(f"u{next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)}").tobytes()
+            rows.append([int(own[a]), kind, z - a if size is None else size, total, None, *blobs])
         yield _batch(rows)
 
     def dealt(self, blocks: DataFrame, run, schema: str | T.StructType = BLOCK) -> DataFrame:
@@ -325,14 +349,15 @@ def _by_bucket(batches):
                     yield now, held
                 now, held = bucket, defaultdict(list)
             blobs = [c[j].as_buffer() if c[j].is_valid else None for c in columns]
-            dtypes = (U, f"u{8 * blobs[1].size // blobs[0].size}", *DTYPES[2:]) if kinds[j] == ASKED else DTYPES
+            widths = [8 if x is None else 8 * x.size // blobs[0].size for x in blobs]  # only rows that ask, and n, have less than 8 bytes
+            dtypes = U, f"u{widths[1]}", f"u{widths[2]}", np.float64
             held[kinds[j]].append((sizes[j], *(None if x is None else np.frombuffer(x, dtype=t) for x, t in zip(blobs, dtypes))))
     if now is not None:
         yield now, held
 
 
 def _column(blocks: list[tuple], i: int) -> np.ndarray:
-    return np.concatenate([b[i] for b in blocks]) if blocks else np.zeros(0, dtype=DTYPES[i - 1])
+    return np.concatenate([b[i] for b in blocks]).astype(DTYPES[i - 1], copy=False) if blocks else np.zeros(0, dtype=DTYPES[i - 1])
 
 
 class Hot:
@@ -388,8 +413,8 @@ def _tokens(buckets: Buckets):
     return run
 
 
-def _counted(buckets: Buckets):
-    """TABLE: tokens and the start with their counts over all; TOKENS: the same with values, without the start."""
+def _counted(buckets: Buckets, bits: int):
+    """TABLE: tokens and the start with their counts over all; TOKENS: the same with values, without the start; BITS of those met LEAST times."""
 
     def run(batches):
         for _, held in _by_bucket(batches):
@@ -399,6 +424,8 @@ def _counted(buckets: Buckets):
             at = _starts(key)
             key, n = key[at], np.add.reduceat(n, at)
             yield from buckets.blocks(TABLE, key, key, n=n, ordered=True)
+            if (n >= LEAST).any():
+                yield _batch([_words(key[n >= LEAST], bits)])
             own = key != STARTS
             yield from buckets.blocks(TOKENS, key[own], key[own], n=n[own], value=np.log10(n[own] + 1.0), ordered=True)
 
@@ -411,7 +438,7 @@ def _with_lp(tokens: float):
     def run(batches):
         at = SCHEMA.get_field_index("value")
         for batch in batches:
-            lp = [np.log((np.frombuffer(x, dtype=np.int64) + 1.0) / tokens).tobytes() for x in batch.column(at - 1).to_pylist()]
+            lp = [np.log((_counts(x, n) + 1.0) / tokens).tobytes() for n, x in zip(batch.column(2).to_pylist(), batch.column(at - 1).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(lp, pa.binary())], schema=SCHEMA)
 
     return run
@@ -422,48 +449,56 @@ def _entries(least: float, kinds: tuple[int, ...]):
 
     def run(batches):
         for batch in batches:
+            held = []
             for kind, *blob in zip(batch.column(1).to_pylist(), *(batch.column(i).to_pylist() for i in (5, 7, 8))):
                 if kind in kinds:
-                    key, n, value = (np.frombuffer(x, dtype=t) for x, t in zip(blob, (np.int64, np.int64, np.float64)))
+                    n = _counts(blob[1], len(blob[0]) // 8)
                     own = n >= least
                     if own.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(n[own]), pa.array(value[own])], names=["key", "n", "value"])
+                        held.append((np.frombuffer(blob[0], dtype=np.int64)[own], n[own], np.frombuffer(blob[2], dtype=np.float64)[own]))
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names=["key", "n", "value"])
 
     return run
 
 
+def _words(key: np.ndarray, bits: int) -> list:
+    """A BITS row: the words of a filter from that of the first of these keys, which are in order, to that of the last."""
+    slot = (key >> U(64 - bits)).astype(np.int64)
+    at = _starts(slot)
+    out = np.zeros(slot[-1] - slot[0] + 1, dtype=U)
+    out[slot[at] - slot[0]] = np.bitwise_or.reduceat((U(1) << (key & U(63))) | (U(1) << ((key >> U(6)) & U(63))), at)
+    return [0, BITS, int(slot[0]), None, None, out.tobytes(), None, None, None]
+
+
 def _bits(bits: int):
-    """The words of the filter of the keys met LEAST times: key (slots), value (words)."""
+    """BITS of the keys of blocks."""
 
     def run(batches):
-        for bucket, held in _by_bucket(batches):
-            blocks = [b for kind in (TABLE, VALUES) for b in held[kind]]
-            key, n = _column(blocks, 1), _column(blocks, 3)
-            key = np.sort(key[n >= LEAST])
-            if not len(key):
-                continue
-            slot = key >> U(64 - bits)
-            at = _starts(slot)
-            word = np.bitwise_or.reduceat((U(1) << (key & U(63))) | (U(1) << ((key >> U(6)) & U(63))), at)
-            yield _batch([[bucket, TABLE, len(at), None, None, slot[at].tobytes(), word.tobytes(), None, None]])
+        for _, held in _by_bucket(batches):
+            yield _batch([_words(np.sort(_column([b for kind in held.values() for b in kind], 1)), bits)])
 
     return run
 
 
-def _filter(buckets: Buckets, blocks: DataFrame) -> Filter:
-    """filter_of() of the blocks' keys; what reaches the driver has at most 2 ** FILTER_BITS words, and one more for each bucket."""
-    count = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    bits = min(FILTER_BITS, max(6, int(count).bit_length()))
+def _filter_of(words: DataFrame, bits: int) -> Filter:
+    """Of BITS; what reaches the driver has at most 2 ** bits words, and one more for each bucket."""
     out = np.zeros(1 << bits, dtype=U)
-    keys = blocks.withColumns({"value": F.lit(None).cast("binary"), "low": F.lit(None).cast("binary")})
-    words, at = materialise_at(buckets.dealt(keys, _bits(bits)).select("key", "low"), "bits")
-    for batch in words.toArrow().to_batches():
-        for slot, word in zip(*(c.to_pylist() for c in batch.columns)):
-            out[np.frombuffer(slot, dtype=U)] |= np.frombuffer(word, dtype=U)
-    discard(blocks.sparkSession, at)
+    for batch in words.select("size", "key").toArrow().to_batches():
+        for at, blob in zip(*(c.to_pylist() for c in batch.columns)):
+            word = np.frombuffer(blob, dtype=U)
+            out[at : at + len(word)] |= word
     return Filter(out)
 
 
+def _filter(buckets: Buckets, blocks: DataFrame, bits: int) -> Filter:
+    """Of the blocks' keys."""
+    words, at = materialise_at(buckets.dealt(blocks.select("bucket", "kind", "size", *(F.lit(None).cast(t).alias(c) for c, t in (("total", "double"), ("gain", "double"))), "key", *(F.lit(None).cast("binary").alias(c) for c in ("low", "n", "value"))), _bits(bits)), "bits")
+    out = _filter_of(words, bits)
+    discard(blocks.sparkSession, at)
+    return out
+
+
 def _windows(length: int, sent, buckets: Buckets):
     """WINDOWS: those of ``length`` words and a token that may be told of, with their counts; dealt out by the shorter window (low)."""
 
@@ -592,6 +627,18 @@ def _grown(sent, buckets: Buckets):
     return run
 
 
+def _by_kind(blocks: DataFrame, tag: str) -> tuple[Callable[[int], DataFrame], str]:
+    """Writes the blocks, each kind into a folder of its own, so that one can be discarded before the others; and gives what reads a kind, and the path."""
+    path = new_path(blocks.sparkSession, tag)
+    write(blocks, path, "kind")
+    read = blocks.sparkSession.read.schema(BLOCK).parquet(path).select(*SCHEMA.names)
+    return lambda kind: read.where(F.col("kind") == kind), path
+
+
+def _folder(path: str, kind: int) -> str:
+    return f"{path}/kind={kind}"
+
+
 class Model:
     """The tree as tables of blocks: key, n, value (log10) of tokens (TOKENS), windows and contexts (VALUES); with N and V.
 
@@ -602,34 +649,40 @@ class Model:
     def __init__(self, docs: DataFrame, train: Column, depth: int | None = None):
         self.spark = docs.sparkSession
         self.texts = docs.where(train).select("text")
-        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        length = F.coalesce(F.octet_length("text"), F.lit(0))
+        self.bytes, self.rows, learnt, texts = (x or 0 for x in docs.agg(F.sum(length), F.count(F.lit(1)), F.sum(F.when(train, length)), F.count(F.when(train, 1))).first())
         partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        self.buckets = buckets = Buckets(partitions * max(1, -(-size // (BUCKET_BYTES * partitions))))
-        counted, at = materialise_at(buckets.dealt(self.texts.mapInArrow(_tokens(buckets), BLOCK), _counted(buckets)), "tokens")
-        tokens = counted.where(F.col("kind") == TOKENS)
+        count = max(1, -(-self.bytes // BUCKET_BYTES))
+        self.buckets = buckets = Buckets(count if count < partitions else partitions * -(-count // partitions))
+        self.bits = min(FILTER_BITS, max(6, int(self.bytes // 4 + self.rows).bit_length()))
+        of, read = _by_kind(buckets.dealt(self.texts.mapInArrow(_tokens(buckets), BLOCK), _counted(buckets, self.bits)), "tokens")
+        repeated = _filter_of(of(BITS), self.bits)
+        tokens = of(TOKENS)
         self.n, self.v = tokens.agg(F.coalesce(F.sum("total"), F.lit(0.0)).cast("long"), F.coalesce(F.sum("size"), F.lit(0)).cast("long")).first()
-        table = counted.where(F.col("kind") == TABLE).mapInArrow(_with_lp(self.n + self.v + 1.0), BLOCK)
-        values, read = [tokens], None  # the path of what nothing reads once the next length is done
+        self.tokens = self.rows + (self.n - texts) * self.bytes / max(1, learnt)  # of all documents, about
+        table = of(TABLE).mapInArrow(_with_lp(self.n + self.v + 1.0), BLOCK)
+        values = [tokens]
         self.depth, told, ends = 0, 0.0, False
         while not ends:
             self.depth += 1
-            out, out_at = self._longer(self.depth, table)
-            if read:
-                discard(self.spark, read)
-            tells = out.where(F.col("kind") == TELLS).agg(F.coalesce(F.sum("gain"), F.lit(0.0))).first()[0]
+            of, out_at = self._longer(self.depth, table, repeated or _filter(buckets, table, self.bits))
+            repeated = None
+            for kind in (TABLE, BITS):
+                discard(self.spark, _folder(read, kind))
+            tells = of(TELLS).agg(F.coalesce(F.sum("gain"), F.lit(0.0))).first()[0]
             told += tells
             ends = self.depth == depth or (depth is None and self.depth > 1 and tells <= WORTH * told)
-            values.append(materialise_at(out.where(F.col("kind") == VALUES), "values")[0])
-            table, read = out.where(F.col("kind") == TABLE), out_at
-        discard(self.spark, read)
+            values.append(of(VALUES))
+            table, read = of(TABLE), out_at
+        discard(self.spark, _folder(read, TABLE))
         self.values = reduce(DataFrame.unionByName, values)
 
-    def _longer(self, length: int, table: DataFrame) -> tuple[DataFrame, str]:
-        """_grown() of windows of ``length`` words, from the TABLE of those one word shorter; and its path."""
+    def _longer(self, length: int, table: DataFrame, repeated: Filter) -> tuple[Callable[[int], DataFrame], str]:
+        """_by_kind() of _grown() of windows of ``length`` words, from the TABLE of those one word shorter."""
         context, buckets, none = self.spark.sparkContext, self.buckets, F.lit(None).cast("binary")
         most = table.mapInArrow(_entries(max(1.0, HOT_SHARE * self.n), (TABLE,)), "key long, n long, value double").toArrow()
         hot = Hot(most["key"].to_numpy().view(U), most["n"].to_numpy(), most["value"].to_numpy())
-        sent = context.broadcast((_filter(buckets, table), hot))
+        sent = context.broadcast((repeated, hot))
         windows = self.texts.mapInArrow(_windows(length, sent, buckets), BLOCK)
         met, met_at = materialise_at(buckets.dealt(windows.unionByName(table.withColumn("n", none)), _met(sent, buckets)), "met")
         sent.destroy()
@@ -639,7 +692,7 @@ class Model:
             seen[at], gains[at] = sums
         tells = np.where(seen > 0, _tells(hot.n, seen, gains), -np.inf)
         sent = context.broadcast((hot, tells, np.where(tells >= DIVERGENCE, hot.n - seen + PRIOR, np.nan)))
-        out = materialise_at(buckets.dealt(met.where(F.col("kind") == WINDOWS).unionByName(table.withColumn("value", none)), _grown(sent, buckets)), "grown")
+        out = _by_kind(buckets.dealt(met.where(F.col("kind") == WINDOWS).unionByName(table.withColumn("value", none)), _grown(sent, buckets)), "grown")
         sent.destroy()
         discard(self.spark, met_at)
         return out
@@ -650,8 +703,12 @@ class Model:
         head = self.values.mapInArrow(entries, "key long, n long, value double").select("key", "value").toArrow()
         keys = head["key"].to_numpy().view(U)
         order = np.argsort(keys)
-        passes = _filter(self.buckets, self.values.where(F.col("kind") == VALUES))
+        passes = _filter(self.buckets, self.values.where(F.col("kind") == VALUES), self.bits)
         self.sent = self.spark.sparkContext.broadcast((passes, keys[order], head["value"].to_numpy()[order]))
+        self.asked = ASK_BYTES * self.tokens * (1 + 2 * self.depth * passes.share())  # at the most, about
+
+    def rounds(self) -> int:
+        return max(1, -(-int(self.asked) // max(ROUND_BYTES, int(ROUND_SHARE * self.bytes))))
 
 
 def _sums(owner: np.ndarray, values: np.ndarray | None, n: int) -> np.ndarray:
@@ -676,38 +733,59 @@ def _scorer(sent, depth: int, buckets: Buckets):
             i = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
             return keys[i] == asked, values[i]
 
-        for part in parts(batches, 1):
-            rows = part.num_rows
-            tokens, sizes = tokens_of(part.column(1))
-            places = Places(tokens, sizes)
-            order = order_of(tokens)
-            owner, key = places.owner[order], tokens[order]
+        def out():
+            nonlocal count
+            rows = sum(map(len, sizes))
+            owner, key = (np.concatenate([x[i] for x in tokens]) for i in (0, 1))
+            order = order_of(key)
+            owner, key = owner[order], key[order]
             held, value = ask(key)
             known, base = _sums(owner[held], None, rows), _sums(owner[held], value[held], rows)
-            rare, left = (owner[~held], key[~held]), []
-            for context, window, alive in places.levels(depth):
-                back = context[alive] ^ U(BACK)
-                seen = passes(back)
-                alive, back = alive[seen], back[seen]
-                window = window[alive]
-                fine = passes(window)
-                left += [(places.owner[alive], back), (places.owner[alive[fine]], window[fine])]
-            owner, key = (np.concatenate(x) for x in zip(*left))
+            rare = owner[~held], key[~held]
+            owner, key = (np.concatenate([x[i] for x in left]) for i in (0, 1))
             order = order_of(key)
             owner, key = owner[order], key[order]
             held, value = ask(key)
             more = _sums(owner[held], value[held], rows)
             owner, key = np.concatenate([rare[0], owner[~held]]).astype(np.uint16 if rows <= 1 << 16 else np.uint32), np.concatenate([rare[1], key[~held]])
-            name = (TaskContext.get().partitionId() << 40) + (count << 20)  # of the part; with a row's place added, of the row
+            name = (TaskContext.get().partitionId() << 40) + (count << 20)  # of the group; with a row's place added, of the row
             if rows > 1 << 20:
                 raise ValueError("a batch has over a million rows")
             count += 1
-            own = [part.column(0), part.column(2), pa.array(sizes), pa.array(known.astype(np.int64)), pa.array(base), pa.array(more), pa.array(name + np.arange(rows))]
+            own = [*(pa.concat_arrays(x) for x in zip(*docs)), pa.array(np.concatenate(sizes)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(more), pa.array(name + np.arange(rows))]
             names = ["doc_id", *DOC, *SCHEMA.names]
             dealt = pa.array(((np.arange(rows) + count) % buckets.n).astype(np.int32)), pa.array(np.full(rows, DOCS, dtype=np.int32))
             yield pa.RecordBatch.from_arrays([*own, *dealt, *(pa.nulls(rows, t) for t in SCHEMA.types[2:])], names=names)
             for asked in buckets.blocks(ASKED, key, key, owner, size=name):
                 yield pa.RecordBatch.from_arrays([*(pa.nulls(asked.num_rows, x.type) for x in own), *asked.columns], names=names)
+            for x in (docs, sizes, tokens, left):
+                x.clear()
+
+        docs, sizes, tokens, left = [], [], [], []  # of a group of parts
+        rows = size = 0
+        for part in parts(batches, 1):
+            if rows and rows + part.num_rows > 1 << 16:
+                yield from out()
+                rows = size = 0
+            token, each = tokens_of(part.column(1))
+            places = Places(token, each)
+            tokens.append((places.owner + rows, token))
+            for context, window, alive in places.levels(depth):
+                back = context[alive] ^ U(BACK)
+                seen = passes(back)
+                alive, back = alive[seen], back[seen]
+                window = window[alive]
+                fine = passes(window)
+                left += [(places.owner[alive] + rows, back), (places.owner[alive[fine]] + rows, window[fine])]
+                size += len(back) + int(fine.sum())
+            docs.append((part.column(0), part.column(2)))
+            sizes.append(each)
+            rows, size = rows + part.num_rows, size + len(token)
+            if size >= GATHER:
+                yield from out()
+                rows = size = 0
+        if rows:
+            yield from out()
 
     return run
 
@@ -735,16 +813,19 @@ def _answers(batches):
         keys, values, token = keys[order], _column(blocks, 4)[order], token[order]
         if not len(keys):
             continue
+        said = []
         for part, key, row, *_ in held[ASKED]:
             i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
             found = keys[i] == key
             i, row = i[found], row[found].astype(np.int64)
-            known, base = np.bincount(row, token[i]), np.bincount(row, np.where(token[i], values[i], 0.0))
-            more = np.bincount(row, np.where(token[i], 0.0, values[i]))
-            own = np.unique(row)
+            own = np.nonzero(np.bincount(row))[0]
             if len(own):
-                said = own.astype(np.int32), known[own].astype(np.int32), base[own], more[own]
-                yield pa.RecordBatch.from_arrays([*empty, pa.array([part]), *(pa.array([x.tobytes()], pa.binary()) for x in said)], names=names)
+                known, base = np.bincount(row, token[i])[own], np.bincount(row, np.where(token[i], values[i], 0.0))[own]
+                more = np.bincount(row, np.where(token[i], 0.0, values[i]))[own]
+                said.append((part, *(x.tobytes() for x in (own.astype(np.int32), known.astype(np.int32), base, more))))
+        if said:
+            nulls = [pa.nulls(len(said), x.type) for x in empty]
+            yield pa.RecordBatch.from_arrays([*nulls, *(pa.array(x, pa.binary() if i else pa.int64()) for i, x in enumerate(zip(*said)))], names=names)
     yield from passed
 
 
@@ -793,16 +874,22 @@ def _scored(docs: DataFrame, train: Column, depth: int | None) -> DataFrame:
     train = F.coalesce(train, F.lit(False))
     model = Model(docs, train, depth)
     model.send()
+    rounds = model.rounds()
     least = float(np.log10(model.n + model.v + 1.0))
     own = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *T.StructType.fromDDL(", ".join(f"{c} {t}" for c, t in DOC.items()))])
-    asked = docs.select("doc_id", "text", train.alias("train")).mapInArrow(_scorer(model.sent, model.depth, model.buckets), T.StructType([*own, *T.StructType.fromDDL(BLOCK)]))
-    known = asked.unionByName(model.values.withColumn("n", F.lit(None).cast("binary")), allowMissingColumns=True)
     answer = T.StructType([*own, *T.StructType.fromDDL(", ".join(f"{c} {t}" for c, t in ANSWER.items()))])
-    out, _ = materialise_at(model.buckets.dealt(known, _answers, answer), "answers")
+    values, answered = model.values.withColumn("n", F.lit(None).cast("binary")), []
+    docs = docs.select("doc_id", "text", train.alias("train"))
+    for i in range(rounds):
+        some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == i) if rounds > 1 else docs
+        asked = some.mapInArrow(_scorer(model.sent, model.depth, model.buckets), T.StructType([*own, *T.StructType.fromDDL(BLOCK)]))
+        out, out_at = materialise_at(model.buckets.dealt(asked.unionByName(values, allowMissingColumns=True), _answers, answer), "answers")
+        said = out.where("part IS NOT NULL").select(*ANSWER).repartition("part").sortWithinPartitions("part")
+        sums = said.mapInArrow(_added, "row long, known long, base double, more double")
+        answered.append(materialise_at(out.where("part IS NULL").drop(*ANSWER).join(sums.hint("merge"), "row", "left"), "answered")[0])
+        discard(docs.sparkSession, out_at)
     model.sent.destroy()
-    said = out.where("part IS NOT NULL").select(*ANSWER).repartition("part").sortWithinPartitions("part")
-    sums, _ = materialise_at(said.mapInArrow(_added, "row long, known long, base double, more double"), "sums")
-    whole = out.where("part IS NULL").drop(*ANSWER).join(sums.hint("merge"), "row", "left")
+    whole = reduce(DataFrame.unionByName, answered)
     base = F.col("head_base") + F.coalesce("base", F.lit(0.0)) - F.col("n_tokens") * F.lit(least)
     return whole.select(
         "doc_id", "train", "n_tokens", (F.col("head_known") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"),

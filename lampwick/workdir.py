@@ -34,13 +34,13 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def write(df: DataFrame, path: str) -> None:
-    """Writes a table of the job's own. The shuffle files behind it go with the end of the write, as nothing reads them again."""
+def write(df: DataFrame, path: str, *by: str) -> None:
+    """Writes a table of the job's own, in folders by the columns named. The shuffle files behind it go with the end of the write, as nothing reads them again."""
     conf = df.sparkSession.conf
     before = conf.get(CLEANUP, None)
     conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(*by) if by else df.write).parquet(path)
     finally:
         conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
 

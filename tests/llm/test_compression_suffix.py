@@ -260,3 +260,38 @@ def test_tokens_are_words_with_an_end():
     assert sizes.tolist() == [len(w) for w in words]
     pairs = set(zip((w for row in words for w in row), tokens.tolist()))
     assert len(pairs) == len({w for w, _ in pairs}) == len({t for _, t in pairs})
+
+
+def test_what_is_asked_at_once_is_bounded(spark, sample, monkeypatch):
+    """Filters that tell nothing, as on large corpora, let all keys be asked for: seven a token. One part of the documents asks
+    after the other."""
+    docs = sample.limit(120).unionByName(sample.limit(5)).select("doc_id", "text").localCheckpoint()
+    want = {r.doc_id: r for r in suffix_tree.score_held_out(docs).collect()}
+    asked, dealt = [], suffix_tree.Buckets.dealt
+
+    def counted(self, blocks, run, schema=suffix_tree.BLOCK):
+        blocks = blocks.localCheckpoint()
+        asked.append(blocks.where(F.col("kind") == suffix_tree.ASKED).agg(F.coalesce(F.sum(F.octet_length("key") + F.octet_length("low")), F.lit(0))).first()[0])
+        return dealt(self, blocks, run, schema)
+
+    monkeypatch.setattr(suffix_tree.Buckets, "dealt", counted)
+    for name, value in (("FILTER_BITS", 6), ("HEAD_SHARE", 2.0), ("ROUND_BYTES", 1)):
+        monkeypatch.setattr(suffix_tree, name, value, raising=False)
+    got = suffix_tree.score_held_out(docs).collect()
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    assert sum(asked) > 4 * size
+    assert max(asked) < 2 * size
+    assert len(got) == 125
+    for r in got:
+        assert (r.n_known, r.n_tokens) == (want[r.doc_id].n_known, want[r.doc_id].n_tokens)
+        assert r.score == pytest.approx(want[r.doc_id].score) and r.base_score == pytest.approx(want[r.doc_id].base_score)
+
+
+def test_blocks_are_as_many_as_the_text_asks_for(spark, sample):
+    """Not as many as Spark has partitions, of which little text has too many."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "211")
+    try:
+        assert suffix_tree.Model(sample.limit(20), F.lit(True), 1).buckets.n == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
