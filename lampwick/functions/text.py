@@ -121,11 +121,27 @@ def infer_biz_type(task_type: Column, link_name: Column) -> Column:
     return F.coalesce(_known_biz(typed), F.upper(typed), _known_biz(link_name), F.lit("DEFAULT"))
 
 
-def chars(text: Column) -> Column:
-    """The set of characters, an empty array for null."""
+def chars(text: Column, empty: bool = False) -> Column:
+    """The set of characters, an empty array for null. ``empty``: as SQL splits texts, an empty one has one empty character and null has no set."""
+    if empty:
+        return F.array_distinct(F.split(text, ""))
     return F.array_remove(F.array_distinct(F.split(F.coalesce(text, F.lit("")), "")), "")
 
 
+def _or_none(a: Column) -> Column:
+    return F.coalesce(a, F.array().cast("array<string>"))
+
+
+def both_sets(a: Column, b: Column) -> Column:
+    """What is in both; as in SQL, a second set that is null has no elements, and a first one that is null gives null."""
+    return F.array_intersect(a, _or_none(b))
+
+
+def either_set(a: Column, b: Column) -> Column:
+    """What is in one or both; null has no elements."""
+    return F.array_union(_or_none(a), _or_none(b))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two sets; 0 where either is empty."""
     both, one = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
