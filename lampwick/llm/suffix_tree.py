@@ -70,9 +70,9 @@ BUCKET_BYTES, FOLD = 4 << 20, 3 << 18
 #: Documents are asked for in as many rounds as keep what is asked at once below this share of all text, and below so many bytes.
 ROUND_SHARE, ROUND_BYTES = 1.0, 64 << 20
 #: Bytes of a key that is asked for, with the row that asks; keys that a task gathers before it writes their blocks.
-ASK_BYTES, GATHER = 10, 1 << 20
-#: Rows that Spark sends to Python at a time, here; texts and blocks are long.
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "500"
+ASK_BYTES, GATHER = 10, 3 << 18
+#: Rows and bytes that Spark sends to Python at a time, here; texts and blocks are long.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 START, END = b"\n", b" "  # no word holds white space
 BACK = 0x5851F42D4C957F2D  # tells the key of a context's rest from the key of a word
 
@@ -850,14 +850,16 @@ def _added(batches):
 
 
 def score(docs: DataFrame, train: Column, depth: int | None = None) -> DataFrame:
-    """_scored(), with few rows in a batch."""
+    """_scored(), with few rows and bytes in a batch."""
     conf = docs.sparkSession.conf
-    before = conf.get(BATCH[0])
-    conf.set(*BATCH)
+    before = {k: conf.get(k) for k in BATCH}
+    for k, v in BATCH.items():
+        conf.set(k, v)
     try:
         return _scored(docs, train, depth)
     finally:
-        conf.set(BATCH[0], before)
+        for k, v in before.items():
+            conf.set(k, v)
 
 
 def _scored(docs: DataFrame, train: Column, depth: int | None) -> DataFrame:
